@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, lines, mixing, packing, sharding, simhash
+from . import attribution, lines, mixing, neighbours, packing, quality, sharding, simhash, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_tokens", F.col("n_tokens").cast("long"))
 
 
+def held_out() -> Column:
+    """The third of the ids whose labels no model sees."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
+    return toxicity.train(docs, labels, max_docs=8000)
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic", F.size("spans").cast("long").alias("n_toxic_spans"))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(documents(spark, sf_dir), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("copies")).alias("taken"), "copies")
@@ -57,6 +78,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    trees = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), max_docs=8000)
+    return quality.judge(docs, trees)
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=1024, end_id=2)
 
@@ -104,8 +136,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1,
+    "op2_toxic_spans": op2,
+    "op3_suffix_array_dedup": op3,
     "op4_mix_sources": op4,
     "op5_simhash_near_dedup": op5,
+    "op6_quality_trees": op6,
+    "op7_additive_quantisation": op7,
     "op8_best_fit_packing": op8,
     "op9_line_dedup": op9,
     "op10_sharding": op10,
