@@ -1,10 +1,10 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels mark whole documents, the field tags tokens, so token labels come first:
-in labelled rows, a word or word beginning is marked when it occurs in so many
-toxic and so few clean documents that chance explains it with a probability
-below ``chance`` over all candidates; in toxic documents, tokens with a mark are
-labelled toxic.  The field learns tag weights of words, beginnings and shapes, and
+in labelled rows, a word or word beginning is marked when so many of its surroundings
+(words before it) are in toxic documents and so few in clean ones that fewer than
+``chance`` such cases are expected among all candidates; in toxic documents, tokens
+with a mark are labelled toxic.  The field learns tag weights of words, beginnings and shapes, and
 tag transitions, from these tokens.  Forward-backward marginals then give each
 token of any text its probability; their sum and maximum, through a logistic curve
 fitted to the document labels, give the document's score, and runs of tokens above
@@ -92,16 +92,31 @@ def document_inputs(total: np.ndarray, most: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(total)), np.log(total + 1e-2), np.log(m / (1 - m))], axis=1)
 
 
-def marks(docs: list[set[str]], toxic: np.ndarray, chance: float, purity: float = 0.9) -> set[str]:
-    """Features of toxic documents that chance does not explain."""
+def supports(ids: list[np.ndarray], n_words: int) -> np.ndarray:
+    """In how many surroundings each word occurs: different words before it, over all texts.
+
+    A passage that is copied many times thus counts once.
+    """
+    some = [d for d in ids if len(d)]
+    if not some:
+        return np.zeros(n_words)
+    pairs = np.unique(np.concatenate([d * (n_words + 1) + np.r_[n_words, d[:-1]] for d in some]))
+    return np.bincount(pairs // (n_words + 1), minlength=n_words).astype(float)
+
+
+def marks(feats: list[list[str]], toxic: np.ndarray, clean: np.ndarray, chance: float, purity: float = 0.95) -> set[str]:
+    """Words and beginnings whose share of toxic surroundings chance does not explain."""
     bad, good = Counter(), Counter()
-    for d, y in zip(docs, toxic, strict=True):
-        (bad if y else good).update(d)
-    base = toxic.mean()
-    tried = [f for f, n in bad.items() if n >= 3]
+    for fs, k, n in zip(feats, toxic.tolist(), clean.tolist(), strict=True):
+        for f in fs:
+            if f[0] != "s":
+                bad[f] += k
+                good[f] += n
+    base = min(max(toxic.sum() / max(1.0, toxic.sum() + clean.sum()), 1e-6), 1 - 1e-6)
+    tried = [f for f, k in bad.items() if k >= 3 and len(f) > 4]
     out = set()
     for f in tried:
-        k, n = bad[f], bad[f] + good[f]
+        k, n = int(bad[f]), int(bad[f] + good[f])
         if k < purity * n:
             continue
         tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(base) + (n - i) * math.log1p(-base)) for i in range(k, n + 1))
@@ -110,7 +125,7 @@ def marks(docs: list[set[str]], toxic: np.ndarray, chance: float, purity: float
     return out
 
 
-def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | None = None, chance: float = 0.05, rounds: int = 60, most_chain_docs: int = 2000, l2: float = 1e-3) -> Model:
+def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | None = None, chance: float = 0.5, rounds: int = 60, most_chain_docs: int = 2000, l2: float = 1e-3) -> Model:
     """The model from labelled texts; null texts count as empty."""
     y = np.array(toxic, float)
     words = [_WORD.findall((t or "").encode()) for t in texts]
@@ -120,7 +135,8 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
     feats = [features(w) for w in number]
     if not 0 < y.sum() < len(y):
         return Model({}, -6.0, np.zeros((2, 2)), np.array([-3.0 if not y.sum() else 3.0, 0.0, 0.0]))
-    tags = marks([{f for i in np.unique(d) for f in feats[i] if f[0] != "s"} for d in ids], y, chance)
+    spread = [supports([d for d, k in zip(ids, y, strict=True) if k == tag], len(number)) for tag in (1, 0)]
+    tags = marks(feats, *spread, chance)
     marked = np.array([any(f in tags for f in fs) for fs in feats], bool) if feats else np.zeros(0, bool)
     # the chain learns from toxic documents and as many clean ones
     pick = np.r_[np.flatnonzero(y == 1)[: most_chain_docs // 2], np.flatnonzero(y == 0)[: most_chain_docs // 2]]
@@ -135,6 +151,8 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
     pairs = [(k, name.setdefault(f, len(name))) for k, w in enumerate(used) for f in feats[w]]
     row, col = np.array(pairs, np.int64).T if pairs else np.zeros((2, 0), np.int64)
     w, bias, trans = np.zeros(len(name)), -2.0, np.zeros((2, 2))
+    # what is not marked itself may speak against a tag only: chance neighbours of marked words then add nothing
+    only_against = np.array([f not in tags for f in name], bool)
     follows = np.ones(len(tok), bool)
     follows[starts] = False
     nxt = np.flatnonzero(follows)
@@ -162,7 +180,7 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
             moment[q] = 0.9 * moment[q] + 0.1 * g
             square[q] = 0.98 * square[q] + 0.02 * g * g
             new.append(v + step * (moment[q] / (1 - 0.9**k)) / (np.sqrt(square[q] / (1 - 0.98**k)) + 1e-7))
-        w, bias, trans = new[0], float(new[1]), new[2]
+        w, bias, trans = np.where(only_against, np.minimum(new[0], 0.0), new[0]), float(new[1]), new[2]
     model = Model({f: float(w[i]) for f, i in name.items() if abs(w[i]) > 0.02}, float(bias), trans, np.zeros(3))
     # the document's curve, on all given rows
     every = np.array([model.bias + sum(model.weights.get(f, 0.0) for f in fs) for fs in feats])
