@@ -8,7 +8,9 @@ later ones mark their three lines, marks merge, and marked lines go.
 
 Texts take part in two narrow passes and one join by row key.  The windows
 travel as 40-byte rows with map-side minima, so a window that a third of all
-documents share is one row for each task.
+documents share is one row for each task.  Both joins are merge joins at every size:
+what they bring in grows with the input, and adaptive execution splits their
+skewed partitions.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the row key stands in the order, so repeated rows are one occurrence
     place = F.struct(F.isnull("_id").alias("a"), F.col("_id").alias("b"), F.col("_row").alias("c"), F.col("_at").alias("d"))
     ends = found.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first <> _last")
-    later = found.join(ends.select("_h1", "_h2", F.col("_first.c").alias("_c"), F.col("_first.d").alias("_d")), ["_h1", "_h2"]).filter("_row <> _c or _at <> _d")
+    later = found.join(ends.select("_h1", "_h2", F.col("_first.c").alias("_c"), F.col("_first.d").alias("_d")).hint("merge"), ["_h1", "_h2"]).filter("_row <> _c or _at <> _d")
     # of one document only: bounded by its own lines
     marks = later.groupBy("_row").agg(F.collect_set("_at").alias("_starts"))
     marks = scratch.write(marks, "marks")
@@ -94,7 +96,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (lines, removed, runs))], names=[*batch.schema.names[:-2], "_text", "n_lines", "n_removed", "n_runs"])
 
     own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed", "n_runs")]
-    joined = keyed.join(marks, "_row", "left").select(*own, F.col(text_col).alias("_text"), "_starts")
+    joined = keyed.join(marks.hint("merge"), "_row", "left").select(*own, F.col(text_col).alias("_text"), "_starts")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "_text string, n_lines long, n_removed long, n_runs long"])
     out = joined.mapInArrow(cut, schema)
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in [c for c in docs.columns if c in own or c == text_col]], "n_lines", "n_removed", "n_runs")
