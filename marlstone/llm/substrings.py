@@ -255,7 +255,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = scratch.write(plain.select("_row", "_text").mapInArrow(cut, "_row long, _h long, _item long, _start long, _runs int"), "anchors")
     # repeated rows give the same places twice: those are one
     several = found.groupBy("_h").agg(F.min(F.struct("_row", "_start")).alias("a"), F.max(F.struct("_row", "_start")).alias("b")).filter("a <> b").select("_h")
-    shared = scratch.write(found.join(several, "_h", "left_semi").distinct(), "shared")
+    shared = scratch.write(found.join(several.hint("merge"), "_h", "left_semi").distinct(), "shared")
     scratch.drop("anchors")
     items = scratch.write(shared.groupBy("_h", "_item").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "_start", "_runs")).alias("_at")), "items")
     crowd = items.groupBy("_h").agg(F.count("*").alias("_c")).filter(F.col("_c") > most_items).select("_h", F.lit(True).alias("_hot"))
@@ -282,7 +282,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         h, i, n, hot, raw = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(hot), pa.array(raw, pa.binary())], names=["_h", "_item", "_n", "_hot", "_bytes"])
 
-    lifted = plain.select("_row", "_text").join(asked, "_row").select("_text", "_asked").mapInArrow(lift, "_h long, _item long, _n long, _hot boolean, _bytes binary")
+    lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").select("_text", "_asked").mapInArrow(lift, "_h long, _item long, _n long, _hot boolean, _bytes binary")
     lifted = scratch.write(lifted, "lifted")
     size, any_hot = lifted.agg(F.sum(F.length("_bytes") + 1), F.max("_hot")).first()
     tasks = max(1, -(-(size or 0) // task_bytes))
@@ -314,7 +314,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ranges = ranges.union(_by_hash(lifted.filter("_hot"), length))
     ranges = scratch.write(ranges, "ranges")
     scratch.drop("lifted")
-    hits = shared.join(ranges, ["_h", "_item"]).groupBy("_row").agg(F.collect_list(F.struct("_start", "_ranges")).alias("_hits"))
+    hits = shared.join(ranges.hint("merge"), ["_h", "_item"]).groupBy("_row").agg(F.collect_list(F.struct("_start", "_ranges")).alias("_hits"))
 
     def remove(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -334,7 +334,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 kept.append(b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)) if runs else raw)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
-    done = plain.join(hits, "_row", "left").select("_id", "_text", "_hits")
+    done = plain.join(hits.hint("merge"), "_row", "left").select("_id", "_text", "_hits")
     schema = f"_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary"
     return done.mapInArrow(remove, schema).withColumnRenamed("_id", id_col)
 
