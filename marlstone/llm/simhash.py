@@ -325,7 +325,7 @@ def near_groups(
     whole = classes.select(F.col("_key"), "_least").join(labels.withColumnRenamed("v", "_key"), "_key", "left").withColumn("_root", F.coalesce("root", "_key"))
     least = whole.groupBy("_root").agg(F.min("_least").alias("component_id"))
     member = scratch.write(whole.join(least, "_root").select("_key", "component_id", "_root"), "members")
-    out = rows.select("_row", "_id", "_key", "_fp", "_n").join(member, "_key")
+    out = rows.select("_row", "_id", "_key", "_fp", "_n").join(member.hint("merge"), "_key")
     hexed = F.lower(F.lpad(F.hex("_fp"), 16, "0"))
     return out.select("_row", F.col("_id").alias(id_col), hexed.alias("fingerprint"), F.col("_n").alias("n_shingles"), "component_id", "_root")
 
@@ -339,5 +339,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     groups = near_groups(docs, id_col, text_col, **how)
     best = groups.groupBy("_root").agg(F.min(F.struct(F.isnull(id_col).alias("a"), F.col(id_col).alias("b"), F.col("_row").alias("c"))).alias("_best"))
     chosen = best.select(F.col("_best.c").alias("_row")).distinct()
-    kept = docs.withColumn("_row", row_key(id_col, text_col)).join(chosen, "_row", "left_semi")
+    kept = docs.withColumn("_row", row_key(id_col, text_col)).join(chosen.hint("merge"), "_row", "left_semi")
     return kept.dropDuplicates(["_row"]).select(*docs.columns)
