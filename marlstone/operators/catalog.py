@@ -99,7 +99,9 @@ class Catalog:
             return batch_id  # a retry of what is there already
         for name, df in parts.items():
             want = self.spark.createDataFrame([], TABLES[name])
-            want.unionByName(df, allowMissingColumns=True).select(*want.columns).write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
+            if extra := set(df.columns) - set(want.columns):
+                raise ValueError(f"{name} has no columns {sorted(extra)}")
+            want.unionByName(df, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
         p, fs = self._fs(f"{self.path}/_manifest/{batch_id}.json")
         out = fs.create(p, False)
         out.write(bytearray(json.dumps({"batch_id": batch_id, "contract_version": CONTRACT_VERSION, "tables": sorted(parts)}).encode()))
@@ -171,7 +173,7 @@ def index_tables(plan: DataFrame, observations: DataFrame) -> dict[str, DataFram
         "opportunity_revisions": opp.select(
             rev, "opportunity_id", "product_id", "product_revision_id", F.col("o.local_key").alias("local_key"), "source_snapshot_id", F.col("opportunity_supersedes").alias("supersedes"), F.col("o.availability.value").alias("availability"),
             F.col("o.effective_period")["from"].alias("effective_from"), F.col("o.effective_period")["to"].alias("effective_to"), F.size("o.entitlements").alias("n_entitlements"),
-            ~F.coalesce(F.exists("o.entitlements", lambda x: F.size(x["support"]["evidence_ids"]) < 1), F.lit(False)).alias("all_evidenced"), F.coalesce(F.exists("o.ambiguities", lambda x: x["reason"] == "contradictory"), F.lit(False)).alias("contradictory"),
+            (~F.coalesce(F.exists("o.entitlements", lambda x: F.size(x["support"]["evidence_ids"]) < 1), F.lit(False))).alias("all_evidenced"), F.coalesce(F.exists("o.ambiguities", lambda x: x["reason"] == "contradictory"), F.lit(False)).alias("contradictory"),
             evidence.alias("evidence_ids"), F.to_json("o").alias("document_json"), created),
         "facet_index": one.select("product_revision_id", F.explode("doc.product.facets").alias("f")).select("product_revision_id", "f.namespace", "f.concept_id").distinct(),
         "entitlement_index": e.select(
