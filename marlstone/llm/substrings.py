@@ -20,8 +20,8 @@ after ``length`` levels the expansion stops, and what is unset is at least
 ``length``.  Runs of unset entries whose items' weights sum to two or more are the
 repeats.
 
-An anchor with more than ``most_items`` different items (a short frequent phrase in
-ever new surroundings) would not fit a task.  Its items are taken apart into their
+A transform takes up to two million bytes; an anchor whose different items have more
+than ``group_bytes`` (a short frequent phrase in ever new surroundings) would not fit.  Its items are taken apart into their
 strings, which are counted by a 128-bit hash with partial sums before the shuffle.
 """
 
@@ -39,6 +39,7 @@ _SEP = 0xFF  # never a byte of UTF-8, and larger than all of them
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDE = 2048  # rows from which on an interval's characters are found by rank instead of one by one
 _CHUNK = 1 << 21  # bytes of texts that are hashed together
 
 
@@ -94,74 +95,127 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = _GRAM)
 
 
 def suffixes(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes (at least), by doubling; only ties are sorted again."""
+    """Suffixes in the order of their first ``depth`` bytes (at least), by doubling; only ties are sorted again.
+
+    Keys carry the place in their low bits and are sorted as plain integers, which
+    is several times faster than sorting places by key: five bytes and 21 bits of
+    place at first, then two ranks and a place of 21 bits each.
+    """
     n = len(data)
-    key = np.full(n + 8, _SEP, np.uint64)
+    if n >= 1 << 21:
+        raise ValueError("at most 2**21 - 1 bytes at a time")
+    key = np.full(n + 4, _SEP, np.int64)
     key[:n] = data
-    for size, shift in ((1, 8), (2, 16), (4, 32)):
-        key[: n + 8 - size] = (key[: n + 8 - size] << np.uint64(shift)) | key[size:]
-    order = np.argsort(key[:n], kind="stable").astype(np.int32)
-    sorted_key = key[order]
-    fresh = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
-    del key, sorted_key
-    group = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), 0))
+    first = key[:n].copy()
+    for k in range(1, 5):
+        first <<= 8
+        first |= key[k : n + k]
+    first <<= 21
+    first |= np.arange(n)
+    first.sort()
+    order = (first & ((1 << 21) - 1)).astype(np.int32)
+    first >>= 21
+    fresh = np.r_[True, first[1:] != first[:-1]]
+    del key, first
+    place = np.arange(n, dtype=np.int32)
     rank = np.full(n + 1, n, np.int32)  # past the end: after everything
-    rank[order] = group
-    h = 8
-    while h < depth:
-        tied = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))
-        if not len(tied):
-            break
-        suffix = order[tied].astype(np.int64)
-        second = rank[np.minimum(suffix + h, n)]
-        pair = (rank[suffix].astype(np.int64) << 32) | second
-        by = np.argsort(pair, kind="stable")
-        order[tied] = suffix[by]
-        pair = pair[by]
-        fresh[tied] = np.r_[True, pair[1:] != pair[:-1]]
-        group = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), 0))
-        rank[order[tied]] = group[tied]
+    rank[order] = np.maximum.accumulate(np.where(fresh, place, 0))
+    tied = np.flatnonzero(~(fresh & np.r_[fresh[1:], True])).astype(np.int32)
+    h = 5
+    while h < depth and len(tied):
+        suffix = order[tied]
+        pair = rank[suffix].astype(np.int64)
+        pair <<= 21
+        pair |= rank[np.minimum(suffix + h, n)]
+        pair <<= 21
+        pair |= np.arange(len(tied))
+        pair.sort()
+        suffix = suffix[pair & ((1 << 21) - 1)]
+        pair >>= 21
+        new = np.r_[True, pair[1:] != pair[:-1]]
+        order[tied] = suffix
+        rank[suffix] = np.maximum.accumulate(np.where(new, tied, 0))
+        tied = tied[~(new & np.r_[new[1:], True])]
         h *= 2
     return order
 
 
+def _first_levels(data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common prefixes of neighbours in the order, up to 8 bytes, and whether 8 bytes from each suffix on hold no separator."""
+    n = len(data)
+    padded = np.full(n + 8, _SEP, np.uint8)
+    padded[:n] = data
+    same, clean = np.zeros(n, np.int8), np.ones(n, bool)
+    at, before = order.astype(np.int64), np.r_[order[:1], order[:-1]].astype(np.int64)
+    alive = np.ones(n, bool)
+    alive[0] = False
+    for k in range(8):
+        mine = padded[at + k]
+        clean &= mine != _SEP
+        alive &= mine == padded[before + k]
+        same += alive
+    return same, clean
+
+
 def common_prefix_below(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """For each place in the order, whether the suffix there and the one before share fewer than ``depth`` bytes.
 
-    Breadth-first backward extension on the Burrows-Wheeler transform.
+    Breadth-first backward extension on the Burrows-Wheeler transform.  The sort
+    compares eight bytes at a time, so the entries below 8 are read off its keys and
+    the expansion begins with the intervals of strings of eight bytes.
     """
     n = len(data)
     bwt = np.where(order > 0, data[order - 1], _SEP).astype(np.uint8)
     by_char = np.argsort(bwt, kind="stable")
     step = np.empty(n, np.int32)  # from a row to the row of the suffix one longer
     step[by_char] = np.arange(n, dtype=np.int32)
-    del by_char
-    chars = [int(c) for c in np.unique(bwt) if c != _SEP]
-    places = {c: np.flatnonzero(bwt == c).astype(np.int32) for c in chars}
-    base = {c: int(step[p[0]]) for c, p in places.items()}
-    known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    lo, hi = np.zeros(1, np.int32), np.full(1, n - 1, np.int32)
-    for _ in range(depth):
+    count = np.bincount(bwt, minlength=256)
+    start = np.cumsum(count) - count
+    chars = [c for c in np.flatnonzero(count).tolist() if c != _SEP]
+    places = {c: by_char[start[c] : start[c] + count[c]] for c in chars}
+    base = {c: int(start[c]) for c in chars}
+    same, clean = _first_levels(data, order)
+    known = np.ones(n + 1, bool)
+    known[:n] = same < 8
+    # intervals of eight bytes whose right end was found last, at 7; the others were not expanded
+    begin = np.flatnonzero(known[:n]).astype(np.int32)
+    end = np.r_[begin[1:], n].astype(np.int32)
+    at_end = np.full(n + 1, -1, np.int8)
+    at_end[:n] = same
+    keep = clean[begin] & (at_end[end] == 7)
+    lo, hi = begin[keep], end[keep] - 1
+    del same, clean, begin, end, at_end
+    for _ in range(8, depth):
+        if not len(lo):
+            break
         width = hi - lo
         found_lo, found_hi = [], []
         one = lo[width == 0]
-        one = one[bwt[one] != _SEP]
-        found_lo.append(step[one]), found_hi.append(step[one])
-        few = (width > 0) & (width < 64)
-        for a in range(0, int(few.sum()), 1 << 17):
-            l, w = lo[few][a : a + (1 << 17)], width[few][a : a + (1 << 17)] + 1
-            owner = np.repeat(np.arange(len(l)), w)
-            row = np.arange(len(owner)) - np.repeat(np.cumsum(w) - w, w) + l[owner]
+        one = step[one[bwt[one] != _SEP]]
+        found_lo.append(one), found_hi.append(one)
+        two = lo[width == 1]
+        c, d = bwt[two], bwt[two + 1]
+        pair = step[two[(c == d) & (c != _SEP)]]
+        left, right = step[two[(c != d) & (c != _SEP)]], step[two[(c != d) & (d != _SEP)] + 1]
+        found_lo += [pair, left, right]
+        found_hi += [pair + 1, left, right]
+        few = np.flatnonzero((width > 1) & (width < _WIDE))
+        for a in range(0, len(few), 1 << 16):
+            some = few[a : a + (1 << 16)]
+            w = width[some] + 1
+            owner = np.repeat(np.arange(len(some)), w)
+            row = np.arange(len(owner)) - np.repeat(np.cumsum(w) - w, w) + lo[some][owner]
             c = bwt[row]
             keep = c != _SEP
-            owner, row, c = owner[keep], row[keep], c[keep]
-            key = (owner << 8) | c
-            by = np.argsort(key, kind="stable")
-            key, row = key[by], row[by]
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-            found_lo.append(step[row[head]]), found_hi.append(step[row[np.r_[head[1:], len(row)] - 1]] if len(head) else step[:0])
-        wide = width >= 64
+            key = (owner[keep] << 8) | c[keep]
+            by = np.argsort(key)
+            key, row = key[by], row[keep][by]
+            if len(key):
+                # rows of an interval with the same character go to neighbouring rows
+                head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                first = np.minimum.reduceat(step[row], head)
+                found_lo.append(first), found_hi.append(first + np.diff(np.r_[head, len(key)]).astype(np.int32) - 1)
+        wide = width >= _WIDE
         if wide.any():
             l, r = lo[wide], hi[wide]
             for c in chars:
@@ -171,8 +225,6 @@ def common_prefix_below(data: np.ndarray, order: np.ndarray, depth: int) -> np.n
         lo, hi = np.concatenate(found_lo), np.concatenate(found_hi)
         fresh = ~known[hi + 1]
         lo, hi = lo[fresh], hi[fresh]
-        if not len(lo):
-            break
         known[hi + 1] = True
     return known[:n]
 
@@ -203,7 +255,7 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, most_items: int = 4096, task_bytes: int = 3 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group_bytes: int = 1_000_000) -> DataFrame:
     """The input's id and n_bytes, n_removed, n_spans, spans, kept of every row.
 
     spans are (start, end) of the maximal removed runs in UTF-8 bytes, kept the
@@ -215,8 +267,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     import xxhash
 
-    if length < _GRAM:
-        raise ValueError(f"length must be at least {_GRAM}")
+    if not _GRAM <= length <= 100_000 or group_bytes > 1_000_000:
+        raise ValueError(f"length is from {_GRAM} to 100000, group_bytes at most 1000000")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -258,7 +310,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = scratch.write(found.join(several.hint("merge"), "_h", "left_semi").distinct(), "shared")
     scratch.drop("anchors")
     items = scratch.write(shared.groupBy("_h", "_item").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "_start", "_runs")).alias("_at")), "items")
-    crowd = items.groupBy("_h").agg(F.count("*").alias("_c")).filter(F.col("_c") > most_items).select("_h", F.lit(True).alias("_hot"))
+    crowd = items.groupBy("_h").agg(F.sum(F.col("_at._runs") + length).alias("_c")).filter(F.col("_c") > group_bytes).select("_h", F.lit(True).alias("_hot"))
     marked = items.join(crowd, "_h", "left")
     # one list for each document: bounded by its own length
     asked = marked.groupBy(F.col("_at._row").alias("_row")).agg(F.collect_list(F.struct("_h", "_item", "_n", F.col("_at._start").alias("_start"), F.col("_at._runs").alias("_runs"), F.coalesce("_hot", F.lit(False)).alias("_hot"))).alias("_asked"))
@@ -285,7 +337,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").select("_text", "_asked").mapInArrow(lift, "_h long, _item long, _n long, _hot boolean, _bytes binary")
     lifted = scratch.write(lifted, "lifted")
     size, any_hot = lifted.agg(F.sum(F.length("_bytes") + 1), F.max("_hot")).first()
-    tasks = max(1, -(-(size or 0) // task_bytes))
+    tasks = max(1, -(-(size or 0) // (8 * group_bytes)))
 
     def expand(batches):
         h, item, n, raw = [], [], [], []
@@ -300,7 +352,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # rows come sorted by anchor; an anchor's items stay together
         for batch in batches:
             for a, b, c, d in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if held > task_bytes and h and a != h[-1]:
+                if h and a != h[-1] and held > group_bytes:
                     yield flush()
                     h, item, n, raw, held = [], [], [], [], 0
                 h.append(a), item.append(b), n.append(c), raw.append(d)
