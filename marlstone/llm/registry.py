@@ -25,7 +25,7 @@ def held_out() -> Column:
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
-    return toxicity.train(docs, labels, max_docs=8000)
+    return toxicity.train(docs, labels, max_docs=4000)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,13 +33,16 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CACHE_WORDS = 1_000_000
 
 
-def features(word: bytes) -> list[str]:
-    """The word without outer punctuation, in lower case, its beginnings and its shape."""
+def features(word: bytes) -> list[int]:
+    """64-bit hashes: of the word's shape, the word without outer punctuation in lower case, and its beginnings."""
     w = word.decode("utf-8", "replace").lower().strip(_EDGE)
-    out = [f"w={w}"]
-    out += [f"b={w[:n]}" for n in range(3, 8) if len(w) > n]
-    out.append("s=" + ("word" if w.isalpha() else "empty" if not w else "mixed"))
-    return out
+    out = [_hash("s=" + ("word" if w.isalpha() else "empty" if not w else "mixed")), _hash("w=" + w if len(w) > 2 else "v=" + w)]
+    return out + [_hash("b=" + w[:n]) for n in range(3, 8) if len(w) > n]
+
+
+_hash = xxhash.xxh3_64_intdigest
+#: Features that mark no token: shapes; very short words go by another name and are few.
+_SHAPES = np.array([_hash("s=" + k) for k in ("word", "empty", "mixed")], np.uint64)
 
 
 def chains(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +75,7 @@ def chains(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.nda
 
 @dataclass
 class Model:
-    weights: dict[str, float]  # of tag 1 by feature
+    weights: dict[int, float]  # of tag 1 by feature
     bias: float
     trans: np.ndarray
     curve: np.ndarray  # of the document: constant, log sum, logit of the maximum
@@ -104,40 +109,40 @@ def supports(ids: list[np.ndarray], n_words: int) -> np.ndarray:
     return np.bincount(pairs // (n_words + 1), minlength=n_words).astype(float)
 
 
-def marks(feats: list[list[str]], toxic: np.ndarray, clean: np.ndarray, chance: float, purity: float = 0.95) -> set[str]:
-    """Words and beginnings whose share of toxic surroundings chance does not explain."""
-    bad, good = Counter(), Counter()
-    for fs, k, n in zip(feats, toxic.tolist(), clean.tolist(), strict=True):
-        for f in fs:
-            if f[0] != "s":
-                bad[f] += k
-                good[f] += n
+def marks(row: np.ndarray, col: np.ndarray, n_features: int, toxic: np.ndarray, clean: np.ndarray, able: np.ndarray, chance: float, purity: float = 0.95) -> np.ndarray:
+    """Which features have a share of toxic surroundings that chance does not explain.
+
+    ``row`` and ``col`` pair words and features, ``toxic`` and ``clean`` are the
+    words' surroundings, ``able`` the features that may mark at all.
+    """
+    bad, good = np.bincount(col, toxic[row], n_features), np.bincount(col, clean[row], n_features)
     base = min(max(toxic.sum() / max(1.0, toxic.sum() + clean.sum()), 1e-6), 1 - 1e-6)
-    tried = [f for f, k in bad.items() if k >= 3 and len(f) > 4]
-    out = set()
-    for f in tried:
+    tried = able & (bad >= 3)
+    out = np.zeros(n_features, bool)
+    for f in np.flatnonzero(tried & (bad >= purity * (bad + good))):
         k, n = int(bad[f]), int(bad[f] + good[f])
-        if k < purity * n:
-            continue
         tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(base) + (n - i) * math.log1p(-base)) for i in range(k, n + 1))
-        if tail * len(tried) < chance:
-            out.add(f)
+        out[f] = tail * tried.sum() < chance
     return out
 
 
-def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | None = None, chance: float = 0.5, rounds: int = 60, most_chain_docs: int = 2000, l2: float = 1e-3) -> Model:
+def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | None = None, chance: float = 0.5, rounds: int = 60, most_chain_docs: int = 1200, l2: float = 1e-3) -> Model:
     """The model from labelled texts; null texts count as empty."""
     y = np.array(toxic, float)
-    words = [_WORD.findall((t or "").encode()) for t in texts]
     number: dict[bytes, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in d], np.int64) for d in words]
-    del words
-    feats = [features(w) for w in number]
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in (t or "").encode().split()), np.int64) for t in texts]
     if not 0 < y.sum() < len(y):
         return Model({}, -6.0, np.zeros((2, 2)), np.array([-3.0 if not y.sum() else 3.0, 0.0, 0.0]))
-    spread = [supports([d for d, k in zip(ids, y, strict=True) if k == tag], len(number)) for tag in (1, 0)]
-    tags = marks(feats, *spread, chance)
-    marked = np.array([any(f in tags for f in fs) for fs in feats], bool) if feats else np.zeros(0, bool)
+    flat, of_word = array("Q"), array("q")
+    for k, word in enumerate(number):
+        got = features(word)
+        flat.extend(got), of_word.extend([k] * len(got))
+    name, every_col = np.unique(np.frombuffer(flat, np.uint64), return_inverse=True)
+    every_row, n_words = np.frombuffer(of_word, np.int64), len(number)
+    del number, flat
+    spread = [supports([d for d, k in zip(ids, y, strict=True) if k == tag], n_words) for tag in (1, 0)]
+    tags = marks(every_row, every_col, len(name), *spread, ~np.isin(name, _SHAPES), chance)
+    marked = np.bincount(every_row, tags[every_col], n_words) > 0
     # the chain learns from toxic documents and as many clean ones
     pick = np.r_[np.flatnonzero(y == 1)[: most_chain_docs // 2], np.flatnonzero(y == 0)[: most_chain_docs // 2]]
     tok = np.concatenate([ids[i] for i in pick]) if len(pick) else np.zeros(0, np.int64)
@@ -145,14 +150,14 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
     lengths = np.array([len(ids[i]) for i in pick])
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     starts, lengths = starts[lengths > 0], lengths[lengths > 0]
-    # features of the words in use, those seen in one word only included
     used, local = np.unique(tok, return_inverse=True)
-    name: dict[str, int] = {}
-    pairs = [(k, name.setdefault(f, len(name))) for k, w in enumerate(used) for f in feats[w]]
-    row, col = np.array(pairs, np.int64).T if pairs else np.zeros((2, 0), np.int64)
+    place = np.full(n_words, -1)
+    place[used] = np.arange(len(used))
+    here = place[every_row] >= 0
+    row, col = place[every_row[here]], every_col[here]
     w, bias, trans = np.zeros(len(name)), -2.0, np.zeros((2, 2))
     # what is not marked itself may speak against a tag only: chance neighbours of marked words then add nothing
-    only_against = np.array([f not in tags for f in name], bool)
+    only_against = ~tags
     follows = np.ones(len(tok), bool)
     follows[starts] = False
     nxt = np.flatnonzero(follows)
@@ -181,9 +186,9 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
             square[q] = 0.98 * square[q] + 0.02 * g * g
             new.append(v + step * (moment[q] / (1 - 0.9**k)) / (np.sqrt(square[q] / (1 - 0.98**k)) + 1e-7))
         w, bias, trans = np.where(only_against, np.minimum(new[0], 0.0), new[0]), float(new[1]), new[2]
-    model = Model({f: float(w[i]) for f, i in name.items() if abs(w[i]) > 0.02}, float(bias), trans, np.zeros(3))
+    model = Model({int(name[i]): float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.02)}, float(bias), trans, np.zeros(3))
     # the document's curve, on all given rows
-    every = np.array([model.bias + sum(model.weights.get(f, 0.0) for f in fs) for fs in feats])
+    every = bias + np.bincount(every_row, w[every_col], n_words)
     lengths = np.array([len(d) for d in ids])
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     flat = every[np.concatenate(ids)] if lengths.sum() else np.zeros(0)
@@ -204,7 +209,7 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 8000, **how) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 4000, **how) -> Model:
     """The model from at most ``max_docs`` labelled rows, a quarter of them toxic if there are so many.
 
     Rows are drawn by the hash of their id, so reruns agree; labels that are null
