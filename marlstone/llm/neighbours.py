@@ -50,7 +50,7 @@ class Codebooks:
         return sum(self.words[m][codes[:, m]] for m in range(len(self.words)))
 
 
-def train_codebooks(x: np.ndarray, books: int = 8, size: int = 128, rounds: int = 6, refine: int = 2, beam: int = 4) -> Codebooks:
+def train_codebooks(x: np.ndarray, books: int = 16, size: int = 256, rounds: int = 6, refine: int = 2, beam: int = 4) -> Codebooks:
     """Codebooks of unit vectors ``x``, at most 256 words each."""
     rng = np.random.default_rng(0)
     size = max(1, min(size, 256, len(x)))
@@ -94,7 +94,7 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 8192,
-    rerank: int = 192,
+    rerank: int = 768,
     index_block: int = 32_768,
     query_block: int = 2048,
 ) -> DataFrame:
