@@ -100,7 +100,7 @@ def source_identity(kind: Column, url: Column, platform: Column, name: Column) -
 
 def record_identity(kind: Column, name: Column, url: Column) -> Column:
     """FN-09: the key of a record between two snapshots."""
-    return F.concat_ws("|", kind, F.lower(F.trim(F.coalesce(name, F.lit("")))), url_key(url))
+    return F.concat_ws("|", kind, collapsed(name), url_key(url))
 
 
 def tokens(value: Column) -> Column:

@@ -150,7 +150,7 @@ def like_search(spark, d):
 @query("""SELECT doc_id, source FROM documents d WHERE (contains(lower(text), 'license') OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND contains('quality' || quality, 'y1')))
  ORDER BY n_chars DESC, doc_id LIMIT 100""")
 def like_or_exists(spark, d):
-    """FLT-02 with links, JON-07, SRT-04, JON-18."""
+    """FLT-02 with links, JON-07, SRT-04."""
     docs = table(spark, d, "documents").select("doc_id", "source", "text", "n_chars")
     links = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("link"))
     terms = ["y1"]
