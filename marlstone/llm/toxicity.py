@@ -45,31 +45,75 @@ _hash = xxhash.xxh3_64_intdigest
 _SHAPES = np.array([_hash("s=" + k) for k in ("word", "empty", "mixed")], np.uint64)
 
 
-def chains(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _longest_first(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order, the starts in it, and how many are longer than 0, 1, 2 ..."""
+    order = np.argsort(-lengths, kind="stable")
+    size = lengths[order]
+    return order, starts[order], np.searchsorted(-size, -np.arange(size[0] + 1) if len(size) else np.zeros(1, int), side="left")
+
+
+def chains(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, segment: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Forward and backward odds of tag 1 against tag 0 at every token.
 
     ``e`` holds each token's log weight of tag 1 (of tag 0 it is 0), ``trans`` the
-    log weights [[00, 01], [10, 11]].  All documents advance together, longest
-    first, so a step is one vector operation over those still running.
+    log weights [[00, 01], [10, 11]].  Documents are cut into segments that advance
+    together, so a step is one vector operation, however long a document is: the
+    product of a segment's steps carries odds across it either way, then every
+    segment is walked once in each direction from the odds at its ends.
     """
-    x, r, b = np.exp(np.clip(e, -30, 30)), np.empty(len(e)), np.ones(len(e))
-    if not len(e):
+    x = np.exp(np.clip(e, -30, 30))
+    r, b = x.copy(), np.ones(len(e))
+    more = lengths > 1
+    if not more.any():
         return r, b
     (a00, a01), (a10, a11) = np.exp(trans)
-    order = np.argsort(-lengths, kind="stable")
-    s, size = starts[order], lengths[order]
-    running = np.searchsorted(-size, -np.arange(size[0] + 1), side="left")  # longer than t
-    now = x[s[: running[0]]]
-    r[s[: running[0]]] = now
-    for t in range(1, size[0]):
-        i = s[: running[t]] + t
-        now = now[: running[t]]
-        now = x[i] * (a01 + now * a11) / (a00 + now * a10)
+    head, n = starts[more], lengths[more] - 1
+    per = -(-n // segment)
+    first = np.cumsum(per) - per
+    doc = np.repeat(np.arange(len(n)), per)
+    k = np.arange(len(doc)) - first[doc]
+    order, s, running = _longest_first(head[doc] + 1 + k * segment, np.minimum(segment, n[doc] - k * segment))
+    p = np.zeros((4, len(s)))  # 00, 01, 10, 11
+    p[0] = p[3] = 1
+    steps = len(running) - 1
+    for t in range(steps):
+        m = running[t]
+        xt = x[s[:m] + t]
+        q00, q01, q10, q11 = p[:, :m]
+        p[:, :m] = q00 * a00 + q01 * a10, (q00 * a01 + q01 * a11) * xt, q10 * a00 + q11 * a10, (q10 * a01 + q11 * a11) * xt
+        if t % 4 == 3:
+            p[:, :m] /= p[:, :m].max(0)
+    whole = np.empty_like(p)
+    whole[:, order] = p
+    into, out = np.empty(len(s)), np.ones(len(s))
+    docs, at, left = _longest_first(first, per)
+    now = x[head[docs]]
+    for t in range(len(left) - 1):
+        i = at[: left[t]] + t
+        now = now[: left[t]]
+        into[i] = now
+        now = (whole[1, i] + now * whole[3, i]) / (whole[0, i] + now * whole[2, i])
+    now = np.ones(0)
+    for t in range(len(left) - 2, -1, -1):
+        i = at[: left[t]] + t
+        now = np.r_[now, np.ones(left[t] - len(now))]
+        out[i] = now
+        now = (whole[2, i] + now * whole[3, i]) / (whole[0, i] + now * whole[1, i])
+    now = into[order]
+    for t in range(steps):
+        m = running[t]
+        i = s[:m] + t
+        now = x[i] * (a01 + now[:m] * a11) / (a00 + now[:m] * a10)
         r[i] = now
-    for t in range(size[0] - 2, -1, -1):
-        i = s[: running[t + 1]] + t
-        y = x[i + 1] * b[i + 1]
-        b[i] = (a10 + y * a11) / (a00 + y * a01)
+    end, now = out[order], np.ones(0)
+    for t in range(steps - 1, -1, -1):
+        m = running[t]
+        i = s[:m] + t
+        now = np.r_[now, end[len(now) : m]]
+        b[i] = now
+        y = x[i] * now
+        now = (a10 + y * a11) / (a00 + y * a01)
+    b[head] = (whole[2, first] + out[first] * whole[3, first]) / (whole[0, first] + out[first] * whole[1, first])
     return r, b
 
 
