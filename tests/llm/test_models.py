@@ -25,12 +25,13 @@ def plain_chain(e, trans):
     return p / total
 
 
-def test_marginals_equal_enumeration():
+@pytest.mark.parametrize("segment", [1, 2, 3, 256])
+def test_marginals_equal_enumeration(segment):
     rng = np.random.default_rng(0)
     lengths = np.array([1, 7, 3, 9, 2])
     starts = np.r_[0, np.cumsum(lengths)[:-1]]
     e, trans = rng.normal(0, 2, lengths.sum()), rng.normal(0, 1, (2, 2))
-    r, b = toxicity.chains(e, starts, lengths, trans)
+    r, b = toxicity.chains(e, starts, lengths, trans, segment)
     p = r * b / (1 + r * b)
     for s, n in zip(starts, lengths, strict=True):
         assert np.allclose(p[s : s + n], plain_chain(e[s : s + n], trans))
