@@ -294,8 +294,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             except KeyError:
                 if len(cache) > _CACHE_WORDS:
                     cache.clear()
-                for w in set(d) - cache.keys():
-                    cache[w] = model.emission(w)
+                for w in set(d):
+                    if w not in cache:
+                        cache[w] = model.emission(w)
                 got = [cache[w] for w in d]
             e[at : at + len(d)] = got
             at += len(d)
