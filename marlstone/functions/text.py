@@ -37,7 +37,7 @@ def _folded(x: pd.Series) -> pd.Series:
 
 
 def fold_diacritics(value: Column) -> Column:
-    """FTS-02: letters without their marks; the only part of tokenizing that needs Python."""
+    """FTS-02: letters of any script without their marks, for what ``tokens`` has no table for."""
     return _folded(value)
 
 
@@ -103,9 +103,23 @@ def record_identity(kind: Column, name: Column, url: Column) -> Column:
     return F.concat_ws("|", kind, collapsed(name), url_key(url))
 
 
+def _bases() -> tuple[str, str]:
+    """Latin, Greek and Cyrillic letters with marks, and the same without, by their decompositions."""
+    pairs = []
+    for cp in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        bare = "".join(c for c in unicodedata.normalize("NFD", chr(cp)) if not unicodedata.combining(c))
+        if len(bare) == 1 and bare != chr(cp):
+            pairs.append((chr(cp), bare))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _BARE = _bases()
+
+
 def tokens(value: Column) -> Column:
-    """FTS-02 without diacritics: runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """FTS-02: runs of letters and digits in lower case without marks, all inside the JVM."""
+    low = F.lower(F.coalesce(value, F.lit("")))
+    return F.regexp_extract_all(F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), _MARKED, _BARE), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def padded(value: Column) -> Column:

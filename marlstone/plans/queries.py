@@ -159,7 +159,7 @@ def like_or_exists(spark, d):
     return x.filter(hit).orderBy(F.col("n_chars").desc(), "doc_id").limit(100).select("doc_id", "source")
 
 
-_TOK = r"array_to_string(regexp_extract_all(lower(coalesce(text,'')), '[\p{L}\p{N}]+'), ' ')"
+_TOK = r"array_to_string(regexp_extract_all(strip_accents(lower(coalesce(text,''))), '[\p{L}\p{N}]+'), ' ')"
 
 
 @query(rf"""WITH t AS (SELECT doc_id, ' ' || {_TOK} || ' ' AS p FROM documents) SELECT doc_id FROM t WHERE contains(p, ' the ') AND contains(p, ' license ')""")
@@ -187,7 +187,7 @@ def fts_empty_phrase(spark, d):
     return search.bm25(index, "doc_id", "license ***").select("doc_id")
 
 
-@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text,'')), '[\p{{L}}\p{{N}}]+') AS a FROM documents),
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(coalesce(text,''))), '[\p{{L}}\p{{N}}]+') AS a FROM documents),
 f AS (SELECT doc_id, len(a) AS l, len(regexp_extract_all(' ' || array_to_string(a, '  ') || ' ', ' the ')) AS f1, len(regexp_extract_all(' ' || array_to_string(a, '  ') || ' ', ' license ')) AS f2 FROM t),
 s AS (SELECT count(*) AS n, avg(l) AS al, count(*) FILTER (WHERE f1 > 0) AS d1, count(*) FILTER (WHERE f2 > 0) AS d2 FROM f),
 r AS (SELECT doc_id, -(CASE WHEN ln((n - d1 + 0.5) / (d1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d1 + 0.5) / (d1 + 0.5)) END * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * l / al))

@@ -50,7 +50,7 @@ def test_literalize():
 
 
 def test_bm25_equals_sqlite(spark):
-    docs = [(1, "free gpu compute", "gpu gpu notebooks"), (2, "model api", "call a model api gpu"), (3, "vector search", ""), (4, "gpu compute cloud", "the gpu compute"), (5, "", "nothing here"), (6, "a b", "c d e f g")]
+    docs = [(1, "free gpu compute", "gpu gpu notebooks"), (2, "model api", "call a model api gpu"), (3, "vector search", ""), (4, "gpu compute cloud", "the gpu compute"), (5, "", "nothing here"), (6, "a b", "c d e f g"), (7, "Café Éclair", "cafe\u0301 olé, Ñandú")]
     con = sqlite3.connect(":memory:")
     try:
         con.execute("CREATE VIRTUAL TABLE t USING fts5(name, body, tokenize='unicode61')")
@@ -58,7 +58,7 @@ def test_bm25_equals_sqlite(spark):
         pytest.skip("SQLite without FTS5")
     con.executemany("INSERT INTO t(rowid, name, body) VALUES (?, ?, ?)", docs)
     index = search.postings(spark.createDataFrame(docs, "id int, name string, body string"), "id", ["name", "body"])
-    for q, match in (("gpu", '"gpu"'), ("gpu-compute", '"gpu compute"'), ("model api", '"model" "api"'), ("gpu free", '"gpu" "free"')):
+    for q, match in (("gpu", '"gpu"'), ("gpu-compute", '"gpu compute"'), ("model api", '"model" "api"'), ("gpu free", '"gpu" "free"'), ("café", '"cafe"'), ("ÑANDÚ olé", '"nandu" "ole"')):
         want = {r[0]: round(r[1], 9) for r in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (match,))}
         assert {r["id"]: round(r["rank"], 9) for r in search.bm25(index, "id", q).collect()} == want
     assert search.bm25(index, "id", "gpu ***").count() == 0
