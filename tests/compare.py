@@ -1,6 +1,7 @@
 """Rows of a Spark result against those of its DuckDB SQL."""
 
 import duckdb
+import pandas as pd
 
 DATA = "/root/testdata/sf0.001"
 
@@ -8,9 +9,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(v):
-    if v is None or v != v or str(v) == "NaT":
+    if v is None or pd.isna(v):
         return None
-    return repr(float(v)) if isinstance(v, float) else str(v)
+    if isinstance(v, float):
+        return str(int(v)) if v.is_integer() else repr(float(v))
+    return str(v)
 
 
 def rows(df):
