@@ -20,8 +20,9 @@ after ``length`` levels the expansion stops, and what is unset is at least
 ``length``.  Runs of unset entries whose items' weights sum to two or more are the
 repeats.
 
-A transform takes up to two million bytes; an anchor whose different items have more
-than ``group_bytes`` (a short frequent phrase in ever new surroundings) would not fit.  Its items are taken apart into their
+A transform takes the items of whole anchors, about ``transform_bytes`` of them; an anchor
+whose different items have more than ``group_bytes`` (a short frequent phrase in ever new
+surroundings) would not fit a task.  Its items are taken apart into their
 strings, which are counted by a 128-bit hash with partial sums before the shuffle.
 """
 
@@ -94,29 +95,37 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = _GRAM)
     return at[first], h[at[first]], starts[first], starts[last]
 
 
-def suffixes(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first ``depth`` bytes (at least), by doubling; only ties are sorted again.
+_PLACE = 21  # bits of a place that can travel inside a key
+
 
-    Keys carry the place in their low bits and are sorted as plain integers, which
-    is several times faster than sorting places by key: five bytes and 21 bits of
-    place at first, then two ranks and a place of 21 bits each.
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the keys, and the keys in it.
+
+    Up to two million keys of 42 bits carry their place in the low bits and are sorted
+    as plain integers, several times faster than sorting places by key.
     """
+    if len(key) >> _PLACE:
+        by = np.argsort(key)
+        return by, key[by]
+    packed = (key << _PLACE) | np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << _PLACE) - 1), packed >> _PLACE
+
+
+def suffixes(data: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first ``depth`` bytes (at least), by doubling from five; only ties are sorted again."""
     n = len(data)
-    if n >= 1 << 21:
-        raise ValueError("at most 2**21 - 1 bytes at a time")
-    key = np.full(n + 4, _SEP, np.int64)
-    key[:n] = data
-    first = key[:n].copy()
+    bits = 32 if n >> _PLACE else _PLACE
+    padded = np.full(n + 4, _SEP, np.int64)
+    padded[:n] = data
+    first = padded[:n].copy()
     for k in range(1, 5):
         first <<= 8
-        first |= key[k : n + k]
-    first <<= 21
-    first |= np.arange(n)
-    first.sort()
-    order = (first & ((1 << 21) - 1)).astype(np.int32)
-    first >>= 21
+        first |= padded[k : n + k]
+    order, first = _sorted(first)
+    order = order.astype(np.int32)
     fresh = np.r_[True, first[1:] != first[:-1]]
-    del key, first
+    del padded, first
     place = np.arange(n, dtype=np.int32)
     rank = np.full(n + 1, n, np.int32)  # past the end: after everything
     rank[order] = np.maximum.accumulate(np.where(fresh, place, 0))
@@ -124,14 +133,9 @@ def suffixes(data: np.ndarray, depth: int) -> np.ndarray:
     h = 5
     while h < depth and len(tied):
         suffix = order[tied]
-        pair = rank[suffix].astype(np.int64)
-        pair <<= 21
-        pair |= rank[np.minimum(suffix + h, n)]
-        pair <<= 21
-        pair |= np.arange(len(tied))
-        pair.sort()
-        suffix = suffix[pair & ((1 << 21) - 1)]
-        pair >>= 21
+        pair = (rank[suffix].astype(np.int64) << bits) | rank[np.minimum(suffix + h, n)]
+        by, pair = _sorted(pair)
+        suffix = suffix[by]
         new = np.r_[True, pair[1:] != pair[:-1]]
         order[tied] = suffix
         rank[suffix] = np.maximum.accumulate(np.where(new, tied, 0))
@@ -255,7 +259,7 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group_bytes: int = 1_000_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group_bytes: int = 4_000_000, transform_bytes: int = 1_000_000) -> DataFrame:
     """The input's id and n_bytes, n_removed, n_spans, spans, kept of every row.
 
     spans are (start, end) of the maximal removed runs in UTF-8 bytes, kept the
@@ -267,8 +271,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     import xxhash
 
-    if not _GRAM <= length <= 100_000 or group_bytes > 1_000_000:
-        raise ValueError(f"length is from {_GRAM} to 100000, group_bytes at most 1000000")
+    if length < _GRAM:
+        raise ValueError(f"length must be at least {_GRAM}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -337,7 +341,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").select("_text", "_asked").mapInArrow(lift, "_h long, _item long, _n long, _hot boolean, _bytes binary")
     lifted = scratch.write(lifted, "lifted")
     size, any_hot = lifted.agg(F.sum(F.length("_bytes") + 1), F.max("_hot")).first()
-    tasks = max(1, -(-(size or 0) // (8 * group_bytes)))
+    tasks = max(1, -(-(size or 0) // (8 * transform_bytes)))
 
     def expand(batches):
         h, item, n, raw = [], [], [], []
@@ -352,7 +356,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # rows come sorted by anchor; an anchor's items stay together
         for batch in batches:
             for a, b, c, d in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if h and a != h[-1] and held > group_bytes:
+                if h and a != h[-1] and held > transform_bytes:
                     yield flush()
                     h, item, n, raw, held = [], [], [], [], 0
                 h.append(a), item.append(b), n.append(c), raw.append(d)

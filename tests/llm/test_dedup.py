@@ -68,6 +68,16 @@ def test_expansion_equals_counting(parts, length):
         assert flags.tolist() == [count[x[k : k + length]] >= 2 for k in range(len(x) - length + 1)]
 
 
+def test_large_and_small_sorts_agree(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 102, 40, dtype=np.uint8)) for _ in range(20)]
+    data = np.frombuffer(b"\xff".join(b"".join(words[k] for k in rng.integers(0, 20, 9)) for _ in range(20)) + b"\xff", np.uint8)
+    a = substrings.common_prefix_below(data, substrings.suffixes(data, 100), 100)
+    monkeypatch.setattr(substrings, "_PLACE", 5)
+    b = substrings.common_prefix_below(data, substrings.suffixes(data, 100), 100)
+    assert (a == b).all() and not a.all()
+
+
 def test_every_start_is_in_one_item_and_parts_of_long_texts_agree():
     rng = np.random.default_rng(0)
     raw = bytes(rng.integers(97, 101, 5000, dtype=np.uint8))
