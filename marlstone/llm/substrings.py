@@ -4,7 +4,7 @@ Every byte that lies in a string of ``length`` bytes which also starts anywhere
 else is removed.
 
 Sharding.  Equal strings must meet in one task.  Of the k-grams inside a string
-the one of least hash (leftmost if equal) is its anchor, so equal strings have equal
+(k is a third of its length) the one of least hash (leftmost if equal) is its anchor, so equal strings have equal
 anchors at equal offsets.  The starts that share an anchor occurrence form a run, and
 a run's bytes are an item: every start of a document lies in exactly one item, an
 item's full-length strings are those of its own starts, and two equal strings always
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, row_key
 
-_GRAM = 32
+_GRAM = 32  # at least
 _SEP = 0xFF  # never a byte of UTF-8, and larger than all of them
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -273,6 +273,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     if length < _GRAM:
         raise ValueError(f"length must be at least {_GRAM}")
+    gram = max(_GRAM, length // 3)  # long enough that little is lifted that shares an anchor only
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -298,7 +299,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         # a text beyond what 24 bits can place is cut into overlapping parts
         parts = [(0, ends, joined)] if len(joined) < 1 << 24 else _parts(ends, joined, length)
         for shift, e, raw in parts:
-            at, h, first, last = anchors(np.frombuffer(raw, np.uint8), e, length)
+            at, h, first, last = anchors(np.frombuffer(raw, np.uint8), e, length, gram)
             d = np.searchsorted(ends, first + shift, side="right")
             begin = np.r_[0, ends[:-1]][d] if len(d) else d
             doc.append(d), hashes.append(h.astype(np.int64)), start.append(first + shift - begin), runs.append(last - first + 1)
