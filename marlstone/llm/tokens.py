@@ -12,7 +12,7 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -35,10 +35,7 @@ def _byte_of_char() -> dict[str, int]:
 
 class Encoder:
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         spec = json.load(open(path, encoding="utf-8"))
         stand_in = _byte_of_char()
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
@@ -53,6 +50,14 @@ class Encoder:
             self.n_bytes[i] = len(token.encode())
         self.fast = self._fast(ranks)
 
+    @cached_property
+    def whole(self):
+        """Loaded with the first text that needs it: most workers never do, and it is the larger part."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _fast(ranks):
         try:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 _EDGE = "\"'()[]{}<>.,;:!?¡¿*_~`«»„“”‘’…-–—"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 300_000
 
 
 def features(word: bytes) -> list[int]:
