@@ -16,6 +16,10 @@
    blocks, which are compared bit by bit.  The task returns a spanning forest of
    the links it finds, never the pairs.
 5. Forests are joined by distributed connected components.
+6. With a similarity bound, a pair that its sketches do not settle is left open and
+   its two classes are marked.  The marked ones are dealt once more with their whole
+   shingle sets, in chunks of bounded bytes, and open pairs across components are
+   decided by the sets.
 
 Nothing that grows with the input reaches the driver: it sees the sample, the
 count of each shard (at most ``most_shards``) and the size of each edge set.
@@ -23,6 +27,9 @@ count of each shard (at most ``most_shards``) and the size of each edge set.
 
 from __future__ import annotations
 
+import math
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,6 +84,39 @@ def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (use & ~fresh).sum(1) / np.maximum((use & fresh).sum(1), 1)
 
 
+@cache
+def limits(k: int, p: float, chance: float = 1e-9) -> tuple[int, int]:
+    """Of k draws of a union: up to how many shared ones rule out similarity p, and from how many on they prove it.
+
+    Either is wrong with less than ``chance`` at p itself and less beyond (binomial
+    law; draws without replacement stray less).  -1 and k + 1 settle nothing.
+    """
+    law = [math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(k + 1)]
+    below, above = np.cumsum(law), np.cumsum(law[::-1])[::-1]
+    return int((below < chance).sum()) - 1, k + 1 - int((above < chance).sum())
+
+
+def settle(a: np.ndarray, b: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """(similar, open) of padded sketches, row by row: which are at least p alike and which need the whole sets."""
+    yes, unsure = np.zeros(len(a), bool), np.ones(len(a), bool)
+    for k in sorted({min(16, a.shape[1]), a.shape[1]}):  # most pairs share nothing in 16
+        at = np.flatnonzero(unsure)
+        x, y = a[at, :k], b[at, :k]
+        s, whole = similar(x, y), (x[:, -1] == _PAD) & (y[:, -1] == _PAD)
+        low, high = limits(k, p)
+        shared = np.rint(s * k)
+        yes[at] = np.where(whole, s >= p, shared >= high)
+        unsure[at] = ~whole & (shared > low) & (shared < high)
+    return yes, unsure
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two whole sets, each sorted and without repeats."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / max(1, len(both) - shared)
+
+
 class Links:
     """Disjoint sets over positions, fed with arrays of pairs."""
 
@@ -189,12 +229,15 @@ def near_groups(
     shard_rows: int = 8192,
     most_shards: int = 4096,
     sample_rows: int = 65_536,
+    shard_shingles: int = 1 << 22,
 ) -> DataFrame:
     """_row, id, fingerprint, n_shingles, component_id for every row.
 
     Two texts link when their fingerprints differ in at most ``radius`` bits and,
-    unless ``min_similarity`` is None, their shingle sets are at least that similar
-    (exact up to ``sketch_size`` distinct shingles, estimated from that many beyond).
+    unless ``min_similarity`` is None, their shingle sets are at least that similar.
+    Sketches of ``sketch_size`` hashes settle only pairs so far from the bound that
+    they err in less than one of 10^9 (``limits``); whole sets decide the others, at
+    most about ``shard_shingles`` of a chunk at a time.
     component_id is the least id that links reach, the row's own included; ids that
     are null take no part in the least and a component of them alone has null.
 
@@ -220,9 +263,10 @@ def near_groups(
                 if not verify:
                     key.append(fp[-1]), n.append(len(h)), sk.append(None)
                     continue
-                n.append(len(np.unique(h)))
+                u = np.unique(h)
+                n.append(len(u))
                 sk.append(sketch(h, sketch_size).tobytes())
-                key.append(xxhash.xxh3_64_intdigest(sk[-1] + fp[-1].to_bytes(8, "big", signed=True) + n[-1].to_bytes(8, "big")) - (1 << 63))
+                key.append(xxhash.xxh3_64_intdigest(u.tobytes() + fp[-1].to_bytes(8, "big", signed=True)) - (1 << 63))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (key, fp, n)), pa.array(sk, pa.binary())], names=["_row", "_id", "_key", "_fp", "_n", "_sk"])
 
     rows = docs.select(row_key(id_col, text_col).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -230,82 +274,109 @@ def near_groups(
     classes = rows.groupBy("_key").agg(F.min("_id").alias("_least"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_sk").alias("_sk"))
     classes = scratch.write(classes, "classes")
 
-    # the tree, from a sample taken by the class key's hash
-    n = classes.count()
-    drawn = classes.select("_fp", "_n", F.xxhash64("_key", F.lit(7)).alias("_o")).orderBy("_o").limit(sample_rows).collect()
-    sample = np.array([r["_fp"] for r in drawn], np.int64).astype(np.uint64)
-    nodes = shard_tree(sample, n, shard_rows, radius, most_shards)
-    node_table = spark.sparkContext.broadcast(nodes)  # at most most_shards nodes
-
-    def deal(batches):
-        for batch in batches:
-            fps = batch.column(1).to_numpy().astype(np.uint64)
-            at, shard, home = shards_of(fps, node_table.value, radius)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array(shard, pa.int32()), pa.array(home)], names=["_key", "_fp", "_n", "_sk", "_shard", "_home"])
-
-    dealt = classes.select("_key", "_fp", "_n", "_sk").mapInArrow(deal, "_key long, _fp long, _n long, _sk binary, _shard int, _home boolean")
-    count = {r["_shard"]: r["count"] for r in dealt.groupBy("_shard").count().collect()} if nodes else {0: n}
-    chunks = {s: -(-c // shard_rows) for s, c in count.items() if c > shard_rows}
-    sizes = np.sort(np.array([r["_n"] for r in drawn], np.int64)) if verify else None
-
-    def bounds(c: int) -> np.ndarray:
-        return sizes[(np.arange(1, c) * len(sizes)) // c]
-
-    meet: dict[int, list[list[tuple[int, int]]]] = {}
-    for s, c in chunks.items():
-        lo = np.r_[0, bounds(c)] if verify else np.zeros(c)
-        hi = np.r_[bounds(c), np.inf] if verify else np.full(c, np.inf)
-        pairs = [(i, j) for i in range(c) for j in range(i, c) if not verify or lo[j] * min_similarity <= hi[i]]
-        meet[s] = [[p for p in pairs if k in p] for k in range(c)]
-    plan = spark.sparkContext.broadcast((meet, {s: bounds(c) for s, c in chunks.items()} if verify else {}))
-
-    def spread(batches):
-        groups, limits = plan.value
-        for batch in batches:
-            shard = batch.column(4).to_numpy()
-            key, size = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            at, a, b, own = [], [], [], []
-            for i, s in enumerate(shard.tolist()):
-                if s not in groups:
-                    at.append(i), a.append(0), b.append(0), own.append(0)
-                    continue
-                k = int(np.searchsorted(limits[s], size[i], side="right")) if s in limits else int(key[i]) % len(groups[s])
-                for p in groups[s][k]:
-                    at.append(i), a.append(p[0]), b.append(p[1]), own.append(k)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(6)), *(pa.array(x, pa.int32()) for x in (a, b, own))], names=[*batch.schema.names, "_a", "_b", "_own"])
-
-    if meet:
-        dealt = dealt.mapInArrow(spread, "_key long, _fp long, _n long, _sk binary, _shard int, _home boolean, _a int, _b int, _own int")
-    else:
-        dealt = dealt.withColumns({"_a": F.lit(0), "_b": F.lit(0), "_own": F.lit(0)})
+    def dealt(known: DataFrame, rich: DataFrame, exact: bool) -> DataFrame:
+        """The rows of ``rich`` in every task where they may meet; ``known`` has the _key, _fp and _n of the same rows."""
+        # the tree, from a sample taken by the class key's hash
+        n = known.count()
+        drawn = known.select("_fp", "_n", F.xxhash64("_key", F.lit(7)).alias("_o")).orderBy("_o").limit(sample_rows).collect()
+        sample = np.array([r["_fp"] for r in drawn], np.int64).astype(np.uint64)
+        nodes = shard_tree(sample, n, shard_rows, radius, most_shards)
+        node_table = spark.sparkContext.broadcast(nodes)  # at most most_shards nodes
+
+        def deal(batches):
+            for batch in batches:
+                fps = batch.column(1).to_numpy().astype(np.uint64)
+                at, shard, home = shards_of(fps, node_table.value, radius)
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(shard, pa.int32()), pa.array(home)], names=[*batch.schema.names, "_shard", "_home"])
+
+        here = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.select("_key", "_fp", "_n").schema)
+        load = known.select("_key", "_fp", "_n").mapInArrow(deal, here + ", _shard int, _home boolean").groupBy("_shard").agg(F.count("*").alias("c"), F.sum("_n").alias("s"))
+        load = load.collect() if nodes else [(0, n, known.agg(F.sum("_n")).first()[0] or 0)]
+        chunks = {s: max(-(-c // shard_rows), -(-t // shard_shingles) if exact else 0) for s, c, t in load}
+        chunks = {s: c for s, c in chunks.items() if c > 1}
+        sizes = np.sort(np.array([r["_n"] for r in drawn], np.int64)) if verify else None
+        share = np.cumsum(np.maximum(sizes / shard_shingles, 1 / shard_rows)) if exact else np.arange(1, len(drawn) + 1)
+
+        def bounds(c: int) -> np.ndarray:
+            return sizes[np.searchsorted(share, np.arange(1, c) * share[-1] / c, side="right").clip(max=len(sizes) - 1)]
+
+        meet: dict[int, list[list[tuple[int, int]]]] = {}
+        for s, c in chunks.items():
+            lo = np.r_[0, bounds(c)] if verify else np.zeros(c)
+            hi = np.r_[bounds(c), np.inf] if verify else np.full(c, np.inf)
+            pairs = [(i, j) for i in range(c) for j in range(i, c) if not verify or lo[j] * min_similarity <= hi[i]]
+            meet[s] = [[p for p in pairs if k in p] for k in range(c)]
+        plan = spark.sparkContext.broadcast((meet, {s: bounds(c) for s, c in chunks.items()} if verify else {}))
+
+        def spread(batches):
+            groups, limits = plan.value
+            for batch in batches:
+                shard = batch.column(batch.num_columns - 2).to_numpy()
+                key, size = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                at, a, b, own = [], [], [], []
+                for i, s in enumerate(shard.tolist()):
+                    if s not in groups:
+                        at.append(i), a.append(0), b.append(0), own.append(0)
+                        continue
+                    k = int(np.searchsorted(limits[s], size[i], side="right")) if s in limits else int(key[i]) % len(groups[s])
+                    for p in groups[s][k]:
+                        at.append(i), a.append(p[0]), b.append(p[1]), own.append(k)
+                most = 256 if exact else max(1, len(at))  # whole sets leave in small batches
+                for m in range(0, len(at), most):
+                    take = pa.array(at[m : m + most], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), *(pa.array(x[m : m + most], pa.int32()) for x in (a, b, own))], names=[*batch.schema.names, "_a", "_b", "_own"])
+
+        wide = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rich.schema) + ", _shard int, _home boolean"
+        out = rich.mapInArrow(deal, wide)
+        if meet:
+            return out.mapInArrow(spread, wide + ", _a int, _b int, _own int")
+        return out.withColumns({"_a": F.lit(0), "_b": F.lit(0), "_own": F.lit(0)})
 
     def forest(table: pa.Table) -> pa.Table:
+        """Links by key and, as links to themselves, the keys of pairs left open; of rows with whole sets (_root is their component), links of components."""
         fps, key = table["_fp"].to_numpy().astype(np.uint64), table["_key"].to_numpy()
         home, own, size = table["_home"].to_numpy(), table["_own"].to_numpy(), table["_n"].to_numpy()
         a, b = table["_a"][0].as_py(), table["_b"][0].as_py()
         links = Links(len(fps))
+        exact = "_root" in table.column_names
+        marked = np.zeros(len(fps), bool)
         if verify:
             sks = np.full((len(fps), sketch_size), _PAD, np.uint32)
-            for i, x in enumerate(table["_sk"].to_pylist()):
-                got = np.frombuffer(x, np.uint32)
+            sets = [np.frombuffer(x, np.uint64 if exact else np.uint32) for x in table["_sk"].to_pylist()]
+            for i, x in enumerate(sets):
+                got = sketch(x, sketch_size) if exact else x
                 sks[i, : len(got)] = got
+        if exact:
+            key = table["_root"].to_numpy()
+            _, first, same = np.unique(key, return_index=True, return_inverse=True)
+            links.add(np.arange(len(key)), first[same])
 
         def found(i, j):
-            ri, rj = links.roots(i), links.roots(j)
-            keep = ri != rj
-            i, j = i[keep], j[keep]
             if verify:
                 lo, hi = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
                 keep = lo >= min_similarity * hi
                 i, j = i[keep], j[keep]
+            keep = links.roots(i) != links.roots(j)
+            i, j = i[keep], j[keep]
+            if verify:
                 for s in range(0, len(i), 4096):
                     p, q = i[s : s + 4096], j[s : s + 4096]
                     keep = links.roots(p) != links.roots(q)
                     p, q = p[keep], q[keep]
-                    ok = (similar(sks[p], sks[q]) >= min_similarity) | ((size[p] == 0) & (size[q] == 0))
+                    ok, unsure = settle(sks[p], sks[q], min_similarity)
+                    ok |= (size[p] == 0) & (size[q] == 0)
                     links.add(p[ok], q[ok])
+                    p, q = p[unsure], q[unsure]
+                    while len(p):
+                        keep = links.roots(p) != links.roots(q)
+                        p, q = p[keep], q[keep]
+                        if not exact:
+                            marked[p] = marked[q] = True
+                            break
+                        ok = np.array([jaccard(sets[x], sets[y]) >= min_similarity for x, y in zip(p[:64].tolist(), q[:64].tolist(), strict=True)], bool)
+                        links.add(p[:64][ok], q[:64][ok])
+                        p, q = p[64:], q[64:]
             else:
                 links.add(i, j)
 
@@ -317,11 +388,30 @@ def near_groups(
             search(fps, every[home & (own == a)], every[own == b], radius, found, rng)
             search(fps, every[home & (own == b)], every[(own == a) & ~home], radius, found, rng)
         root = links.roots(every)
-        keep = root != every
-        return pa.table({"a": pa.array(key[keep], pa.int64()), "b": pa.array(key[root[keep]], pa.int64())})
+        keep = key[root] != key
+        return pa.table({"a": pa.array(np.r_[key[keep], key[marked]], pa.int64()), "b": pa.array(np.r_[key[root[keep]], key[marked]], pa.int64())})
+
+    def sets_of(batches):
+        for batch in batches:
+            sk = [np.unique(shingle_hashes(t, shingle, seed)).tobytes() for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sk, pa.binary()), batch.column(4)], names=["_key", "_fp", "_n", "_sk", "_root"])
 
-    edges = dealt.groupBy("_shard", "_a", "_b").applyInArrow(forest, "a long, b long")
+    tasks = ("_shard", "_a", "_b")
+    edges = dealt(classes, classes.select("_key", "_fp", "_n", "_sk"), False).groupBy(*tasks).applyInArrow(forest, "a long, b long")
+    if verify:
+        edges = scratch.write(edges, "edges")
     labels = scratch.write(connected_components(edges, scratch), "labels")
+    doubt = edges.filter("a = b").select(F.col("a").alias("_key")).distinct() if verify else None
+    if verify and not doubt.isEmpty():
+        one = rows.groupBy("_key").agg(F.min("_row").alias("_row"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n")).join(doubt, "_key")
+        one = scratch.write(one.join(labels.withColumnRenamed("v", "_key").withColumnRenamed("root", "_root"), "_key", "left").withColumn("_root", F.coalesce("_root", "_key")), "doubt")
+        texts = docs.select(row_key(id_col, text_col).alias("_row"), F.col(text_col).alias("_text")).join(one.hint("merge"), "_row")
+        texts = texts.groupBy("_row").agg(*(F.first(c).alias(c) for c in ("_key", "_fp", "_n", "_text", "_root"))).drop("_row")
+        rich = texts.mapInArrow(sets_of, "_key long, _fp long, _n long, _sk binary, _root long")
+        more = dealt(one, rich, True).groupBy(*tasks).applyInArrow(forest, "a long, b long")
+        joined = connected_components(more, Scratch(spark, "simhash")).select(F.col("v").alias("root"), F.col("root").alias("_to"))
+        both = labels.select("v", "root").unionByName(joined.select(F.col("root").alias("v"), "root").join(labels.select("v"), "v", "left_anti").select("v", F.col("v").alias("root")))
+        labels = scratch.write(both.join(joined, "root", "left").select("v", F.coalesce("_to", "root").alias("root")), "joined")
     whole = classes.select(F.col("_key"), "_least").join(labels.withColumnRenamed("v", "_key"), "_key", "left").withColumn("_root", F.coalesce("root", "_key"))
     least = whole.groupBy("_root").agg(F.min("_least").alias("component_id"))
     member = scratch.write(whole.join(least, "_root").select("_key", "component_id", "_root"), "members")

@@ -173,6 +173,31 @@ def test_near_copies_leave_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(30)) and kept.columns == df.columns
 
 
+def spoiled(words, cut):
+    """The words with their last ``cut`` replaced, so that cut five-word shingles go and as many come."""
+    return words[:-cut] + [f"{w}x" for w in words[-cut:]]
+
+
+@pytest.mark.parametrize("how", [{}, {"shard_rows": 48, "shard_shingles": 9000}])
+def test_links_at_the_bound(spark, how):
+    """Pairs around 0.8, of 300 shingles and of 50, link as their whole sets say."""
+    docs, want = [], []
+    for k in range(90):
+        n = 300 if k % 3 else 50
+        base = [f"d{k}w{i}" for i in range(n + 4)]
+        cut = 20 + k // 2 % 28 if k % 3 else 3 + k // 3 % 5
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(spoiled(base, cut)))]
+        want += [2 * k, 2 * k if (n - cut) / (n + cut) >= 0.8 else 2 * k + 1]
+    assert 20 < sum(a != k for k, a in enumerate(want)) < 70
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert [r["component_id"] for r in simhash.near_groups(df, **how).orderBy("doc_id").collect()] == want
+
+
+def test_sketches_settle_only_what_is_far():
+    low, high = simhash.limits(128, 0.8)
+    assert 70 < low < 80 and 124 <= high <= 127 and simhash.limits(8, 0.8) == (-1, 9)
+
+
 def test_keep_one_of_edge_cases(edge_df, clashing):
     rows_ = [(r["doc_id"], r["text"]) for r in simhash.keep_one(edge_df).collect()]
     assert len(rows_) == len(set(rows_)) and (1, edge_df.first()["text"]) in rows_ and 2 not in {i for i, _ in rows_}
