@@ -222,7 +222,7 @@ def near_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    radius: int = 17,
+    radius: int = 24,
     min_similarity: float | None = 0.8,
     seed: int = 42,
     sketch_size: int = 128,
@@ -237,7 +237,8 @@ def near_groups(
     unless ``min_similarity`` is None, their shingle sets are at least that similar.
     Sketches of ``sketch_size`` hashes settle only pairs so far from the bound that
     they err in less than one of 10^9 (``limits``); whole sets decide the others, at
-    most about ``shard_shingles`` of a chunk at a time.
+    most about ``shard_shingles`` of a chunk at a time.  With a similarity the
+    fingerprint and n_shingles are of distinct shingles, else repeats count.
     component_id is the least id that links reach, the row's own included; ids that
     are null take no part in the least and a component of them alone has null.
 
@@ -258,13 +259,12 @@ def near_groups(
             key, fp, n, sk = [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, shingle, seed)
-                f = fingerprint(h)
-                fp.append(int(f.astype(np.int64)))
+                u = np.unique(h) if verify else h  # similarity is of sets, so repeats have no vote
+                fp.append(int(fingerprint(u).astype(np.int64)))
+                n.append(len(u))
                 if not verify:
-                    key.append(fp[-1]), n.append(len(h)), sk.append(None)
+                    key.append(fp[-1]), sk.append(None)
                     continue
-                u = np.unique(h)
-                n.append(len(u))
                 sk.append(sketch(h, sketch_size).tobytes())
                 key.append(xxhash.xxh3_64_intdigest(u.tobytes() + fp[-1].to_bytes(8, "big", signed=True)) - (1 << 63))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (key, fp, n)), pa.array(sk, pa.binary())], names=["_row", "_id", "_key", "_fp", "_n", "_sk"])

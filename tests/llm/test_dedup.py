@@ -193,6 +193,17 @@ def test_links_at_the_bound(spark, how):
     assert [r["component_id"] for r in simhash.near_groups(df, **how).orderBy("doc_id").collect()] == want
 
 
+def test_repeats_have_no_vote_on_similarity(spark):
+    """A copy with some sentences many times over has the same set of shingles."""
+    docs = []
+    for k in range(12):
+        base = [f"d{k}w{i}" for i in range(500)]
+        again = [w for j in range(8) for w in base[j * 50 : j * 50 + 5] * (60 + 40 * j)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + again))]
+    got = simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
+
+
 def test_sketches_settle_only_what_is_far():
     low, high = simhash.limits(128, 0.8)
     assert 70 < low < 80 and 124 <= high <= 127 and simhash.limits(8, 0.8) == (-1, 9)
