@@ -170,7 +170,7 @@ def marks(row: np.ndarray, col: np.ndarray, n_features: int, toxic: np.ndarray,
     return out
 
 
-def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | None = None, chance: float = 0.5, rounds: int = 60, most_chain_docs: int = 1200, l2: float = 1e-3) -> Model:
+def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | None = None, chance: float = 0.5, rounds: int = 60, l2: float = 1e-3, block_words: int = 200_000) -> Model:
     """The model from labelled texts; null texts count as empty."""
     y = np.array(toxic, float)
     number: dict[bytes, int] = {}
@@ -187,42 +187,41 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
     spread = [supports([d for d, k in zip(ids, y, strict=True) if k == tag], n_words) for tag in (1, 0)]
     tags = marks(every_row, every_col, len(name), *spread, ~np.isin(name, _SHAPES), chance)
     marked = np.bincount(every_row, tags[every_col], n_words) > 0
-    # the chain learns from toxic documents and as many clean ones
-    pick = np.r_[np.flatnonzero(y == 1)[: most_chain_docs // 2], np.flatnonzero(y == 0)[: most_chain_docs // 2]]
-    tok = np.concatenate([ids[i] for i in pick]) if len(pick) else np.zeros(0, np.int64)
-    gold = np.concatenate([marked[ids[i]] & bool(y[i]) for i in pick]).astype(float) if len(pick) else np.zeros(0)
-    lengths = np.array([len(ids[i]) for i in pick])
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    starts, lengths = starts[lengths > 0], lengths[lengths > 0]
-    used, local = np.unique(tok, return_inverse=True)
-    place = np.full(n_words, -1)
-    place[used] = np.arange(len(used))
-    here = place[every_row] >= 0
-    row, col = place[every_row[here]], every_col[here]
+    # the chain learns from all given rows, in blocks of documents
+    blocks = []
+    size = np.cumsum([len(d) for d in ids])
+    for few in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(size // block_words)) + 1):
+        tok = np.concatenate([ids[i] for i in few])
+        lengths = np.array([len(ids[i]) for i in few])
+        starts = np.r_[0, np.cumsum(lengths)[:-1]]
+        starts, lengths = starts[lengths > 0], lengths[lengths > 0]
+        gold = np.concatenate([marked[ids[i]] & bool(y[i]) for i in few])
+        follows = np.ones(len(tok), bool)
+        follows[starts] = False
+        blocks.append((tok.astype(np.int32), gold, starts, lengths, np.flatnonzero(follows).astype(np.int32)))
+    want_t = sum(np.array([[np.sum((gold[nxt - 1] == i) & (gold[nxt] == j)) for j in (0, 1)] for i in (0, 1)], float) for _, gold, _, _, nxt in blocks)
     w, bias, trans = np.zeros(len(name)), -2.0, np.zeros((2, 2))
     # what is not marked itself may speak against a tag only: chance neighbours of marked words then add nothing
     only_against = ~tags
-    follows = np.ones(len(tok), bool)
-    follows[starts] = False
-    nxt = np.flatnonzero(follows)
-    want_t = np.array([[np.sum((gold[nxt - 1] == i) & (gold[nxt] == j)) for j in (0, 1)] for i in (0, 1)], float)
     moment, square = [0.0] * 3, [0.0] * 3
-    n = max(1, len(tok))
+    n = max(1, int(size[-1]))
     for k in range(1, rounds + 1):
-        e_word = bias + np.bincount(row, w[col], len(used))
-        e = e_word[local]
-        r, b = chains(e, starts, lengths, trans)
-        odds = r * b
-        p = odds / (1 + odds)
-        by_word = np.bincount(local, gold - p, len(used))
-        g_w = np.bincount(col, by_word[row], len(w)) / n - l2 * w / n
-        g_b = (gold - p).sum() / n
-        x = np.exp(np.clip(e, -30, 30))
-        f0 = np.stack([np.ones(len(nxt)), r[nxt - 1]], 1)
-        f1 = np.stack([np.ones(len(nxt)), x[nxt] * b[nxt]], 1)
-        both = f0[:, :, None] * np.exp(trans)[None] * f1[:, None, :]
-        both /= both.sum((1, 2), keepdims=True)
-        g_t = (want_t - both.sum(0)) / n
+        e_word = bias + np.bincount(every_row, w[every_col], n_words)
+        by_word, have_t = np.zeros(n_words), np.zeros((2, 2))
+        for tok, gold, starts, lengths, nxt in blocks:
+            e = e_word[tok]
+            r, b = chains(e, starts, lengths, trans)
+            odds = r * b
+            by_word += np.bincount(tok, gold - odds / (1 + odds), n_words)
+            x = np.exp(np.clip(e, -30, 30))
+            f0 = np.stack([np.ones(len(nxt)), r[nxt - 1]], 1)
+            f1 = np.stack([np.ones(len(nxt)), x[nxt] * b[nxt]], 1)
+            both = f0[:, :, None] * np.exp(trans)[None] * f1[:, None, :]
+            both /= both.sum((1, 2), keepdims=True)
+            have_t += both.sum(0)
+        g_w = np.bincount(every_col, by_word[every_row], len(w)) / n - l2 * w / n
+        g_b = by_word.sum() / n
+        g_t = (want_t - have_t) / n
         step = 0.5 if k < rounds * 2 // 3 else 0.15
         new = []
         for q, (v, g) in enumerate(((w, g_w), (bias, g_b), (trans, g_t))):

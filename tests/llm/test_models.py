@@ -69,6 +69,25 @@ def test_field_learns_spans_and_scores(spark, edge_df, clashing):
     assert a == b
 
 
+def test_field_learns_from_every_row():
+    """Over 600 toxic rows whose words change with the place: the last ones count like the first."""
+    rng = np.random.default_rng(3)
+    clean = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(150)]
+    texts, y = [], []
+    for k in range(2000):
+        w = list(rng.choice(clean, 20))
+        y.append(k % 2)
+        if y[-1]:
+            for _ in range(2):
+                w.insert(int(rng.integers(20)), ("zorgo" if k < 1400 else "quixu") + "".join(rng.choice(list("abc"), 3)))
+        texts.append(" ".join(w))
+    model = toxicity.fit(texts, y)
+    weight = {w: model.emission(w) for w in (b"zorgoabc", b"quixuabc")}
+    assert weight[b"zorgoabc"] > 0 and weight[b"quixuabc"] > 0, weight
+    small = toxicity.fit(texts, y, block_words=500)
+    assert np.isclose(small.bias, model.bias) and np.isclose(small.emission(b"quixuabc"), weight[b"quixuabc"])
+
+
 def test_one_kind_of_label_and_none():
     assert toxicity.fit(["a b", None], [0, 0]).curve[0] < 0 and toxicity.fit([], []).curve[0] < 0
 
