@@ -63,6 +63,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     with map-side minima and joins the minima back, so a vertex with very many
     neighbours never meets in one task; the join is one that adaptive execution
     splits when skewed.  Every second round is written to the shared folder.
+    Raises when components still change after ``most_rounds``.
     """
     spark = scratch.spark
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
@@ -82,4 +83,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v").alias("root")).distinct())

@@ -204,6 +204,15 @@ def test_repeats_have_no_vote_on_similarity(spark):
     assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in got)
 
 
+def test_components_are_whole_or_fail(spark):
+    from marlstone.llm.common import Scratch, connected_components
+
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(path, Scratch(spark, "test"), most_rounds=2)
+    assert {r["root"] for r in connected_components(path, Scratch(spark, "test")).collect()} == {0}
+
+
 def test_sketches_settle_only_what_is_far():
     low, high = simhash.limits(128, 0.8)
     assert 70 < low < 80 and 124 <= high <= 127 and simhash.limits(8, 0.8) == (-1, 9)
