@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import small_batches
 
 RULES = ("first", "last", "majority", "proportional")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
@@ -74,6 +75,7 @@ def token_counts(
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    small_batches(docs.sparkSession)
     path = tokenizer or tokens.default_path()
     kind = docs.schema[id_col].dataType.simpleString()
 

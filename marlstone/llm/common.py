@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,13 +10,26 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder (local tests).
+#: Used only where the session names no shared folder and runs in one process (local tests).
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Rows and bytes of an Arrow batch at most, where whole texts go to Python.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that the driver and all executors see; raises where a cluster names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, so a task's memory follows the longest text and not the batch."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -48,21 +62,23 @@ def words(text: Column) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """64-bit key of a row: rows with equal id and text share it.
+    """Key of a row, 16 bytes: rows with equal id and text share it.
 
     Joins back to the input go by this key, so a row that is repeated, an id
     that two texts share and a null id all keep exactly their own rows.
     """
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.isnull(id_col), F.isnull(text_col))
+    parts = (F.col(id_col).cast("string"), F.col(text_col), F.isnull(id_col), F.isnull(text_col))
+    half = lambda salt: F.lpad(F.hex(F.xxhash64(F.lit(salt), *parts)), 16, "0")
+    return F.unhex(F.concat(half(1), half(2)))
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(v, root): the smallest vertex that each vertex with an edge reaches.
 
     Alternating large-star and small-star rounds.  Each round groups by vertex
-    with map-side minima and joins the minima back, so a vertex with very many
-    neighbours never meets in one task; the join is one that adaptive execution
-    splits when skewed.  Every second round is written to the shared folder.
+    with map-side minima, writes the minima and joins them back.  Written, they come
+    to the join through an exchange of their own, so adaptive execution splits a
+    vertex with very many neighbours.
     Raises when components still change after ``most_rounds``.
     """
     spark = scratch.spark
@@ -71,15 +87,17 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     before, n = None, 0
     for n in range(1, most_rounds + 1):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"least{n}")
         # large star: each larger neighbour goes to the least of the neighbourhood
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = scratch.write(large, f"large{n}")
         # small star: smaller neighbours and the vertex itself go to the least smaller one
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"low{n}")
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = scratch.write(small.filter("u <> v").distinct(), f"cc{n}")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        scratch.drop(f"cc{n - 1}")
+        for name in (f"cc{n - 1}", f"least{n}", f"large{n}", f"low{n}"):
+            scratch.drop(name)
         if mark == before:
             break
         before = mark

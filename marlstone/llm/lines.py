@@ -8,9 +8,9 @@ later ones mark their three lines, marks merge, and marked lines go.
 
 Texts take part in two narrow passes and one join by row key.  The windows
 travel as 40-byte rows with map-side minima, so a window that a third of all
-documents share is one row for each task.  Both joins are merge joins at every size:
-what they bring in grows with the input, and adaptive execution splits their
-skewed partitions.
+documents share is one row for each task.  Both joins are merge joins at every size,
+since what they bring in grows with the input; their smaller sides are written
+first, so that adaptive execution can split a skewed partition.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, row_key, small_batches
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -41,10 +41,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines.  Removing a line takes its line feed along.  Null texts stay null with
     zero counts, as do empty ones; texts of fewer than ``window`` counted lines have
     no window and stay whole.  Rows that repeat both id and text are one document
-    and both get its result.  Result columns that clash replace the input's.
-    An empty table gives no rows.  No text is cut short.
+    and both get its result.  Ties of ids stand by row key.  Result columns that clash replace the input's.
+    An empty table gives no rows.  No text is cut short: a very long one is held
+    whole by one task.
     """
     scratch = Scratch(docs.sparkSession, "lines")
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn("_row", row_key(id_col, text_col))
 
     def windows(batches):
@@ -67,16 +69,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (at, hi, lo))], names=["_row", "_id", "_at", "_h1", "_h2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = keyed.select("_row", F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(windows, f"_row long, _id {kind}, _at long, _h1 long, _h2 long")
+    found = keyed.select("_row", F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(windows, f"_row binary, _id {kind}, _at long, _h1 long, _h2 long")
     found = scratch.write(found, "windows")
     # the row key stands in the order, so repeated rows are one occurrence
     place = F.struct(F.isnull("_id").alias("a"), F.col("_id").alias("b"), F.col("_row").alias("c"), F.col("_at").alias("d"))
     ends = found.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first <> _last")
-    later = found.join(ends.select("_h1", "_h2", F.col("_first.c").alias("_c"), F.col("_first.d").alias("_d")).hint("merge"), ["_h1", "_h2"]).filter("_row <> _c or _at <> _d")
+    # written, it comes to the join through an exchange of its own, so a window that very many documents share is split
+    ends = scratch.write(ends.select("_h1", "_h2", F.col("_first.c").alias("_c"), F.col("_first.d").alias("_d")), "ends")
+    later = found.join(ends.hint("merge"), ["_h1", "_h2"]).filter("_row <> _c or _at <> _d")
     # of one document only: bounded by its own lines
     marks = later.groupBy("_row").agg(F.collect_set("_at").alias("_starts"))
     marks = scratch.write(marks, "marks")
     scratch.drop("windows")
+    scratch.drop("ends")
 
     def cut(batches):
         for batch in batches:

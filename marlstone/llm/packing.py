@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch
+from .common import Scratch, small_batches
 
 _PIECES = "{id} {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -54,6 +54,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer: str | None, end_id: int) -> DataFrame:
     """Pieces of each document's ids and the end id: the first one may be shorter, the others are full."""
+    small_batches(docs.sparkSession)
     path = tokenizer or tokens.default_path()
     kind = docs.schema[id_col].dataType.simpleString()
 

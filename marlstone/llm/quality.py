@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 _SPACE = [0x20, *range(0x09, 0x0E)]
 _SYMBOLS = list(b"#*$%&|<>")
 _UPPER, _LOWER, _DIGIT = list(range(65, 91)), list(range(97, 123)), list(range(48, 58))
@@ -170,6 +172,7 @@ def boost(x: np.ndarray, y: np.ndarray, monotone: dict[int, int], trees: int = 8
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: Trees | None = None) -> DataFrame:
     """id, the base counts, the trees' inputs and, with trees, the probability of good quality of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the number of trees
 
     def run(batches):

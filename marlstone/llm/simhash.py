@@ -1,28 +1,28 @@
 """SimHash near-duplicates through vantage-point trees over fingerprints.
 
-1. Every text gets a 64-bit fingerprint of its word shingles.  Rows with the same
-   fingerprint (and, when similarity is verified, the same sketch) form a class;
-   from there on only classes travel, so thousands of copies are one row.
-2. A bounded sample of fingerprints gives the upper levels of a vantage-point tree:
-   a node sends what lies within ``mu`` of its vantage point inside, the rest outside.
-   A fingerprint is resident in one leaf shard and a guest in every other shard
-   that its ball overlaps by the triangle inequality; a pair within the radius
-   thus meets in the shard of one of them.  A node is not split when so many balls
-   cross its boundary that the guests would outgrow the residents.
-3. A shard above ``shard_rows`` is cut into chunks and its chunk pairs are tasks of
-   their own; with a similarity bound, chunks are ranges of the shingle count and
-   pairs of chunks whose counts differ too much are left out (J <= n_a / n_b).
-4. Inside a task a local vantage-point tree prunes the same way down to small
-   blocks, which are compared bit by bit.  The task returns a spanning forest of
+1. Every text gets a 64-bit fingerprint of its word shingles.  Equal fingerprints
+   (with a similarity bound: equal shingle sets) form a class; from there on only
+   classes travel, so thousands of copies are one row.
+2. Without a similarity bound the radius is small and vantage-point trees shard the
+   fingerprints: a node sends what lies within ``mu`` of its vantage point inside,
+   the rest outside.  A fingerprint is resident in one leaf and a guest in every
+   other leaf that its ball overlaps by the triangle inequality, so a pair within the
+   radius meets in the leaf of one of them.  Trees grow level by level, each from a
+   bounded sample of the shards that are still too large; vantage point and boundary
+   are those of many tried that fewest balls cross.
+3. With a similarity bound the balls are so wide that they cross every boundary.
+   Classes then meet in buckets of two shared minima of their shingle sets, in so many
+   bands that a pair at the bound is missed with less than ``chance``.
+4. Inside a shard or bucket a local vantage-point tree prunes the same way down to
+   small blocks, which are compared bit by bit.  A task returns a spanning forest of
    the links it finds, never the pairs.
 5. Forests are joined by distributed connected components.
 6. With a similarity bound, a pair that its sketches do not settle is left open and
-   its two classes are marked.  The marked ones are dealt once more with their whole
-   shingle sets, in chunks of bounded bytes, and open pairs across components are
-   decided by the sets.
+   its two classes are marked.  Marked ones meet again with their whole texts, where
+   their components still differ, and whole shingle sets decide.
 
-Nothing that grows with the input reaches the driver: it sees the sample, the
-count of each shard (at most ``most_shards``) and the size of each edge set.
+Nothing that grows with the input reaches the driver but one tree node for each
+``shard_rows`` fingerprints: it sees bounded samples and counts of shards.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, row_key
+from .common import Scratch, connected_components, row_key, small_batches
 
 _PAD = np.uint32(0xFFFFFFFF)
 
@@ -165,50 +165,67 @@ def search(fps: np.ndarray, residents: np.ndarray, queries: np.ndarray, radius:
                 found(i[keep], j[keep])
 
 
-def shard_tree(sample: np.ndarray, n: int, shard_rows: int, radius: int, most_shards: int, most_cross: float = 0.36) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, mu, inside, outside); a negative child -1 - k is leaf k."""
+def vantage_tree(sample: np.ndarray, n: int, shard_rows: int, radius: int, tries: int = 24, least: float = 0.15) -> list[tuple[int, int, int, int]]:
+    """Nodes (vantage, mu, inside, outside); a negative child -1 - k is leaf k.
+
+    ``n`` is what the sample stands for.  Of ``tries`` vantage points and all their
+    distances the boundary that fewest balls cross for what it splits off is taken.
+    A leaf stands for ``shard_rows`` or fewer, unless its sample is too small to
+    choose or cannot be split.
+    """
     rng = np.random.default_rng(0)
     nodes: list[tuple[int, int, int, int]] = []
     leaves = 0
     todo = [(sample, float(n), None)]
     while todo:
         s, share, slot = todo.pop(0)
-        here = None
-        if share > shard_rows and len(s) >= 32 and leaves + len(todo) + 2 <= most_shards:
-            v = s[rng.integers(len(s))]
-            d = np.bitwise_count(s ^ v).astype(int)
-            mu = int(np.median(d))
-            inside = d <= mu
-            if 0 < inside.sum() < len(s) and ((d > mu - radius) & (d <= mu)).mean() <= most_cross:
-                here = len(nodes)
-                nodes.append((int(v), mu, 0, 0))
-                todo += [(s[inside], share * inside.mean(), (here, 2)), (s[~inside], share * (~inside).mean(), (here, 3))]
-        if here is None:
+        best = None
+        if share > shard_rows and len(s) >= 32:
+            some = s[rng.choice(len(s), min(len(s), 2048), replace=False)]
+            for v in s[rng.choice(len(s), min(len(s), tries), replace=False)]:
+                upto = np.cumsum(np.bincount(np.bitwise_count(some ^ v), minlength=65)) / len(some)
+                small = np.minimum(upto, 1 - upto)
+                cross = upto - np.r_[np.zeros(min(radius, 65)), upto[: max(0, 65 - radius)]]
+                cost = np.where(small >= least, cross / np.maximum(small, 1e-9), np.inf)
+                if not np.isfinite(cost).any():
+                    cost = np.where(small > 0, 65 + cross / np.maximum(small, 1e-9), np.inf)
+                mu = int(np.argmin(cost))
+                if np.isfinite(cost[mu]) and (best is None or cost[mu] < best[0]):
+                    best = (cost[mu], v, mu)
+        if best is None:
             here, leaves = -1 - leaves, leaves + 1
+        else:
+            _, v, mu = best
+            inside = np.bitwise_count(s ^ v) <= mu
+            here = len(nodes)
+            nodes.append((int(v), mu, 0, 0))
+            todo += [(s[inside], share * inside.mean(), (here, 2)), (s[~inside], share * (~inside).mean(), (here, 3))]
         if slot:
             at, side = slot
             nodes[at] = tuple(here if k == side else x for k, x in enumerate(nodes[at]))
     return nodes
 
 
-def shards_of(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, shard, resident): the home of every fingerprint and the shards where it is a guest.
+def shards_of(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, leaf, resident): the home of every fingerprint and the leaves where it is a guest.
 
     Pairs whose ways part at a node meet on its outside, so residents send guests
-    outwards only; a guest must then follow both sides.
+    outwards only; a guest (``home`` says who comes as one) must follow both sides.
     """
     out: list[tuple[np.ndarray, int, bool]] = []
-    stack = [(np.arange(len(fps)), 0 if nodes else -1, True)]
+    every, root = np.arange(len(fps)), 0 if nodes else -1
+    home = np.ones(len(fps), bool) if home is None else home
+    stack = [(every[home], root, True), (every[~home], root, False)]
     while stack:
-        at, node, home = stack.pop()
+        at, node, own = stack.pop()
         if not len(at):
             continue
         if node < 0:
-            out.append((at, -1 - node, home))
+            out.append((at, -1 - node, own))
             continue
         v, mu, inside, outside = nodes[node]
         d = np.bitwise_count(fps[at] ^ np.uint64(v)).astype(int)
-        if home:
+        if own:
             stack += [(at[d <= mu], inside, True), (at[d > mu], outside, True), (at[(d <= mu) & (d > mu - radius)], outside, False)]
         else:
             stack += [(at[d <= mu + radius], inside, False), (at[d > mu - radius], outside, False)]
@@ -217,207 +234,335 @@ def shards_of(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: i
     return np.concatenate([a for a, _, _ in out]), np.concatenate([np.full(len(a), k) for a, k, _ in out]), np.concatenate([np.full(len(a), h) for a, _, h in out])
 
 
+def _dealt(classes: DataFrame, scratch: Scratch, radius: int, shard_rows: int, sample_rows: int) -> DataFrame:
+    """(_key, _shard, _home) of fingerprints (the key), residents and guests, by trees that are grown level by level.
+
+    Each level samples what lies in shards above ``shard_rows`` (at most
+    ``sample_rows`` fingerprints reach the driver), grows a tree in each of them and
+    writes its rows again under the leaves.  It ends when no shard is above or none
+    of those can be split.
+    """
+    spark = scratch.spark
+    done: list[DataFrame] = []
+    now = classes.select("_key", F.lit(0).cast("long").alias("_shard"), F.lit(True).alias("_home"))
+    wide, stuck, free = {0: now.count()}, [], 1
+    wide = {s: c for s, c in wide.items() if c > shard_rows}
+    if not wide:
+        return now
+    for level in range(64):
+        total = sum(wide.values())
+        drawn = now.filter("_home").select("_key", "_shard", F.xxhash64("_key", F.lit(level)).alias("_o")).orderBy("_o").limit(sample_rows).select("_key", "_shard").collect()
+        of: dict[int, list[int]] = {}
+        for r in drawn:
+            of.setdefault(r["_shard"], []).append(r["_key"])
+        trees = {}
+        for s in sorted(of):
+            nodes = vantage_tree(np.array(of[s], np.int64).astype(np.uint64), wide[s], shard_rows, radius)
+            trees[s] = (nodes, free)
+            free += len(nodes) + 1
+            if not nodes:
+                stuck.append(trees[s][1])
+        trees |= {s: ([], s) for s in wide if s not in trees}  # not met in the sample: goes on as it is
+        shipped = spark.sparkContext.broadcast(trees)  # a node for every shard_rows of the overfull shards, a few bytes each
+
+        def deal(batches, shipped=shipped):
+            for batch in batches:
+                key, shard, home = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+                for s in np.unique(shard).tolist():
+                    nodes, base = shipped.value[s]
+                    mine = np.flatnonzero(shard == s)
+                    at, leaf, own = shards_of(key[mine].astype(np.uint64), nodes, radius, home[mine])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[mine[at]]), pa.array(leaf + base, pa.int64()), pa.array(own)], names=["_key", "_shard", "_home"])
+
+        now = scratch.write(now.mapInArrow(deal, "_key long, _shard long, _home boolean"), f"level{level}")
+        above = now.groupBy("_shard").agg(F.count_if("_home").alias("c")).filter((F.col("c") > shard_rows * 3 // 2) & ~F.col("_shard").isin(stuck)).collect()
+        before, wide = wide, {r["_shard"]: r["c"] for r in above}
+        if not wide or (sum(wide.values()) >= total and set(before) == set(wide)):
+            break
+        over = F.col("_shard").isin(list(wide)) if len(wide) < 1000 else None
+        if over is None:
+            marks = spark.createDataFrame([(s,) for s in wide], "_shard long")
+            done.append(now.join(marks, "_shard", "left_anti"))
+            now = now.join(marks, "_shard", "left_semi")
+        else:
+            done.append(now.filter(~over))
+            now = now.filter(over)
+    for x in done:
+        now = now.union(x)
+    return now
+
+
+def _minima(u: np.ndarray, bands: int) -> np.ndarray:
+    """For each band two minima of 32 bits over the set, as one number; two sets agree in one with the square of their similarity."""
+    low = np.full((bands, 2), 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(u), 4096):
+        x = (u[None, a : a + 4096] ^ _SALT[:bands, None]) * _M1
+        x ^= x >> np.uint64(29)
+        x *= _M2
+        x ^= x >> np.uint64(32)
+        low = np.minimum(low, x.view(np.uint32).reshape(bands, -1, 2).min(1))
+    return low.view(np.uint64).ravel()
+
+
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_SALT = np.random.default_rng(9).integers(0, 1 << 63, 64, dtype=np.uint64)
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    radius: int = 24,
+    radius: int = 28,
     min_similarity: float | None = 0.8,
     seed: int = 42,
     sketch_size: int = 128,
-    shard_rows: int = 8192,
-    most_shards: int = 4096,
+    shard_rows: int = 16_384,
     sample_rows: int = 65_536,
+    chance: float = 1e-9,
     shard_shingles: int = 1 << 22,
 ) -> DataFrame:
     """_row, id, fingerprint, n_shingles, component_id for every row.
 
     Two texts link when their fingerprints differ in at most ``radius`` bits and,
     unless ``min_similarity`` is None, their shingle sets are at least that similar.
-    Sketches of ``sketch_size`` hashes settle only pairs so far from the bound that
-    they err in less than one of 10^9 (``limits``); whole sets decide the others, at
-    most about ``shard_shingles`` of a chunk at a time.  With a similarity the
-    fingerprint and n_shingles are of distinct shingles, else repeats count.
-    component_id is the least id that links reach, the row's own included; ids that
-    are null take no part in the least and a component of them alone has null.
+    With a similarity, candidates share a pair of minima, which misses a pair at the
+    bound with less than ``chance``; sketches of ``sketch_size`` hashes settle only
+    pairs so far from the bound that they err in less than one of 10^9 (``limits``),
+    whole sets decide the others.  The fingerprint and n_shingles are then of
+    distinct shingles, else repeats count.  component_id is the least id that links
+    reach, the row's own included; ids that are null take no part in the least and a
+    component of them alone has null.
 
     Null texts count as empty.  Texts without a word have fingerprint zero and link
-    like any other.  Repeated rows and shared ids keep a row each; other columns are
-    ignored; an empty table gives no rows.  ``sample_rows`` bounds the sample that
-    shapes the tree; it does not bound what is compared.
+    like any other.  Repeated rows and shared ids keep a row each; equal texts are
+    one class, so ties cost nothing; a very long text is held whole by one task.
+    Other columns are ignored; an empty table gives no rows.  ``sample_rows`` bounds
+    the sample that shapes a level of the tree; it does not bound what is compared.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     kind = docs.schema[id_col].dataType.simpleString()
     verify = min_similarity is not None
+    bands = min(len(_SALT), math.ceil(math.log(chance) / math.log(1 - min_similarity**2))) if verify else 0
+    small_batches(spark)
 
     def hashed(batches):
         import xxhash
 
         for batch in batches:
-            key, fp, n, sk = [], [], [], []
+            key, fp, n, sk, low = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 h = shingle_hashes(text, shingle, seed)
                 u = np.unique(h) if verify else h  # similarity is of sets, so repeats have no vote
                 fp.append(int(fingerprint(u).astype(np.int64)))
                 n.append(len(u))
-                if not verify:
-                    key.append(fp[-1]), sk.append(None)
-                    continue
-                sk.append(sketch(h, sketch_size).tobytes())
-                key.append(xxhash.xxh3_64_intdigest(u.tobytes() + fp[-1].to_bytes(8, "big", signed=True)) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (key, fp, n)), pa.array(sk, pa.binary())], names=["_row", "_id", "_key", "_fp", "_n", "_sk"])
+                if verify:
+                    sk.append(sketch(u, sketch_size).tobytes())
+                    low.append(_minima(u, bands).tobytes())
+                    key.append(xxhash.xxh3_128_digest(u.tobytes()))
+            arrays = [batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(n, pa.int64())]
+            arrays += [pa.array(x, pa.binary()) for x in (key, sk, low)] if verify else []
+            yield pa.RecordBatch.from_arrays(arrays, names=["_row", "_id", "_fp", "_n", "_key", "_sk", "_low"][: len(arrays)])
 
     rows = docs.select(row_key(id_col, text_col).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = scratch.write(rows.mapInArrow(hashed, f"_row long, _id {kind}, _key long, _fp long, _n long, _sk binary"), "rows")
-    classes = rows.groupBy("_key").agg(F.min("_id").alias("_least"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_sk").alias("_sk"))
-    classes = scratch.write(classes, "classes")
-
-    def dealt(known: DataFrame, rich: DataFrame, exact: bool) -> DataFrame:
-        """The rows of ``rich`` in every task where they may meet; ``known`` has the _key, _fp and _n of the same rows."""
-        # the tree, from a sample taken by the class key's hash
-        n = known.count()
-        drawn = known.select("_fp", "_n", F.xxhash64("_key", F.lit(7)).alias("_o")).orderBy("_o").limit(sample_rows).collect()
-        sample = np.array([r["_fp"] for r in drawn], np.int64).astype(np.uint64)
-        nodes = shard_tree(sample, n, shard_rows, radius, most_shards)
-        node_table = spark.sparkContext.broadcast(nodes)  # at most most_shards nodes
-
-        def deal(batches):
-            for batch in batches:
-                fps = batch.column(1).to_numpy().astype(np.uint64)
-                at, shard, home = shards_of(fps, node_table.value, radius)
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), pa.array(shard, pa.int32()), pa.array(home)], names=[*batch.schema.names, "_shard", "_home"])
-
-        here = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.select("_key", "_fp", "_n").schema)
-        load = known.select("_key", "_fp", "_n").mapInArrow(deal, here + ", _shard int, _home boolean").groupBy("_shard").agg(F.count("*").alias("c"), F.sum("_n").alias("s"))
-        load = load.collect() if nodes else [(0, n, known.agg(F.sum("_n")).first()[0] or 0)]
-        chunks = {s: max(-(-c // shard_rows), -(-t // shard_shingles) if exact else 0) for s, c, t in load}
-        chunks = {s: c for s, c in chunks.items() if c > 1}
-        sizes = np.sort(np.array([r["_n"] for r in drawn], np.int64)) if verify else None
-        share = np.cumsum(np.maximum(sizes / shard_shingles, 1 / shard_rows)) if exact else np.arange(1, len(drawn) + 1)
-
-        def bounds(c: int) -> np.ndarray:
-            return sizes[np.searchsorted(share, np.arange(1, c) * share[-1] / c, side="right").clip(max=len(sizes) - 1)]
-
-        meet: dict[int, list[list[tuple[int, int]]]] = {}
-        for s, c in chunks.items():
-            lo = np.r_[0, bounds(c)] if verify else np.zeros(c)
-            hi = np.r_[bounds(c), np.inf] if verify else np.full(c, np.inf)
-            pairs = [(i, j) for i in range(c) for j in range(i, c) if not verify or lo[j] * min_similarity <= hi[i]]
-            meet[s] = [[p for p in pairs if k in p] for k in range(c)]
-        plan = spark.sparkContext.broadcast((meet, {s: bounds(c) for s, c in chunks.items()} if verify else {}))
-
-        def spread(batches):
-            groups, limits = plan.value
-            for batch in batches:
-                shard = batch.column(batch.num_columns - 2).to_numpy()
-                key, size = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                at, a, b, own = [], [], [], []
-                for i, s in enumerate(shard.tolist()):
-                    if s not in groups:
-                        at.append(i), a.append(0), b.append(0), own.append(0)
-                        continue
-                    k = int(np.searchsorted(limits[s], size[i], side="right")) if s in limits else int(key[i]) % len(groups[s])
-                    for p in groups[s][k]:
-                        at.append(i), a.append(p[0]), b.append(p[1]), own.append(k)
-                most = 256 if exact else max(1, len(at))  # whole sets leave in small batches
-                for m in range(0, len(at), most):
-                    take = pa.array(at[m : m + most], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), *(pa.array(x[m : m + most], pa.int32()) for x in (a, b, own))], names=[*batch.schema.names, "_a", "_b", "_own"])
-
-        wide = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rich.schema) + ", _shard int, _home boolean"
-        out = rich.mapInArrow(deal, wide)
-        if meet:
-            return out.mapInArrow(spread, wide + ", _a int, _b int, _own int")
-        return out.withColumns({"_a": F.lit(0), "_b": F.lit(0), "_own": F.lit(0)})
-
-    def forest(table: pa.Table) -> pa.Table:
-        """Links by key and, as links to themselves, the keys of pairs left open; of rows with whole sets (_root is their component), links of components."""
-        fps, key = table["_fp"].to_numpy().astype(np.uint64), table["_key"].to_numpy()
-        home, own, size = table["_home"].to_numpy(), table["_own"].to_numpy(), table["_n"].to_numpy()
-        a, b = table["_a"][0].as_py(), table["_b"][0].as_py()
-        links = Links(len(fps))
-        exact = "_root" in table.column_names
+    rows = rows.mapInArrow(hashed, f"_row binary, _id {kind}, _fp long, _n long" + ", _key binary, _sk binary, _low binary" * verify)
+    rows = scratch.write(rows if verify else rows.withColumn("_key", F.col("_fp")), "rows")
+    if verify:
+        classes = scratch.write(rows.groupBy("_key").agg(F.min("_id").alias("_least"), F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ("_fp", "_n", "_sk", "_low"))), "classes")
+        labels = _by_similarity(docs, classes, scratch, id_col, text_col, shingle, seed, radius, min_similarity, sketch_size, bands, shard_rows, shard_shingles)
+    else:
+        classes = scratch.write(rows.groupBy("_key").agg(F.min("_id").alias("_least")), "classes")
+
+        def forest(table: pa.Table) -> pa.Table:
+            fps = table["_key"].to_numpy().astype(np.uint64)
+            links, every = Links(len(fps)), np.arange(len(fps))
+            search(fps, every[table["_home"].to_numpy(zero_copy_only=False)], every, radius, links.add, np.random.default_rng(1))
+            root = links.roots(every)
+            keep = np.flatnonzero(root != every)
+            return pa.table({"a": table["_key"].take(pa.array(keep)), "b": table["_key"].take(pa.array(root[keep]))})
+
+        edges = _dealt(classes, scratch, radius, shard_rows, sample_rows).groupBy("_shard").applyInArrow(forest, "a long, b long")
+        labels = scratch.write(connected_components(edges, scratch), "labels")
+    whole = classes.select("_key", "_least").join(labels.withColumnRenamed("v", "_key"), "_key", "left").withColumn("_root", F.coalesce("root", "_key"))
+    whole = scratch.write(whole.select("_key", "_least", "_root"), "rooted")
+    least = scratch.write(whole.groupBy("_root").agg(F.min("_least").alias("component_id")), "least")
+    member = scratch.write(whole.join(least.hint("merge"), "_root").select("_key", "component_id", "_root"), "members")
+    out = rows.select("_row", "_id", "_key", "_fp", "_n").join(member.hint("merge"), "_key")
+    hexed = F.lower(F.lpad(F.hex("_fp"), 16, "0"))
+    return out.select("_row", F.col("_id").alias(id_col), hexed.alias("fingerprint"), F.col("_n").alias("n_shingles"), "component_id", "_root")
+
+
+def _pairs_within(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i < j) of all pairs inside each of the consecutive groups of these sizes."""
+    end = np.repeat(np.cumsum(size), size)
+    more = end - np.arange(len(end)) - 1
+    i = np.repeat(np.arange(len(end)), more)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more) - more, more)
+
+
+def _by_similarity(docs, classes, scratch, id_col, text_col, shingle, seed, radius, p, sketch_size, bands, shard_rows, shard_shingles) -> DataFrame:
+    """(v, root) of classes that link at similarity ``p``.
+
+    A ball wide enough for that similarity crosses every boundary of a tree over
+    64-bit fingerprints, so shards come first: classes that share a band meet in its
+    bucket, and a pair is looked at in the first band that it shares.  Inside a
+    bucket a vantage-point tree, the counts of shingles and the Hamming radius prune.
+    A bucket above ``shard_rows`` goes to its chunk pairs.
+    """
+    spark = scratch.spark
+    # by the hash of its number and minima a band's bucket is one long
+    number = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("_low"), k * 8 + 1, 8)))).alias("_band", "_bucket")
+    banded = scratch.write(classes.filter("_n > 0").select("_key", number), "banded")
+    several = banded.groupBy("_bucket").agg(F.min("_key").alias("a"), F.max("_key").alias("b"), F.count("*").alias("_c")).filter("a <> b").select("_bucket", "_c")
+    several = scratch.write(several, "several")
+    meet = _chunked(banded.join(several.hint("merge"), "_bucket"), F.ceil(F.col("_c") / shard_rows))
+    meet = scratch.write(meet.select("_key", "_band", "_task", "_own", "_other"), "meet")
+    scratch.drop("banded")
+    load = meet.count()
+    rich = meet.join(classes.select("_key", "_fp", "_n", "_sk", "_low").hint("merge"), "_key")
+    rich = rich.repartition(max(1, -(-load // 20_000)), "_task").sortWithinPartitions("_task")
+
+    def decide(table: pa.Table, links: Links, key, sets=None) -> np.ndarray:
+        """Adds the links of the rows of whole tasks; which rows are in a pair that is left open."""
+        fps, size = table["_fp"].to_numpy().astype(np.uint64), table["_n"].to_numpy()
+        own, other = table["_own"].to_numpy(), table["_other"].to_numpy()
         marked = np.zeros(len(fps), bool)
-        if verify:
-            sks = np.full((len(fps), sketch_size), _PAD, np.uint32)
-            sets = [np.frombuffer(x, np.uint64 if exact else np.uint32) for x in table["_sk"].to_pylist()]
-            for i, x in enumerate(sets):
-                got = sketch(x, sketch_size) if exact else x
-                sks[i, : len(got)] = got
-        if exact:
-            key = table["_root"].to_numpy()
-            _, first, same = np.unique(key, return_index=True, return_inverse=True)
-            links.add(np.arange(len(key)), first[same])
+        if sets is None:
+            sks = _padded([np.frombuffer(x, np.uint32) for x in table["_sk"].to_pylist()], sketch_size)
+            low = np.frombuffer(b"".join(table["_low"].to_pylist()), np.uint64).reshape(len(fps), -1)
+            band = table["_band"].to_numpy()
+        else:
+            sks = _padded([sketch(x, sketch_size) for x in sets], sketch_size)
 
         def found(i, j):
-            if verify:
-                lo, hi = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-                keep = lo >= min_similarity * hi
-                i, j = i[keep], j[keep]
-            keep = links.roots(i) != links.roots(j)
+            lo, hi = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            keep = lo >= p * hi
             i, j = i[keep], j[keep]
-            if verify:
-                for s in range(0, len(i), 4096):
-                    p, q = i[s : s + 4096], j[s : s + 4096]
-                    keep = links.roots(p) != links.roots(q)
-                    p, q = p[keep], q[keep]
-                    ok, unsure = settle(sks[p], sks[q], min_similarity)
-                    ok |= (size[p] == 0) & (size[q] == 0)
-                    links.add(p[ok], q[ok])
-                    p, q = p[unsure], q[unsure]
-                    while len(p):
-                        keep = links.roots(p) != links.roots(q)
-                        p, q = p[keep], q[keep]
-                        if not exact:
-                            marked[p] = marked[q] = True
-                            break
-                        ok = np.array([jaccard(sets[x], sets[y]) >= min_similarity for x, y in zip(p[:64].tolist(), q[:64].tolist(), strict=True)], bool)
-                        links.add(p[:64][ok], q[:64][ok])
-                        p, q = p[64:], q[64:]
-            else:
-                links.add(i, j)
-
+            for s in range(0, len(i), 4096):
+                a, b = i[s : s + 4096], j[s : s + 4096]
+                keep = links.roots(a) != links.roots(b)
+                a, b = a[keep], b[keep]
+                if sets is None:  # another task has the pair if they share an earlier band
+                    first = (low[a] == low[b]).argmax(1) == band[a]
+                    a, b = a[first], b[first]
+                ok, unsure = settle(sks[a], sks[b], p)
+                links.add(a[ok], b[ok])
+                a, b = a[unsure], b[unsure]
+                if sets is None:
+                    keep = links.roots(a) != links.roots(b)
+                    marked[a[keep]] = marked[b[keep]] = True
+                    continue
+                while len(a):
+                    keep = links.roots(a) != links.roots(b)
+                    a, b = a[keep], b[keep]
+                    ok = np.array([jaccard(sets[x], sets[y]) >= p for x, y in zip(a[:64].tolist(), b[:64].tolist(), strict=True)], bool)
+                    links.add(a[:64][ok], b[:64][ok])
+                    a, b = a[64:], b[64:]
+
+        task = table["_task"].to_numpy()
+        edge = np.r_[0, np.flatnonzero(np.diff(task)) + 1, len(task)]
+        n = np.diff(edge)
+        same = own == other
+        few = np.repeat((n <= 64), n) & same
+        at = np.flatnonzero(few)
+        i, j = _pairs_within(np.bincount(np.repeat(np.arange(len(n)), n)[at], minlength=len(n)))
+        i, j = at[i], at[j]
+        near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+        found(i[near], j[near])
         rng = np.random.default_rng(1)
-        every = np.arange(len(fps))
-        if a == b:
-            search(fps, every[home], every, radius, found, rng)
-        else:
-            search(fps, every[home & (own == a)], every[own == b], radius, found, rng)
-            search(fps, every[home & (own == b)], every[(own == a) & ~home], radius, found, rng)
-        root = links.roots(every)
-        keep = key[root] != key
-        return pa.table({"a": pa.array(np.r_[key[keep], key[marked]], pa.int64()), "b": pa.array(np.r_[key[root[keep]], key[marked]], pa.int64())})
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if few[a]:
+                continue
+            rows = np.arange(a, b)
+            if same[a]:
+                search(fps, rows, rows, radius, lambda x, y: found(x[x < y], y[x < y]), rng)
+            else:
+                search(fps, rows[own[a:b] < other[a:b]], rows[own[a:b] > other[a:b]], radius, found, rng)
+        return marked
 
-    def sets_of(batches):
+    def tasks(batches, most_rows):
+        """Tables of whole tasks from batches sorted by task."""
+        held, n = [], 0
         for batch in batches:
-            sk = [np.unique(shingle_hashes(t, shingle, seed)).tobytes() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sk, pa.binary()), batch.column(4)], names=["_key", "_fp", "_n", "_sk", "_root"])
-
-    tasks = ("_shard", "_a", "_b")
-    edges = dealt(classes, classes.select("_key", "_fp", "_n", "_sk"), False).groupBy(*tasks).applyInArrow(forest, "a long, b long")
-    if verify:
-        edges = scratch.write(edges, "edges")
-    labels = scratch.write(connected_components(edges, scratch), "labels")
-    doubt = edges.filter("a = b").select(F.col("a").alias("_key")).distinct() if verify else None
-    if verify and not doubt.isEmpty():
-        one = rows.groupBy("_key").agg(F.min("_row").alias("_row"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n")).join(doubt, "_key")
-        one = scratch.write(one.join(labels.withColumnRenamed("v", "_key").withColumnRenamed("root", "_root"), "_key", "left").withColumn("_root", F.coalesce("_root", "_key")), "doubt")
-        texts = docs.select(row_key(id_col, text_col).alias("_row"), F.col(text_col).alias("_text")).join(one.hint("merge"), "_row")
-        texts = texts.groupBy("_row").agg(*(F.first(c).alias(c) for c in ("_key", "_fp", "_n", "_text", "_root"))).drop("_row")
-        rich = texts.mapInArrow(sets_of, "_key long, _fp long, _n long, _sk binary, _root long")
-        more = dealt(one, rich, True).groupBy(*tasks).applyInArrow(forest, "a long, b long")
-        joined = connected_components(more, Scratch(spark, "simhash")).select(F.col("v").alias("root"), F.col("root").alias("_to"))
-        both = labels.select("v", "root").unionByName(joined.select(F.col("root").alias("v"), "root").join(labels.select("v"), "v", "left_anti").select("v", F.col("v").alias("root")))
-        labels = scratch.write(both.join(joined, "root", "left").select("v", F.coalesce("_to", "root").alias("root")), "joined")
-    whole = classes.select(F.col("_key"), "_least").join(labels.withColumnRenamed("v", "_key"), "_key", "left").withColumn("_root", F.coalesce("root", "_key"))
-    least = whole.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    member = scratch.write(whole.join(least, "_root").select("_key", "component_id", "_root"), "members")
-    out = rows.select("_row", "_id", "_key", "_fp", "_n").join(member.hint("merge"), "_key")
-    hexed = F.lower(F.lpad(F.hex("_fp"), 16, "0"))
-    return out.select("_row", F.col("_id").alias(id_col), hexed.alias("fingerprint"), F.col("_n").alias("n_shingles"), "component_id", "_root")
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+            if n >= most_rows:
+                table = pa.Table.from_batches(held)
+                task = table["_task"].to_numpy()
+                cut = int(np.searchsorted(task, task[-1]))
+                if cut:
+                    yield table.slice(0, cut).combine_chunks()
+                    held, n = table.slice(cut).to_batches(), n - cut
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def by_sketch(batches):
+        for table in tasks(batches, 4096):
+            key, task = table["_key"], table["_task"]
+            _, first, inverse = np.unique(np.array(key.to_pylist(), object), return_index=True, return_inverse=True)
+            links = Links(len(table))
+            links.add(np.arange(len(table)), first[inverse])  # a class in several tasks
+            marked = np.flatnonzero(decide(table, links, key))
+            root = links.roots(np.arange(len(table)))
+            keep = np.flatnonzero((root != np.arange(len(table))) & (first[inverse] != first[inverse][root]))
+            a, b = pa.array(np.r_[keep, marked]), pa.array(np.r_[root[keep], marked])
+            asked = pa.array(np.r_[np.zeros(len(keep), np.int64), task.to_numpy()[marked]], mask=np.r_[np.ones(len(keep), bool), np.zeros(len(marked), bool)])
+            for batch in pa.table({"a": key.take(a), "b": key.take(b), "_asked": asked}).combine_chunks().to_batches():
+                yield batch
+
+    edges = scratch.write(rich.select("_task", "_key", "_fp", "_n", "_sk", "_low", "_band", "_own", "_other").mapInArrow(by_sketch, "a binary, b binary, _asked long"), "edges")
+    labels = scratch.write(connected_components(edges.filter("_asked is null").select("a", "b"), scratch), "labels")
+    # pairs left open, if their classes are not in one component by now
+    asked = edges.filter("_asked is not null").select(F.col("a").alias("_key"), F.col("_asked").alias("_task")).distinct()
+    asked = asked.join(labels.withColumnRenamed("v", "_key").hint("merge"), "_key", "left").withColumn("_root", F.coalesce("root", "_key")).drop("root")
+    asked = scratch.write(asked.join(classes.select("_key", "_row", "_fp", "_n").hint("merge"), "_key"), "asked")
+    open_ = asked.groupBy("_task").agg(F.min("_root").alias("a"), F.max("_root").alias("b"), F.sum("_n").alias("_s"), F.count("*").alias("_c")).filter("a <> b").select("_task", "_s", "_c")
+    open_ = scratch.write(open_, "open")
+    doubt = asked.join(open_.hint("merge"), "_task")
+    parts = F.greatest(F.ceil(F.col("_s") / shard_shingles), F.ceil(F.col("_c") / shard_rows))
+    doubt = scratch.write(_chunked(doubt.withColumnRenamed("_task", "_bucket"), parts).select("_key", "_row", "_root", "_fp", "_n", "_task", "_own", "_other"), "doubt")
+    total, n = doubt.agg(F.sum("_n"), F.count("*")).first()
+    if not n:
+        return labels
+    one = doubt.select("_row", "_key").distinct()
+    texts = docs.select(row_key(id_col, text_col).alias("_row"), F.col(text_col).alias("_text")).join(one.hint("merge"), "_row").drop("_row").dropDuplicates(["_key"])
+    rich = doubt.join(texts.hint("merge"), "_key").select("_task", "_root", "_fp", "_n", "_own", "_other", "_text")
+    rich = rich.repartition(max(1, -(-total // (shard_shingles // 4))), "_task").sortWithinPartitions("_task")
+
+    def by_set(batches):
+        for table in tasks(batches, 512):
+            root = table["_root"]
+            _, first, inverse = np.unique(np.array(root.to_pylist(), object), return_index=True, return_inverse=True)
+            links = Links(len(table))
+            links.add(np.arange(len(table)), first[inverse])
+            decide(table, links, root, [np.unique(shingle_hashes(t, shingle, seed)) for t in table["_text"].to_pylist()])
+            up = links.roots(np.arange(len(table)))
+            keep = np.flatnonzero(first[inverse] != first[inverse][up])
+            for batch in pa.table({"a": root.take(pa.array(keep)), "b": root.take(pa.array(up[keep]))}).combine_chunks().to_batches():
+                yield batch
+
+    more = rich.mapInArrow(by_set, "a binary, b binary")
+    joined = connected_components(more, Scratch(spark, "simhash")).select(F.col("v").alias("root"), F.col("root").alias("_to"))
+    joined = scratch.write(joined, "joined")
+    both = labels.select("v", "root").unionByName(joined.select(F.col("root").alias("v"), "root").join(labels.select("v"), "v", "left_anti").select("v", F.col("v").alias("root")))
+    return scratch.write(both.join(joined.hint("merge"), "root", "left").select("v", F.coalesce("_to", "root").alias("root")), "relabelled")
+
+
+def _padded(rows: list[np.ndarray], k: int) -> np.ndarray:
+    out = np.full((len(rows), k), _PAD, np.uint32)
+    for i, x in enumerate(rows):
+        out[i, : len(x)] = x
+    return out
+
+
+def _chunked(x: DataFrame, parts) -> DataFrame:
+    """Rows with _task, _own, _other: a bucket's own number, or for each pair of its ``parts`` chunks another one."""
+    x = x.withColumn("_parts", F.greatest(parts.cast("int"), F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int"))
+    x = x.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    pair = F.xxhash64("_bucket", F.least("_own", "_other"), F.greatest("_own", "_other"))
+    return x.withColumn("_task", F.when(F.col("_parts") == 1, F.col("_bucket")).otherwise(pair))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, row_key, small_batches
 
 _GRAM = 32  # at least
 _SEP = 0xFF  # never a byte of UTF-8, and larger than all of them
@@ -276,6 +276,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gram = max(_GRAM, length // 3)  # long enough that little is lifted that shares an anchor only
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(row_key(id_col, text_col).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -309,11 +310,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             names=["_row", "_h", "_item", "_start", "_runs"],
         )
 
-    found = scratch.write(plain.select("_row", "_text").mapInArrow(cut, "_row long, _h long, _item long, _start long, _runs int"), "anchors")
+    found = scratch.write(plain.select("_row", "_text").mapInArrow(cut, "_row binary, _h long, _item long, _start long, _runs int"), "anchors")
     # repeated rows give the same places twice: those are one
     several = found.groupBy("_h").agg(F.min(F.struct("_row", "_start")).alias("a"), F.max(F.struct("_row", "_start")).alias("b")).filter("a <> b").select("_h")
+    # written, it comes to the join through an exchange of its own, so adaptive execution can split an anchor in very many documents
+    several = scratch.write(several, "several")
     shared = scratch.write(found.join(several.hint("merge"), "_h", "left_semi").distinct(), "shared")
     scratch.drop("anchors")
+    scratch.drop("several")
     items = scratch.write(shared.groupBy("_h", "_item").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "_start", "_runs")).alias("_at")), "items")
     crowd = items.groupBy("_h").agg(F.sum(F.col("_at._runs") + length).alias("_c")).filter(F.col("_c") > group_bytes).select("_h", F.lit(True).alias("_hot"))
     marked = items.join(crowd, "_h", "left")

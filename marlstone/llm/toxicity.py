@@ -28,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 _EDGE = "\"'()[]{}<>.,;:!?¡¿*_~`«»„“”‘’…-–—"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 
 
 def features(word: bytes) -> list[int]:
@@ -271,15 +273,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["_text"] for r in rows], [r["_y"] for r in rows], [w * scale for w in weight], **how)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch_words: int = 400_000) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch_words: int = 100_000) -> DataFrame:
     """The input's columns and score, n_toxic, spans of every row.
 
     spans are (start, end, probability) in characters of the runs of tokens whose
     marginal is above one half.  Null and empty texts have no tokens, no spans and
-    the curve's value for none.  Repeated rows and null ids are scored like any
-    other.  Result columns that clash replace the input's.
+    the curve's value for none.  Repeated rows, ties and null ids are scored like any
+    other.  Result columns that clash replace the input's; an empty table gives no
+    rows.  A very long text is scored whole, in segments, and held by one task.
     """
+    small_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("score", "n_toxic", "spans")]
+    # the text travels once: as a column of the input's own where it is one
+    at = own.index(text_col) if text_col in own else len(own)
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of max_docs documents
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
@@ -322,7 +328,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s, c, sp = one(model, cache, words, texts)
                 out.extend(s.tolist()), counts.extend(c), spans.extend(sp)
 
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for k in range(len(batch)):
+                text = batch.column(at)[k].as_py()
                 texts.append(text)
                 words.append((text or "").encode().split())
                 n += len(words[-1])
@@ -331,11 +338,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     texts, words, n = [], [], 0
             if texts:
                 flush()
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.float64()), pa.array(counts, pa.int64()), pa.array(spans, span)], names=[*batch.schema.names[:-1], "score", "n_toxic", "spans"])
+            arrays = [batch.column(i) for i in range(len(own))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.float64()), pa.array(counts, pa.int64()), pa.array(spans, span)], names=[*own, "score", "n_toxic", "spans"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "score double, n_toxic long, spans array<struct<start: bigint, end: bigint, probability: double>>"])
-    return docs.select(*own, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*own, *([F.col(text_col)] if at == len(own) else [])).mapInArrow(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, below: float = 0.7, **how) -> DataFrame:
+    """The input's rows that score less than ``below``, with its columns, those named like results included.
+
+    Takes what ``score`` takes and treats nulls, empty texts, repeats and ties alike.
+    """
+    clash = [c for c in docs.columns if c in ("score", "n_toxic", "spans")]
+    own = "_" * (1 + max(map(len, docs.columns))) + "own"
+    scored = score(docs.select("*", F.struct(*(F.col(f"`{c}`") for c in clash)).alias(own)) if clash else docs, model, **how)
+    return scored.filter(F.col("score") < below).select(*[F.col(own)[c].alias(c) if c in clash else F.col(f"`{c}`") for c in docs.columns])
 
 
 def _spans(text: str, hot: np.ndarray, p: np.ndarray) -> list[dict]:

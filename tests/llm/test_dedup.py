@@ -129,7 +129,7 @@ def test_simhash_of_edge_cases(edge_df, clashing, edge):
     assert simhash.near_groups(edge_df.limit(0), shingle=3).count() == 0
 
 
-@pytest.mark.parametrize("how", [{"radius": 2}, {"radius": 2, "shard_rows": 16}, {"radius": 12, "shard_rows": 24}])
+@pytest.mark.parametrize("how", [{"radius": 2}, {"radius": 2, "shard_rows": 16}, {"radius": 12, "shard_rows": 24}, {"radius": 2, "shard_rows": 8, "sample_rows": 64}])
 def test_simhash_of_documents(spark, how):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     docs = [tuple(r) for r in df.select("doc_id", "text").collect()]
@@ -141,7 +141,7 @@ def test_pairs_meet_in_a_shard():
     fps = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     near = fps[:500] ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64))
     every = np.concatenate([fps, near])
-    nodes = simhash.shard_tree(every, len(every), 100, 2, 256)
+    nodes = simhash.vantage_tree(every, len(every), 100, 2)
     assert len(nodes) > 10
     at, shard, home = simhash.shards_of(every, nodes, 2)
     assert np.bincount(at[home], minlength=len(every)).tolist() == [1] * len(every)
