@@ -23,7 +23,7 @@ def sha_id(value: Column, length: int = 16, prefix: str = "") -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfkd(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
+    return x.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKD", s))
 
 
 @F.pandas_udf(T.StringType())
@@ -62,9 +62,10 @@ def money_value(value: Column) -> Column:
 
 
 def money_micros(amount: Column) -> Column:
-    """FN-12: exact micros; null beyond 2**53 - 1."""
-    x = F.round(amount * 1e6)
-    return F.when(F.abs(x) <= float((1 << 53) - 1), x.cast("long"))
+    """FN-12: exact micros; raises beyond 2**53 - 1, null stays null."""
+    x = F.floor(amount * 1e6 + 0.5).cast("double")
+    outside = F.raise_error(F.concat(F.lit("money amount is outside the safe range: "), amount.cast("string")))
+    return F.when(x.isNull(), F.lit(None).cast("long")).when(F.abs(x) <= float((1 << 53) - 1), x.cast("long")).otherwise(outside)
 
 
 def term_pattern(term: str) -> str:
@@ -150,18 +151,15 @@ def canonical_json(x: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def evidence_ids(x: pd.Series) -> pd.Series:
-    """FN-15: every evidence id in a JSON document, first occurrences in order."""
+    """FN-15: every evidence id that some object of a JSON document lists in its support, first occurrences in order."""
 
     def walk(v, out):
         if isinstance(v, dict):
-            for k, w in v.items():
-                if k == "evidence_ids" and isinstance(w, list):
-                    out.extend(i for i in w if isinstance(i, str))
-                else:
-                    walk(w, out)
-        elif isinstance(v, list):
-            for w in v:
-                walk(w, out)
+            support = v.get("support")
+            if isinstance(support, dict) and isinstance(support.get("evidence_ids"), list):
+                out.extend(i for i in support["evidence_ids"] if isinstance(i, str))
+        for w in v.values() if isinstance(v, dict) else v if isinstance(v, list) else ():
+            walk(w, out)
         return out
 
     return x.map(lambda s: None if s is None else list(dict.fromkeys(walk(json.loads(s), []))))

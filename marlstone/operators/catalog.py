@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import money_micros, quote_offset, sha_id, source_identity
+from ..functions.text import canonical_json, evidence_ids, money_micros, quote_offset, sha_id, source_identity
 from .contract import CONTRACT_VERSION
-from .publish import latest
+from .publish import entitled, latest, uncontradicted
 
 _SUPPORT = "support: struct<basis: string, evidence_ids: array<string>>"
 _STEXT = f"struct<text: string, {_SUPPORT}>"
@@ -38,20 +38,22 @@ TABLES = {
     "source_snapshots": "source_snapshot_id string, source_identity string, source_kind string, source_locator string, source_name string, source_url string, observed_at string, content_hash string, full_text string",
     "evidence_spans": "source_snapshot_id string, evidence_key string, quote string, start_offset int, end_offset int",
     "products": "product_id string, created_at string",
-    "product_revisions": "product_revision_id string, product_id string, source_snapshot_id string, supersedes string, name string, description string, description_evidence array<string>, document_json string, created_at string",
+    "product_revisions": "product_revision_id string, product_id string, source_snapshot_id string, supersedes string, name string, description string, description_evidence array<string>, evidence_ids array<string>, document_json string, "
+    "observed_at string, created_at string",
     "opportunities": "opportunity_id string, product_id string, local_key string, created_at string",
     "opportunity_revisions": "opportunity_revision_id string, opportunity_id string, product_id string, product_revision_id string, local_key string, source_snapshot_id string, supersedes string, availability string, effective_from string, effective_to string, "
-    "n_entitlements int, all_evidenced boolean, contradictory boolean, evidence_ids array<string>, document_json string, created_at string",
+    "entitled boolean, contradictory boolean, evidence_ids array<string>, document_json string, observed_at string, created_at string",
     "review_events": "review_event_id string, review_id string, product_revision_id string, opportunity_revision_id string, decision string, canonical_product_id string, reviewer_kind string, reviewer_id string, note string, created_at string",
-    "facet_index": "product_revision_id string, namespace string, concept_id string",
+    "facet_index": "product_revision_id string, namespace string, concept_id string, basis string",
     "entitlement_index": "opportunity_revision_id string, entitlement_key string, kind string, label string, quantity double, quantity_comparator string, source_unit string, normalized_unit string, cadence_interval bigint, cadence_unit string, cadence_alignment string, "
     "duration_value double, duration_unit string, monetary_micros bigint, monetary_currency string, monetary_comparator string, maximum_micros bigint, percentage double, percentage_comparator string, cost_scope string",
     "entitlement_applicability_index": "opportunity_revision_id string, entitlement_key string, ordinal int, target_type string, source_label string",
-    "constraint_index": "opportunity_revision_id string, constraint_key string, kind string, target_key string, quantity double, normalized_unit string, cadence_interval bigint, cadence_unit string",
+    "constraint_index": "opportunity_revision_id string, constraint_key string, kind string, other_kind string, target_key string, quantity double, quantity_comparator string, normalized_unit string, "
+    "cadence_interval bigint, cadence_unit string, cadence_alignment string",
     "condition_index": "opportunity_revision_id string, condition_key string, family string, normalized_kind string, required boolean, verification_required boolean, state string, target_key string",
-    "condition_geography_index": "opportunity_revision_id string, condition_key string, region string",
+    "condition_geography_index": "opportunity_revision_id string, condition_key string, mode string, region string",
     "condition_audience_index": "opportunity_revision_id string, condition_key string, audience string",
-    "search_index": "product_revision_id string, name string, description string, outcomes string, source_text string",
+    "search_index": "opportunity_revision_id string, name string, description string, outcomes string, source_text string",
 }
 
 
@@ -130,27 +132,35 @@ def plan_identity(candidates: DataFrame, catalog: Catalog) -> DataFrame:
     """
     c = candidates.withColumn("doc", F.from_json("candidate", CANDIDATE_DDL))
     snaps, revs = catalog.read("source_snapshots"), catalog.read("product_revisions")
-    known = latest(revs.join(snaps.select("source_snapshot_id", "source_identity"), "source_snapshot_id"), ["source_identity"], [F.col("created_at").desc(), F.col("product_revision_id").desc()])
+    known = latest(revs.join(snaps.select("source_snapshot_id", "source_identity"), "source_snapshot_id"), ["source_identity"], [F.col("observed_at").desc(), F.col("product_revision_id").desc()])
     known = known.select("source_identity", F.col("product_id").alias("_known"), F.col("product_revision_id").alias("product_supersedes"))
     x = c.join(known, "source_identity", "left").withColumn("product_id", F.coalesce("_known", sha_id(F.col("source_identity"), 24, "prod_")))
-    x = x.withColumn("product_revision_id", sha_id(F.concat_ws("\n", "product_id", "source_snapshot_id", "candidate"), 24, "pr_"))
+    x = x.withColumn("product_revision_id", sha_id(F.concat_ws("\n", "source_snapshot_id", "product_id"), 24, "pr_"))
     o = x.select("*", F.posexplode_outer("doc.opportunities").alias("_n", "o"))
-    old = latest(catalog.read("opportunity_revisions"), ["product_id", "local_key"], [F.col("created_at").desc(), F.col("opportunity_revision_id").desc()])
+    old = latest(catalog.read("opportunity_revisions"), ["product_id", "local_key"], [F.col("observed_at").desc(), F.col("opportunity_revision_id").desc()])
     old = old.select("product_id", F.col("local_key").alias("_key"), F.col("opportunity_id").alias("_opp"), F.col("opportunity_revision_id").alias("opportunity_supersedes"))
     o = o.withColumn("_key", F.col("o.local_key")).join(old, ["product_id", "_key"], "left")
     oid = F.coalesce("_opp", sha_id(F.concat_ws("\n", "product_id", "_key"), 24, "opp_"))
-    return o.withColumn("opportunity_id", F.when(F.col("o").isNotNull(), oid)).withColumn("opportunity_revision_id", F.when(F.col("o").isNotNull(), sha_id(F.concat_ws("\n", "opportunity_id", "product_revision_id"), 24, "or_"))).drop("_known", "_opp", "_key", "_n")
+    o = o.withColumn("opportunity_id", F.when(F.col("o").isNotNull(), oid))
+    o = o.withColumn("opportunity_revision_id", F.when(F.col("o").isNotNull(), sha_id(F.concat_ws("\n", "source_snapshot_id", "opportunity_id"), 24, "or_")))
+    number = F.concat(F.lit("$.opportunities["), F.col("_n").cast("string"), F.lit("]"))
+    documents = {"product_document": canonical_json(F.get_json_object("candidate", "$.product")), "opportunity_document": canonical_json(F.call_function("get_json_object", F.col("candidate"), number))}
+    return o.withColumns(documents).drop("_known", "_opp", "_key", "_n")
 
 
 def condition_columns(c: Column) -> list[Column]:
     """PRJ-05: the five families as common columns."""
     f = c["family"]
-    kind = F.when(f == "boolean_requirement", c["kind"]).when(f == "external_credential", c["credential_type"]).when(f == "geography", c["mode"]).when(f == "other", c["normalized_key"]).otherwise(f)
+    kind = F.when(f == "boolean_requirement", c["kind"]).when(f == "external_credential", c["credential_type"]).when(f == "other", c["normalized_key"]).otherwise(f)
     return [c["key"].alias("condition_key"), f.alias("family"), kind.alias("normalized_kind"), c["required"].alias("required"), c["verification_required"].alias("verification_required"), c["state"].alias("state"), c["target_key"].alias("target_key")]
 
 
 def index_tables(plan: DataFrame, observations: DataFrame) -> dict[str, DataFrame]:
-    """SNK-05: every table's rows of the planned observations; all narrow, so a batch costs one pass for each table."""
+    """SNK-05: every table's rows of the planned observations; all narrow, so a batch costs one pass for each table.
+
+    Gates (FLT-07, FLT-08) and the evidence that documents cite anywhere (FN-15) are
+    settled here, so a read parses no document.
+    """
     one = plan.dropDuplicates(["product_revision_id"])
     opp = plan.filter(F.col("opportunity_id").isNotNull())
     p, created = F.col("doc.product"), F.col("observed_at").alias("created_at")
@@ -158,35 +168,39 @@ def index_tables(plan: DataFrame, observations: DataFrame) -> dict[str, DataFram
     spans = one.select("source_snapshot_id", F.explode("doc.evidence_spans").alias("s")).join(seen, "source_snapshot_id")
     start = quote_offset(F.col("raw_text"), F.col("s.quote"))
     rev = F.col("opportunity_revision_id")
+    seen_at = F.col("observed_at")
     e = opp.select(rev, F.explode("o.entitlements").alias("e"))
     con, cond = opp.select(rev, F.explode("o.constraints").alias("c")), opp.select(rev, F.explode("o.conditions").alias("c"))
-    evidence = F.array_distinct(F.flatten(F.transform("o.entitlements", lambda x: x["support"]["evidence_ids"])))
     name = F.coalesce(p["proposed_canonical_name"]["text"], p["source_name"])
-    q = lambda c: [c["quantity"]["value"].alias("quantity"), c["quantity"]["normalized_unit"].alias("normalized_unit"), c["cadence"]["interval"].alias("cadence_interval"), c["cadence"]["unit"].alias("cadence_unit")]
+    q = lambda c: [
+        c["quantity"]["value"].alias("quantity"), c["quantity"]["comparator"].alias("quantity_comparator"), c["quantity"]["normalized_unit"].alias("normalized_unit"),
+        c["cadence"]["interval"].alias("cadence_interval"), c["cadence"]["unit"].alias("cadence_unit"), c["cadence"]["alignment"].alias("cadence_alignment"),
+    ]
     ent = F.col("e")
     return {
         "source_snapshots": observations.withColumnRenamed("raw_text", "full_text").select(*[c.split()[0] for c in TABLES["source_snapshots"].split(", ")]),
         "evidence_spans": spans.select("source_snapshot_id", F.col("s.id").alias("evidence_key"), F.col("s.quote").alias("quote"), start.cast("int").alias("start_offset"), (start + F.length("s.quote")).cast("int").alias("end_offset")),
         "products": one.select("product_id", created).dropDuplicates(["product_id"]),
-        "product_revisions": one.select("product_revision_id", "product_id", "source_snapshot_id", F.col("product_supersedes").alias("supersedes"), name.alias("name"), p["description"]["text"].alias("description"), p["description"]["support"]["evidence_ids"].alias("description_evidence"), F.col("candidate").alias("document_json"), created),
+        "product_revisions": one.select(
+            "product_revision_id", "product_id", "source_snapshot_id", F.col("product_supersedes").alias("supersedes"), name.alias("name"), p["description"]["text"].alias("description"),
+            p["description"]["support"]["evidence_ids"].alias("description_evidence"), evidence_ids(F.col("product_document")).alias("evidence_ids"), F.col("product_document").alias("document_json"), seen_at, created),
         "opportunities": opp.select("opportunity_id", "product_id", F.col("o.local_key").alias("local_key"), created).dropDuplicates(["opportunity_id"]),
         "opportunity_revisions": opp.select(
             rev, "opportunity_id", "product_id", "product_revision_id", F.col("o.local_key").alias("local_key"), "source_snapshot_id", F.col("opportunity_supersedes").alias("supersedes"), F.col("o.availability.value").alias("availability"),
-            F.col("o.effective_period")["from"].alias("effective_from"), F.col("o.effective_period")["to"].alias("effective_to"), F.size("o.entitlements").alias("n_entitlements"),
-            (~F.coalesce(F.exists("o.entitlements", lambda x: F.size(x["support"]["evidence_ids"]) < 1), F.lit(False))).alias("all_evidenced"), F.coalesce(F.exists("o.ambiguities", lambda x: x["reason"] == "contradictory"), F.lit(False)).alias("contradictory"),
-            evidence.alias("evidence_ids"), F.to_json("o").alias("document_json"), created),
-        "facet_index": one.select("product_revision_id", F.explode("doc.product.facets").alias("f")).select("product_revision_id", "f.namespace", "f.concept_id").distinct(),
+            F.col("o.effective_period")["from"].alias("effective_from"), F.col("o.effective_period")["to"].alias("effective_to"), entitled(F.col("o.entitlements")).alias("entitled"),
+            (~uncontradicted(F.col("o.ambiguities"))).alias("contradictory"), evidence_ids(F.col("opportunity_document")).alias("evidence_ids"), F.col("opportunity_document").alias("document_json"), seen_at, created),
+        "facet_index": one.select("product_revision_id", F.explode("doc.product.facets").alias("f")).select("product_revision_id", "f.namespace", "f.concept_id", F.col("f.support.basis").alias("basis")).distinct(),
         "entitlement_index": e.select(
             rev, ent["key"].alias("entitlement_key"), ent["kind"].alias("kind"), ent["label"].alias("label"), ent["quantity"]["value"].alias("quantity"), ent["quantity"]["comparator"].alias("quantity_comparator"), ent["quantity"]["source_unit"].alias("source_unit"),
             ent["quantity"]["normalized_unit"].alias("normalized_unit"), ent["cadence"]["interval"].alias("cadence_interval"), ent["cadence"]["unit"].alias("cadence_unit"), ent["cadence"]["alignment"].alias("cadence_alignment"), ent["duration"]["value"].alias("duration_value"),
             ent["duration"]["unit"].alias("duration_unit"), money_micros(ent["monetary_value"]["amount"]).alias("monetary_micros"), ent["monetary_value"]["currency"].alias("monetary_currency"), ent["monetary_value"]["comparator"].alias("monetary_comparator"),
             money_micros(ent["maximum_value"]["amount"]).alias("maximum_micros"), ent["percentage_value"]["value"].alias("percentage"), ent["percentage_value"]["comparator"].alias("percentage_comparator"), ent["cost_scope"].alias("cost_scope")),
         "entitlement_applicability_index": e.select(rev, ent["key"].alias("entitlement_key"), F.posexplode(ent["applies_to"]).alias("ordinal", "a")).select("opportunity_revision_id", "entitlement_key", "ordinal", "a.target_type", "a.source_label"),
-        "constraint_index": con.select(rev, F.col("c.key").alias("constraint_key"), F.coalesce("c.other_kind", "c.kind").alias("kind"), F.col("c.target_key").alias("target_key"), *q(F.col("c"))),
+        "constraint_index": con.select(rev, F.col("c.key").alias("constraint_key"), F.col("c.kind").alias("kind"), F.col("c.other_kind").alias("other_kind"), F.col("c.target_key").alias("target_key"), *q(F.col("c"))),
         "condition_index": cond.select(rev, *condition_columns(F.col("c"))),
-        "condition_geography_index": cond.select(rev, F.col("c.key").alias("condition_key"), F.explode("c.regions").alias("region")),
+        "condition_geography_index": cond.select(rev, F.col("c.key").alias("condition_key"), F.col("c.mode").alias("mode"), F.explode("c.regions").alias("region")),
         "condition_audience_index": cond.select(rev, F.col("c.key").alias("condition_key"), F.explode("c.audiences").alias("audience")),
-        "search_index": one.join(seen, "source_snapshot_id").select("product_revision_id", name.alias("name"), F.coalesce(p["description"]["text"], F.lit("")).alias("description"), F.array_join(F.transform(p["claimed_outcomes"], lambda x: x["text"]), " ").alias("outcomes"), F.col("raw_text").alias("source_text")),
+        "search_index": opp.join(seen, "source_snapshot_id").select(rev, name.alias("name"), F.coalesce(p["description"]["text"], F.lit("")).alias("description"), F.array_join(F.transform(p["claimed_outcomes"], lambda x: x["text"]), " ").alias("outcomes"), F.col("raw_text").alias("source_text")),
     }
 
 

@@ -23,7 +23,8 @@ def eligible_latest(revisions: DataFrame, reviews: DataFrame, revision_id: str,
     Filters stand before the rank, so an older trusted revision comes back when a
     newer one is rejected (T2).
     """
-    trusted = reviews.filter(F.col("decision") == "trust").select(F.col("target").alias(revision_id), F.col("decided_at"))
+    more = [c for c in reviews.columns if c not in ("target", "decision")]
+    trusted = reviews.filter(F.col("decision") == "trust").select(F.col("target").alias(revision_id), *more)
     rows = revisions.join(trusted, revision_id)
     return latest(rows.filter(gate) if gate is not None else rows, keys, order)
 

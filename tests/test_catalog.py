@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import attempts, contract, evaluate, history
 from marlstone.operators.catalog import Catalog, ingest, observe
-from marlstone.operators.engine import CatalogEngine, bounded, catalog_kind, clamped
+from marlstone.operators.engine import CatalogEngine, bounded, bounded_params, catalog_kind, clamped
 
 CONCEPTS, UNITS = {"capability": {"gpu_compute", "model_api"}}, {"hour", "request"}
 TEXT = "Acme runs GPU jobs for builders. Everyone gets 10 GPU hours per month for 3 months. Public sign-up. https://acme.test"
@@ -161,14 +161,20 @@ def test_catalog_end_to_end(spark, tmp_path):
     assert catalog.read("entitlement_index").first()["monetary_micros"] == 30_000_000
     span = catalog.read("evidence_spans").filter("evidence_key = 'ev_offer'").first()
     assert TEXT[span["start_offset"] : span["end_offset"]] == span["quote"]
-    assert {r["normalized_kind"] for r in catalog.read("condition_index").collect()} == {"login", "included"}
+    assert {r["normalized_kind"] for r in catalog.read("condition_index").collect()} == {"login", "geography"}
+    assert {r["mode"] for r in catalog.read("condition_geography_index").collect()} == {"included"}
     assert engine.evidence(sid, "ev_what").count() == 0  # not published yet
     trust(spark, catalog, "r1", "2026-01-02T00:00:00Z")
     assert engine.published().count() == 1 and engine.evidence(sid, "ev_what").count() == 1
     assert engine.search("gpu-jobs").count() == 1 and engine.search("gpu zzz").count() == 0
     assert engine.search(capabilities=["gpu_compute"]).count() == 1 and engine.search(capabilities=["gpu_compute", "model_api"]).count() == 0
     row = engine.opportunity(engine.published().first()["opportunity_id"]).first()
-    assert row["capabilities"] == ["gpu_compute"] and {e["evidence_key"] for e in row["evidence"]} == {"ev_what", "ev_offer"} and row["sources"][0]["source_name"] == "Acme"
+    assert [(c["id"], c["basis"]) for c in row["capabilities"]] == [("gpu_compute", "explicit")] and row["sources"][0]["source_name"] == "Acme"
+    assert {e["evidence_key"] for e in row["evidence"]} == {"ev_what", "ev_offer", "ev_url"}  # links and facets cite too
+    assert row["publication"]["product_review_event_id"] == "r1" + row["product_revision_id"] and row["product"]["observed_at"] == "2026-01-01T00:00:00Z"
+    assert json.loads(row["product"]["document"]) == candidate(sid)["product"] and json.loads(row["opportunity"]["document"]) == candidate(sid)["opportunities"][0]
+    assert engine.evidence(sid, "ev_url").first()["source_name"] == "Acme" and engine.evidence(sid, "ev_none").count() == 0
+    assert engine.coverage().first()["known_opportunities"] == 1 and engine.health().first()["contract_version"] == "0.1.0"
     cap = engine.capabilities().first()
     assert (cap["concept_id"], cap["label"], cap["opportunity_count"]) == ("gpu_compute", "Gpu_compute", 1)
     assert engine.health().first()["published_opportunities"] == 1 and engine.needs().count() == 0
@@ -182,6 +188,43 @@ def test_catalog_end_to_end(spark, tmp_path):
     assert engine.published().count() == 0
 
 
+def test_the_revision_observed_last_is_published_whenever_it_was_trusted(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "c"))
+    engine = CatalogEngine(catalog)
+    ids = []
+    for month, batch in (("01", "b1"), ("02", "b2")):
+        sid = put(spark, catalog, f"2026-{month}-01T00:00:00Z", batch)
+        ids.append(catalog.read("product_revisions").filter(F.col("source_snapshot_id") == sid).first()["product_revision_id"])
+
+    def decide(batch, revision, at, decision="trust"):
+        p = catalog.read("product_revisions").filter(F.col("product_revision_id") == revision).select("product_revision_id", "source_snapshot_id")
+        o = catalog.read("opportunity_revisions").join(p.select("source_snapshot_id"), "source_snapshot_id")
+        e = p.select("product_revision_id", F.lit(None).cast("string").alias("opportunity_revision_id")).union(o.select(F.lit(None).cast("string"), "opportunity_revision_id"))
+        catalog.append({"review_events": e.select("*", F.lit(decision).alias("decision"), F.lit(at).alias("created_at"), F.concat(F.lit(batch), F.coalesce("product_revision_id", "opportunity_revision_id")).alias("review_event_id"))}, batch)
+
+    decide("r1", ids[1], "2026-03-01T00:00:00Z")
+    decide("r2", ids[0], "2026-03-02T00:00:00Z")  # the older one, trusted later
+    row = engine.published().first()
+    assert row["product_revision_id"] == ids[1] and row["opportunity_observed_at"] == "2026-02-01T00:00:00Z" and row["published_at"] == "2026-03-01T00:00:00Z"
+    decide("r3", ids[1], "2026-03-03T00:00:00Z", "reject")  # then the older one comes back
+    assert engine.published().first()["product_revision_id"] == ids[0]
+
+
+def test_constraints_keep_their_kinds(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "c"))
+    obs = observed(spark, "2026-01-01T00:00:00Z")
+    sid = obs.first()["source_snapshot_id"]
+    c = candidate(sid)
+    cap = {"key": "cap", "kind": "other", "other_kind": "burst", "label": "b", "target_key": "hours", "quantity": {"value": 3, "comparator": "up_to", "source_unit": "h", "normalized_unit": "hour"}, "cadence": {"interval": 1, "unit": "day", "alignment": "rolling"}, "support": support("ev_offer")}
+    c["opportunities"][0]["constraints"].append(cap)
+    ingest(catalog, spark.createDataFrame([(sid, json.dumps(c))], "source_snapshot_id string, candidate string"), obs, "b")
+    got = {r["constraint_key"]: (r["kind"], r["other_kind"], r["quantity_comparator"], r["cadence_alignment"]) for r in catalog.read("constraint_index").collect()}
+    assert got == {"keep": ("retention", None, None, None), "cap": ("other", "burst", "up_to", "rolling")}
+    c["opportunities"][0]["entitlements"][0]["monetary_value"]["amount"] = 1e12
+    with pytest.raises(Exception, match="safe range"):
+        ingest(catalog, spark.createDataFrame([(sid, json.dumps(c))], "source_snapshot_id string, candidate string"), obs, "b3")
+
+
 def test_only_finished_batches_are_seen_and_nothing_updates(spark, tmp_path):
     catalog = Catalog.open(spark, str(tmp_path / "c"))
     spark.createDataFrame([("prod_x", "t")], "product_id string, created_at string").write.parquet(str(tmp_path / "c/products/batch_id=half"))
@@ -196,6 +239,11 @@ def test_bounds():
     for bad in (("x" * 513, [], 1), ("", ["a"] * 9, 1), ("", ["a" * 129], 1), ("", [], 0), ("", [], 101), ("", [], True)):
         with pytest.raises(ValueError):
             bounded(*bad)
+    assert bounded(" x ", ["a", " "], 1, ["b"]) == ("x", ["a", "b"], 1)
+    assert bounded_params({"q": ["x"], "capability": ["a"], "need": ["b"], "limit": ["7"]}) == ("x", ["a", "b"], 7)
+    for bad in ({"other": ["1"]}, {"q": ["a", "b"]}, {"limit": ["1.5"]}, {"limit": ["0"]}, {"limit": ["-1"]}):
+        with pytest.raises(ValueError):
+            bounded_params(bad)
     assert catalog_kind({"product_revisions", "review_events"}) == "typed" and catalog_kind({"source_records", "opportunities"}) == "legacy"
 
 
