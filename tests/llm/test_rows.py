@@ -100,3 +100,24 @@ def test_splitters_do_not_change_the_result(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     a, b = (sharding.shard(df, rows_per_range=n, seed=s).orderBy("doc_id").collect() for n, s in ((100_000, 1), (3, 2)))
     assert a == b
+
+
+def test_groups_of_equal_texts_stay_whole(spark):
+    docs = [(k, "x" * 90 if k < 900 else "y" * 50 if k < 1500 else f"own {k} " * 9) for k in range(9000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for frame, texts in ((df, docs), (spark.read.parquet(f"{DATA}/documents.parquet"), None)):
+        texts = texts or [tuple(r) for r in frame.select("doc_id", "text").collect()]
+        got = sharding.shard(frame).collect()
+        sizes = check_shards(got, texts, 8)
+        homes = defaultdict(set)
+        for r in got:
+            homes[r["text_crc32"]].add(r["shard"])
+        assert all(len(s) == 1 for s in homes.values())
+        assert max(sizes.values()) - min(sizes.values()) <= max(0.02 * sum(sizes.values()) / 8, max(r["size"] for r in got))
+
+
+def test_rows_without_id_are_mixed_alike_again(spark):
+    docs = [(None, f"{w} " * 5, "s") for w in range(400)] + [(1, f"{w} " * 5, "s") for w in range(400)] + [(k, "b " * 50, "t") for k in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    taken = lambda d: sorted((r["doc_id"] or 0, r["text"], r["copies"]) for r in mixing.plan(d).collect())
+    assert taken(df) == taken(df.repartition(7).orderBy(F.rand(3)))
