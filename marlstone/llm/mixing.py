@@ -9,7 +9,9 @@ target by little more than one long document.
 The running sum is the rank times a constant, so it needs ranks only.  A rank
 is the sum of three bounded parts: documents of smaller sizes (a window over one
 row per size), documents in earlier hash buckets of the same size (a window over
-at most 256 rows), and the place within the bucket.  No window holds a source.
+at most 256 rows, or 65,536 of rows without an id), and the place within the
+bucket.  No window holds a source.  Cells of size and bucket are written, so texts are
+counted twice: for the cells, and where a row gets its place.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import Scratch, words
 
 
 def _name(source: Column) -> Column:
@@ -71,13 +73,18 @@ def plan(
     """The input's columns and _size, source_size, target, copies for every row.
 
     Null texts have size 0; a source without words has target 0 and no copies.
-    Rows of equal size stand by a hash of their id, then by id, so reruns agree;
-    repeated rows are separate items.  A null source is a source of its own.
-    Internal names begin with ``_``.  An empty table gives no rows.
+    Ties of size stand by a hash of their id, then by id, then by a hash of the text
+    (rows without an id by longer hashes of the text), so reruns agree; rows that
+    repeat id and text are separate items, any of which is as good as another.  A
+    null source is a source of its own.  A very long text is one item, which may
+    pass its source's target by its own size.  Internal names begin with ``_``.  An
+    empty table gives no rows.
     """
-    x = docs.withColumns({"_src": _name(F.col(source_col)), "_size": words(F.col(text_col))})
-    x = x.withColumn("_bucket", F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 2))
+    x = docs.withColumns({"_src": _name(F.col(source_col)), "_size": words(F.col(text_col)), "_text_hash": F.xxhash64(text_col)})
+    by_text = F.substring(F.md5(F.col("_text_hash").cast("string")), 1, 4)
+    x = x.withColumn("_bucket", F.when(F.col(id_col).isNull(), by_text).otherwise(F.substring(F.md5(F.col(id_col).cast("string")), 1, 2)))
     cells = x.groupBy("_src", "_size", "_bucket").agg(F.count("*").alias("_n"))
+    cells = Scratch(docs.sparkSession, "mix").write(cells, "cells")
     by_size = cells.groupBy("_src", "_size").agg(F.sum("_n").alias("_n"))
     smaller = by_size.select("_src", "_size", F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_smaller"))
     earlier = cells.select("_src", "_size", "_bucket", F.coalesce(F.sum("_n").over(Window.partitionBy("_src", "_size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
@@ -87,11 +94,11 @@ def plan(
     starts = earlier.join(smaller, ["_src", "_size"]).join(share, "_src").select("_src", "_size", "_bucket", (F.col("_smaller") + F.col("_earlier")).alias("_start"), "source_size", "target", rate.alias("_rate"), offset.alias("_offset"))
     clash = [c for c in ("source_size", "target", "copies") if c in docs.columns]
     x = x.drop(*clash).join(starts, ["_src", "_size", "_bucket"])
-    place = F.row_number().over(Window.partitionBy("_src", "_size", "_bucket").orderBy(id_col)).cast("long")
+    place = F.row_number().over(Window.partitionBy("_src", "_size", "_bucket").orderBy(id_col, "_text_hash")).cast("long")
     rank = F.col("_start") + F.col("_place")
     passed = lambda r: F.floor(F.col("_offset") + F.col("_rate") * r)
     x = x.withColumn("_place", place).withColumn("copies", (passed(rank) - passed(rank - 1)).cast("int"))
-    return x.drop("_src", "_bucket", "_start", "_place", "_rate", "_offset")
+    return x.drop("_src", "_bucket", "_text_hash", "_start", "_place", "_rate", "_offset")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
