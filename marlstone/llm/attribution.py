@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import small_batches
+from .common import lean, small_batches
 
 RULES = ("first", "last", "majority", "proportional")
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
@@ -104,7 +104,9 @@ def token_counts(
                     rows = []
             if rows:
                 yield flush(batch.column(0), rows)
+        del enc
+        tokens.forget()
 
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = f"_id {kind}, section int, name string, start long, end long, n_tokens double, n_touching long, n_crossing long"
-    return plain.mapInArrow(count, schema).withColumnRenamed("_id", id_col)
+    return plain.mapInArrow(lean(count), schema).withColumnRenamed("_id", id_col)

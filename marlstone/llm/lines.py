@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, small_batches
+from .common import Scratch, lean, row_key, small_batches
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -69,7 +69,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *(pa.array(x, pa.int64()) for x in (at, hi, lo))], names=["_row", "_id", "_at", "_h1", "_h2"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = keyed.select("_row", F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(windows, f"_row binary, _id {kind}, _at long, _h1 long, _h2 long")
+    found = keyed.select("_row", F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(lean(windows), f"_row binary, _id {kind}, _at long, _h1 long, _h2 long")
     found = scratch.write(found, "windows")
     # the row key stands in the order, so repeated rows are one occurrence
     place = F.struct(F.isnull("_id").alias("a"), F.col("_id").alias("b"), F.col("_row").alias("c"), F.col("_at").alias("d"))
@@ -103,5 +103,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed", "n_runs")]
     joined = keyed.join(marks.hint("merge"), "_row", "left").select(*own, F.col(text_col).alias("_text"), "_starts")
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "_text string, n_lines long, n_removed long, n_runs long"])
-    out = joined.mapInArrow(cut, schema)
+    out = joined.mapInArrow(lean(cut), schema)
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in [c for c in docs.columns if c in own or c == text_col]], "n_lines", "n_removed", "n_runs")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, small_batches
+from .common import Scratch, lean, small_batches
 
 _PIECES = "{id} {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -76,9 +76,11 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tok
                 [batch.column(0).take(pa.array(ids_of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["_id", "piece", "start", "length", "ids_crc32"],
             )
+        del enc
+        tokens.forget()
 
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return plain.mapInArrow(cut, _PIECES.format(id="_id", kind=kind))
+    return plain.mapInArrow(lean(cut), _PIECES.format(id="_id", kind=kind))
 
 
 def pack(

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 _SPACE = [0x20, *range(0x09, 0x0E)]
 _SYMBOLS = list(b"#*$%&|<>")
@@ -186,7 +186,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tre
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(p)], names=["_id", *BASE, *INPUTS, "probability"])
 
     schema = ", ".join([f"_id {kind}", *(f"{c} long" for c in BASE), *(f"{c} double" for c in INPUTS), "probability double"])
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(lean(run), schema).withColumnRenamed("_id", id_col)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 8000, **how) -> Trees:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, row_key, small_batches
+from .common import Scratch, connected_components, lean, row_key, small_batches
 
 _PAD = np.uint32(0xFFFFFFFF)
 
@@ -366,7 +366,7 @@ def near_groups(
             yield pa.RecordBatch.from_arrays(arrays, names=["_row", "_id", "_fp", "_n", "_key", "_sk", "_low"][: len(arrays)])
 
     rows = docs.select(row_key(id_col, text_col).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = rows.mapInArrow(hashed, f"_row binary, _id {kind}, _fp long, _n long" + ", _key binary, _sk binary, _low binary" * verify)
+    rows = rows.mapInArrow(lean(hashed), f"_row binary, _id {kind}, _fp long, _n long" + ", _key binary, _sk binary, _low binary" * verify)
     rows = scratch.write(rows if verify else rows.withColumn("_key", F.col("_fp")), "rows")
     if verify:
         classes = scratch.write(rows.groupBy("_key").agg(F.min("_id").alias("_least"), F.min("_row").alias("_row"), *(F.first(c).alias(c) for c in ("_fp", "_n", "_sk", "_low"))), "classes")
@@ -512,7 +512,7 @@ def _by_similarity(docs, classes, scratch, id_col, text_col, shingle, seed, radi
             for batch in pa.table({"a": key.take(a), "b": key.take(b), "_asked": asked}).combine_chunks().to_batches():
                 yield batch
 
-    edges = scratch.write(rich.select("_task", "_key", "_fp", "_n", "_sk", "_low", "_band", "_own", "_other").mapInArrow(by_sketch, "a binary, b binary, _asked long"), "edges")
+    edges = scratch.write(rich.select("_task", "_key", "_fp", "_n", "_sk", "_low", "_band", "_own", "_other").mapInArrow(lean(by_sketch), "a binary, b binary, _asked long"), "edges")
     labels = scratch.write(connected_components(edges.filter("_asked is null").select("a", "b"), scratch), "labels")
     # pairs left open, if their classes are not in one component by now
     asked = edges.filter("_asked is not null").select(F.col("a").alias("_key"), F.col("_asked").alias("_task")).distinct()
@@ -543,7 +543,7 @@ def _by_similarity(docs, classes, scratch, id_col, text_col, shingle, seed, radi
             for batch in pa.table({"a": root.take(pa.array(keep)), "b": root.take(pa.array(up[keep]))}).combine_chunks().to_batches():
                 yield batch
 
-    more = rich.mapInArrow(by_set, "a binary, b binary")
+    more = rich.mapInArrow(lean(by_set), "a binary, b binary")
     joined = connected_components(more, Scratch(spark, "simhash")).select(F.col("v").alias("root"), F.col("root").alias("_to"))
     joined = scratch.write(joined, "joined")
     both = labels.select("v", "root").unionByName(joined.select(F.col("root").alias("v"), "root").join(labels.select("v"), "v", "left_anti").select("v", F.col("v").alias("root")))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, small_batches
+from .common import Scratch, lean, row_key, small_batches
 
 _GRAM = 32  # at least
 _SEP = 0xFF  # never a byte of UTF-8, and larger than all of them
@@ -310,7 +310,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             names=["_row", "_h", "_item", "_start", "_runs"],
         )
 
-    found = scratch.write(plain.select("_row", "_text").mapInArrow(cut, "_row binary, _h long, _item long, _start long, _runs int"), "anchors")
+    found = scratch.write(plain.select("_row", "_text").mapInArrow(lean(cut), "_row binary, _h long, _item long, _start long, _runs int"), "anchors")
     # repeated rows give the same places twice: those are one
     several = found.groupBy("_h").agg(F.min(F.struct("_row", "_start")).alias("a"), F.max(F.struct("_row", "_start")).alias("b")).filter("a <> b").select("_h")
     # written, it comes to the join through an exchange of its own, so adaptive execution can split an anchor in very many documents
@@ -343,7 +343,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         h, i, n, hot, raw = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(hot), pa.array(raw, pa.binary())], names=["_h", "_item", "_n", "_hot", "_bytes"])
 
-    lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").select("_text", "_asked").mapInArrow(lift, "_h long, _item long, _n long, _hot boolean, _bytes binary")
+    lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").select("_text", "_asked").mapInArrow(lean(lift), "_h long, _item long, _n long, _hot boolean, _bytes binary")
     lifted = scratch.write(lifted, "lifted")
     size, any_hot = lifted.agg(F.sum(F.length("_bytes") + 1), F.max("_hot")).first()
     tasks = max(1, -(-(size or 0) // (8 * transform_bytes)))
@@ -370,7 +370,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield flush()
 
     cool = lifted.filter(~F.col("_hot")).select("_h", "_item", "_n", "_bytes")
-    ranges = cool.repartition(tasks, "_h").sortWithinPartitions("_h", "_item").mapInArrow(expand, "_h long, _item long, _ranges array<int>")
+    ranges = cool.repartition(tasks, "_h").sortWithinPartitions("_h", "_item").mapInArrow(lean(expand), "_h long, _item long, _ranges array<int>")
     if any_hot:
         ranges = ranges.union(_by_hash(lifted.filter("_hot"), length))
     ranges = scratch.write(ranges, "ranges")
@@ -397,7 +397,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     done = plain.join(hits.hint("merge"), "_row", "left").select("_id", "_text", "_hits")
     schema = f"_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary"
-    return done.mapInArrow(remove, schema).withColumnRenamed("_id", id_col)
+    return done.mapInArrow(lean(remove), schema).withColumnRenamed("_id", id_col)
 
 
 def _parts(ends: np.ndarray, joined: bytes, length: int):

@@ -87,7 +87,11 @@ class Encoder:
         return ids, char[starts], char[ends - 1] + 1
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One per Python worker and file."""
+    """One at a time in a Python worker; ``forget`` frees it when a task ends (loading takes a tenth of a second)."""
     return Encoder(path)
+
+
+def forget() -> None:
+    encoder.cache_clear()

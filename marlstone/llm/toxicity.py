@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import lean, small_batches
 
 _EDGE = "\"'()[]{}<>.,;:!?¡¿*_~`«»„“”‘’…-–—"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -232,17 +232,18 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
             new.append(v + step * (moment[q] / (1 - 0.9**k)) / (np.sqrt(square[q] / (1 - 0.98**k)) + 1e-7))
         w, bias, trans = np.where(only_against, np.minimum(new[0], 0.0), new[0]), float(new[1]), new[2]
     model = Model({int(name[i]): float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.02)}, float(bias), trans, np.zeros(3))
-    # the document's curve, on all given rows
+    # the document's curve, on all given rows, block by block
     every = bias + np.bincount(every_row, w[every_col], n_words)
-    lengths = np.array([len(d) for d in ids])
-    starts = np.r_[0, np.cumsum(lengths)[:-1]]
-    flat = every[np.concatenate(ids)] if lengths.sum() else np.zeros(0)
-    some = lengths > 0
-    r, b = chains(flat, starts[some], lengths[some], trans)
-    p = r * b / (1 + r * b)
     total, most = np.zeros(len(ids)), np.zeros(len(ids))
-    if some.any():
-        total[some], most[some] = np.add.reduceat(p, starts[some]), np.maximum.reduceat(p, starts[some])
+    filled, done = np.flatnonzero([len(d) for d in ids]), 0
+    for tok, _, starts, lengths, _ in blocks:
+        if not len(tok):
+            continue
+        r, b = chains(every[tok], starts, lengths, trans)
+        odds = r * b
+        p, at = odds / (1 + odds), filled[done : done + len(starts)]
+        total[at], most[at] = np.add.reduceat(p, starts), np.maximum.reduceat(p, starts)
+        done += len(starts)
     z = document_inputs(total, most)
     dw = np.array(doc_weight, float) if doc_weight else np.ones(len(y))
     c = np.zeros(3)
@@ -267,10 +268,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = drawn[0].union(drawn[1]).select("_id", "_y")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").collect()  # max_docs rows at most
     rows.sort(key=lambda r: (r["_id"], r["_text"] or ""))
-    got = Counter(r["_y"] for r in rows)
-    weight = [total[r["_y"]] / got[r["_y"]] for r in rows]
-    scale = len(rows) / sum(weight) if rows else 1.0
-    return fit([r["_text"] for r in rows], [r["_y"] for r in rows], [w * scale for w in weight], **how)
+    texts, y = [r["_text"] for r in rows], [r["_y"] for r in rows]
+    del rows
+    got = Counter(y)
+    weight = [total[k] / got[k] for k in y]
+    scale = len(y) / sum(weight) if y else 1.0
+    return fit(texts, y, [w * scale for w in weight], **how)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch_words: int = 100_000) -> DataFrame:
@@ -342,7 +345,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.float64()), pa.array(counts, pa.int64()), pa.array(spans, span)], names=[*own, "score", "n_toxic", "spans"])
 
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "score double, n_toxic long, spans array<struct<start: bigint, end: bigint, probability: double>>"])
-    return docs.select(*own, *([F.col(text_col)] if at == len(own) else [])).mapInArrow(run, schema)
+    return docs.select(*own, *([F.col(text_col)] if at == len(own) else [])).mapInArrow(lean(run), schema)
 
 
 def keep_clean(docs: DataFrame, model: Model, below: float = 0.7, **how) -> DataFrame:
