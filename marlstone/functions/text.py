@@ -137,7 +137,8 @@ def literalize(query: str, most_terms: int = 8, most_length: int = 64) -> list[l
 
 def salvage_json(value: Column) -> Column:
     """FN-16: model output as JSON: without a code fence, else from the first to the last brace, else null."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(value), r"(?is)^```(?:json)?\s*", ""), r"(?s)\s*```$", ""))
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    bare = trimmed(F.regexp_replace(F.regexp_replace(trimmed(value), r"(?is)^```(?:json)?\s*", ""), r"(?s)\s*```$", ""))
     braces = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     ok = lambda x: F.try_parse_json(x).isNotNull() & (x != "")
     return F.when(ok(bare), bare).when(ok(braces), braces)

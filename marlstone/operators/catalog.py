@@ -205,7 +205,13 @@ def index_tables(plan: DataFrame, observations: DataFrame) -> dict[str, DataFram
 
 
 def ingest(catalog: Catalog, candidates: DataFrame, observations: DataFrame, batch_id: str | None = None) -> str:
-    """SNK-05: plans and appends one batch; nothing is visible unless all of it is."""
+    """SNK-05: plans and appends one batch; nothing is visible unless all of it is.
+
+    Products and opportunities that are there already are not entered again (SNK-03).
+    """
     joined = candidates.join(observations.select("source_snapshot_id", "source_identity", "observed_at"), "source_snapshot_id")
     plan = plan_identity(joined, catalog)
-    return catalog.append(index_tables(plan, observations.join(candidates.select("source_snapshot_id").distinct(), "source_snapshot_id", "left_semi")), batch_id)
+    parts = index_tables(plan, observations.join(candidates.select("source_snapshot_id").distinct(), "source_snapshot_id", "left_semi"))
+    for table, key in (("products", "product_id"), ("opportunities", "opportunity_id")):
+        parts[table] = parts[table].join(catalog.read(table).select(key), key, "left_anti")
+    return catalog.append(parts, batch_id)

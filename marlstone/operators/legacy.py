@@ -11,7 +11,7 @@ from ..functions.rules import annotate, derive_products, select_top, with_score
 from ..functions.text import record_identity, sha_id, slug
 from ..sources.readers import read_records
 from .engine import clamped
-from .history import change_fingerprint, first_wins, insert_or_ignore, last_wins, promotion_blockers, snapshot_diff
+from .history import change_fingerprint, first_wins, insert_or_ignore, last_wins, promotion_blockers, snapshot_diff, violations
 from .search import like_all, with_link_flags
 
 # The flat catalog's needs and capabilities.
@@ -217,7 +217,26 @@ def check_result(df: DataFrame, result: str, capabilities: list[str], needs: lis
     return {k: F.coalesce(v, F.lit(False)) for k, v in rules.items()}
 
 
-def plan_rules(plan: DataFrame) -> dict[str, Column]:
-    """VAL-19: the grammar of planned ids."""
-    g = lambda c, p: F.col(c).rlike(f"^{p}_[a-z0-9_]{{4,96}}$")
-    return {"product_id": g("product_id", "prod"), "product_revision_id": g("product_revision_id", "pr"), "opportunity_id": F.col("opportunity_id").isNull() | g("opportunity_id", "opp"), "opportunity_revision_id": F.col("opportunity_revision_id").isNull() | g("opportunity_revision_id", "or")}
+def plan_rules() -> dict[str, Column]:
+    """VAL-19, FN-18: the grammar of planned ids."""
+    g = lambda c, p: F.col(c).isNull() | F.col(c).rlike(f"^{p}_[a-z0-9_]{{4,96}}$")
+    return {"product_id": g("product_id", "prod"), "product_revision_id": g("product_revision_id", "pr"), "opportunity_id": g("opportunity_id", "opp"), "opportunity_revision_id": g("opportunity_revision_id", "or")}
+
+
+def plan_problems(plan: DataFrame, opportunities: DataFrame, product_revisions: DataFrame, opportunity_revisions: DataFrame) -> DataFrame:
+    """VAL-19: (rule_id, row_key) of planned revisions with ids out of grammar, an opportunity of another product, or a
+    superseded revision that is unknown or of something else.
+
+    plan: the ids and product_supersedes, opportunity_supersedes; the others are the catalog's tables.
+    """
+    owner = opportunities.select("opportunity_id", F.col("product_id").alias("_owner"))
+    prior = product_revisions.select(F.col("product_revision_id").alias("product_supersedes"), F.col("product_id").alias("_of_product"))
+    prior_opp = opportunity_revisions.select(F.col("opportunity_revision_id").alias("opportunity_supersedes"), F.col("opportunity_id").alias("_of_opportunity"))
+    x = plan.join(owner, "opportunity_id", "left").join(prior, "product_supersedes", "left").join(prior_opp, "opportunity_supersedes", "left")
+    inside = lambda ref, of, own: F.col(ref).isNull() | F.coalesce(F.col(of) == F.col(own), F.lit(False))
+    rules = plan_rules() | {
+        "opportunity_owner": F.col("_owner").isNull() | (F.col("_owner") == F.col("product_id")),
+        "product_supersedes": inside("product_supersedes", "_of_product", "product_id"),
+        "opportunity_supersedes": inside("opportunity_supersedes", "_of_opportunity", "opportunity_id"),
+    }
+    return violations(x, rules, F.coalesce("opportunity_revision_id", "product_revision_id"))

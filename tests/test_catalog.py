@@ -182,6 +182,7 @@ def test_catalog_end_to_end(spark, tmp_path):
     put(spark, catalog, "2026-02-01T00:00:00Z", "b2")
     assert catalog.read("opportunity_revisions").select("opportunity_id").distinct().count() == 1
     assert catalog.read("product_revisions").filter("supersedes is not null").count() == 1
+    assert catalog.read("products").count() == catalog.read("opportunities").count() == 1 and engine.published().count() == 1
     assert catalog.append({"review_events": catalog.read("review_events")}, "r1") == "r1"  # a retry appends nothing
     assert catalog.read("review_events").count() == 2
     trust(spark, catalog, "r2", "2026-03-01T00:00:00Z", "reject")

@@ -2,17 +2,19 @@ import pytest
 from compare import duck, rows
 from compare import DATA
 
-from marlstone.plans import queries as plans
+from marlstone.plans import catalog_queries, queries as plans
+
+QUERIES, ORACLES = plans.QUERIES | catalog_queries.QUERIES, plans.ORACLES | catalog_queries.ORACLES
 
 
 def test_every_query_has_sql_and_a_description():
-    assert plans.QUERIES.keys() == plans.ORACLES.keys()
-    assert all(f.__doc__ for f in plans.QUERIES.values() if f.__name__ != "published_current_")
+    assert QUERIES.keys() == ORACLES.keys() and len(QUERIES) == len(plans.QUERIES) + len(catalog_queries.QUERIES)
+    assert all(f.__doc__ for f in QUERIES.values())
 
 
-@pytest.mark.parametrize("name", sorted(plans.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
-    got, want = plans.QUERIES[name](spark, DATA).toPandas(), duck(plans.ORACLES[name], DATA)
+    got, want = QUERIES[name](spark, DATA).toPandas(), duck(ORACLES[name], DATA)
     assert rows(got) == rows(want)
 
 
@@ -20,4 +22,4 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
-    assert e.queries().keys() >= plans.QUERIES.keys()
+    assert e.queries().keys() >= QUERIES.keys()
