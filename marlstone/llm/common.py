@@ -102,26 +102,26 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     vertex with very many neighbours.
     Raises when components still change after ``most_rounds``.
     """
-    spark = scratch.spark
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now = scratch.write(now, "cc0")
-    before, n = None, 0
+    before, size = None, now.count()
     for n in range(1, most_rounds + 1):
+        narrow = lambda x, parts=1 + size // 250_000: x.coalesce(parts)  # few files where there are few edges
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"least{n}")
+        least = scratch.write(narrow(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))), f"least{n}")
         # large star: each larger neighbour goes to the least of the neighbourhood
         large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = scratch.write(large, f"large{n}")
+        large = scratch.write(narrow(large), f"large{n}")
         # small star: smaller neighbours and the vertex itself go to the least smaller one
-        low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"low{n}")
+        low = scratch.write(narrow(large.groupBy("u").agg(F.min("v").alias("m"))), f"low{n}")
         small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = scratch.write(small.filter("u <> v").distinct(), f"cc{n}")
+        now = scratch.write(narrow(small.filter("u <> v").distinct()), f"cc{n}")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         for name in (f"cc{n - 1}", f"least{n}", f"large{n}", f"low{n}"):
             scratch.drop(name)
         if mark == before:
             break
-        before = mark
+        before, size = mark, mark[0]
     else:
         raise RuntimeError(f"components still change after {most_rounds} rounds")
     return now.select(F.col("u").alias("v"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v").alias("root")).distinct())

@@ -265,8 +265,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spans are (start, end) of the maximal removed runs in UTF-8 bytes, kept the
     remaining bytes.  Matches never cross documents; a string that overlaps its
     other occurrence counts; all is judged on the input.  Null texts count as empty.
-    Texts shorter than ``length`` stay whole.  Rows that repeat both id and text are
-    one document, and each of them gets its result.  Other columns are ignored; an
+    Texts shorter than ``length`` stay whole.  Every row is a document of its own: rows
+    that repeat a text, with the same id or without one, repeat its strings.  Ties do
+    not matter, as all occurrences go.  A text of 16 MB or more is looked at in
+    overlapping parts; it is held whole by one task.  Other columns are ignored; an
     empty table gives no rows.
     """
     import xxhash
@@ -311,11 +313,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         )
 
     found = scratch.write(plain.select("_row", "_text").mapInArrow(lean(cut), "_row binary, _h long, _item long, _start long, _runs int"), "anchors")
-    # repeated rows give the same places twice: those are one
-    several = found.groupBy("_h").agg(F.min(F.struct("_row", "_start")).alias("a"), F.max(F.struct("_row", "_start")).alias("b")).filter("a <> b").select("_h")
+    several = found.groupBy("_h").agg(F.count("*").alias("c")).filter("c > 1").select("_h")
     # written, it comes to the join through an exchange of its own, so adaptive execution can split an anchor in very many documents
     several = scratch.write(several, "several")
-    shared = scratch.write(found.join(several.hint("merge"), "_h", "left_semi").distinct(), "shared")
+    shared = scratch.write(found.join(several.hint("merge"), "_h", "left_semi"), "shared")
     scratch.drop("anchors")
     scratch.drop("several")
     items = scratch.write(shared.groupBy("_h", "_item").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "_start", "_runs")).alias("_at")), "items")
@@ -326,13 +327,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def lift(batches):
         for batch in batches:
-            seen, out = set(), []
+            out = []
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 for x in asked:
-                    if (x["_h"], x["_item"]) not in seen:  # a repeated row
-                        seen.add((x["_h"], x["_item"]))
-                        out.append((x["_h"], x["_item"], x["_n"], x["_hot"], raw[x["_start"] : x["_start"] + x["_runs"] - 1 + length]))
+                    out.append((x["_h"], x["_item"], x["_n"], x["_hot"], raw[x["_start"] : x["_start"] + x["_runs"] - 1 + length]))
                     if len(out) >= 4096:
                         yield _table(out)
                         out = []
@@ -343,7 +342,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         h, i, n, hot, raw = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(hot), pa.array(raw, pa.binary())], names=["_h", "_item", "_n", "_hot", "_bytes"])
 
-    lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").select("_text", "_asked").mapInArrow(lean(lift), "_h long, _item long, _n long, _hot boolean, _bytes binary")
+    lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").dropDuplicates(["_row"]).select("_text", "_asked").mapInArrow(lean(lift), "_h long, _item long, _n long, _hot boolean, _bytes binary")
     lifted = scratch.write(lifted, "lifted")
     size, any_hot = lifted.agg(F.sum(F.length("_bytes") + 1), F.max("_hot")).first()
     tasks = max(1, -(-(size or 0) // (8 * transform_bytes)))
@@ -375,7 +374,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ranges = ranges.union(_by_hash(lifted.filter("_hot"), length))
     ranges = scratch.write(ranges, "ranges")
     scratch.drop("lifted")
-    hits = shared.join(ranges.hint("merge"), ["_h", "_item"]).groupBy("_row").agg(F.collect_list(F.struct("_start", "_ranges")).alias("_hits"))
+    hits = shared.join(ranges.hint("merge"), ["_h", "_item"]).groupBy("_row").agg(F.collect_set(F.struct("_start", "_ranges")).alias("_hits"))
 
     def remove(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

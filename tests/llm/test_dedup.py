@@ -15,12 +15,11 @@ from marlstone.llm import lines, registry, simhash, substrings
 
 
 def plain_substrings(docs, length):
-    """Every string of every distinct (id, text)."""
-    raws = {(i, t): (t or "").encode() for i, t in docs}
-    count = Counter(r[k : k + length] for r in raws.values() for k in range(len(r) - length + 1))
+    """Every string of every row."""
+    raws = [(t or "").encode() for _, t in docs]
+    count = Counter(r[k : k + length] for r in raws for k in range(len(r) - length + 1))
     out = []
-    for i, t in docs:
-        r = raws[i, t]
+    for (i, _), r in zip(docs, raws, strict=True):
         gone = np.zeros(len(r) + 1, bool)
         for k in range(len(r) - length + 1):
             if count[r[k : k + length]] > 1:
@@ -46,6 +45,14 @@ def test_substrings_of_edge_cases(edge_df, clashing, edge, how):
         assert substrings.dedup_substrings(edge_df.limit(0)).count() == 0
 
 
+def test_repeated_rows_repeat_their_strings(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    docs = [(1, long), (1, long), (None, long + " tail"), (2, "other " * 90), (3, " ".join(f"v{k}" for k in range(300)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got_substrings(df) == plain_substrings(docs, 400)
+    assert got_substrings(df.filter("doc_id = 1")) == plain_substrings(docs[:2], 400)
+
+
 def test_substrings_of_documents(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     docs = [tuple(r) for r in df.select("doc_id", "text").collect()]
