@@ -237,7 +237,7 @@ def shards_of(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: i
 def _dealt(classes: DataFrame, scratch: Scratch, radius: int, shard_rows: int, sample_rows: int) -> DataFrame:
     """(_key, _shard, _home) of fingerprints (the key), residents and guests, by trees that are grown level by level.
 
-    Each level samples what lies in shards above ``shard_rows`` (at most
+    Each level samples what lies in shards above ``shard_rows`` by hash (about
     ``sample_rows`` fingerprints reach the driver), grows a tree in each of them and
     writes its rows again under the leaves.  It ends when no shard is above or none
     of those can be split.
@@ -251,7 +251,9 @@ def _dealt(classes: DataFrame, scratch: Scratch, radius: int, shard_rows: int, s
         return now
     for level in range(64):
         total = sum(wide.values())
-        drawn = now.filter("_home").select("_key", "_shard", F.xxhash64("_key", F.lit(level)).alias("_o")).orderBy("_o").limit(sample_rows).select("_key", "_shard").collect()
+        part = F.lit(min(1 << 30, math.ceil((1 << 30) * sample_rows / total)))
+        drawn = now.filter(F.col("_home") & (F.pmod(F.xxhash64("_key", F.lit(level)), F.lit(1 << 30)) < part)).select("_key", "_shard").collect()  # about sample_rows
+        drawn.sort()
         of: dict[int, list[int]] = {}
         for r in drawn:
             of.setdefault(r["_shard"], []).append(r["_key"])
