@@ -1,7 +1,7 @@
 """Shards of near-equal bytes by sampled splitters, in DataFrame functions only.
 
 Records are ordered by a hash of their text.  A size-weighted sample of keys (each
-record has priority ``-ln(u) / size`` for a hash ``u``; the least priorities win) gives
+record has priority ``-ln(u) / size`` for a hash ``u``; priorities below a bound win) gives
 the splitters of many ranges for each shard.  Ranges are then measured exactly and
 overfull ones are subdivided by value, so no task sorts more than a small share.
 Exact running sums over the ranges place every record on the byte line, which the
@@ -106,7 +106,9 @@ def shard(
     known = spark.createDataFrame(cells, "_k1 long, _large int, _parts int, _shards array<int>, _cuts array<long>")
     rows = rows.join(F.broadcast(known), "_k1", "left")  # 4 * ranges rows at most
     unit = (F.pmod(F.xxhash64("_k1", "_k2", F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    drawn = rows.filter("_large is null").select("_k1", (-F.ln(unit) / F.col("size")).alias("_priority")).orderBy("_priority", "_k1").limit(samples_per_range * ranges)
+    # so many priorities are expected to stay below this, so the driver gets no best of every partition
+    wanted = samples_per_range * ranges
+    drawn = rows.filter("_large is null").select("_k1", (-F.ln(unit) / F.col("size")).alias("_priority")).filter(F.col("_priority") < F.lit(wanted / total))
     sample = sorted(r[0] for r in drawn.select("_k1").collect())
     edges = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
     rows = rows.withColumn("_range", F.coalesce("_large", _edges_below(F.col("_k1"), edges)))
