@@ -32,7 +32,7 @@ from .common import lean, small_batches
 
 _EDGE = "\"'()[]{}<>.,;:!?¡¿*_~`«»„“”‘’…-–—"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_CACHE_WORDS = 100_000
+_CACHE_WORDS = 200_000
 
 
 def features(word: bytes) -> list[int]:
@@ -276,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(texts, y, [w * scale for w in weight], **how)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch_words: int = 100_000) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", batch_words: int = 300_000) -> DataFrame:
     """The input's columns and score, n_toxic, spans of every row.
 
     spans are (start, end, probability) in characters of the runs of tokens whose
