@@ -68,6 +68,14 @@ def money_micros(amount: Column) -> Column:
     return F.when(x.isNull(), F.lit(None).cast("long")).when(F.abs(x) <= float((1 << 53) - 1), x.cast("long")).otherwise(outside)
 
 
+def ascii_words(pattern: str) -> str:
+    """Word boundaries that see ASCII letters, digits and underscores only, in every regex engine (T15)."""
+    out = []
+    for piece in re.split(r"(\\b)", pattern):
+        out.append(r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))" if piece == r"\b" else piece)
+    return "".join(out)
+
+
 def term_pattern(term: str) -> str:
     """FN-05: the term between characters that are no ASCII letters or digits."""
     term = term.strip()
@@ -117,15 +125,14 @@ def _bases() -> tuple[str, str]:
 _MARKED, _BARE = _bases()
 
 
-def tokens(value: Column) -> Column:
-    """FTS-02: runs of letters and digits in lower case without marks, all inside the JVM."""
+def folded(value: Column) -> Column:
+    """FTS-02: lower case without marks, all inside the JVM; tokens are its runs of letters and digits."""
     low = F.lower(F.coalesce(value, F.lit("")))
-    return F.regexp_extract_all(F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), _MARKED, _BARE), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.translate(F.regexp_replace(low, r"\p{Mn}+", ""), _MARKED, _BARE)
 
 
-def padded(value: Column) -> Column:
-    """The tokens between single spaces, for phrase tests by ``contains``."""
-    return F.concat(F.lit(" "), F.array_join(tokens(value), " "), F.lit(" "))
+def tokens(value: Column) -> Column:
+    return F.regexp_extract_all(folded(value), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def literalize(query: str, most_terms: int = 8, most_length: int = 64) -> list[list[str]]:

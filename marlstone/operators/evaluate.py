@@ -31,7 +31,7 @@ def evaluate(traces: DataFrame, labels: DataFrame, sources: DataFrame) -> DataFr
     sources: source_id, raw_text.
     """
     peers = labels.filter(F.col("duplicate_group").isNotNull()).groupBy("duplicate_group").agg(F.collect_set("name").alias("_group"))
-    l = labels.join(F.broadcast(peers), "duplicate_group", "left").withColumn("_peers", F.array_except(F.coalesce("_group", F.array().cast("array<string>")), F.array("name")))
+    l = labels.join(peers, "duplicate_group", "left").withColumn("_peers", F.array_except(F.coalesce("_group", F.array().cast("array<string>")), F.array("name")))
     t = traces.filter(F.col("status") == "ok").select("source_id", "result")
     x = l.join(t, "source_id", "left").join(sources.select("source_id", "raw_text"), "source_id", "left")
     have, r = F.col("result").isNotNull(), F.col("result")

@@ -72,9 +72,14 @@ def identified(rows: DataFrame) -> DataFrame:
     return last_wins(x, ["identity_key"], "score").select("identity_key", "material", "source_id")
 
 
-def model_requests(rows: DataFrame) -> DataFrame:
-    """PRJ-14, JON-10: the request for each record; peers are one array that all rows share."""
-    names = rows.agg(F.array_sort(F.collect_list(F.struct("source_id", "source_name"))).alias("_all"))  # at most the selection's limit
+def model_requests(rows: DataFrame, most: int = 60) -> DataFrame:
+    """PRJ-14, JON-10: the request for each record of a selection; peers are one array that all rows share.
+
+    A request names every peer, so a selection of more than ``most`` rows raises.
+    """
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"a selection has at most {most} records")
+    names = rows.agg(F.array_sort(F.collect_list(F.struct("source_id", "source_name"))).alias("_all"))  # most rows at most
     peers = F.transform(F.filter("_all", lambda p: p["source_id"] != F.col("source_id")), lambda p: p["source_name"])
     record = F.struct("source_id", F.col("source_name").alias("name"), F.col("source_category").alias("category"), F.col("source_description").alias("description"), F.col("source_offer_detail").alias("offer_detail"), F.col("source_eligibility").alias("eligibility"), "parent_provider")
     request = F.to_json(F.struct(F.lit(json.dumps(dict(CAPABILITIES))).alias("controlled_capabilities"), F.lit(json.dumps(dict(USER_NEEDS))).alias("controlled_user_needs"), peers.alias("comparison_candidate_names"), record.alias("record")))
@@ -112,8 +117,8 @@ class FlatCatalog:
         terms = [t for t in (q or "").strip().lower().split() if t][:8]
         s = self.read("source_records").select("source_id", "source_kind", "source_locator", "source_category", "source_url", "source_name", "source_description", "source_offer_detail", "source_eligibility", "raw_text", "selection_score")
         rows = self.read("opportunities").join(s, "source_id")
-        caps = self.read("product_capabilities").join(F.broadcast(self.read("capabilities")), "capability_id").select("product_id", "source_id", F.col("capability_id").alias("id"), "label")  # a fixed list
-        needs = self.read("product_user_needs").join(F.broadcast(self.read("user_needs")), "user_need_id").select("product_id", "source_id", F.col("user_need_id").alias("id"), "label")
+        caps = self.read("product_capabilities").join(self.read("capabilities"), "capability_id").select("product_id", "source_id", F.col("capability_id").alias("id"), "label")
+        needs = self.read("product_user_needs").join(self.read("user_needs"), "user_need_id").select("product_id", "source_id", F.col("user_need_id").alias("id"), "label")
         key = F.concat_ws("\n", "product_id", "source_id")
         rows = rows.withColumn("_k", key)
         if terms:
@@ -131,7 +136,7 @@ class FlatCatalog:
         """PRJ-04: capabilities, needs and requirements as arrays, three grouped joins."""
         keys = ["product_id", "source_id"]
         for table, dim, name, out in (("product_capabilities", "capabilities", "capability_id", "capabilities"), ("product_user_needs", "user_needs", "user_need_id", "user_needs")):
-            l = self.read(table).join(F.broadcast(self.read(dim)), name).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("label", F.col(name).alias("id"), "confidence", "evidence"))).alias(out))
+            l = self.read(table).join(self.read(dim), name).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("label", F.col(name).alias("id"), "confidence", "evidence"))).alias(out))
             rows = rows.join(l, keys, "left")
         r = self.read("requirements").groupBy("opportunity_id").agg(F.array_sort(F.collect_list(F.struct("field", "value", "derivation", "confidence", "evidence"))).alias("requirements"))
         return rows.join(r, "opportunity_id", "left")

@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from ..functions import text
 from ..operators import attempts, contract, evaluate, history, legacy
 from ..operators.catalog import Catalog, ingest, observe
 from ..operators.engine import CatalogEngine
+from ..operators.shared import new_folder
 from ..sources import readers
 
 QUERIES: dict = {}
@@ -39,14 +39,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder(spark: SparkSession, label: str) -> str:
-    """A new folder where driver and executors both see it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(shared or '/tmp/checkpoints').rstrip('/')}/marlstone-{label}-{uuid.uuid4().hex}"
-
-
 def _put(spark: SparkSession, path: str, content: str) -> str:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -197,7 +189,7 @@ def _catalog(spark: SparkSession, d: str) -> Catalog:
     """The catalog over ``part`` of one folder, built by the first query that needs it."""
     key = f"{id(spark.sparkContext._jsc)} {d}"
     if key not in _CATALOGS:
-        path = _folder(spark, "catalog")
+        path = new_folder(spark, "catalog")
         c = Catalog.open(spark, path)
         for n, (at, some) in enumerate(((_JAN, F.lit(True)), (_FEB, _mod(3, 0)))):
             s = _sources(spark, d).filter(some)
@@ -389,7 +381,7 @@ def _listing(spark: SparkSession, d: str) -> tuple[str, str]:
         for i, n in enumerate([n for n in nations if n["n_regionkey"] == r["r_regionkey"]]):
             k = n["n_nationkey"]
             out.append(f"{'  ' if i == 0 else '    '}* [**{n['n_name']}**](https://n.test/{k}) - Hosted `model` inference and llm number {k}, [docs](https://d.test)")
-    folder = _folder(spark, "listing")
+    folder = new_folder(spark, "listing")
     md = _put(spark, f"{folder}/README.md", "\n".join(out) + "\n")
     head = "Brand/Product,Description,Monetary Detail,Eligibility Notes,Category,Application Link,Platform/Source,Estimated Value"
     rows = [f'{n["n_name"]},"GPU, cloud credits llm {n["n_nationkey"]}",${n["n_nationkey"]},{"startups" if n["n_nationkey"] % 2 else ""},AI,https://o.test/{n["n_nationkey"]},p,"${n["n_nationkey"]},000"' for n in sorted(nations, key=lambda n: n["n_nationkey"])]
@@ -424,7 +416,7 @@ _FLAT: dict[str, str] = {}
 def _flat(spark: SparkSession, d: str) -> legacy.FlatCatalog:
     key = f"{id(spark.sparkContext._jsc)} {d}"
     if key not in _FLAT:
-        path = _folder(spark, "flat")
+        path = new_folder(spark, "flat")
         c = legacy.FlatCatalog(spark, path)
         c.rebuild(legacy.staged(readers.read_records(spark, *_listing(spark, d))), _JAN)
         _FLAT[key] = path
@@ -461,7 +453,7 @@ def _refreshed(spark: SparkSession, d: str) -> tuple[legacy.Refresh, list[dict]]
     full = spark.read.text(md, wholetext=True).first()[0]
     first = "\n".join(x for x in full.split("\n") if not re.search(r"/n\.test/\d*[02468]\)", x))
     second = re.sub(r"llm number (\d*[5])\b", r"llm again \1", "\n".join(x for x in full.split("\n") if not re.search(r"/n\.test/\d*[3]\)", x)))
-    folder = _folder(spark, "refresh")
+    folder = new_folder(spark, "refresh")
     r = legacy.Refresh(spark, f"{folder}/state")
     told = [r.run(run, _put(spark, f"{folder}/{run}/README.md", content), csv, at) for run, content, at in (("one", first, _JAN), ("two", second, _FEB))]
     return r, told

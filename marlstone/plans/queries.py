@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, text
 from ..operators import evaluate, history, publish, search
+from ..operators.shared import written
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -147,16 +148,15 @@ def like_search(spark, d):
     return table(spark, d, "documents").filter(search.like_all(F.col("text"), ["the", "License"])).select("doc_id", "source")
 
 
-@query("""SELECT doc_id, source FROM documents d WHERE (contains(lower(text), 'license') OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND contains('quality' || quality, 'y1')))
- ORDER BY n_chars DESC, doc_id LIMIT 100""")
+@query("""SELECT doc_id, source FROM documents d WHERE (contains(lower(text), 'license') OR EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND contains('quality' || quality, 'y1')))""")
 def like_or_exists(spark, d):
-    """FLT-02 with links, JON-07, SRT-04."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "text", "n_chars")
+    """FLT-02 with links, JON-07: all rows that match themselves or by a linked one."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
     links = table(spark, d, "labels").select("doc_id", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("link"))
     terms = ["y1"]
     x, flags = search.with_link_flags(docs, links, "doc_id", "link", terms)
     hit = F.contains(F.lower("text"), F.lit("license")) | flags["y1"]
-    return x.filter(hit).orderBy(F.col("n_chars").desc(), "doc_id").limit(100).select("doc_id", "source")
+    return x.filter(hit).select("doc_id", "source")
 
 
 _TOK = r"array_to_string(regexp_extract_all(strip_accents(lower(coalesce(text,''))), '[\p{L}\p{N}]+'), ' ')"
@@ -165,19 +165,14 @@ _TOK = r"array_to_string(regexp_extract_all(strip_accents(lower(coalesce(text,''
 @query(rf"""WITH t AS (SELECT doc_id, ' ' || {_TOK} || ' ' AS p FROM documents) SELECT doc_id FROM t WHERE contains(p, ' the ') AND contains(p, ' license ')""")
 def fts_match(spark, d):
     """FTS-01..03: every term as a phrase."""
-    index = search.postings(table(spark, d, "documents"), "doc_id", ["text"])
-    out = index
-    for p in text.literalize("The LICENSE"):
-        out = out.filter(F.contains(F.col("_t0"), F.lit(" " + " ".join(p) + " ")))
-    return out.select("doc_id")
+    return search.matching(search.postings(table(spark, d, "documents"), "doc_id", ["text"]), "The LICENSE").select("doc_id")
 
 
 @query(rf"""WITH t AS (SELECT doc_id, ' ' || {_TOK} || ' ' AS p FROM documents) SELECT doc_id FROM t WHERE contains(p, ' mit license ')""")
 def fts_phrase(spark, d):
     """FTS-03: a hyphenated term is a phrase of two tokens."""
     index = search.postings(table(spark, d, "documents"), "doc_id", ["text"])
-    (phrase,) = text.literalize("MIT-license")
-    return index.filter(F.contains(F.col("_t0"), F.lit(" " + " ".join(phrase) + " "))).select("doc_id")
+    return search.matching(index, "MIT-license").select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE false")
@@ -247,10 +242,11 @@ def vocab_membership(spark, d):
 
 @query("""SELECT doc_id, copies, doc_id = first_id AS is_first FROM (SELECT doc_id, count(*) OVER (PARTITION BY text)::BIGINT AS copies, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents) WHERE copies > 1""")
 def duplicate_text(spark, d):
-    """VAL-05, SET-02: copies by digest, so texts are not shuffled; grouped with partial sums, joined back."""
+    """VAL-05, SET-02: copies by digest, so texts are not shuffled; grouped with partial sums, written, joined back."""
     x = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    g = x.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
-    return x.join(g, "h").select("doc_id", "copies", (F.col("doc_id") == F.col("first_id")).alias("is_first"))
+    x = written(x, "digests")
+    g = written(x.groupBy("h").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1"), "copies")
+    return x.join(g.hint("merge"), "h").select("doc_id", "copies", (F.col("doc_id") == F.col("first_id")).alias("is_first"))
 
 
 @query("""SELECT l_orderkey, fingerprint, n FROM (SELECT l_orderkey, l_returnflag || '|' || l_linestatus || '|' || l_quantity::INT AS fingerprint, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL) WHERE n > 1""")
@@ -311,10 +307,10 @@ def nested_hydrate(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey").select("o_orderkey", "o_custkey", F.size("c").cast("long").alias("n_items"), flat.alias("items"))
 
 
-@query("SELECT vec_id, i::INT - 1 AS ordinal, embedding[i] AS component FROM (SELECT vec_id, embedding, unnest(range(1, 5)) AS i FROM embeddings)")
+@query("SELECT vec_id, i::INT - 1 AS ordinal, embedding[i] AS component FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def unnest_ordinal(spark, d):
-    """PRJ-07, SRT-08."""
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("ordinal", "component"))
+    """PRJ-07: every component with its ordinal."""
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("ordinal", "component"))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'money' WHEN 'signup' THEN 'audience' WHEN 'error' THEN 'negative' ELSE 'other' END AS normalized_kind,
@@ -455,7 +451,7 @@ def peers_excluding_self(spark, d):
  SELECT 'discount_range', l_orderkey || '|' || l_linenumber FROM lineitem WHERE l_discount > 0.09 UNION ALL
  SELECT 'known_status', l_orderkey || '|' || l_linenumber FROM lineitem WHERE l_linestatus NOT IN ('O', 'F'))""")
 def validation_rules(spark, d):
-    """VAL-04..15 as predicates, SNK-11: every broken rule of every row in one pass."""
+    """SNK-11: every broken constraint of every row in one pass (the contract's own rules: ``validate_candidates``)."""
     l = table(spark, d, "lineitem")
     ok = {"quantity_positive": F.col("l_quantity") > 5, "discount_range": F.col("l_discount") <= 0.09, "known_status": F.col("l_linestatus").isin("O", "F")}
     return history.violations(l, ok, F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
@@ -501,9 +497,7 @@ def coverage_union(spark, d):
 @query(r"""SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9_])(free|discount|discounted|discounts|credit|credits|trial)($|[^a-z0-9_])') AS offers FROM documents""")
 def offer_language(spark, d):
     """FLT-13..15, T15: a pattern with ASCII word boundaries."""
-    from ..operators.contract import ascii_words
-
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(ascii_words(r"(?i)\b(?:free|discount(?:ed|s)?|credits?|trial)\b")).alias("offers"))
+    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(text.ascii_words(r"(?i)\b(?:free|discount(?:ed|s)?|credits?|trial)\b")).alias("offers"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(p_name, '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_`]', '', 'g') AS plain, replace(p_brand, '#', '-') AS b FROM part")

@@ -105,8 +105,10 @@ def test_normalization():
     assert fixed["product"]["description"]["support"]["evidence_ids"] == ["ev_what"] and fixed["product"]["proposed_canonical_name"] is None
     assert fixed["product"]["claimed_outcomes"] == [] and "effective_period" not in fixed["opportunities"][0]
     assert contract.problems(TEXT, fixed, CONCEPTS, UNITS) == []
-    d = contract._function_only({"text": "Free GPU jobs with 10 hours per month", "support": support("ev_what")}, [])
-    assert d == {"text": "GPU jobs.", "support": support("ev_what", basis="inferred")}
+    d = candidate()
+    d["product"]["description"]["text"] = "Free GPU jobs with 10 hours per month"
+    fixed, log = contract.normalized(d)
+    assert fixed["product"]["description"] == {"text": "GPU jobs.", "support": support("ev_what", basis="inferred")} and len(log) == 1
 
 
 def test_over_dataframes(spark):

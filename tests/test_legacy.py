@@ -63,4 +63,4 @@ def test_answer_rules(spark):
     found = violations(df, check_result(df, "result", ["x"], ["n"]), F.col("source_id"))
     assert {r["rule_id"] for r in found.collect()} == {"source_id", "include", "capabilities", "user_needs", "confidence", "explanation"}
     plan = spark.createDataFrame([("prod_abcd", "pr_abcd", None, None), ("x", "pr_abcd", "opp_1", "or_abcd")], "product_id string, product_revision_id string, opportunity_id string, opportunity_revision_id string")
-    assert violations(plan, plan_rules(plan), F.col("product_id")).count() == 2
+    assert violations(plan, plan_rules(), F.col("product_id")).count() == 2

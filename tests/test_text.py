@@ -22,8 +22,13 @@ def test_money_value(spark, given, want):
 
 
 def test_micros_keep_their_range(spark):
-    df = spark.createDataFrame([(300.0,), (1e12,)], "x double").select(text.money_micros(F.col("x")))
-    assert [r[0] for r in df.collect()] == [300_000_000, None]
+    df = spark.createDataFrame([(300.0,), (1e12,)], "x double")
+    micros = text.money_micros(F.col("x"))
+    assert df.filter("x < 1000").select(micros).first()[0] == 300_000_000
+    with pytest.raises(Exception, match="safe range"):  # no price goes missing
+        df.select(micros).collect()
+    none = spark.createDataFrame([(None,)], "x double").select(text.money_micros(F.col("x")))
+    assert none.first()[0] is None
 
 
 @pytest.mark.parametrize("given,term,want", [("an output", "tpu", False), ("a TPU.", "tpu", True), ("embeddings", "embedding", False), ("evaluation", "eval", True), ("200+ LLM models", "200+ llm", True)])
