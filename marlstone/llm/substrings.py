@@ -20,10 +20,11 @@ after ``length`` levels the expansion stops, and what is unset is at least
 ``length``.  Runs of unset entries whose items' weights sum to two or more are the
 repeats.
 
-A transform takes the items of whole anchors, about ``transform_bytes`` of them; an anchor
-whose different items have more than ``group_bytes`` (a short frequent phrase in ever new
-surroundings) would not fit a task.  Its items are taken apart into their
-strings, which are counted by a 128-bit hash with partial sums before the shuffle.
+A transform takes the items of whole anchors, about ``transform_bytes`` of them.  An
+anchor whose different items have more than ``group_bytes`` (a frequent phrase in ever
+new surroundings) is subdivided: its items are texts themselves, so other hashes give
+their strings a second anchor, and equal strings agree in both.  This goes on until
+all fits; strings that share ``most_levels`` anchors are transformed together.
 """
 
 from __future__ import annotations
@@ -42,10 +43,11 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _TABLE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WIDE = 2048  # rows from which on an interval's characters are found by rank instead of one by one
 _CHUNK = 1 << 21  # bytes of texts that are hashed together
+_PLACES = 1 << 24  # places that the low bits of a hash can tell apart
 
 
-def gram_hashes(data: np.ndarray, gram: int = _GRAM) -> np.ndarray:
-    """A 64-bit hash of the bytes at every place: differences of a running polynomial."""
+def gram_hashes(data: np.ndarray, gram: int = _GRAM, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes at every place: differences of a running polynomial; each salt orders grams anew."""
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -56,22 +58,23 @@ def gram_hashes(data: np.ndarray, gram: int = _GRAM) -> np.ndarray:
     up = np.full(n, _ODD)
     up[0] = 1
     h = (run[gram:] - run[:n]) * np.cumprod(up)
+    h += np.uint64(salt) * _ODD
     h ^= h >> np.uint64(31)
     h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = _GRAM) -> tuple[np.ndarray, ...]:
+def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int = _GRAM, salt: int = 0) -> tuple[np.ndarray, ...]:
     """(place of the anchor, its hash, first start, last start) of every run of starts.
 
     ``data`` holds texts one after the other that end at ``ends``.
     """
     none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     w = length - gram + 1
-    h = gram_hashes(data, gram)
+    h = gram_hashes(data, gram, salt)
     if len(h) < w:
         return none
-    low = np.uint64((1 << 24) - 1)
+    low = np.uint64(_PLACES - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     blocks = -(-len(key) // w)
     padded = np.full(blocks * w, ~np.uint64(0))
@@ -259,7 +262,7 @@ def _ranges(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group_bytes: int = 4_000_000, transform_bytes: int = 1_000_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group_bytes: int = 4_000_000, transform_bytes: int = 1_000_000, most_levels: int = 8) -> DataFrame:
     """The input's id and n_bytes, n_removed, n_spans, spans, kept of every row.
 
     spans are (start, end) of the maximal removed runs in UTF-8 bytes, kept the
@@ -300,7 +303,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ends = np.cumsum([len(r) for r in raws])
         joined = b"".join(raws)
         # a text beyond what 24 bits can place is cut into overlapping parts
-        parts = [(0, ends, joined)] if len(joined) < 1 << 24 else _parts(ends, joined, length)
+        parts = [(0, ends, joined)] if len(joined) < _PLACES else _parts(ends, joined, length)
         for shift, e, raw in parts:
             at, h, first, last = anchors(np.frombuffer(raw, np.uint8), e, length, gram)
             d = np.searchsorted(ends, first + shift, side="right")
@@ -320,10 +323,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scratch.drop("anchors")
     scratch.drop("several")
     items = scratch.write(shared.groupBy("_h", "_item").agg(F.count("*").alias("_n"), F.min(F.struct("_row", "_start", "_runs")).alias("_at")), "items")
-    crowd = items.groupBy("_h").agg(F.sum(F.col("_at._runs") + length).alias("_c")).filter(F.col("_c") > group_bytes).select("_h", F.lit(True).alias("_hot"))
-    marked = items.join(crowd, "_h", "left")
     # one list for each document: bounded by its own length
-    asked = marked.groupBy(F.col("_at._row").alias("_row")).agg(F.collect_list(F.struct("_h", "_item", "_n", F.col("_at._start").alias("_start"), F.col("_at._runs").alias("_runs"), F.coalesce("_hot", F.lit(False)).alias("_hot"))).alias("_asked"))
+    asked = items.groupBy(F.col("_at._row").alias("_row")).agg(F.collect_list(F.struct("_h", "_item", "_n", F.col("_at._start").alias("_start"), F.col("_at._runs").alias("_runs"))).alias("_asked"))
 
     def lift(batches):
         for batch in batches:
@@ -331,7 +332,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode()
                 for x in asked:
-                    out.append((x["_h"], x["_item"], x["_n"], x["_hot"], raw[x["_start"] : x["_start"] + x["_runs"] - 1 + length]))
+                    out.append((x["_h"], x["_item"], x["_n"], raw[x["_start"] : x["_start"] + x["_runs"] - 1 + length]))
                     if len(out) >= 4096:
                         yield _table(out)
                         out = []
@@ -339,13 +340,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield _table(out)
 
     def _table(out):
-        h, i, n, hot, raw = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(hot), pa.array(raw, pa.binary())], names=["_h", "_item", "_n", "_hot", "_bytes"])
+        h, i, n, raw = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["_h", "_item", "_n", "_bytes"])
 
-    lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").dropDuplicates(["_row"]).select("_text", "_asked").mapInArrow(lean(lift), "_h long, _item long, _n long, _hot boolean, _bytes binary")
+    lifted = plain.select("_row", "_text").join(asked.hint("merge"), "_row").dropDuplicates(["_row"]).select("_text", "_asked").mapInArrow(lean(lift), "_h long, _item long, _n long, _bytes binary")
     lifted = scratch.write(lifted, "lifted")
-    size, any_hot = lifted.agg(F.sum(F.length("_bytes") + 1), F.max("_hot")).first()
-    tasks = max(1, -(-(size or 0) // (8 * transform_bytes)))
 
     def expand(batches):
         h, item, n, raw = [], [], [], []
@@ -368,12 +367,51 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if raw:
             yield flush()
 
-    cool = lifted.filter(~F.col("_hot")).select("_h", "_item", "_n", "_bytes")
-    ranges = cool.repartition(tasks, "_h").sortWithinPartitions("_h", "_item").mapInArrow(lean(expand), "_h long, _item long, _ranges array<int>")
-    if any_hot:
-        ranges = ranges.union(_by_hash(lifted.filter("_hot"), length))
-    ranges = scratch.write(ranges, "ranges")
-    scratch.drop("lifted")
+    def subdivide(batches, level):
+        """Items of an anchor as texts with anchors of their own."""
+        for batch in batches:
+            out = []
+            for h, i, n, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                at, found, first, last = anchors(np.frombuffer(raw, np.uint8), np.array([len(raw)]), length, gram, level)
+                for q, x, f, la in zip(at.tolist(), found.tolist(), first.tolist(), last.tolist(), strict=True):
+                    piece = raw[f : la + length]
+                    both = xxhash.xxh3_64_intdigest(x.to_bytes(8, "little"), h & ((1 << 64) - 1)) - (1 << 63)
+                    out.append((h, i, f, both, xxhash.xxh3_64_intdigest(piece, q - f) - (1 << 63), n, piece))
+                if len(out) >= 4096:
+                    yield _divided(out)
+                    out = []
+            if out:
+                yield _divided(out)
+
+    def _divided(out):
+        columns = zip(*out, strict=True)
+        kinds = [pa.int64()] * 6 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_h0", "_item0", "_shift", "_h", "_item", "_n", "_bytes"])
+
+    def settled(items: DataFrame, level: int) -> DataFrame:
+        """(_h, _item, _ranges) of different items, whose weights are known."""
+        load = scratch.write(items.groupBy("_h").agg(F.sum(F.length("_bytes") + 1).alias("_s")), f"load{level}")
+        crowd = load.filter(F.col("_s") > group_bytes).select("_h")
+        hot = level < most_levels and not crowd.isEmpty()
+        cool = items.join(load.filter(F.col("_s") <= group_bytes).select("_h").hint("merge"), "_h", "left_semi") if hot else items
+        size = load.filter(F.col("_s") <= group_bytes if hot else F.lit(True)).agg(F.sum("_s")).first()[0]
+        tasks = max(1, -(-(size or 0) // (8 * transform_bytes)))
+        done = cool.select("_h", "_item", "_n", "_bytes").repartition(tasks, "_h").sortWithinPartitions("_h", "_item").mapInArrow(lean(expand), "_h long, _item long, _ranges array<int>")
+        done = scratch.write(done, f"ranges{level}")
+        if not hot:
+            return done
+        crowded = items.join(crowd.hint("merge"), "_h", "left_semi").select("_h", "_item", "_n", "_bytes")
+        parts = scratch.write(crowded.mapInArrow(lean(lambda batches: subdivide(batches, level + 1)), "_h0 long, _item0 long, _shift long, _h long, _item long, _n long, _bytes binary"), f"parts{level}")
+        # a second anchor that occurs once has no repeated string; equal parts are one with the sum of their weights
+        often = scratch.write(parts.groupBy("_h").agg(F.sum("_n").alias("c")).filter("c > 1").select("_h"), f"often{level}")
+        parts = parts.join(often.hint("merge"), "_h", "left_semi")
+        one = scratch.write(parts.groupBy("_h", "_item").agg(F.sum("_n").alias("_n"), F.min("_bytes").alias("_bytes")), f"divided{level}")
+        found = settled(one, level + 1)
+        places = parts.select("_h0", "_item0", "_shift", "_h", "_item").join(found.hint("merge"), ["_h", "_item"])
+        moved = places.select(F.col("_h0").alias("_h"), F.col("_item0").alias("_item"), F.transform("_ranges", lambda r: (r + F.col("_shift")).cast("int")).alias("_ranges"))
+        return done.unionByName(scratch.write(moved, f"moved{level}"))
+
+    ranges = settled(lifted, 0)
     hits = shared.join(ranges.hint("merge"), ["_h", "_item"]).groupBy("_row").agg(F.collect_set(F.struct("_start", "_ranges")).alias("_hits"))
 
     def remove(batches):
@@ -405,29 +443,8 @@ def _parts(ends: np.ndarray, joined: bytes, length: int):
     The run that a cut splits becomes two items; their anchors are those of the
     whole text, since an anchor depends on its own string only.
     """
-    step = (1 << 24) - 2 * length
+    step = _PLACES - 2 * length
     for a in range(0, max(1, len(joined) - length + 1), step):
         raw = joined[a : a + step + length - 1]
         inside = ends[(ends > a) & (ends < a + len(raw))] - a
         yield a, np.r_[inside, len(raw)], raw
-
-
-def _by_hash(items: DataFrame, length: int) -> DataFrame:
-    """(_h, _item, _ranges) of items too many for one task: every string is counted by its hash."""
-
-    def strings(batches):
-        import xxhash
-
-        for batch in batches:
-            for h, i, n, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                got = [xxhash.xxh3_128_intdigest(raw[k : k + length]) for k in range(len(raw) - length + 1)]
-                m = len(got)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([h] * m, pa.int64()), pa.array([i] * m, pa.int64()), pa.array([n] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([(g >> 64) - (1 << 63) for g in got], pa.int64()), pa.array([(g & ((1 << 64) - 1)) - (1 << 63) for g in got], pa.int64())],
-                    names=["_h", "_item", "_n", "_k", "_s1", "_s2"],
-                )
-
-    each = items.select("_h", "_item", "_n", "_bytes").mapInArrow(strings, "_h long, _item long, _n long, _k int, _s1 long, _s2 long")
-    often = each.groupBy("_s1", "_s2").agg(F.sum("_n").alias("_t")).filter("_t >= 2").select("_s1", "_s2")
-    starts = each.join(often, ["_s1", "_s2"], "left_semi").groupBy("_h", "_item").agg(F.sort_array(F.collect_set("_k")).alias("_ks"))
-    return starts.select("_h", "_item", F.flatten(F.transform("_ks", lambda k: F.array(k, k))).alias("_ranges"))

@@ -35,7 +35,7 @@ def got_substrings(df, **how):
     return sorted(((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in r), key=str)
 
 
-@pytest.mark.parametrize("how", [{}, {"group_bytes": 600}, {"group_bytes": 5000}])
+@pytest.mark.parametrize("how", [{}, {"group_bytes": 600}, {"group_bytes": 5000}, {"group_bytes": 1, "most_levels": 3}])
 def test_substrings_of_edge_cases(edge_df, clashing, edge, how):
     want = plain_substrings([(i, t) for i, t, *_ in edge], 400)
     assert sum(x[2] for x in want) > 0
@@ -45,6 +45,30 @@ def test_substrings_of_edge_cases(edge_df, clashing, edge, how):
         assert substrings.dedup_substrings(edge_df.limit(0)).count() == 0
 
 
+def test_texts_beyond_the_places_of_a_hash_are_cut_into_parts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    raw = "".join(chr(c) for c in rng.integers(97, 101, 9000))
+    docs = [(1, raw[:7000] + raw[500:1400]), (2, raw[6000:] + "é" * 700), (3, "short"), (4, raw[2000:2399])]
+    monkeypatch.setattr(substrings, "_PLACES", 2048)
+    made = []
+    whole = b"".join((t or "").encode() for _, t in docs[:1])
+    for shift, ends, part in substrings._parts(np.array([len(whole)]), whole, 400):
+        assert len(part) < 2048
+        _, h, first, last = substrings.anchors(np.frombuffer(part, np.uint8), ends, 400, 133)
+        made += [s for f, la in zip(first + shift, last + shift, strict=True) for s in range(f, la + 1)]
+    assert sorted(made) == list(range(len(whole) - 399))
+
+
+def test_a_text_above_16_mb(spark):
+    """Two such texts that share a passage across the cut, through the whole operator."""
+    rng = np.random.default_rng(9)
+    a = rng.integers(97, 123, (1 << 24) + 5000, dtype=np.uint8).tobytes().decode()
+    passage = a[(1 << 24) - 1200 : (1 << 24) + 300]
+    docs = [(1, a), (2, "x" * 30 + passage + "y" * 30)]
+    got = {r["doc_id"]: r for r in substrings.dedup_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [((1 << 24) - 1200, (1 << 24) + 300)] and [(s["start"], s["end"]) for s in got[2]["spans"]] == [(30, 1530)]
+
+
 def test_repeated_rows_repeat_their_strings(spark):
     long = " ".join(f"w{k}" for k in range(200))
     docs = [(1, long), (1, long), (None, long + " tail"), (2, "other " * 90), (3, " ".join(f"v{k}" for k in range(300)))]
