@@ -9,8 +9,11 @@ the exact cosine in double precision.
 
 Equal vectors are one index row with its least ids, so a vector that a third of
 all rows share is encoded, scored and reranked once.  Queries and index are dealt
-in blocks; each (query block, index block) is a task of bounded memory, and only its
-nearest few rows for each query travel on.
+in blocks; each (query block, index block) is a task of bounded memory that sees codes
+and norms, 24 bytes a row, and the queries.  Its nearest ``rerank`` keys of each query
+compete with those of other blocks, and the winners go back to the blocks that hold
+their vectors: a vector travels once for the rerank, a query once to each block that
+holds candidates of its.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 
 @dataclass
@@ -69,13 +72,14 @@ def train_codebooks(x: np.ndarray, books: int = 16, size: int = 256, rounds: int
     out = Codebooks(np.stack(words))
     for _ in range(refine):
         codes = out.encode(x, beam) + np.arange(books) * size
-        gram, cross = np.zeros((books * size, books * size)), np.zeros((books * size, x.shape[1]))
+        gram, cross = np.zeros((books * size, books * size), np.float32), np.zeros((books * size, x.shape[1]), np.float32)
         for m in range(books):
             np.add.at(cross, codes[:, m], x)
             for k in range(books):
                 np.add.at(gram, (codes[:, m], codes[:, k]), 1.0)
-        gram += 0.1 * np.eye(len(gram))
-        solved = np.linalg.solve(gram, cross + 0.1 * out.words.reshape(-1, x.shape[1]))
+        gram.ravel()[:: len(gram) + 1] += 0.1
+        solved = np.linalg.solve(gram, cross + np.float32(0.1) * out.words.reshape(-1, x.shape[1]).astype(np.float32)).astype(float)
+        del gram
         out = Codebooks(solved.reshape(books, size, -1))
     return out
 
@@ -94,90 +98,114 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample_rows: int = 8192,
-    rerank: int = 768,
+    rerank: int = 512,
     index_block: int = 32_768,
     query_block: int = 2048,
 ) -> DataFrame:
     """query_id, rank, id, score: the ``k`` rows of largest cosine found for every query but its own id.
 
     Nearest first, ties to the smaller id; fewer rows if there are fewer candidates.
-    Vectors that are null, zero, hold null or non-finite components, or have
-    another length than most of the sample take no part on either side; neither
-    do null ids.  Rows that repeat an id and a vector count once.  Other columns are
-    ignored; empty tables give no rows.  Codebooks are fitted on ``sample_rows``
-    distinct vectors by hash; every row is indexed.  Within a block the ``rerank``
-    nearest by the codes are compared exactly, and recall is at least 0.9 on the
-    test tables (see the tests).
+    Vectors that are null, zero, or hold null or non-finite components take no part on
+    either side; neither do null ids.  Vectors of different lengths raise.  Rows that
+    repeat an id and a vector count once; of an id with several vectors each is a
+    candidate, and as a query the least counts.  Other columns are ignored; empty
+    tables give no rows.  Codebooks are fitted on about ``sample_rows`` distinct vectors by
+    hash; every row is indexed.  The ``rerank`` nearest of the whole index by the codes
+    are compared exactly; with 512 recall is 0.95 on 51,282 vectors of 64 components
+    without clusters (README), so tables of fewer vectors than that are searched exactly.
     """
+    if rerank <= k:
+        raise ValueError("rerank must exceed k")
     spark = rows.sparkSession
     scratch = Scratch(spark, "aq")
     kind = rows.schema[id_col].dataType.simpleString()
     take = lambda df: df.filter(valid(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
-    keyed = take(rows).withColumn("_key", F.xxhash64("_v"))
+    half = lambda salt: F.lpad(F.hex(F.xxhash64(F.lit(salt), "_v")), 16, "0")
+    keyed = take(rows).withColumn("_key", F.unhex(F.concat(half(1), half(2))))
     # at most k + 1 ids of a vector matter; the rank limit applies before the shuffle
     order = Window.partitionBy("_key").orderBy("_id")
     few = keyed.withColumn("_rn", F.dense_rank().over(order)).filter(F.col("_rn") <= k + 1)
     index = few.groupBy("_key").agg(F.sort_array(F.collect_set("_id")).alias("_ids"), F.first("_v").alias("_v"))
     index = scratch.write(index, "index")
-    drawn = index.select("_v", F.xxhash64("_key", F.lit(3)).alias("_o")).orderBy("_o").limit(sample_rows).collect()
-    if not drawn:
+    asked = scratch.write(take(queries).groupBy("_id").agg(F.min("_v").alias("_v")), "asked")
+    total, least, most = index.agg(F.count("*"), F.min(F.size("_v")), F.max(F.size("_v"))).first()
+    n_asked, low, high = asked.agg(F.count("*"), F.min(F.size("_v")), F.max(F.size("_v"))).first()
+    if not total or not n_asked:
         return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
-    dims = np.array([len(r["_v"]) for r in drawn])
-    dim = int(np.bincount(dims).argmax())
-    x = np.array([r["_v"] for r in drawn if len(r["_v"]) == dim], float)
+    if len({least, most, low, high}) > 1:
+        raise ValueError(f"vectors have {min(least, low)} to {max(most, high)} components")
+    dim = most
+    part = F.lit(min(1 << 30, -(-(1 << 30) * sample_rows // total)))
+    drawn = index.filter(F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(1 << 30)) < part).select("_key", "_v").collect()  # about sample_rows
+    x = np.array([r["_v"] for r in sorted(drawn, key=lambda r: bytes(r["_key"]))] or [index.first()["_v"]], float)
+    del drawn
     books = train_codebooks(x / np.linalg.norm(x, axis=1, keepdims=True))
     shipped = spark.sparkContext.broadcast(books)  # books * size * dimension numbers
-    index, asked = index.filter(F.size("_v") == dim), take(queries).filter(F.size("_v") == dim).groupBy("_id").agg(F.min("_v").alias("_v"))
-    n_index, n_query = -(-index.count() // index_block), -(-asked.count() // query_block)
-    if not n_index or not n_query:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, {id_col} {kind}, score double")
+    n_index, n_query = -(-total // index_block), -(-n_asked // query_block)
 
     def encode(batches):
         for batch in batches:
-            v = np.array(batch.column(2).to_pylist(), float).reshape(-1, dim)
+            v = np.array(batch.column(1).to_pylist(), float).reshape(-1, dim)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
             codes = np.concatenate([shipped.value.encode(unit[a : a + 1024]) for a in range(0, len(unit), 1024)]) if len(unit) else np.zeros((0, 1), np.uint8)
             norm = (shipped.value.decode(codes) ** 2).sum(1) if len(unit) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float64())], names=["_key", "_ids", "_v", "_codes", "_norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32())], names=["_key", "_codes", "_norm"])
 
-    coded = index.select("_key", "_ids", "_v").mapInArrow(encode, f"_key long, _ids array<{kind}>, _v array<double>, _codes binary, _norm double")
+    home = F.pmod(F.xxhash64("_key"), F.lit(n_index)).cast("int").alias("_i")
+    coded = scratch.write(index.select("_key", "_v").mapInArrow(lean(encode), "_key binary, _codes binary, _norm float"), "codes")
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = coded.withColumn("_i", F.pmod("_key", F.lit(n_index)).cast("int")).withColumn("_q", blocks(n_query))
+    left = coded.select("*", home).withColumn("_q", blocks(n_query))
     right = asked.withColumn("_q", F.pmod(F.xxhash64("_id"), F.lit(n_query)).cast("int")).withColumn("_i", blocks(n_index))
-    schema = f"query_id {kind}, _id {kind}, score double"
 
-    def search(index: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": asked["_id"].slice(0, 0), "_id": asked["_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+    def score(index: pa.Table, asked: pa.Table) -> pa.Table:
+        """The nearest keys of each query by lookup tables."""
+        empty = pa.table({"query_id": asked["_id"].slice(0, 0), "_i": pa.array([], pa.int32()), "_key": pa.array([], pa.binary()), "_far": pa.array([], pa.float32())})
         if not len(index) or not len(asked):
             return empty
         codes = np.frombuffer(b"".join(index["_codes"].to_pylist()), np.uint8).reshape(len(index), -1)
-        v = np.array(index["_v"].combine_chunks().flatten().to_numpy(), float).reshape(-1, dim)
         q = np.array(asked["_v"].combine_chunks().flatten().to_numpy(), float).reshape(-1, dim)
-        length, q_length = np.sqrt((v * v).sum(1)), np.sqrt((q * q).sum(1))
-        norm, ids = index["_norm"].to_numpy(), index["_ids"].to_pylist()
-        q_ids = asked["_id"].to_pylist()
-        out_q, out_id, out_s = [], [], []
+        q /= np.sqrt((q * q).sum(1))[:, None]
+        norm, keep = index["_norm"].to_numpy().astype(np.float32), min(rerank, len(index))
+        who, which, how_far = [], [], []
         for a in range(0, len(q), 128):
-            unit = q[a : a + 128] / q_length[a : a + 128, None]
-            table = np.einsum("mkd,qd->mkq", shipped.value.words, unit).astype(np.float32)
-            far = np.repeat(norm.astype(np.float32)[:, None], len(unit), axis=1)
+            table = np.einsum("mkd,qd->mkq", shipped.value.words, q[a : a + 128]).astype(np.float32)
+            far = np.repeat(norm[:, None], table.shape[2], axis=1)
             for m in range(codes.shape[1]):
                 far -= 2 * table[m][codes[:, m]]
-            far = far.T
-            best = np.argpartition(far, rerank - 1, axis=1)[:, :rerank] if rerank < len(v) else np.broadcast_to(np.arange(len(v)), far.shape)
-            for r, near in enumerate(best):
-                cosine = (v[near] * q[a + r]).sum(1) / (length[near] * q_length[a + r])
+            best = np.argpartition(far, keep - 1, axis=0)[:keep]
+            who.append(np.tile(np.arange(a, a + far.shape[1]), keep)), which.append(best.ravel()), how_far.append(np.take_along_axis(far, best, 0).ravel())
+        pick = lambda xs: pa.array(np.concatenate(xs))
+        return pa.table({"query_id": asked["_id"].take(pick(who)), "_i": pa.array(np.full(len(q) * keep, index["_i"][0].as_py(), np.int32)), "_key": index["_key"].take(pick(which)), "_far": pick(how_far)})
+
+    near = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(score, f"query_id {kind}, _i int, _key binary, _far float")
+    line = Window.partitionBy("query_id").orderBy("_far", "_key")
+    near = near.withColumn("_rn", F.row_number().over(line)).filter(F.col("_rn") <= rerank)
+    # at most rerank keys of a query
+    near = scratch.write(near.groupBy("_i", "query_id").agg(F.collect_list("_key").alias("_keys")), "near")
+    wanted = near.join(asked.select(F.col("_id").alias("query_id"), "_v").hint("merge"), "query_id")
+    held = index.select("_key", "_ids", "_v", home)
+
+    def compare(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        """Exact cosines of the wanted pairs; of each query the nearest k here, ties included."""
+        out_q, out_id, out_s = [], [], []
+        if len(held) and len(wanted):
+            at = {key: i for i, key in enumerate(held["_key"].to_pylist())}
+            v = np.array(held["_v"].combine_chunks().flatten().to_numpy(), float).reshape(-1, dim)
+            length, ids = np.sqrt((v * v).sum(1)), held["_ids"].to_pylist()
+            for mine, keys, q in zip(wanted["query_id"].to_pylist(), wanted["_keys"].to_pylist(), wanted["_v"].to_pylist(), strict=True):
+                q = np.array(q, float)
+                rows_ = np.array([at[key] for key in keys])
+                cosine = (v[rows_] * q).sum(1) / (length[rows_] * np.sqrt((q * q).sum()))
                 top = np.argsort(-cosine, kind="stable")
                 floor = cosine[top[min(k, len(top) - 1)]]  # k + 1 vectors, ties included
-                mine = q_ids[a + r]
-                got = sorted((-float(cosine[t]), i) for t in top if cosine[t] >= floor for i in ids[near[t]] if i != mine)[:k]
+                got = sorted((-float(cosine[t]), i) for t in top if cosine[t] >= floor for i in ids[rows_[t]] if i != mine)[:k]
                 out_q += [mine] * len(got)
                 out_id += [i for _, i in got]
                 out_s += [-s for s, _ in got]
-        kind_of = asked["_id"].type
+        kind_of = wanted["query_id"].type
         return pa.table({"query_id": pa.array(out_q, kind_of), "_id": pa.array(out_id, kind_of), "score": pa.array(out_s, pa.float64())})
 
-    found = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(search, schema)
-    line = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("_id"))
-    ranked = found.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k)
+    found = held.groupBy("_i").cogroup(wanted.groupBy("_i")).applyInArrow(compare, f"query_id {kind}, _id {kind}, score double")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("_id"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").alias(id_col), "score")
