@@ -99,6 +99,50 @@ def test_toxicity_held_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
     right = sum(r["predicted"] == r["toxic"] for r in held) / len(held)
     assert right >= 0.93, right
+    hits, told, toxic = (sum(map(f, held)) for f in (lambda r: r["predicted"] and r["toxic"], lambda r: r["predicted"], lambda r: r["toxic"]))
+    assert toxic >= 10 and hits >= 0.8 * toxic and hits >= 0.9 * told, (hits, told, toxic)
+
+
+def plain_score(model, text):
+    """Token by token, in probabilities scaled at every step."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    e = [model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words]
+    t = np.exp(model.trans)
+    forward, backward = [], []
+    for k, x in enumerate(e):
+        v = np.array([1.0, np.exp(min(30, max(-30, x)))])
+        v = v if k == 0 else v * np.array([sum(forward[-1][i] * t[i, j] for i in (0, 1)) for j in (0, 1)])
+        forward.append(v / v.sum())
+    for k in range(len(e) - 1, -1, -1):
+        if k == len(e) - 1:
+            v = np.ones(2)
+        else:
+            x = np.array([1.0, np.exp(min(30, max(-30, e[k + 1])))])
+            v = np.array([sum(t[i, j] * x[j] * backward[0][j] for j in (0, 1)) for i in (0, 1)])
+        backward.insert(0, v / v.sum())
+    p = [f[1] * b[1] / (f @ b) for f, b in zip(forward, backward, strict=True)]
+    most = min(1 - 1e-4, max(1e-4, max(p, default=0.0)))
+    z = model.curve @ np.array([1.0, np.log(sum(p) + 1e-2), np.log(most / (1 - most))])
+    return 1 / (1 + np.exp(-z)), sum(x > 0.5 for x in p)
+
+
+def test_scores_equal_plain_ones(spark):
+    docs = registry.documents(spark, DATA)
+    model = registry.toxicity_model(spark, docs, DATA)
+    got = registry.op2(spark, DATA).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len(got) == docs.count() and any(r["predicted"] for r in got)
+    for r in got:
+        score, n = plain_score(model, r["text"])
+        assert abs(score - r["score"]) < 1e-6 and n == r["n_toxic"] and r["predicted"] == (r["score"] >= 0.7), r["doc_id"]
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    texts, y = toy()
+    model = toxicity.fit(texts, y)
+    long = " ".join(texts[k % 300] for k in range(1, 4000) if k % 4) + " zorgoabc zorgobca"
+    r = toxicity.score(spark.createDataFrame([(1, long), (1, long), (2, long)], "doc_id long, text string"), model).collect()
+    assert len(r) == 3 and len({x["score"] for x in r}) == 1 and long[r[0]["spans"][-1]["start"] :].startswith("zorgoabc")
+    assert abs(r[0]["score"] - plain_score(model, long)[0]) < 1e-6
 
 
 # --- quality
@@ -141,6 +185,24 @@ def test_trees_obey_constraints_and_flatten():
     assert np.allclose([walk(r) for r in x[:50]], trees.margin(x[:50]))
 
 
+def test_verdicts_equal_a_walk_node_by_node(spark):
+    docs, labels = registry.documents(spark, DATA), spark.read.parquet(f"{DATA}/labels.parquet")
+    trees = quality.train(docs, labels, max_docs=8000)
+    got = {r["doc_id"]: r for r in registry.op6(spark, DATA).collect()}
+    assert len(got) == docs.count() and {r["kept"] for r in got.values()} == {True, False}
+    for i, text in docs.select("doc_id", "text").collect():
+        base, inputs = plain_statistics(text), quality.statistics(text)[1]
+        margin = trees.start
+        for k in trees.roots:
+            while trees.left[k] != k:
+                k = trees.left[k] if inputs[trees.feature[k]] <= trees.threshold[k] else trees.right[k]
+            margin += trees.value[k]
+        failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+        r = got[i]
+        assert [r[c] for c in quality.BASE] == base and r["base_failed"] == failed and abs(r["probability"] - 1 / (1 + np.exp(-margin))) < 1e-9
+        assert r["kept"] == (not failed and 1 / (1 + np.exp(-margin)) >= 0.5)
+
+
 def test_quality_held_out(spark, edge_df, clashing):
     data = "/root/testdata/sf0.01"
     docs, labels = registry.documents(spark, data), spark.read.parquet(f"{data}/labels.parquet")
@@ -175,12 +237,14 @@ def test_nearest_of_edge_cases(spark):
     rows += [(200, None), (201, [0.0] * 4), (202, [nan, 1.0, 1.0, 1.0]), (203, [inf, 1.0, 1.0, 1.0]), (204, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4), (205, []), (100, [1.0, 2.0, 0.5, -1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"score": F.lit(1), "rank": F.lit(1)})
     asked = {0, 50, 100, 139, 200, 201, 202}
-    for how in ({}, {"index_block": 16, "query_block": 2}):
+    for how in ({}, {"index_block": 16, "query_block": 2}, {"index_block": 16, "query_block": 2, "rerank": 70}):
         got = neighbours.nearest(df, df.filter(F.col("vec_id").isin(asked)), k=5, **how).collect()
         assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == plain_nearest(rows, asked, 5)
     assert neighbours.nearest(df.limit(0), df, k=5).count() == 0 and neighbours.nearest(df, df.limit(0), k=5).count() == 0
     few = df.filter("vec_id in (1, 2)")
     assert neighbours.nearest(few, few, k=5).count() == 2
+    with pytest.raises(ValueError, match="components"):
+        neighbours.nearest(df.union(df.limit(1).withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))), few)
 
 
 @pytest.mark.parametrize("sf", ["sf0.1"])

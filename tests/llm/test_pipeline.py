@@ -61,10 +61,34 @@ def test_five_word_similarity_on_documents(spark):
 
 
 @pytest.mark.parametrize("stage", range(5))
-def test_stages_take_edge_cases(spark, edge_df, stage):
+def test_stages_take_edge_cases(spark, edge_df, clashing, edge, stage):
+    """Nulls in every column, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
     name, f = pipe.STAGES[stage]
-    assert f(spark, edge_df, DATA).count() > 0
+    texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    had, got = texts(edge_df), f(spark, edge_df, DATA)
     assert f(spark, edge_df.limit(0), DATA).count() == 0
+    if name == "best_fit_packing":
+        assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        ends = Counter(r["doc_id"] for r in got.filter("piece = 0").collect())
+        assert ends == Counter(i for i, *_ in edge) and f(spark, clashing, DATA).count() == got.count()
+        return
+    assert got.columns == edge_df.columns
+    mixed = f(spark, clashing, DATA)
+    assert mixed.columns == clashing.columns and mixed.filter("score <> 'x' or n_removed <> 'x' or copies <> 'x' or fingerprint <> 'x'").count() == 0
+    assert texts(mixed) == texts(got)
+    now = texts(got)
+    if name == "toxicity":
+        assert now == had  # all clean
+    elif name == "line_dedup":
+        assert sum(now.values()) == sum(had.values()) and Counter(i for i, _ in now.elements()) == Counter(i for i, _ in had.elements())
+        assert now[4, None] == 1 and now[None, None] == 1 and now[5, ""] == 1 and now[2, ""] == 1 and now[1, edge[0][1]] == 1
+    elif name == "simhash_near_dedup":
+        assert all(n == 1 for n in now.values()) and set(now) <= set(had)
+        assert (1, edge[0][1]) in now and not {2, 3} & {i for i, _ in now}  # a copy, and a near copy with one line more
+        assert len([1 for _, t in now if not (t or "").strip()]) == 1  # null, empty and blank texts are one group
+        assert (9, edge[12][1]) in now and (8, edge[11][1]) in now and (None, "a text without id") in now
+    else:
+        assert all(now[x] <= 3 * had[x] for x in now) and set(now) <= set(had)
 
 
 def test_run(spark):

@@ -119,3 +119,34 @@ def test_packing_is_tight_however_it_is_split(spark, whole):
 def test_best_fit_takes_the_tightest_bin():
     bins, offsets, fills = packing.best_fit(np.array([6, 5, 3, 4, 1]), 10)
     assert bins.tolist() == [0, 1, 1, 0, 1] and fills.tolist() == [10, 9] and offsets.tolist() == [0, 0, 5, 6, 8]
+
+
+def test_token_counts_of_documents_equal_plain_majority(whole, spark):
+    """Bytes of every token by the vocabulary's stand-ins, each character to the token of its first byte: counted line by line."""
+    from marlstone.llm import registry
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    got = Counter()
+    for r in registry.op1(spark, DATA).collect():
+        got[r["doc_id"], r["start"], r["end"]] = r["n_tokens"]
+    for i, text in docs:
+        text = text or ""
+        line_of, at = [], 0
+        lines = [x + "\n" for x in text.split("\n")]
+        lines[-1] = lines[-1][:-1]
+        lines = [x for x in lines if x]
+        bounds = []
+        for k, x in enumerate(lines):
+            bounds.append((at, at + len(x)))
+            at += len(x)
+            line_of += [k] * len(x)
+        char_of = [k for k, c in enumerate(text) for _ in range(len(c.encode()))]
+        want, b = Counter(), 0
+        for t in whole.encode(text, add_special_tokens=False).tokens:
+            touched = Counter(line_of[c] for c in sorted(set(char_of[b : b + len(t)])))
+            b += len(t)
+            want[max(touched, key=lambda k: (touched[k], -k))] += 1
+        assert b == len(char_of)
+        for k, (lo, hi) in enumerate(bounds):
+            assert got[i, lo, hi] == want[k], (i, k)
+        assert sum(want.values()) == sum(v for (d, _, _), v in got.items() if d == i)
