@@ -105,3 +105,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in own), "_text string, n_lines long, n_removed long, n_runs long"])
     out = joined.mapInArrow(lean(cut), schema)
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in [c for c in docs.columns if c in own or c == text_col]], "n_lines", "n_removed", "n_runs")
+
+
+def drop_repeats(docs: DataFrame, **how) -> DataFrame:
+    """The input with its texts deduplicated and its columns, those named like results included.
+
+    Takes what ``dedup_lines`` takes and treats nulls, empty texts, repeats and ties alike.
+    """
+    clash = [c for c in docs.columns if c in ("n_lines", "n_removed", "n_runs")]
+    own = "_" * (1 + max(map(len, docs.columns))) + "own"
+    out = dedup_lines(docs.select("*", F.struct(*(F.col(f"`{c}`") for c in clash)).alias(own)) if clash else docs, **how)
+    return out.select(*[F.col(own)[c].alias(c) if c in clash else F.col(f"`{c}`") for c in docs.columns])
