@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import sha_id
 from . import contract
 
 
@@ -63,3 +64,31 @@ def run_attempts(df: DataFrame, key: str, source_text: str, complete: Callable[[
 
     schema = f"_k {kind}, attempt int, status string, candidate string, errors array<string>, actions array<string>"
     return df.select(F.col(key).alias("_k"), F.col(source_text).alias("_s")).mapInPandas(run, schema).withColumnRenamed("_k", key)
+
+
+def started_runs(df: DataFrame, snapshot: str, provider: str, model: str) -> DataFrame:
+    """LLM-03: a run in state ``running`` for each observation that a model is asked about."""
+    run_id = sha_id(F.concat_ws("\n", F.col(snapshot), F.lit(provider), F.lit(model)), 24, "run_")
+    return df.select(run_id.alias("run_id"), F.col(snapshot).alias("source_snapshot_id"), F.lit(provider).alias("provider"), F.lit(model).alias("requested_model"), F.lit("running").alias("status"))
+
+
+def finished_runs(runs: DataFrame, attempts: DataFrame, key: str = "run_id") -> DataFrame:
+    """LLM-03: runs with their end: ``review_required`` if an attempt was accepted, else ``failed`` with the last error.
+
+    A run without an attempt is still running.  AGG-12: errors are joined by `` | ``.
+    """
+    last = attempts.groupBy(F.col(key).alias("run_id")).agg(F.count("*").alias("attempt_count"), F.bool_or(F.col("status") == "accepted").alias("_ok"), F.max_by("status", "attempt").alias("_status"), F.max_by("errors", "attempt").alias("_errors"))
+    said = F.when(F.size("_errors") > 0, F.array_join("_errors", " | ")).otherwise(F.col("_status"))
+    x = runs.drop("status").join(last, "run_id", "left")
+    status = F.when(F.col("_ok"), "review_required").when(F.col("attempt_count") > 0, "failed").otherwise("running")
+    return x.withColumns({"status": status, "error": F.when(~F.col("_ok"), said)}).drop("_ok", "_status", "_errors")
+
+
+def review_requests(runs: DataFrame, ingested: DataFrame) -> DataFrame:
+    """LLM-03: the review of what an accepted run has entered.
+
+    ingested: source_snapshot_id, product_revision_id, opportunity_revision_id (null where there is none).
+    """
+    made = ingested.groupBy("source_snapshot_id", "product_revision_id").agg(F.array_sort(F.collect_set("opportunity_revision_id")).alias("opportunity_revision_ids"))
+    x = runs.filter(F.col("status") == "review_required").join(made, "source_snapshot_id")
+    return x.select(sha_id(F.col("run_id"), 24, "rr_").alias("review_id"), "run_id", "product_revision_id", "opportunity_revision_ids", F.lit("open").alias("status"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import literalize, prettify
@@ -152,6 +152,12 @@ class CatalogEngine:
         return (queue.filter(F.col("status") == status) if status else queue).orderBy("created_at", "review_id").limit(limit)
 
 
+    @staticmethod
+    def review(queue: DataFrame, review_id: str) -> DataFrame:
+        """REV-02: one item, no row if there is none."""
+        return queue.filter(F.col("review_id") == review_id).limit(1)
+
+
 def catalog_kind(tables: set[str]) -> str:
     """SRC-06: which generation a set of tables belongs to."""
     if {"catalog_metadata", "published"} <= tables or {"product_revisions", "review_events"} <= tables:
@@ -159,3 +165,12 @@ def catalog_kind(tables: set[str]) -> str:
     if {"source_records", "opportunities"} <= tables:
         return "legacy"
     raise ValueError("these tables are no catalog")
+
+
+def open_catalog(spark: SparkSession, path: str) -> tuple[str, Catalog | None]:
+    """SRC-06: the generation of the catalog in a folder, by the tables that lie there, and the typed one opened; both only read."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    kind = catalog_kind({f.getPath().getName() for f in fs.listStatus(p)} if fs.exists(p) else set())
+    return kind, Catalog.open(spark, path) if kind == "typed" else None

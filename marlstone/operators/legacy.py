@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +98,11 @@ class FlatCatalog:
     def rebuild(self, rows: DataFrame, generated_at: str) -> None:
         for name, df in tables(rows, generated_at).items():
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self.stats().withColumn("generated_at", F.lit(generated_at)).coalesce(1).write.mode("overwrite").json(f"{self.path}/build-summary")
+
+    def summary(self) -> DataFrame:
+        """SNK-02: the one-row summary that the last build wrote, as JSON."""
+        return self.spark.read.json(f"{self.path}/build-summary")
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{table}")
@@ -142,6 +150,12 @@ class FlatCatalog:
         return rows.join(r, "opportunity_id", "left")
 
 
+class RefreshRunning(RuntimeError):
+    """DIF-04: another refresh holds the lock; a command ends with ``exit_code``."""
+
+    exit_code = 75
+
+
 class Refresh:
     """Snapshots by run, a pointer to the latest and one to the trusted state, and the review queue between them."""
 
@@ -195,6 +209,32 @@ class Refresh:
         kinds = {r["change_type"]: r["count"] for r in changes.groupBy("change_type").count().collect()}
         return {"run_id": run_id, "initial_load": not before, "records": now.count(), **{k: kinds.get(k, 0) for k in ("added", "changed", "removed")}, "review_items_added": added}
 
+    @contextlib.contextmanager
+    def lock(self) -> Iterator[None]:
+        """DIF-04: one refresh at a time; a second one raises at once and leaves the first one's lock alone."""
+        p, fs = self._fs("refresh.lock")
+        try:
+            fs.create(p, False).close()
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                raise RefreshRunning(str(p)) from e
+            raise
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
+
+    def job(self, run_id: str, markdown: str | None, offers: str | None, at: str) -> dict:
+        """SNK-09: a run under the lock, with a line in the log whether it ends well or not."""
+        with self.lock():
+            code, told = 1, {}
+            try:
+                told = self.run(run_id, markdown, offers, at)
+                code = 0
+                return told
+            finally:
+                append_log(self.spark.createDataFrame([(run_id, at, code, json.dumps(told))], "run_id string, started_at string, exit_code int, summary string"), f"{self.path}/logs")
+
     def promote(self, decisions: DataFrame) -> str:
         """DIF-03: the latest snapshot becomes trusted if every one of its changes is accepted, whichever run queued it (D2)."""
         latest, current = self.pointer("latest"), self.pointer("current")

@@ -18,6 +18,18 @@ def like_all(text: Column, terms: list[str], also: dict[str, Column] | None = No
     return out
 
 
+def explorer_filter(rows: DataFrame, haystack: Column, q: str = "", needs: str = "needs", need: str = "", source: str = "", source_col: str = "source_kind") -> DataFrame:
+    """FLT-18: rows with every word of the query somewhere in the haystack, the need and the source, as far as they are given."""
+    hit = F.lit(True)
+    for word in (q or "").lower().split():
+        hit = hit & F.lower(haystack).contains(word)
+    if need:
+        hit = hit & F.exists(F.col(needs), lambda n: n["id"] == need)
+    if source:
+        hit = hit & (F.col(source_col) == source)
+    return rows.filter(hit)
+
+
 def with_link_flags(df: DataFrame, links: DataFrame, key: str, link_text: str, terms: list[str]) -> tuple[DataFrame, dict[str, Column]]:
     """JON-07 for OR-ed EXISTS: one grouped pass over the links gives a flag for each term."""
     terms = [t.lower() for t in terms][:8]

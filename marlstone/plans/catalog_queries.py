@@ -8,6 +8,7 @@ catalog for each folder of tables, which the queries share.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
@@ -16,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import attempts, contract, evaluate, history, legacy
+from ..operators import attempts, contract, evaluate, history, legacy, search
 from ..operators.catalog import Catalog, ingest, observe
-from ..operators.engine import CatalogEngine
+from ..operators.engine import CatalogEngine, open_catalog
 from ..operators.shared import new_folder
 from ..sources import readers
 
@@ -568,3 +569,134 @@ def document_functions(spark, d):
     doc = _json('{"b": {"y": [', k, ', null], "x": ', _quoted(F.col("p_name")), '}, "a": ', z, "}")
     cited = _json('{"evidence_ids": ["ev_no"], "support": {"evidence_ids": ["ev_', z, '"]}, "list": [{"support": {"evidence_ids": [', F.when(_mod(2, 0), _json('"ev_', z, '", "ev_b"')).otherwise(F.lit("")), "]}}]}")
     return _table(spark, d, "part").select("p_partkey", text.canonical_json(doc).alias("canonical"), F.array_join(text.evidence_ids(cited), ",").alias("ids"), text.prettify(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("label"))
+
+
+# --- runs, reviews, files
+
+
+def _run_id_sql(snapshot: str) -> str:
+    return f"'run_' || left(sha256({snapshot} || chr(10) || 'p' || chr(10) || 'm'), 24)"
+
+
+_RUNS = f"""r AS (SELECT {_run_id_sql("'srcsnap_' || p_partkey")} AS run_id, p_size FROM part)"""
+
+
+def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    x = _table(spark, d, "part").select(F.concat(F.lit("srcsnap_"), F.col("p_partkey").cast("string")).alias("snapshot"), "p_size")
+    runs = attempts.started_runs(x, "snapshot", "p", "m")
+    z = F.col("p_size")
+    tried = x.join(runs.withColumnRenamed("source_snapshot_id", "snapshot").select("snapshot", "run_id"), "snapshot").filter(z % 7 != 0).withColumn("attempt", F.explode(F.when(z < 20, F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))))
+    ok = (z < 20) | ((z < 35) & (F.col("attempt") == 2))
+    status = F.when(ok, "accepted").when(z % 2 == 0, "validation_error").otherwise("provider_error")
+    errors = F.when(status == "validation_error", F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return runs, tried.select("run_id", "attempt", status.alias("status"), errors.alias("errors"))
+
+
+@query(f"""WITH {_RUNS} SELECT run_id, CASE WHEN p_size % 7 = 0 THEN 'running' WHEN p_size < 35 THEN 'review_required' ELSE 'failed' END AS status, CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size < 20 THEN 1 ELSE 2 END::BIGINT AS attempt_count,
+ CASE WHEN p_size % 7 <> 0 AND p_size >= 35 THEN CASE WHEN p_size % 2 = 0 THEN 'a | b' ELSE 'provider_error' END END AS error FROM r""")
+def run_lifecycle(spark, d):
+    """LLM-03, AGG-10, AGG-12: runs from running to review_required or failed."""
+    return attempts.finished_runs(*_runs(spark, d)).select("run_id", "status", "attempt_count", "error")
+
+
+@query(f"""WITH {_IDS}, m AS (SELECT DISTINCT {_run_id_sql("snap")} AS run_id, pr, orv FROM ids WHERE k % 2 = 0) SELECT 'rr_' || left(sha256(run_id), 24) AS review_id, run_id, pr AS product_revision_id, orv AS opportunities, 'open' AS status FROM m""")
+def review_after_run(spark, d):
+    """LLM-03: an accepted run asks for the review of the revisions that it entered."""
+    c = _catalog(spark, d)
+    o = c.read("opportunity_revisions").select("source_snapshot_id", "product_revision_id", "opportunity_revision_id")
+    k = F.substring_index("source_url", "/", -1).cast("long").alias("p_partkey")
+    x = c.read("source_snapshots").select("source_snapshot_id", k)
+    runs = attempts.started_runs(x, "source_snapshot_id", "p", "m")
+    tried = runs.join(x, "source_snapshot_id").select("run_id", F.lit(1).alias("attempt"), F.when(_mod(2, 0), "accepted").otherwise("parse_error").alias("status"), F.array().cast("array<string>").alias("errors"))
+    asked = attempts.review_requests(attempts.finished_runs(runs, tried), o)
+    return asked.select("review_id", "run_id", "product_revision_id", F.array_join("opportunity_revision_ids", ",").alias("opportunities"), "status")
+
+
+@query("SELECT o_orderkey::VARCHAR AS review_id, o_orderstatus AS status FROM orders WHERE o_orderkey = 7")
+def queue_show(spark, d):
+    """REV-02: one item of the queue."""
+    q = _table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("review_id"), F.col("o_orderstatus").alias("status"))
+    return CatalogEngine.review(q, "7")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS review_id, o_orderdate AS created_at FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey::VARCHAR LIMIT 40""")
+def engine_reviews(spark, d):
+    """API-08, SRT-05: open items, oldest first, at most as many as asked for."""
+    q = _table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("review_id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return CatalogEngine(Catalog(spark, "unused")).reviews(q, "open", 40).select("review_id", "created_at")
+
+
+@query("""SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type), 'ring') AND contains(lower(p_name || ' ' || p_type), 'eco') AND p_partkey % 3 = 0 AND p_brand = 'Brand#2'
+ UNION ALL SELECT p_partkey FROM part WHERE p_size = 7""")
+def explorer_filters(spark, d):
+    """FLT-18: words, need and source as far as they are given."""
+    p = _table(spark, d, "part").withColumn("needs", F.when(_mod(3, 0), F.array(F.struct(F.lit("n").alias("id")))).otherwise(F.array().cast("array<struct<id:string>>")))
+    hay = F.concat_ws(" ", "p_name", "p_type")
+    a = search.explorer_filter(p, hay, "Ring  eco", need="n", source="Brand#2", source_col="p_brand")
+    return a.select("p_partkey").unionByName(search.explorer_filter(p.filter("p_size = 7"), hay).select("p_partkey"))
+
+
+@query(f"SELECT (SELECT 2 * count(*) FROM nation)::BIGINT AS records, (SELECT count(*) FROM nation)::BIGINT AS offers, 0::BIGINT AS review_items, '{_JAN}' AS generated_at")
+def flat_summary(spark, d):
+    """SNK-02: what the build wrote about itself."""
+    return _flat(spark, d).summary().select("records", "offers", "review_items", "generated_at")
+
+
+@query("SELECT 'typed' AS kind, (SELECT count(*) FROM part)::BIGINT AS products UNION ALL SELECT 'legacy', NULL")
+def open_kinds(spark, d):
+    """SRC-06, VAL-21: which generation lies in a folder."""
+    kind, c = open_catalog(spark, _catalog(spark, d).path)
+    other, none = open_catalog(spark, _flat(spark, d).path)
+    a = c.read("products").agg(F.count("*").alias("products")).select(F.lit(kind).alias("kind"), "products")
+    return a.unionByName(spark.createDataFrame([(other, None)], "kind string, products long")) if none is None else a
+
+
+@query("SELECT 'capability' AS namespace, lower(r_name) AS id FROM region UNION ALL SELECT 'unit', lower(n_name) FROM nation")
+def read_vocabulary(spark, d):
+    """SRC-04: a versioned JSON vocabulary as dimension rows."""
+    concepts = [r[0].lower() for r in _table(spark, d, "region").select("r_name").collect()]  # 5 regions and 25 nations
+    units = [r[0].lower() for r in _table(spark, d, "nation").select("n_name").collect()]
+    path = _put(spark, f"{new_folder(spark, 'vocabulary')}/vocabulary.json", json.dumps({"facet_namespaces": {"capability": concepts}, "normalized_units": units}))
+    a, b = readers.read_vocabulary(spark, path)
+    return a.select("namespace", F.col("concept_id").alias("id")).unionByName(b.select(F.lit("unit").alias("namespace"), F.col("unit_id").alias("id")))
+
+
+@query("SELECT 'src_' || n_nationkey AS source_id, n_name AS source_name FROM nation WHERE n_nationkey = 3")
+def read_record(spark, d):
+    """SRC-05: one record of a staging file by its id."""
+    rows = _table(spark, d, "nation").collect()  # 25 nations
+    path = _put(spark, f"{new_folder(spark, 'record')}/staging.json", json.dumps([{"source_id": f"src_{r['n_nationkey']}", "source_name": r["n_name"]} for r in rows]))
+    return readers.read_record(spark, path, "src_3")
+
+
+@query("SELECT 's' || n_nationkey AS source_id, n_nationkey % 2 = 0 AS include, 'text ' || n_nationkey AS raw_text, 'run_' || n_regionkey AS run_id FROM nation")
+def read_evaluation_files(spark, d):
+    """SRC-07, SRC-08: traces, labels and staged records of a run, and the reports of a folder."""
+    rows = _table(spark, d, "nation").collect()  # 25 nations
+    folder, dump = new_folder(spark, "evaluation"), json.dumps
+    traces = _put(spark, f"{folder}/traces.json", dump({"run_id": "r", "traces": [{"source_id": f"s{r['n_nationkey']}", "status": "ok"} for r in rows]}))
+    labels = _put(spark, f"{folder}/labels.json", dump({"labels": [{"source_id": f"s{r['n_nationkey']}", "include": r["n_nationkey"] % 2 == 0} for r in rows]}))
+    staging = _put(spark, f"{folder}/staging.json", dump([{"source_id": f"s{r['n_nationkey']}", "raw_text": f"text {r['n_nationkey']}", "region": r["n_regionkey"]} for r in rows]))
+    for k in {r["n_regionkey"] for r in rows}:
+        _put(spark, f"{folder}/reports/{k}.evaluation.json", dump({"run_id": f"run_{k}", "region": k}))
+        _put(spark, f"{folder}/reports/{k}.other.json", dump({"run_id": "no", "region": k}))
+    t, l, s = readers.read_evaluation_inputs(spark, traces, labels, staging)
+    reports = readers.read_evaluations(spark, f"{folder}/reports")
+    return t.filter("status = 'ok'").join(l, "source_id").join(s, "source_id").join(reports, "region").select("source_id", "include", "raw_text", "run_id")
+
+
+@query("SELECT 'one' AS run_id, 0 AS exit_code, true AS held UNION ALL SELECT 'two', 1, true")
+def refresh_job(spark, d):
+    """SNK-09, DIF-04: a refresh under its lock leaves a line in the log, failed ones too; a second one is refused."""
+    md, csv = _listing(spark, d)
+    r = legacy.Refresh(spark, f"{new_folder(spark, 'job')}/state")
+    r.job("one", md, csv, _JAN)
+    with contextlib.suppress(Exception):
+        r.job("two", f"{md}.missing", None, _FEB)
+    with r.lock():
+        try:
+            r.job("three", md, csv, _FEB)
+            held = False
+        except legacy.RefreshRunning as e:
+            held = e.exit_code == 75
+    return spark.read.json(f"{r.path}/logs", schema="run_id string, exit_code int").withColumn("held", F.lit(held))
