@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import folded, literalize
 from .shared import written
@@ -110,21 +114,52 @@ def bm25(index: DataFrame, key: str, query: str | list[list[str]], k1: float = 1
     return scored.select(key, (-total).alias("rank"))
 
 
-def contains_join(texts: DataFrame, quotes: DataFrame, text: str, quote: str, most_broadcast: int = 5000) -> DataFrame:
-    """JON-17, FLT-12: rows whose text holds the quote exactly.
+def _scan(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
+    """Texts with the quotes that they hold: one pass over each text, however many quotes there are.
 
-    Up to ``most_broadcast`` quotes (counted first) are broadcast and tested in a
-    nested loop, which never shuffles a text.  More of them meet the texts by their
-    first eight characters, so the join is on equal blocks and the exact test
-    follows; quotes shorter than that stay a loop.
+    The different quotes reach the driver and every task as one automaton, so the
+    caller bounds their bytes.
+    """
+    known = [r[0] for r in quotes.select(quote).filter(F.col(quote).isNotNull()).distinct().collect()]
+    shipped = texts.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        find = ahocorasick.Automaton()
+        for q in shipped.value:
+            if q:
+                find.add_word(q, q)
+        find.make_automaton()
+        everywhere = [""] if "" in shipped.value else []
+        some = len(find) > 0
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else everywhere + (list({q for _, q in find.iter(t)}) if some else []))
+
+    hit = texts.withColumn("_held", held(F.col(text))).filter(F.size("_held") > 0)
+    return hit.withColumn(quote, F.explode("_held")).drop("_held").join(quotes, quote)
+
+
+def contains_join(texts: DataFrame, quotes: DataFrame, text: str, quote: str, most_bytes: int = 2_000_000) -> DataFrame:
+    """JON-17, FLT-12: rows whose text holds the quote exactly; nulls match nothing, the empty quote every text.
+
+    Quotes of up to ``most_bytes`` (measured first) are looked for together in one pass,
+    which never shuffles a text.  More of them meet the texts by their first eight
+    characters, so the join is on equal blocks and the exact test follows; quotes
+    shorter than that are looked for together, part by part.
     """
     size = 8
-    few = quotes.limit(most_broadcast + 1).count() <= most_broadcast
-    if few:
-        return texts.join(F.broadcast(quotes), F.contains(F.col(text), F.col(quote)))
+    bytes_of = lambda q: q.agg(F.sum(F.octet_length(quote) + 1)).first()[0] or 0
+    if bytes_of(quotes) <= most_bytes:
+        return _scan(texts, quotes, text, quote)
     q = quotes.withColumn("_block", F.substring(quote, 1, size))
     places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
     t = texts.withColumn("_block", F.explode(F.array_distinct(F.transform(places, lambda i: F.col(text).substr(i, F.lit(size))))))
-    long = t.join(q.filter(F.length(quote) >= size), "_block").filter(F.contains(F.col(text), F.col(quote))).drop("_block")
-    short = texts.join(quotes.filter(F.length(quote) < size), F.contains(F.col(text), F.col(quote)))
-    return long.unionByName(short)
+    out = t.join(q.filter(F.length(quote) >= size), "_block").filter(F.contains(F.col(text), F.col(quote))).drop("_block")
+    short = quotes.filter(F.length(quote) < size)
+    parts = -(-bytes_of(short.select(quote).distinct()) // most_bytes)
+    for k in range(parts):
+        some = short.filter(F.pmod(F.xxhash64(quote), F.lit(parts)) == k)
+        out = out.unionByName(_scan(texts, some, text, quote).select(*out.columns))
+    return out

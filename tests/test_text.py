@@ -69,12 +69,14 @@ def test_bm25_equals_sqlite(spark):
     assert search.bm25(index, "id", "gpu ***").count() == 0
 
 
-def test_containment_by_blocks_equals_the_loop(spark):
-    texts = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick"), (3, None)], "id int, t string")
-    quotes = spark.createDataFrame([(1, "quick brown"), (2, "ick"), (3, "missing text")], "q int, s string")
-    a = search.contains_join(texts, quotes, "t", "s").select("id", "q")
-    b = search.contains_join(texts, quotes, "t", "s", most_broadcast=1).select("id", "q")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) == [(1, 1), (1, 2), (2, 2)]
+def test_containment_in_one_pass_and_by_blocks(spark):
+    texts = [(1, "the quick brown fox"), (2, "quick"), (3, None), (4, "")]
+    quotes = [(1, "quick brown"), (2, "ick"), (3, "missing text"), (4, ""), (5, None), (6, "ick"), (7, "e quick brown fo")]
+    want = sorted((i, q) for i, t in texts for q, s in quotes if t is not None and s is not None and s in t)
+    t, q = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(quotes, "q int, s string")
+    for most in (1000, 40, 3):
+        assert sorted(map(tuple, search.contains_join(t, q, "t", "s", most_bytes=most).select("id", "q").collect())) == want
+    assert search.contains_join(t, q.limit(0), "t", "s").count() == 0 and search.contains_join(t.limit(0), q, "t", "s").count() == 0
 
 
 def test_score_and_annotations(spark):
