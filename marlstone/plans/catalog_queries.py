@@ -16,10 +16,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import rules, text
 from ..operators import attempts, contract, evaluate, history, legacy, search
 from ..operators.catalog import Catalog, ingest, observe
-from ..operators.engine import CatalogEngine, open_catalog
+from ..operators.engine import CatalogEngine, bounded_params, open_catalog
 from ..operators.shared import new_folder
 from ..sources import readers
 
@@ -700,3 +700,87 @@ def refresh_job(spark, d):
         except legacy.RefreshRunning as e:
             held = e.exit_code == 75
     return spark.read.json(f"{r.path}/logs", schema="run_id string, exit_code int").withColumn("held", F.lit(held))
+
+
+# --- scores, annotations, requests
+
+
+_SAID = ("Run a GPU notebook", "embedding store", "call our llm by API", "clinical sales tools")
+_CATEGORY = ("Generative AI", "AI & Automation", "Cloud Programs", "Cloud Computing & Infrastructure", "Other")
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    return _table(spark, d, "part").select("p_partkey", F.lit("Fixture").alias("source_name"), pick(_SAID).alias("source_description"), F.lit("").alias("source_offer_detail"), pick(_CATEGORY).alias("source_category"))
+
+
+@query("""SELECT k AS p_partkey, (CASE k % 4 WHEN 0 THEN 6 WHEN 3 THEN -10 ELSE 3 END + CASE k % 5 WHEN 0 THEN 6 WHEN 1 THEN 1 WHEN 2 THEN 6 WHEN 3 THEN 1 ELSE 0 END)::INT AS score,
+ (CASE k % 4 WHEN 0 THEN 2 WHEN 3 THEN 2 ELSE 1 END + CASE WHEN k % 5 < 4 THEN 1 ELSE 0 END)::INT AS n_reasons FROM (SELECT p_partkey AS k FROM part)""")
+def score_records(spark, d):
+    """FN-05, FN-06: the catalog's own relevance rules with their reasons."""
+    x = rules.with_score(_records(spark, d), legacy.TEXT, "source_category")
+    return x.select("p_partkey", "score", F.size("reasons").alias("n_reasons"))
+
+
+@query("""SELECT k AS p_partkey, CASE WHEN k % 5 = 2 THEN 'cloud-credit' || CASE k % 4 WHEN 3 THEN '' ELSE ',' END ELSE '' END || CASE k % 4 WHEN 0 THEN 'gpu-compute,notebook' WHEN 1 THEN 'embeddings' WHEN 2 THEN 'model-inference,model-api' ELSE '' END AS capabilities,
+ CASE WHEN k % 5 = 2 THEN 'source category: Cloud Programs' WHEN k % 4 = 0 THEN 'gpu notebook' WHEN k % 4 = 1 THEN 'embedding' WHEN k % 4 = 2 THEN 'source describes access to or calls to models' END AS first_evidence,
+ CASE WHEN k % 5 = 2 THEN 'cloud-credits' WHEN k % 4 = 0 THEN 'gpu-accelerator' WHEN k % 4 = 1 THEN 'embeddings-search' WHEN k % 4 = 2 THEN 'free-inference' END AS first_need FROM (SELECT p_partkey AS k FROM part)""")
+def annotate_records(spark, d):
+    """FN-07: all rule groups in order, first evidence kept."""
+    x = rules.annotate(_records(spark, d), legacy.TEXT, "source_category")
+    ids = F.array_join(F.transform("capabilities", lambda c: c["id"]), ",")
+    return x.select("p_partkey", ids.alias("capabilities"), F.get(F.col("capabilities"), 0)["evidence"].alias("first_evidence"), F.get(F.col("needs"), 0)["id"].alias("first_need"))
+
+
+@query("SELECT 'n' || n_nationkey AS source_id, n_name AS name, (SELECT count(*) FROM nation)::INT - 1 AS n_peers, false AS names_itself, 18 AS n_capabilities FROM nation")
+def model_requests(spark, d):
+    """PRJ-14, JON-10: a request for each selected record, with every peer but itself."""
+    n = _table(spark, d, "nation")
+    blank = F.lit("")
+    rows = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("source_id"), F.col("n_name").alias("source_name"), *[blank.alias(c) for c in ("source_category", "source_description", "source_offer_detail", "source_eligibility", "parent_provider")])
+    x = legacy.model_requests(rows)
+    peers = F.from_json(F.get_json_object("request", "$.comparison_candidate_names"), "array<string>")
+    name = F.get_json_object("request", "$.record.name")
+    known = F.from_json(F.get_json_object("request", "$.controlled_capabilities"), "map<string,string>")
+    return x.select("source_id", name.alias("name"), F.size(peers).alias("n_peers"), F.array_contains(peers, name).alias("names_itself"), F.size(known).alias("n_capabilities"))
+
+
+_REQUESTS = {
+    "plain": {"q": ["gpu"], "limit": ["7"]}, "nothing": {}, "needs count": {"capability": ["a"] * 4, "need": ["b"] * 4}, "blank ones do not": {"capability": ["a"] * 8, "need": [" "]}, "too many": {"capability": ["a"] * 5, "need": ["b"] * 4},
+    "long query": {"q": ["x" * 513]}, "trimmed query": {"q": [" " * 99 + "x" * 512]}, "long capability": {"capability": ["x" * 129]}, "no number": {"limit": ["ten"]}, "zero": {"limit": ["0"]}, "above": {"limit": ["101"]}, "twice": {"q": ["a", "b"]}, "unknown": {"page": ["2"]},
+}
+
+
+@query("SELECT * FROM (VALUES ('plain', true), ('nothing', true), ('needs count', true), ('blank ones do not', true), ('too many', false), ('long query', false), ('trimmed query', true), ('long capability', false), ('no number', false), ('zero', false), ('above', false), ('twice', false), ('unknown', false)) AS t(request, served)")
+def request_bounds(spark, d):
+    """FLT-17: which requests are served."""
+
+    def served(params) -> bool:
+        try:
+            bounded_params(params)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(name, served(p)) for name, p in _REQUESTS.items()], "request string, served boolean")
+
+
+@query("SELECT 25::BIGINT AS products, 25::BIGINT AS after_a_retry, 26::BIGINT AS with_older_files, 1::BIGINT AS without_time, true AS refused")
+def catalog_rules(spark, d):
+    """SNK-07, SNK-10: a retry appends nothing, a batch in the making is not seen, older files lack a column, unknown columns are refused."""
+    c = Catalog.open(spark, new_folder(spark, "rules"))
+    n = _table(spark, d, "nation").select(F.concat(F.lit("prod_"), F.col("n_nationkey").cast("string")).alias("product_id"), F.lit(_JAN).alias("created_at"))
+    c.append({"products": n}, "one")
+    n.limit(3).write.parquet(f"{c.path}/products/batch_id=half")
+    first = c.read("products").count()
+    c.append({"products": n}, "one")
+    again = c.read("products").count()
+    c.append({"products": n.select("product_id").limit(1)}, "older")
+    last = c.read("products")
+    try:
+        c.append({"products": n.withColumn("extra", F.lit(1))}, "bad")
+        refused = False
+    except ValueError:
+        refused = True
+    return last.agg(F.count("*").alias("with_older_files"), F.count_if(F.col("created_at").isNull()).alias("without_time")).withColumns({"products": F.lit(first).cast("long"), "after_a_retry": F.lit(again).cast("long"), "refused": F.lit(refused)})
