@@ -97,8 +97,10 @@ def pack(
     """id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     Null and empty texts hold the end id alone.  Repeated rows are packed as
-    often as they occur; a null id stays null.  Other columns are ignored.  An
-    empty table gives an empty result.  Sequences are gapless from offset 0.
+    often as they occur; a null id stays null.  Pieces of equal length go in any
+    order.  A very long text is encoded whole by one task and cut into full pieces.
+    Other columns are ignored.  An empty table gives an empty result.  Sequences are
+    gapless from offset 0.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
@@ -121,8 +123,8 @@ def pack(
         yield x.assign(bin=base + bins, at=offsets, fill=fills[bins])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    spread = F.pmod(F.xxhash64("ids_crc32", "length", "start", "_id"), F.lit(parts)).cast("int")
-    packed = loose.repartition(parts, spread).mapInPandas(first, _PIECES.format(id="_id", kind=kind) + ", bin long, at long, fill long")
+    # dealt by the row's own hash, so a partition holds about items_per_partition
+    packed = loose.repartition(parts, "ids_crc32", "length", "start", "_id").mapInPandas(first, _PIECES.format(id="_id", kind=kind) + ", bin long, at long, fill long")
     packed = scratch.write(packed, "packed")
     least = int(capacity * nearly_full)
     # where each underfull bin of a round goes: (bin, into, shift)
@@ -145,7 +147,7 @@ def pack(
             yield pd.DataFrame({"bin": x["bin"], "into": base + bins, "shift": offsets, "fill": fills[bins]})
 
         parts = max(1, -(-parts // fan_in))
-        dealt = open_bins.repartition(parts, F.pmod(F.xxhash64("bin"), F.lit(parts)).cast("int")) if parts > 1 else open_bins.coalesce(1)
+        dealt = open_bins.repartition(parts, "bin") if parts > 1 else open_bins.coalesce(1)
         moves.append(scratch.write(dealt.mapInPandas(merge, "bin long, into long, shift long, fill long"), f"moves{k}"))
         if parts == 1:
             break

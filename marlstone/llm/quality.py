@@ -214,8 +214,9 @@ def judge(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     base_failed: fewer than ``least_words`` words, or more than ``most_repeat_percent``
     percent of the words in repeated windows.  Such rows are not kept; others are if
     their probability of good quality reaches ``least``.  Null and empty texts have
-    no words and fail.  Repeated rows and null ids keep their rows; other columns
-    are ignored; an empty table gives no rows.
+    no words and fail.  Repeated rows, ties of probability and null ids keep their
+    rows, each with its own verdict; a very long text is measured whole by one task;
+    other columns are ignored; an empty table gives no rows.
     """
     x = measure(docs, id_col, text_col, trees)
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
