@@ -3,9 +3,11 @@
 Hierarchical residual packing.  Every partition packs its own pieces best-fit
 decreasing.  Bins that are nearly full are final; the underfull ones become
 items of the next round, where ``fan_in`` partitions' worth meet in one, until a
-single small partition is left.  Only (bin, fill) pairs travel between rounds;
-what remains underfull is at most a few bins for each partition, so the last
-partition's input is bounded by the number of partitions, not of documents.
+single small partition is left.  A bin that is far from full is taken apart again
+first, so the next round can fit its parts one by one.  Only (bin, fill) pairs
+travel between rounds; what remains underfull is at most a few bins for each
+partition, so the last partition's input is bounded by the number of partitions, not
+of documents.
 """
 
 from __future__ import annotations
@@ -52,6 +54,13 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
+def apart(sizes: np.ndarray, bins: np.ndarray, offsets: np.ndarray, fills: np.ndarray, below: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin, offset and fill of each item after bins filled below ``below`` gave every item a bin of its own."""
+    fill = fills[bins] if len(fills) else sizes
+    alone = fill < below
+    return np.where(alone, len(fills) + np.cumsum(alone) - 1, bins), np.where(alone, 0, offsets), np.where(alone, sizes, fill)
+
+
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer: str | None, end_id: int) -> DataFrame:
     """Pieces of each document's ids and the end id: the first one may be shorter, the others are full."""
     small_batches(docs.sparkSession)
@@ -91,6 +100,7 @@ def pack(
     tokenizer: str | None = None,
     end_id: int = 2,
     nearly_full: float = 0.995,
+    take_apart: float = 0.9,
     items_per_partition: int = 400_000,
     fan_in: int = 16,
 ) -> DataFrame:
@@ -118,9 +128,10 @@ def pack(
         if not frames:
             return
         x = pd.concat(frames, ignore_index=True)
-        bins, offsets, fills = best_fit(x["length"].to_numpy(), capacity)
+        sizes = x["length"].to_numpy()
+        bins, offsets, fill = apart(sizes, *best_fit(sizes, capacity), capacity * take_apart)
         base = TaskContext.get().partitionId() << 36
-        yield x.assign(bin=base + bins, at=offsets, fill=fills[bins])
+        yield x.assign(bin=base + bins, at=offsets, fill=fill)
 
     kind = docs.schema[id_col].dataType.simpleString()
     # dealt by the row's own hash, so a partition holds about items_per_partition
@@ -134,7 +145,9 @@ def pack(
     while open_bins.count():
         k += 1
 
-        def merge(batches, k=k):
+        parts = max(1, -(-parts // fan_in))
+
+        def merge(batches, k=k, below=capacity * take_apart if parts > 1 else 0):
             import pandas as pd
             from pyspark import TaskContext
 
@@ -142,11 +155,11 @@ def pack(
             if not frames:
                 return
             x = pd.concat(frames, ignore_index=True).sort_values("bin", ignore_index=True)
-            bins, offsets, fills = best_fit(x["fill"].to_numpy(), capacity)
+            sizes = x["fill"].to_numpy()
+            bins, offsets, fill = apart(sizes, *best_fit(sizes, capacity), below)
             base = (k << 56) + (TaskContext.get().partitionId() << 36)
-            yield pd.DataFrame({"bin": x["bin"], "into": base + bins, "shift": offsets, "fill": fills[bins]})
+            yield pd.DataFrame({"bin": x["bin"], "into": base + bins, "shift": offsets, "fill": fill})
 
-        parts = max(1, -(-parts // fan_in))
         dealt = open_bins.repartition(parts, "bin") if parts > 1 else open_bins.coalesce(1)
         moves.append(scratch.write(dealt.mapInPandas(merge, "bin long, into long, shift long, fill long"), f"moves{k}"))
         if parts == 1:
