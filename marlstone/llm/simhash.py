@@ -315,7 +315,7 @@ def near_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     shingle: int = 5,
-    radius: int = 28,
+    radius: int = 32,
     min_similarity: float | None = 0.8,
     seed: int = 42,
     sketch_size: int = 128,
