@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import attempts, contract, evaluate, history, legacy, search
+from ..operators import api, attempts, contract, evaluate, history, legacy, search
 from ..operators.catalog import Catalog, ingest, observe
 from ..operators.engine import CatalogEngine, bounded_params, open_catalog
 from ..operators.shared import new_folder
@@ -784,3 +784,24 @@ def catalog_rules(spark, d):
     except ValueError:
         refused = True
     return last.agg(F.count("*").alias("with_older_files"), F.count_if(F.col("created_at").isNull()).alias("without_time")).withColumns({"products": F.lit(first).cast("long"), "after_a_retry": F.lit(again).cast("long"), "refused": F.lit(refused)})
+
+
+_URLS = ["/", "/health", "/v1/coverage", "/v1/needs", "/v1/capabilities", "/v1/opportunities?capability=economy&limit=100", "/v1/opportunities?limit=0", "/v1/opportunities?page=1", "/v1/opportunities/none", "/v1/evidence/none/ev_what", "/v1/reviews?limit=5", "/v2", "/v1/opportunities?q=" + "x" * 4096]
+
+
+@query(f"""WITH {_PUBLISHED} SELECT 'GET' AS method, * FROM (VALUES ('/', 200, NULL), ('/health', 200, 1), ('/v1/coverage', 200, 1), ('/v1/needs', 200, 0), ('/v1/opportunities?limit=0', 400, NULL), ('/v1/opportunities?page=1', 400, NULL), ('/v1/opportunities/none', 404, NULL),
+ ('/v1/evidence/none/ev_what', 404, NULL), ('/v1/reviews?limit=5', 200, 5), ('/v2', 404, NULL), ('/v1/opportunities?q=xxxxxxxxxx', 414, NULL)) AS t(url, status, n)
+ UNION ALL SELECT 'GET', '/v1/capabilities', 200, count(DISTINCT t)::INT FROM pub UNION ALL SELECT 'GET', '/v1/opportunities?capability=e', 200, least(100, count(*))::INT FROM pub WHERE t = 'economy' UNION ALL SELECT 'POST', '/health', 405, NULL""")
+def api_responses(spark, d):
+    """API-01..10: the status of every kind of request and how many rows it gives; answers have the shape of the contract."""
+    e = CatalogEngine(_catalog(spark, d))
+    queue = _table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("review_id"), F.when(F.col("o_orderstatus") == "O", "open").otherwise("done").alias("status"), F.col("o_orderdate").cast("string").alias("created_at"))
+    shapes, out = api.contract()["paths"], []
+    for method, url in [("GET", u) for u in _URLS] + [("POST", "/health")]:
+        status, answer = api.respond(e, url, method, queue)
+        rows = isinstance(answer, DataFrame)
+        if rows:
+            want = [(f["name"], f["type"]) for f in shapes[url.split("?")[0]]["get"]["row"]["fields"]]
+            assert [(f["name"], str(f["type"]).replace("'containsNull': False", "'containsNull': True").replace("'nullable': False", "'nullable': True")) for f in answer.schema.jsonValue()["fields"]] == [(n, str(t)) for n, t in want], url
+        out.append((method, url[:30], status, answer.count() if rows else None))
+    return spark.createDataFrame(out, "method string, url string, status int, n int")
