@@ -176,3 +176,11 @@ def evidence_ids(x: pd.Series) -> pd.Series:
 def quote_offset(text: Column, quote: Column) -> Column:
     """FN-13: 0-based place of the first occurrence, -1 if there is none."""
     return F.call_function("instr", text, quote) - 1
+
+
+def html_escaped(value: Column) -> Column:
+    """FN-21: text for a page; null is empty."""
+    out = F.coalesce(value, F.lit(""))
+    for c, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(c), F.lit(entity))
+    return out

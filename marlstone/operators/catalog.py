@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_json, evidence_ids, money_micros, quote_offset, sha_id, source_identity
 from .contract import CONTRACT_VERSION
 from .publish import entitled, latest, uncontradicted
+from .shared import written
 
 _SUPPORT = "support: struct<basis: string, evidence_ids: array<string>>"
 _STEXT = f"struct<text: string, {_SUPPORT}>"
@@ -210,7 +211,7 @@ def ingest(catalog: Catalog, candidates: DataFrame, observations: DataFrame, bat
     Products and opportunities that are there already are not entered again (SNK-03).
     """
     joined = candidates.join(observations.select("source_snapshot_id", "source_identity", "observed_at"), "source_snapshot_id")
-    plan = plan_identity(joined, catalog)
+    plan = written(plan_identity(joined, catalog), "plan")  # every table reads it: documents are parsed once
     parts = index_tables(plan, observations.join(candidates.select("source_snapshot_id").distinct(), "source_snapshot_id", "left_semi"))
     for table, key in (("products", "product_id"), ("opportunities", "opportunity_id")):
         parts[table] = parts[table].join(catalog.read(table).select(key), key, "left_anti")

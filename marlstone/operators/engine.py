@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import literalize, prettify
+from ..functions.text import html_escaped, literalize, prettify
 from .catalog import Catalog
 from .contract import CONTRACT_VERSION, VOCABULARY_VERSION
 from .publish import described, eligible_latest, latest_reviews, newest_first, published
@@ -108,6 +108,23 @@ class CatalogEngine:
             "product": nested("product", "product_id"), "opportunity": nested("opportunity", "opportunity_id"),
         })
 
+    def cards(self, rows: DataFrame) -> DataFrame:
+        """FN-21: what a page shows of hydrated rows, escaped: kinds of offer, name, description, capabilities, the link that leads there and the quotes."""
+        of = lambda doc, path: F.get_json_object(F.col(f"{doc}.document"), path)
+        kinds = F.array_distinct(F.transform(F.from_json(of("opportunity", "$.entitlements"), "array<struct<kind: string>>"), lambda e: e["kind"]))
+        link = "array<struct<role: string, url: string>>"
+        links = F.concat(*[F.coalesce(F.from_json(of(d, "$.links"), link), F.array().cast(link)) for d in ("product", "opportunity")])
+        fit = F.filter(links, lambda l: l["role"].isin("application", "canonical_product", "source"))
+        shown = {
+            "kinds": F.array_join(F.transform(kinds, lambda k: F.replace(k, F.lit("_"), F.lit(" "))), " · "),
+            "name": F.coalesce(of("product", "$.proposed_canonical_name.text"), of("product", "$.source_name"), F.col("opportunity_id")),
+            "description": F.coalesce(of("product", "$.description.text"), of("opportunity", "$.plan_label.text")),
+            "labels": F.array_join(F.transform("capabilities", lambda c: F.replace(c["id"], F.lit("-"), F.lit(" "))), ", "),
+            "url": F.coalesce(F.get(fit, F.lit(0))["url"], F.get(links, F.lit(0))["url"]),
+            "quotes": F.array_join(F.transform("evidence", lambda e: e["quote"]), "\n\n"),
+        }
+        return rows.select("opportunity_id", *[html_escaped(v).alias(k) for k, v in shown.items()])
+
     def opportunity(self, opportunity_id: str) -> DataFrame:
         """API-06: no or one row."""
         return self.hydrate(self.published().filter(F.col("opportunity_id") == opportunity_id))

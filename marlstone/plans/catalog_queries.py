@@ -805,3 +805,17 @@ def api_responses(spark, d):
             assert [(f["name"], str(f["type"]).replace("'containsNull': False", "'containsNull': True").replace("'nullable': False", "'nullable': True")) for f in answer.schema.jsonValue()["fields"]] == [(n, str(t)) for n, t in want], url
         out.append((method, url[:30], status, answer.count() if rows else None))
     return spark.createDataFrame(out, "method string, url string, status int, n int")
+
+
+@query(f"""WITH {_PUBLISHED} SELECT opp AS opportunity_id, 'included usage · monetary credit' AS kinds, name, 'Runs ' || t || ' jobs.' AS description, t AS labels, '' AS url FROM pub""")
+def engine_cards(spark, d):
+    """FN-21: hydrated rows as cards (the query leaves out the quotes, whose order over two sources is that of the ids)."""
+    e = CatalogEngine(_catalog(spark, d))
+    return e.cards(e.hydrate(e.published())).drop("quotes")
+
+
+@query("""SELECT item_id, replace(replace(replace(replace(replace('<b title="' || text || '">' || chr(39) || '&', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') AS escaped FROM benchmark""")
+def escaped_text(spark, d):
+    """FN-21: escaping."""
+    t = F.concat(F.lit('<b title="'), "text", F.lit('">'), F.lit("'&"))
+    return _table(spark, d, "benchmark").select("item_id", text.html_escaped(t).alias("escaped"))
