@@ -36,7 +36,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.dedup_substrings(documents(spark, sf_dir), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("n_shared").alias("n_shared_anchors"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,10 +263,11 @@ def _ranges(flags: np.ndarray) -> list[int]:
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, group_bytes: int = 4_000_000, transform_bytes: int = 1_000_000, most_levels: int = 8) -> DataFrame:
-    """The input's id and n_bytes, n_removed, n_spans, spans, kept of every row.
+    """The input's id and n_bytes, n_removed, n_spans, spans, kept, n_shared of every row.
 
     spans are (start, end) of the maximal removed runs in UTF-8 bytes, kept the
-    remaining bytes.  Matches never cross documents; a string that overlaps its
+    remaining bytes.  n_shared counts the anchors, strings of a third of ``length``, that
+    also occur elsewhere: what repeats but is too short to be removed mostly shows there.  Matches never cross documents; a string that overlaps its
     other occurrence counts; all is judged on the input.  Null texts count as empty.
     Texts shorter than ``length`` stay whole.  Every row is a document of its own: rows
     that repeat a text, with the same id or without one, repeat its strings.  Ties do
@@ -412,7 +413,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return done.unionByName(scratch.write(moved, f"moved{level}"))
 
     ranges = settled(lifted, 0)
-    hits = shared.join(ranges.hint("merge"), ["_h", "_item"]).groupBy("_row").agg(F.collect_set(F.struct("_start", "_ranges")).alias("_hits"))
+    # of a document: its repeated starts, and how many of its anchors occur elsewhere
+    both = shared.join(ranges.hint("merge"), ["_h", "_item"], "left")
+    hits = both.groupBy("_row").agg(F.collect_set(F.when(F.col("_ranges").isNotNull(), F.struct("_start", "_ranges"))).alias("_hits"), F.size(F.collect_set("_start")).cast("long").alias("_shared"))
 
     def remove(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -430,10 +433,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 n_bytes.append(len(raw)), n_removed.append(sum(b - a for a, b in runs))
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 kept.append(b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)) if runs else raw)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), batch.column(3)], names=["_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "n_shared"])
 
-    done = plain.join(hits.hint("merge"), "_row", "left").select("_id", "_text", "_hits")
-    schema = f"_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary"
+    done = plain.join(hits.hint("merge"), "_row", "left").select("_id", "_text", "_hits", F.coalesce("_shared", F.lit(0).cast("long")).alias("_shared"))
+    schema = f"_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<struct<start: bigint, end: bigint>>, kept binary, n_shared long"
     return done.mapInArrow(lean(remove), schema).withColumnRenamed("_id", id_col)
 
 

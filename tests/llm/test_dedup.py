@@ -69,6 +69,17 @@ def test_a_text_above_16_mb(spark):
     assert [(s["start"], s["end"]) for s in got[1]["spans"]] == [((1 << 24) - 1200, (1 << 24) + 300)] and [(s["start"], s["end"]) for s in got[2]["spans"]] == [(30, 1530)]
 
 
+def test_shared_anchors_are_counted(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    own = {}
+    for i, t in docs:
+        raw = (t or "").encode()
+        own[i] = substrings.anchors(np.frombuffer(raw, np.uint8), np.array([len(raw)]), 400, 133)[1].tolist()
+    seen = Counter(h for hs in own.values() for h in hs)
+    got = {r["doc_id"]: r["n_shared_anchors"] for r in registry.op3(spark, DATA).collect()}
+    assert got == {i: sum(seen[h] > 1 for h in hs) for i, hs in own.items()} and any(got.values()) and not all(got.values())
+
+
 def test_repeated_rows_repeat_their_strings(spark):
     long = " ".join(f"w{k}" for k in range(200))
     docs = [(1, long), (1, long), (None, long + " tail"), (2, "other " * 90), (3, " ".join(f"v{k}" for k in range(300)))]
