@@ -172,7 +172,7 @@ def marks(row: np.ndarray, col: np.ndarray, n_features: int, toxic: np.ndarray,
     return out
 
 
-def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | None = None, chance: float = 0.5, rounds: int = 60, l2: float = 1e-3, block_words: int = 200_000) -> Model:
+def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | None = None, chance: float = 0.5, rounds: int = 60, l2: float = 1e-3, block_words: int = 600_000) -> Model:
     """The model from labelled texts; null texts count as empty."""
     y = np.array(toxic, float)
     number: dict[bytes, int] = {}
@@ -215,12 +215,12 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
             r, b = chains(e, starts, lengths, trans)
             odds = r * b
             by_word += np.bincount(tok, gold - odds / (1 + odds), n_words)
-            x = np.exp(np.clip(e, -30, 30))
-            f0 = np.stack([np.ones(len(nxt)), r[nxt - 1]], 1)
-            f1 = np.stack([np.ones(len(nxt)), x[nxt] * b[nxt]], 1)
-            both = f0[:, :, None] * np.exp(trans)[None] * f1[:, None, :]
-            both /= both.sum((1, 2), keepdims=True)
-            have_t += both.sum(0)
+            # expected transitions into every token that follows another
+            before, after = r[nxt - 1], np.exp(np.clip(e[nxt], -30, 30)) * b[nxt]
+            (a00, a01), (a10, a11) = np.exp(trans)
+            w01, w10, w11 = a01 * after, a10 * before, a11 * before * after
+            whole = a00 + w01 + w10 + w11
+            have_t += [[np.sum(a00 / whole), np.sum(w01 / whole)], [np.sum(w10 / whole), np.sum(w11 / whole)]]
         g_w = np.bincount(every_col, by_word[every_row], len(w)) / n - l2 * w / n
         g_b = by_word.sum() / n
         g_t = (want_t - have_t) / n
