@@ -21,6 +21,7 @@ import re
 from array import array
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -121,13 +122,31 @@ def chains(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.nda
 
 @dataclass
 class Model:
-    weights: dict[int, float]  # of tag 1 by feature
+    names: np.ndarray  # hashes of the features that have a weight, ascending
+    values: np.ndarray  # their weights of tag 1
     bias: float
     trans: np.ndarray
     curve: np.ndarray  # of the document: constant, log sum, logit of the maximum
 
+    @cached_property
+    def weights(self) -> dict[int, float]:
+        """For looking at a model; scoring does not need it."""
+        return dict(zip(self.names.tolist(), self.values.tolist(), strict=True))
+
+    def emissions(self, words: list[bytes]) -> np.ndarray:
+        """The log weight of tag 1 of each word: two arrays instead of a table of objects, as every worker holds the model."""
+        if not len(words) or not len(self.names):
+            return np.full(len(words), self.bias)
+        flat, first = array("Q"), []
+        for w in words:
+            first.append(len(flat))
+            flat.extend(features(w))  # at least two
+        f = np.frombuffer(flat, np.uint64)
+        at = np.minimum(np.searchsorted(self.names, f), len(self.names) - 1)
+        return self.bias + np.add.reduceat(np.where(self.names[at] == f, self.values[at], 0.0), first)
+
     def emission(self, word: bytes) -> float:
-        return self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
+        return float(self.emissions([word])[0])
 
     def document(self, p: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         total, most = np.zeros(len(lengths)), np.zeros(len(lengths))
@@ -178,7 +197,7 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
     number: dict[bytes, int] = {}
     ids = [np.fromiter((number.setdefault(w, len(number)) for w in (t or "").encode().split()), np.int64) for t in texts]
     if not 0 < y.sum() < len(y):
-        return Model({}, -6.0, np.zeros((2, 2)), np.array([-3.0 if not y.sum() else 3.0, 0.0, 0.0]))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -6.0, np.zeros((2, 2)), np.array([-3.0 if not y.sum() else 3.0, 0.0, 0.0]))
     flat, of_word = array("Q"), array("q")
     for k, word in enumerate(number):
         got = features(word)
@@ -231,7 +250,8 @@ def fit(texts: list[str | None], toxic: list[int], doc_weight: list[float] | Non
             square[q] = 0.98 * square[q] + 0.02 * g * g
             new.append(v + step * (moment[q] / (1 - 0.9**k)) / (np.sqrt(square[q] / (1 - 0.98**k)) + 1e-7))
         w, bias, trans = np.where(only_against, np.minimum(new[0], 0.0), new[0]), float(new[1]), new[2]
-    model = Model({int(name[i]): float(w[i]) for i in np.flatnonzero(np.abs(w) > 0.02)}, float(bias), trans, np.zeros(3))
+    heavy = np.abs(w) > 0.02
+    model = Model(name[heavy], w[heavy], float(bias), trans, np.zeros(3))
     # the document's curve, on all given rows, block by block
     every = bias + np.bincount(every_row, w[every_col], n_words)
     total, most = np.zeros(len(ids)), np.zeros(len(ids))
@@ -302,9 +322,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             except KeyError:
                 if len(cache) > _CACHE_WORDS:
                     cache.clear()
-                for w in set(d):
-                    if w not in cache:
-                        cache[w] = model.emission(w)
+                new = [w for w in set(d) if w not in cache]
+                cache.update(zip(new, model.emissions(new).tolist(), strict=True))
                 got = [cache[w] for w in d]
             e[at : at + len(d)] = got
             at += len(d)
