@@ -49,6 +49,17 @@ def _put(spark: SparkSession, path: str, content: str) -> str:
     return path
 
 
+def _kept(spark: SparkSession, d: str, paths: dict[str, str], build) -> str:
+    """The folder that ``build`` filled for these tables in this application, built again if it is gone."""
+    key = f"{spark.sparkContext.applicationId} {d}"
+    if key in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths[key])
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return paths[key]
+    paths[key] = build()
+    return paths[key]
+
+
 # --- candidates
 
 CONCEPTS, UNITS = {"capability": {"standard", "economy", "promo", "large", "small"}}, {"hour"}
@@ -186,33 +197,34 @@ def _sound(at: str) -> Column:
 _CATALOGS: dict[str, str] = {}
 
 
+def _build_catalog(spark: SparkSession, d: str) -> str:
+    path = new_folder(spark, "catalog")
+    c = Catalog.open(spark, path)
+    for n, (at, some) in enumerate(((_JAN, F.lit(True)), (_FEB, _mod(3, 0)))):
+        s = _sources(spark, d).filter(some)
+        records = s.select(F.lit("readme").alias("source_kind"), F.concat(F.lit("parts:"), F.col("p_partkey").cast("string")).alias("source_locator"), F.col("name").alias("source_name"), F.col("url").alias("source_url"), F.lit("p").alias("source_platform"), F.col("source_text").alias("raw_text"), "p_partkey", "p_size", "p_retailprice", "t", "q1", "q2")
+        seen = observe(records, at)
+        candidates = seen.select("source_snapshot_id", _sound(at).alias("candidate"))
+        ingest(c, candidates, seen.drop("p_partkey", "p_size", "p_retailprice", "t", "q1", "q2"), f"observed{n}")
+    k = F.substring_index("source_url", "/", -1).cast("long")
+    snaps = c.read("source_snapshots").select("source_snapshot_id", k.alias("p_partkey"))
+    parts = []
+    for kind, (a, b) in (("product", (_mod(5, 0), _mod(2, 0))), ("opportunity", (F.lit(False), ~_mod(4, 1)))):
+        r = c.read(f"{kind}_revisions").join(snaps, "source_snapshot_id")
+        first = F.col("observed_at") == _JAN
+        decision = F.when(first, F.when(a, "reject").otherwise("trust")).otherwise(F.when(b, "trust").otherwise("request_revision"))
+        at = F.when(first, F.lit("2026-03-01T00:00:00Z")).otherwise(F.lit("2026-02-15T00:00:00Z" if kind == "product" else "2026-02-20T00:00:00Z"))
+        for other in (None, "canonicalize") if kind == "product" else (None,):
+            ids = [F.col(f"{kind}_revision_id") if x == kind else F.lit(None).cast("string") for x in ("product", "opportunity")]
+            d_ = F.lit(other) if other else decision
+            parts.append(r.select(*[i.alias(f"{x}_revision_id") for i, x in zip(ids, ("product", "opportunity"), strict=True)], d_.alias("decision"), (F.lit("2026-04-01T00:00:00Z") if other else at).alias("created_at"), F.concat(F.lit(other or "decide"), F.lit("_"), F.col(f"{kind}_revision_id")).alias("review_event_id")))
+    c.append({"review_events": history.union_all(parts)}, "reviews")
+    return path
+
+
 def _catalog(spark: SparkSession, d: str) -> Catalog:
     """The catalog over ``part`` of one folder, built by the first query that needs it."""
-    key = f"{id(spark.sparkContext._jsc)} {d}"
-    if key not in _CATALOGS:
-        path = new_folder(spark, "catalog")
-        c = Catalog.open(spark, path)
-        for n, (at, some) in enumerate(((_JAN, F.lit(True)), (_FEB, _mod(3, 0)))):
-            s = _sources(spark, d).filter(some)
-            records = s.select(F.lit("readme").alias("source_kind"), F.concat(F.lit("parts:"), F.col("p_partkey").cast("string")).alias("source_locator"), F.col("name").alias("source_name"), F.col("url").alias("source_url"), F.lit("p").alias("source_platform"), F.col("source_text").alias("raw_text"), "p_partkey", "p_size", "p_retailprice", "t", "q1", "q2")
-            seen = observe(records, at)
-            candidates = seen.select("source_snapshot_id", _sound(at).alias("candidate"))
-            ingest(c, candidates, seen.drop("p_partkey", "p_size", "p_retailprice", "t", "q1", "q2"), f"observed{n}")
-        k = F.substring_index("source_url", "/", -1).cast("long")
-        snaps = c.read("source_snapshots").select("source_snapshot_id", k.alias("p_partkey"))
-        parts = []
-        for kind, (a, b) in (("product", (_mod(5, 0), _mod(2, 0))), ("opportunity", (F.lit(False), ~_mod(4, 1)))):
-            r = c.read(f"{kind}_revisions").join(snaps, "source_snapshot_id")
-            first = F.col("observed_at") == _JAN
-            decision = F.when(first, F.when(a, "reject").otherwise("trust")).otherwise(F.when(b, "trust").otherwise("request_revision"))
-            at = F.when(first, F.lit("2026-03-01T00:00:00Z")).otherwise(F.lit("2026-02-15T00:00:00Z" if kind == "product" else "2026-02-20T00:00:00Z"))
-            for other in (None, "canonicalize") if kind == "product" else (None,):
-                ids = [F.col(f"{kind}_revision_id") if x == kind else F.lit(None).cast("string") for x in ("product", "opportunity")]
-                d_ = F.lit(other) if other else decision
-                parts.append(r.select(*[i.alias(f"{x}_revision_id") for i, x in zip(ids, ("product", "opportunity"), strict=True)], d_.alias("decision"), (F.lit("2026-04-01T00:00:00Z") if other else at).alias("created_at"), F.concat(F.lit(other or "decide"), F.lit("_"), F.col(f"{kind}_revision_id")).alias("review_event_id")))
-        c.append({"review_events": history.union_all(parts)}, "reviews")
-        _CATALOGS[key] = path
-    return Catalog.open(spark, _CATALOGS[key])
+    return Catalog.open(spark, _kept(spark, d, _CATALOGS, lambda: _build_catalog(spark, d)))
 
 
 _IDS = f"""obs AS (SELECT part.*, p_partkey AS k, lower(p_type) AS t, obs_at, 'readme|https://parts.test/' || p_partkey AS identity, p_name || ' ' || p_partkey AS name FROM part, (VALUES ('{_JAN}'), ('{_FEB}')) AS o(obs_at) WHERE obs_at = '{_JAN}' OR p_partkey % 3 = 0),
@@ -414,14 +426,14 @@ def read_both_sources(spark, d):
 _FLAT: dict[str, str] = {}
 
 
+def _build_flat(spark: SparkSession, d: str) -> str:
+    path = new_folder(spark, "flat")
+    legacy.FlatCatalog(spark, path).rebuild(legacy.staged(readers.read_records(spark, *_listing(spark, d))), _JAN)
+    return path
+
+
 def _flat(spark: SparkSession, d: str) -> legacy.FlatCatalog:
-    key = f"{id(spark.sparkContext._jsc)} {d}"
-    if key not in _FLAT:
-        path = new_folder(spark, "flat")
-        c = legacy.FlatCatalog(spark, path)
-        c.rebuild(legacy.staged(readers.read_records(spark, *_listing(spark, d))), _JAN)
-        _FLAT[key] = path
-    return legacy.FlatCatalog(spark, _FLAT[key])
+    return legacy.FlatCatalog(spark, _kept(spark, d, _FLAT, lambda: _build_flat(spark, d)))
 
 
 _RECORDS = """rec AS (SELECT n_nationkey AS k, replace(n_name, '_', '') AS n_name, 'free_for_dev_readme' AS kind FROM nation UNION ALL SELECT n_nationkey, n_name, 'startup_offers_csv' FROM nation)"""
