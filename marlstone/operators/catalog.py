@@ -1,16 +1,22 @@
-"""The append-only catalog: tables in Parquet, batches made visible by a manifest (SNK-05, SNK-07, SNK-10, VAL-21, IDN-*, PRJ-05..09)."""
+"""The append-only catalog: tables in Parquet, batches made visible by a log (SNK-05, SNK-07, SNK-10, VAL-21, IDN-*, PRJ-05..09)."""
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import keys, sets
 from ..functions.text import canonical_json, evidence_ids, money_micros, quote_offset, sha_id, source_identity
-from .contract import CONTRACT_VERSION
+from .contract import CONTRACT_VERSION, run_rules, validate_candidates
+from .history import violations
+from .index import index_tables as text_index
+from .keys import KEYS
+from .log import Conflict, Log, State
 from .publish import entitled, latest, uncontradicted
 from .shared import written
 
@@ -55,67 +61,172 @@ TABLES = {
     "condition_geography_index": "opportunity_revision_id string, condition_key string, mode string, region string",
     "condition_audience_index": "opportunity_revision_id string, condition_key string, audience string",
     "search_index": "opportunity_revision_id string, name string, description string, outcomes string, source_text string",
+    "search_postings": "term string, key string, part int, positions array<int>, length bigint, bucket int",
+    "search_terms": "term string, documents bigint, bucket int",
+    "search_totals": "documents bigint, tokens bigint",
+    "key_sets": "of string, key string, bucket int",
+    "key_filters": "blocks bigint, block bigint, bits binary",
+    "revision_state": "revision_id string, kind string, key string, observed_at string, passes boolean, decided_at string, review_event_id string, decision string, bucket int",
+    "key_state": "kind string, key string, revision_id string, observed_at string, decided_at string, review_event_id string, best boolean, bucket int",
+    "rejections": "source_snapshot_id string, rule_id string, path string, message string",
 }
 
 
+#: Tables whose folders are partitioned by a hash bucket, and what their files are sorted by.
+BUCKETED = {"search_postings": "term", "search_terms": "term", "key_sets": "key", "revision_state": "revision_id", "key_state": "key"}
+
+
 class Catalog:
-    """Tables under one folder.  There is ``append`` and ``read``; nothing updates or deletes.
+    """Tables under one folder.  There is ``append`` and ``read``; nothing updates or deletes rows.
 
-    A batch is written table by table into its own partition and becomes visible
-    as a whole when its manifest entry, one small file, is written last.  A job that
-    dies before that leaves files that no reader sees.
+    A batch is written table by table into its own folders and becomes visible as a
+    whole when the log's next version names them.  A job that dies before that leaves files
+    that no reader sees.  An open catalog reads one version until it appends or is
+    refreshed.  ``compact`` folds small folders into larger ones of the same rows, level by level, so
+    a table of n batches has some ``FAN * log(n)`` folders.
     """
 
+    #: Folders of one level that are folded into one of the next.
+    FAN = 16
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._state: State | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Catalog:
         out = cls(spark, path)
-        for m in out._manifests():
-            if m["contract_version"] != CONTRACT_VERSION:
-                raise ValueError(f"catalog version {m['contract_version']} is not {CONTRACT_VERSION}")
+        have = out.state.meta.get("contract_version", CONTRACT_VERSION)
+        if have != CONTRACT_VERSION:
+            raise ValueError(f"catalog version {have} is not {CONTRACT_VERSION}")
         return out
 
-    def _fs(self, where: str):
-        jvm, sc = self.spark.sparkContext._jvm, self.spark.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(where)
-        return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+    @property
+    def log(self) -> Log:
+        return Log(self.spark, self.path)
 
-    def _manifests(self) -> list[dict]:
-        p, fs = self._fs(f"{self.path}/_manifest")
-        if not fs.exists(p):
-            return []
-        return [json.loads(r[0]) for r in self.spark.read.text(f"{self.path}/_manifest", wholetext=True).collect()]  # one small file for each batch
+    @property
+    def state(self) -> State:
+        if self._state is None:
+            self.refresh()
+        return self._state
+
+    def refresh(self) -> int:
+        """To the newest version, whose number it gives."""
+        self._state = self.log.state()
+        return self._state.version
 
     def batches(self, table: str) -> list[str]:
-        return sorted(m["batch_id"] for m in self._manifests() if table in m["tables"])
+        return sorted(b for b, tables in self.state.batches.items() if table in tables)
+
+    def write(self, table: str, df: DataFrame, folder: str) -> str:
+        """The rows in a folder of the table, which no reader sees before the log names it."""
+        want = self.spark.createDataFrame([], TABLES[table])
+        if extra := set(df.columns) - set(want.columns):
+            raise ValueError(f"{table} has no columns {sorted(extra)}")
+        rows, at = want.unionByName(df, allowMissingColumns=True), f"{table}/batch_id={folder}"
+        if table in BUCKETED:
+            # adaptive execution gives small buckets one task together and splits a large one
+            rows = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", BUCKETED[table])
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{at}")
+        else:
+            rows.write.mode("overwrite").parquet(f"{self.path}/{at}")
+        return at
 
-    def append(self, parts: dict[str, DataFrame], batch_id: str | None = None) -> str:
+    def append(self, parts: dict[str, DataFrame], batch_id: str | None = None, checked_at: int | None = None) -> str:
+        """One batch, visible at once or not at all; a batch id that is in already appends nothing.
+
+        With ``checked_at``, the version that the caller's checks have seen, ``Conflict``
+        is raised if another version came since; else the batch goes in after whatever is there.
+        """
         unknown = parts.keys() - TABLES.keys()
         if unknown:
             raise ValueError(f"no such tables: {sorted(unknown)}")
         batch_id = batch_id or uuid.uuid4().hex
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch_id):
             raise ValueError("a batch id is letters, digits, _ and -")
-        if any(m["batch_id"] == batch_id for m in self._manifests()):
+        if checked_at is None or self.state.version != checked_at:
+            self.refresh()
+        if batch_id in self.state.batches:
             return batch_id  # a retry of what is there already
-        for name, df in parts.items():
-            want = self.spark.createDataFrame([], TABLES[name])
-            if extra := set(df.columns) - set(want.columns):
-                raise ValueError(f"{name} has no columns {sorted(extra)}")
-            want.unionByName(df, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/{name}/batch_id={batch_id}")
-        p, fs = self._fs(f"{self.path}/_manifest/{batch_id}.json")
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps({"batch_id": batch_id, "contract_version": CONTRACT_VERSION, "tables": sorted(parts)}).encode()))
-        out.close()
-        return batch_id
+        folder = f"{batch_id}-{uuid.uuid4().hex[:8]}"
+        with ThreadPoolExecutor(8) as pool:  # tables do not depend on each other, so their jobs run side by side
+            added = {name: {at: 0} for name, at in zip(parts, pool.map(lambda x: self.write(*x, folder), parts.items()), strict=True)}
+        written_keys = keys.key_rows({t: self._load(t, list(added[t])) for t in parts if t in keys.KEYS})
+        if written_keys is not None:
+            added["key_sets"] = {self.write("key_sets", written_keys, folder): 0}
+            stored = self._load("key_sets", list(added["key_sets"]))
+            added["key_filters"] = {self.write("key_filters", keys.filters(stored, stored.count()), folder): 0}
+        entry = {"batch_id": batch_id, "add": added, "meta": {"contract_version": CONTRACT_VERSION}}
+        while True:
+            if checked_at is not None and self.state.version != checked_at:
+                raise Conflict(f"version {self.state.version} came after {checked_at}")
+            try:
+                self._state = self.log.commit(self.state, entry)
+                return batch_id
+            except Conflict:
+                self.refresh()
+                if batch_id in self.state.batches:
+                    return batch_id
 
-    def read(self, table: str) -> DataFrame:
-        """Rows of visible batches; older files that lack a column give null (SNK-10)."""
-        paths = [f"{self.path}/{table}/batch_id={b}" for b in self.batches(table)]
+    def append_checked(self, parts: dict[str, DataFrame], batch_id: str | None = None) -> tuple[str, DataFrame]:
+        """SNK-11: the batch without rows that repeat a key or refer to nothing, and (of, key, rule_id) of what was refused.
+
+        Rows that refer to a refused row are refused too.  The check and the append are of
+        one version: where another writer comes between, all is checked again.
+        """
+        while True:
+            seen = self.refresh()
+            if batch_id in self.state.batches:
+                return batch_id, self.spark.createDataFrame([], "of string, key string, rule_id string")
+            rows, refused = dict(parts), None
+            for _ in range(len(keys.KEYS) + 1):  # a refusal goes down the references at most once a table
+                found = written(keys.problems(rows, self.read("key_sets"), self.read("key_filters")), "refused")
+                if found.isEmpty():
+                    break
+                refused = found if refused is None else refused.union(found)
+                for table in rows:
+                    for columns in [KEYS[table]] if table in KEYS else [c for t, c, _ in keys.REFERENCES if t == table]:
+                        bad = found.filter(F.col("of") == table).select(F.col("key").alias("_key")).distinct()
+                        rows[table] = rows[table].withColumn("_key", keys.key_of(columns)).join(bad, "_key", "left_anti").drop("_key")
+            try:
+                batch_id = self.append(rows, batch_id, checked_at=seen)
+            except Conflict:
+                continue
+            return batch_id, refused if refused is not None else self.spark.createDataFrame([], "of string, key string, rule_id string")
+
+    def compact(self) -> int:
+        """Folds every ``FAN`` folders of one level of a table into one; how many went.  Rows stay as they are."""
+        gone = 0
+        for table in sorted(self.state.live):
+            for level in range(64):
+                paths = [p for p, at in self.state.live[table].items() if at == level]
+                if len(paths) < self.FAN or table in ("revision_state", "key_state"):  # these are rewritten by bucket anyway
+                    continue
+                into = self.write(table, self._load(table, paths), f"level{level + 1}-{uuid.uuid4().hex[:8]}")
+                while True:
+                    try:
+                        self._state = self.log.commit(self.state, {"add": {table: {into: level + 1}}, "remove": {table: paths}})
+                        break
+                    except Conflict:
+                        self.refresh()
+                        if not set(paths) <= self.state.live[table].keys():
+                            return gone  # another compaction was faster
+                gone += len(paths)
+        return gone
+
+    def _load(self, table: str, paths: list[str]) -> DataFrame:
         schema = self.spark.createDataFrame([], TABLES[table]).schema
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(schema)
+        if table in BUCKETED:
+            read = read.option("basePath", f"{self.path}/{table}")
+        return read.parquet(*[f"{self.path}/{p}" for p in sorted(paths)]).select(*schema.names)
+
+    def read(self, table: str) -> DataFrame:
+        """Rows of the open version; older files that lack a column give null (SNK-10)."""
+        return self._load(table, list(self.state.live.get(table, ())))
 
 
 def observe(records: DataFrame, observed_at: str) -> DataFrame:
@@ -205,14 +316,69 @@ def index_tables(plan: DataFrame, observations: DataFrame) -> dict[str, DataFram
     }
 
 
-def ingest(catalog: Catalog, candidates: DataFrame, observations: DataFrame, batch_id: str | None = None) -> str:
-    """SNK-05: plans and appends one batch; nothing is visible unless all of it is.
+def plan_problems(plan: DataFrame, catalog: Catalog) -> DataFrame:
+    """VAL-19: (rule_id, row_key) of planned revisions against the catalog's tables."""
+    from .legacy import plan_problems as problems
+
+    return problems(plan, catalog.read("opportunities"), catalog.read("product_revisions"), catalog.read("opportunity_revisions"))
+
+
+def refusals(catalog: Catalog, joined: DataFrame, plan: DataFrame, concepts: dict[str, set[str]] | None, units: set[str] | None) -> DataFrame:
+    """source_snapshot_id, rule_id, path, message: why an observation may not enter.
+
+    Repeated observations (of the catalog or of the batch), candidates that break the contract or speak
+    of another observation, planned ids that are out of order, and plans whose opportunities are not
+    the candidate's.  ``joined`` holds observations with their candidates, ``plan`` their ids.
+    """
+    sid = F.col("source_snapshot_id")
+    row = lambda df, rule, path, message: df.select(sid, rule.alias("rule_id"), path.alias("path"), message.alias("message"))
+    asked = keys.key_rows({"source_snapshots": joined.select("source_snapshot_id")})
+    stored = keys.known(asked, catalog.read("key_sets"), catalog.read("key_filters")).select(F.col("key").alias("source_snapshot_id"))
+    twice = joined.groupBy("source_snapshot_id").count().filter("count > 1").select("source_snapshot_id")
+    again = stored.union(twice).distinct()
+    found = [row(again, F.lit("SNK-11"), F.lit("source_snapshot_id"), F.lit("the observation is there already"))]
+    if concepts is not None:
+        broken = validate_candidates(joined, "source_snapshot_id", "raw_text", "candidate", concepts, units or set())
+        found.append(row(broken, F.col("rule_id"), F.col("path"), F.col("message")))
+    spoken = violations(joined, run_rules("candidate", "source_snapshot_id", "observed_at", "source_name"), sid).withColumnRenamed("row_key", "source_snapshot_id")
+    found.append(row(spoken, F.lit("VAL-18"), F.col("rule_id"), F.lit("must equal the observation's")))
+    revision = F.coalesce("opportunity_revision_id", "product_revision_id")
+    out_of_order = plan_problems(plan, catalog).join(plan.select("source_snapshot_id", revision.alias("row_key")).distinct(), "row_key")
+    found.append(row(out_of_order, F.lit("VAL-19"), F.col("rule_id"), F.col("row_key")))
+    wanted = joined.select("source_snapshot_id", F.explode(F.from_json("candidate", "opportunities array<struct<local_key: string>>")["opportunities"]["local_key"]).alias("local_key"))
+    planned = plan.filter("opportunity_id is not null").select("source_snapshot_id", F.col("o.local_key").alias("local_key"))
+    differ = sets.set_differences(wanted, planned, "source_snapshot_id", "local_key")
+    found.append(row(differ, F.lit("SET-06"), F.concat(F.lit("opportunities/"), F.coalesce("local_key", F.lit("null"))), F.when(F.col("side") == "left", "no planned identity").otherwise("planned without a candidate")))
+    return reduce(DataFrame.union, found)
+
+
+def ingest(
+    catalog: Catalog, candidates: DataFrame, observations: DataFrame, batch_id: str | None = None, concepts: dict[str, set[str]] | None = None, units: set[str] | None = None, most_tries: int = 5
+) -> str:
+    """SNK-05: checks, plans and appends one batch; nothing is visible unless all of it is.
 
-    Products and opportunities that are there already are not entered again (SNK-03).
+    An observation that ``refusals`` names is refused as a whole and only its reasons
+    enter, as ``rejections``; the contract is checked where the vocabulary is given.  Products and
+    opportunities that are there already are not entered again (SNK-03).  All checks are of one
+    version of the catalog; where another writer comes between, they are made again.
     """
-    joined = candidates.join(observations.select("source_snapshot_id", "source_identity", "observed_at"), "source_snapshot_id")
-    plan = written(plan_identity(joined, catalog), "plan")  # every table reads it: documents are parsed once
-    parts = index_tables(plan, observations.join(candidates.select("source_snapshot_id").distinct(), "source_snapshot_id", "left_semi"))
-    for table, key in (("products", "product_id"), ("opportunities", "opportunity_id")):
-        parts[table] = parts[table].join(catalog.read(table).select(key), key, "left_anti")
-    return catalog.append(parts, batch_id)
+    for _ in range(most_tries):
+        seen = catalog.refresh()
+        if batch_id is not None and batch_id in catalog.state.batches:
+            return batch_id
+        # once for each candidate row: a second candidate of one observation is a repetition
+        told = observations.dropDuplicates(["source_snapshot_id"])
+        joined = written(candidates.select("source_snapshot_id", "candidate").join(told, "source_snapshot_id"), "observed")
+        plan = written(plan_identity(joined.select("source_snapshot_id", "source_identity", "observed_at", "candidate"), catalog), "plan")  # every table reads it: documents are parsed once
+        refused = written(refusals(catalog, joined, plan, concepts, units), "refused")
+        bad = refused.select("source_snapshot_id").distinct()
+        plan = plan.join(bad, "source_snapshot_id", "left_anti")
+        parts = index_tables(plan, joined.drop("candidate").join(bad, "source_snapshot_id", "left_anti"))
+        for table, key in (("products", "product_id"), ("opportunities", "opportunity_id")):
+            parts[table] = parts[table].join(catalog.read(table).select(key), key, "left_anti")
+        parts |= text_index(parts["search_index"], "opportunity_revision_id", ["name", "description", "outcomes", "source_text"])
+        try:
+            return catalog.append(parts | {"rejections": refused}, batch_id, checked_at=seen)
+        except Conflict:
+            continue
+    raise Conflict(f"other writers came first {most_tries} times")

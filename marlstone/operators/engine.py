@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import view
 from ..functions.text import html_escaped, literalize, prettify
 from .catalog import Catalog
 from .contract import CONTRACT_VERSION, VOCABULARY_VERSION
+from .index import SearchIndex
 from .publish import described, eligible_latest, latest_reviews, newest_first, published
-from .search import bm25, facet_and, postings
+from .search import facet_and
 
 
 def bounded(q: str = "", capabilities: list[str] | None = None, limit: int = 25, need: list[str] | None = None) -> tuple[str, list[str], int]:
@@ -59,18 +61,24 @@ class CatalogEngine:
         stands for its product or opportunity, whenever it was trusted (WIN-02, WIN-03).
         """
         t = self.catalog.read
+        if view.is_fresh(self.catalog):  # kept as batches came in: no history is ranked
+            pr = t("product_revisions").join(view.standing(self.catalog, "product"), "product_revision_id")
+            return self._joined(pr, t("opportunity_revisions").join(view.standing(self.catalog, "opportunity"), "opportunity_revision_id"))
         events = t("review_events").withColumn("target", F.coalesce("product_revision_id", "opportunity_revision_id"))
         last = latest_reviews(events, ["target"]).select("target", "decision", F.col("created_at").alias("decided_at"), "review_event_id")
         order = lambda c: [F.coalesce("observed_at", "created_at").desc(), F.col(c).desc()]
         pr = eligible_latest(t("product_revisions"), last, "product_revision_id", ["product_id"], order("product_revision_id"), described(F.col("description"), F.col("description_evidence")))
         orv = eligible_latest(t("opportunity_revisions"), last, "opportunity_revision_id", ["opportunity_id"], order("opportunity_revision_id"), F.col("entitled") & ~F.col("contradictory"))
+        return self._joined(pr, orv)
+
+    def _joined(self, pr: DataFrame, orv: DataFrame) -> DataFrame:
         of = lambda kind, extra: [
             F.col("review_event_id").alias(f"{kind}_review_event_id"), F.col("source_snapshot_id").alias(f"{kind}_snapshot_id"), F.col("observed_at").alias(f"{kind}_observed_at"),
             F.col("evidence_ids").alias(f"{kind}_evidence_ids"), F.col("document_json").alias(f"{kind}_document"), "decided_at", *extra,
         ]
         p = pr.select("product_id", "product_revision_id", *of("product", ["name", "description"]))
         o = orv.select("opportunity_id", "opportunity_revision_id", *of("opportunity", ["local_key", "availability"]))
-        return published(t("opportunities").select("opportunity_id", "product_id"), p, o)
+        return published(self.catalog.read("opportunities").select("opportunity_id", "product_id"), p, o)
 
     def search(self, q: str = "", capabilities: list[str] | None = None, limit: int = 25, need: list[str] | None = None) -> DataFrame:
         """API-05: need-first search; ``rank`` is null without a text query."""
@@ -80,10 +88,13 @@ class CatalogEngine:
         rows = facet_and(rows, facets, "product_revision_id", "concept_id", wanted)
         if not literalize(q):
             return newest_first(rows.withColumn("rank", F.lit(None).cast("double")), limit)
-        index = postings(self.catalog.read("search_index"), "opportunity_revision_id", ["name", "description", "outcomes", "source_text"])
-        hits = rows.join(bm25(index, "opportunity_revision_id", q), "opportunity_revision_id")
+        hits = rows.join(self.index().bm25(q), "opportunity_revision_id")
         return hits.orderBy("rank", F.col("published_at").desc(), "opportunity_id").limit(limit)
 
+    def index(self) -> SearchIndex:
+        """The stored index of all revisions' search documents."""
+        return SearchIndex(*[self.catalog.read(f"search_{n}") for n in ("postings", "terms", "totals")], "opportunity_revision_id")
+
     @staticmethod
     def _cited(rows: DataFrame) -> DataFrame:
         """(opportunity_id, source_snapshot_id, evidence_key) of all that the published documents cite."""

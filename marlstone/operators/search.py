@@ -1,4 +1,4 @@
-"""Need-first search: substring search, full text with BM25, facet filters (FLT-02..04, FTS-*, JON-05..07, SRT-03/04)."""
+"""Need-first search: substring search, facet filters, containment (FLT-02, FLT-04, JON-06, JON-07, JON-17); full text is in ``index``."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import folded, literalize
-from .shared import written
 
 
 def like_all(text: Column, terms: list[str], also: dict[str, Column] | None = None) -> Column:
@@ -56,64 +54,6 @@ def facet_counts(links: DataFrame, facet: str, target: str) -> DataFrame:
     return links.groupBy(facet).agg(F.count_distinct(target).alias("n"))
 
 
-_IN, _OUT = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
-
-
-def phrase_pattern(phrase: list[str]) -> str:
-    """FTS-03: the tokens behind each other as whole tokens; they are letters and digits, so nothing is to escape."""
-    return f"(?<!{_IN}){f'{_OUT}+'.join(phrase)}(?!{_IN})"
-
-
-def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The index: each column folded for the tokenizer and the token count of all together.
-
-    Built once at write time; a search reads these columns only.
-    """
-    out = docs.select(key, *[folded(F.col(c)).alias(f"_t{i}") for i, c in enumerate(columns)])
-    length = sum((F.regexp_count(F.col(f"_t{i}"), F.lit(f"{_IN}+")) for i in range(len(columns))), F.lit(0))
-    return out.withColumn("_len", length.cast("long"))
-
-
-def matching(index: DataFrame, query: str | list[list[str]]) -> DataFrame:
-    """FTS-01..04: rows of the index with every phrase in some column; a phrase without tokens matches nothing."""
-    phrases = literalize(query) if isinstance(query, str) else query
-    if not phrases or any(not p for p in phrases):
-        return index.filter(F.lit(False))
-    pads = [c for c in index.columns if c.startswith("_t")]
-    for p in phrases:
-        hit = F.lit(False)
-        for c in pads:
-            hit = hit | F.col(c).rlike(phrase_pattern(p))
-        index = index.filter(hit)
-    return index
-
-
-def bm25(index: DataFrame, key: str, query: str | list[list[str]], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """FTS-03..05, AGG-13: (key, rank) of rows that match every phrase; lower is better.
-
-    Statistics are over the whole index, whatever is filtered outside (T10).  Texts
-    are read once: a row's token count and its frequencies are written, and both the
-    statistics (one row) and the matches come from there.
-    """
-    phrases = literalize(query) if isinstance(query, str) else query
-    if not phrases or any(not p for p in phrases):
-        return index.filter(F.lit(False)).select(key, F.lit(0.0).alias("rank"))
-    pads = [c for c in index.columns if c.startswith("_t")]
-    tf = {f"_f{i}": sum((F.regexp_count(F.col(c), F.lit(phrase_pattern(p))) for c in pads), F.lit(0)).cast("long") for i, p in enumerate(phrases)}
-    counted = written(index.select(key, "_len", *[v.alias(k) for k, v in tf.items()]), "frequencies")
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(k) > 0).alias(f"_d{k}") for k in tf])
-    hits = counted
-    for k in tf:
-        hits = hits.filter(F.col(k) > 0)
-    scored = hits.crossJoin(F.broadcast(stats))  # one row
-    total = F.lit(0.0)
-    for k in tf:
-        raw = F.ln((F.col("_n") - F.col(f"_d{k}") + 0.5) / (F.col(f"_d{k}") + 0.5))
-        idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
-        total = total + idf * F.col(k) * (k1 + 1) / (F.col(k) + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    return scored.select(key, (-total).alias("rank"))
-
-
 def _scan(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
     """Texts with the quotes that they hold: one pass over each text, however many quotes there are.
 

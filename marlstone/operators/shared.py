@@ -21,3 +21,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept_folder(spark: SparkSession, label: str, of: str, build) -> str:
+    """A folder that ``build(path)`` filled from ``of`` in this application, built again if it is gone."""
+    key = (spark.sparkContext.applicationId, label, of)
+    if key in _KEPT:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_KEPT[key])
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return _KEPT[key]
+    path = new_folder(spark, label)
+    build(path)
+    _KEPT[key] = path
+    return path

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import api, attempts, contract, evaluate, history, legacy, search
+from ..operators import api, attempts, contract, evaluate, history, legacy, search, view
 from ..operators.catalog import Catalog, ingest, observe
 from ..operators.engine import CatalogEngine, bounded_params, open_catalog
-from ..operators.shared import new_folder
+from ..operators.shared import kept_folder, new_folder
 from ..sources import readers
 
 QUERIES: dict = {}
@@ -49,17 +49,6 @@ def _put(spark: SparkSession, path: str, content: str) -> str:
     return path
 
 
-def _kept(spark: SparkSession, d: str, paths: dict[str, str], build) -> str:
-    """The folder that ``build`` filled for these tables in this application, built again if it is gone."""
-    key = f"{spark.sparkContext.applicationId} {d}"
-    if key in paths:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths[key])
-        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return paths[key]
-    paths[key] = build()
-    return paths[key]
-
-
 # --- candidates
 
 CONCEPTS, UNITS = {"capability": {"standard", "economy", "promo", "large", "small"}}, {"hour"}
@@ -194,11 +183,9 @@ def _sound(at: str) -> Column:
     )
 
 
-_CATALOGS: dict[str, str] = {}
 
 
-def _build_catalog(spark: SparkSession, d: str) -> str:
-    path = new_folder(spark, "catalog")
+def _build_catalog(spark: SparkSession, d: str, path: str) -> None:
     c = Catalog.open(spark, path)
     for n, (at, some) in enumerate(((_JAN, F.lit(True)), (_FEB, _mod(3, 0)))):
         s = _sources(spark, d).filter(some)
@@ -219,12 +206,12 @@ def _build_catalog(spark: SparkSession, d: str) -> str:
             d_ = F.lit(other) if other else decision
             parts.append(r.select(*[i.alias(f"{x}_revision_id") for i, x in zip(ids, ("product", "opportunity"), strict=True)], d_.alias("decision"), (F.lit("2026-04-01T00:00:00Z") if other else at).alias("created_at"), F.concat(F.lit(other or "decide"), F.lit("_"), F.col(f"{kind}_revision_id")).alias("review_event_id")))
     c.append({"review_events": history.union_all(parts)}, "reviews")
-    return path
+    view.refresh(c)
 
 
 def _catalog(spark: SparkSession, d: str) -> Catalog:
     """The catalog over ``part`` of one folder, built by the first query that needs it."""
-    return Catalog.open(spark, _kept(spark, d, _CATALOGS, lambda: _build_catalog(spark, d)))
+    return Catalog.open(spark, kept_folder(spark, "catalog", d, lambda path: _build_catalog(spark, d, path)))
 
 
 _IDS = f"""obs AS (SELECT part.*, p_partkey AS k, lower(p_type) AS t, obs_at, 'readme|https://parts.test/' || p_partkey AS identity, p_name || ' ' || p_partkey AS name FROM part, (VALUES ('{_JAN}'), ('{_FEB}')) AS o(obs_at) WHERE obs_at = '{_JAN}' OR p_partkey % 3 = 0),
@@ -423,17 +410,14 @@ def read_both_sources(spark, d):
     return x.agg(F.count("*").alias("n"), F.count_distinct("source_order").alias("places"), F.count_if(F.col("source_kind") == "startup_offers_csv").alias("offers"))
 
 
-_FLAT: dict[str, str] = {}
 
 
-def _build_flat(spark: SparkSession, d: str) -> str:
-    path = new_folder(spark, "flat")
+def _build_flat(spark: SparkSession, d: str, path: str) -> None:
     legacy.FlatCatalog(spark, path).rebuild(legacy.staged(readers.read_records(spark, *_listing(spark, d))), _JAN)
-    return path
 
 
 def _flat(spark: SparkSession, d: str) -> legacy.FlatCatalog:
-    return legacy.FlatCatalog(spark, _kept(spark, d, _FLAT, lambda: _build_flat(spark, d)))
+    return legacy.FlatCatalog(spark, kept_folder(spark, "flat", d, lambda path: _build_flat(spark, d, path)))
 
 
 _RECORDS = """rec AS (SELECT n_nationkey AS k, replace(n_name, '_', '') AS n_name, 'free_for_dev_readme' AS kind FROM nation UNION ALL SELECT n_nationkey, n_name, 'startup_offers_csv' FROM nation)"""

@@ -1,12 +1,15 @@
 import copy
 import json
+import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import attempts, contract, evaluate, history
-from marlstone.operators.catalog import Catalog, ingest, observe
+from marlstone.operators import attempts, contract, evaluate, history, keys, view
+from marlstone.operators.catalog import TABLES, Catalog, ingest, observe
 from marlstone.operators.engine import CatalogEngine, bounded, bounded_params, catalog_kind, clamped
+from marlstone.operators.log import CHECKPOINT_EVERY, Conflict, Log, State
 
 CONCEPTS, UNITS = {"capability": {"gpu_compute", "model_api"}}, {"hour", "request"}
 TEXT = "Acme runs GPU jobs for builders. Everyone gets 10 GPU hours per month for 3 months. Public sign-up. https://acme.test"
@@ -223,11 +226,147 @@ def test_constraints_keep_their_kinds(spark, tmp_path):
     ingest(catalog, spark.createDataFrame([(sid, json.dumps(c))], "source_snapshot_id string, candidate string"), obs, "b")
     got = {r["constraint_key"]: (r["kind"], r["other_kind"], r["quantity_comparator"], r["cadence_alignment"]) for r in catalog.read("constraint_index").collect()}
     assert got == {"keep": ("retention", None, None, None), "cap": ("other", "burst", "up_to", "rolling")}
+    obs = observed(spark, "2026-02-01T00:00:00Z")
+    sid = obs.first()["source_snapshot_id"]
+    c = candidate(sid, "2026-02-01T00:00:00Z")
     c["opportunities"][0]["entitlements"][0]["monetary_value"]["amount"] = 1e12
     with pytest.raises(Exception, match="safe range"):
         ingest(catalog, spark.createDataFrame([(sid, json.dumps(c))], "source_snapshot_id string, candidate string"), obs, "b3")
 
 
+def test_a_repeated_observation_is_refused_as_a_whole(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "c"))
+    sid = put(spark, catalog, "2026-01-01T00:00:00Z", "b1")
+    before = {t: catalog.read(t).count() for t in TABLES if t != "rejections"}
+    assert put(spark, catalog, "2026-01-01T00:00:00Z", "b2") == sid
+    assert {t: catalog.read(t).count() for t in before} == before and min(before[t] for t in ("source_snapshots", "product_revisions", "key_sets", "search_postings")) > 0
+    assert [tuple(r)[:3] for r in catalog.read("rejections").collect()] == [(sid, "SNK-11", "source_snapshot_id")]
+    # two candidates for one observation in the same batch: neither is the right one
+    obs = observed(spark, "2026-02-01T00:00:00Z")
+    sid2 = obs.first()["source_snapshot_id"]
+    two = spark.createDataFrame([(sid2, json.dumps(candidate(sid2, "2026-02-01T00:00:00Z")))] * 2, "source_snapshot_id string, candidate string")
+    ingest(catalog, two, obs, "b3")
+    assert {t: catalog.read(t).count() for t in before} == before and catalog.read("rejections").filter(F.col("source_snapshot_id") == sid2).count() == 1
+
+
+def test_a_bad_candidate_is_refused_with_its_rules(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "c"))
+    rows = [("startup_offers_csv", f"f:{k}", "Acme", f"https://acme.test/{k}", "p", TEXT) for k in range(5)]
+    obs = observed(spark, "2026-01-01T00:00:00Z", rows)
+    sid = {r["source_locator"]: r["source_snapshot_id"] for r in obs.collect()}
+    docs = [candidate(sid[f"f:{k}"], "2026-01-01T00:00:00Z") for k in range(5)]
+    docs[1]["evidence_spans"][0]["quote"] = "nowhere in the source"
+    docs[2]["product"]["source_name"] = "another"
+    docs[3]["opportunities"].append(docs[3]["opportunities"][0])
+    told = [json.dumps(x) for x in docs]
+    told[4] = "no json"
+    ingest(catalog, spark.createDataFrame([(sid[f"f:{k}"], x) for k, x in enumerate(told)], "source_snapshot_id string, candidate string"), obs, "b", CONCEPTS, UNITS)
+    found = {(r["source_snapshot_id"], r["rule_id"]) for r in catalog.read("rejections").collect()}
+    assert {(sid["f:1"], "VAL-05"), (sid["f:2"], "VAL-18"), (sid["f:3"], "VAL-11"), (sid["f:4"], "VAL-01")} <= found
+    assert sid["f:0"] not in {s for s, _ in found}
+    assert [r[0] for r in catalog.read("source_snapshots").select("source_snapshot_id").collect()] == [sid["f:0"]]
+    assert catalog.read("evidence_spans").filter("start_offset < 0").count() == 0
+    assert keys.problems({t: catalog.read(t) for t in TABLES}, catalog.read("key_sets").limit(0), catalog.read("key_filters").limit(0)).count() == 0
+
+
+def test_keys_and_references_are_checked_at_the_append(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "c"))
+    p = lambda *ids: spark.createDataFrame([(i,) for i in ids], "product_id string")
+    o = lambda *ids: spark.createDataFrame(list(ids), "opportunity_id string, product_id string")
+    catalog.append_checked({"products": p("prod_a", "prod_b")}, "one")
+    _, refused = catalog.append_checked({"products": p("prod_b", "prod_c", "prod_d", "prod_d"), "opportunities": o(("opp_1", "prod_a"), ("opp_2", "prod_none"), ("opp_3", "prod_c"), ("opp_4", None))}, "two")
+    assert sorted(tuple(r) for r in refused.collect()) == [("opportunities", "opp_2", "product_id->products"), ("products", "prod_b", "primary_key"), ("products", "prod_d", "primary_key")]
+    assert sorted(r[0] for r in catalog.read("products").select("product_id").collect()) == ["prod_a", "prod_b", "prod_c"]
+    assert sorted(r[0] for r in catalog.read("opportunities").select("opportunity_id").collect()) == ["opp_1", "opp_3", "opp_4"]
+    _, refused = catalog.append_checked({"products": p("prod_x", "prod_x"), "opportunities": o(("opp_9", "prod_x"))}, "three")  # down the references
+    assert {tuple(r)[1:] for r in refused.collect()} == {("prod_x", "primary_key"), ("opp_9", "product_id->products")}
+
+
+def test_filters_let_every_known_key_through(spark):
+    own = keys.key_rows({"products": spark.range(9000).select(F.concat(F.lit("prod_"), "id").alias("product_id"))})
+    f = keys.filters(own, 9000)
+    assert f.first()["blocks"] == 8
+    asked = keys.key_rows({"products": spark.range(8000, 20_000).select(F.concat(F.lit("prod_"), "id").alias("product_id"))})
+    assert keys.known(asked, own, f).count() == 1000
+    few = keys.known(asked, own.limit(0), f)
+    assert few.count() == 0
+
+
+def test_two_writers_at_once_give_one_winner(spark, tmp_path):
+    path = str(tmp_path / "c")
+    a, b = Catalog.open(spark, path), Catalog.open(spark, path)
+    rows = lambda x: {"products": spark.createDataFrame([(x,)], "product_id string")}
+    seen = a.state.version
+    a.append(rows("prod_a"), "a", checked_at=seen)
+    with pytest.raises(Conflict):
+        b.append(rows("prod_b"), "b", checked_at=seen)
+    assert Catalog.open(spark, path).read("products").count() == 1
+    b.append(rows("prod_b"), "b")  # without a check it goes in behind
+    assert Catalog.open(spark, path).read("products").count() == 2 and a.read("products").count() == 1 and a.refresh() == 2
+    log, state = a.log, a.state
+    won = []
+    with ThreadPoolExecutor(8) as pool:
+        for done in [pool.submit(log.commit, state, {"batch_id": f"t{k}"}) for k in range(8)]:
+            try:
+                won.append(done.result())
+            except Conflict:
+                pass
+    assert len(won) == 1 and log.state().version == 3
+
+
+def test_the_kept_view_equals_the_recomputed_one(spark, tmp_path):
+    rng = random.Random(11)
+    products = [(f"pr_{k}", f"prod_{k % 5}", f"2026-01-0{1 + k % 4}", "text" if k % 4 else " ", ["e"]) for k in range(16)]
+    opportunities = [(f"or_{k}", f"opp_{k % 6}", f"prod_{k % 6 % 5}", f"2026-01-0{1 + k % 3}", k % 5 > 0, k % 7 == 0) for k in range(18)]
+    events = [(f"ev_{k:02}", f"pr_{k % 17}" if k % 2 else None, None if k % 2 else f"or_{k % 19}", rng.choice(["trust", "trust", "reject", "canonicalize", "request_revision"]), f"2026-02-{1 + rng.randrange(28):02}") for k in range(80)]
+    ddl = {
+        "product_revisions": "product_revision_id string, product_id string, observed_at string, description string, description_evidence array<string>",
+        "opportunity_revisions": "opportunity_revision_id string, opportunity_id string, product_id string, observed_at string, entitled boolean, contradictory boolean",
+        "review_events": "review_event_id string, product_revision_id string, opportunity_revision_id string, decision string, created_at string",
+    }
+    rows = {"product_revisions": products, "opportunity_revisions": opportunities, "review_events": events}
+    catalog = Catalog.open(spark, str(tmp_path / "c"))
+    catalog.append({"opportunities": spark.createDataFrame([(f"opp_{k}", f"prod_{k % 5}") for k in range(6)], "opportunity_id string, product_id string")}, "o")
+    pieces = [(t, rows[t][a : a + n]) for t, n in (("product_revisions", 6), ("opportunity_revisions", 7), ("review_events", 20)) for a in range(0, len(rows[t]), n)]
+    rng.shuffle(pieces)
+    cols = ["opportunity_id", "product_revision_id", "opportunity_revision_id", "published_at", "product_review_event_id", "opportunity_review_event_id"]
+    for k, (t, some) in enumerate(pieces):
+        catalog.append({t: spark.createDataFrame(some, ddl[t])}, f"b{k}")
+        if k % 3 == 2:
+            view.refresh(catalog)
+    engine = CatalogEngine(catalog)
+    assert not view.is_fresh(catalog) or len(pieces) % 3 == 0
+    whole = sorted(tuple(r) for r in engine.published().select(*cols).collect())
+    view.refresh(catalog)
+    assert view.is_fresh(catalog)
+    kept = engine.published().select(*cols)
+    assert sorted(tuple(r) for r in kept.collect()) == whole and len(whole) > 2
+    assert "review_events" not in kept._jdf.queryExecution().executedPlan().toString()
+    # what a refresh reads: the new batch and the state, no revisions of before
+    catalog.append({"review_events": spark.createDataFrame([("ev_99", "pr_1", None, "reject", "2026-03-01")], ddl["review_events"])}, "last")
+    view.refresh(catalog)
+    assert sorted(tuple(r) for r in engine.published().select(*cols).collect()) != whole or all(w[1] != "pr_1" for w in whole)
+
+
+def test_many_batches_are_a_few_folders(spark, tmp_path):
+    catalog = Catalog.open(spark, str(tmp_path / "c"))
+    catalog.FAN = 3
+    for k in range(9):
+        catalog.append({"rejections": spark.createDataFrame([(f"s{k}",)], "source_snapshot_id string")}, f"b{k}")
+        catalog.compact()
+    assert list(catalog.state.live["rejections"].values()) == [2] and catalog.read("rejections").count() == 9
+    assert len(catalog.batches("rejections")) == 9
+    # the log alone, with a thousand versions: what is opened is a checkpoint and a few entries
+    log, state = Log(spark, str(tmp_path / "d")), State()
+    for k in range(1000):
+        state = log.commit(state, {"batch_id": f"b{k}", "add": {"products": {f"products/{k}": 0}}, "remove": {"products": [f"products/{k - 1}"]} if k else {}})
+    read = []
+    get = log._get
+    log._get = lambda name: read.append(name) or get(name)
+    again = log.state()
+    assert again == state and again.version == 1000 and len(again.batches) == 1000 and len(read) <= 3 + CHECKPOINT_EVERY
+
+
 def test_only_finished_batches_are_seen_and_nothing_updates(spark, tmp_path):
     catalog = Catalog.open(spark, str(tmp_path / "c"))
     spark.createDataFrame([("prod_x", "t")], "product_id string, created_at string").write.parquet(str(tmp_path / "c/products/batch_id=half"))

@@ -2,13 +2,14 @@ import pytest
 from compare import duck, rows
 from compare import DATA
 
-from marlstone.plans import catalog_queries, queries as plans
+from marlstone.plans import catalog_queries, queries as plans, store_queries
 
-QUERIES, ORACLES = plans.QUERIES | catalog_queries.QUERIES, plans.ORACLES | catalog_queries.ORACLES
+PARTS = (plans, catalog_queries, store_queries)
+QUERIES, ORACLES = {k: f for p in PARTS for k, f in p.QUERIES.items()}, {k: f for p in PARTS for k, f in p.ORACLES.items()}
 
 
 def test_every_query_has_sql_and_a_description():
-    assert QUERIES.keys() == ORACLES.keys() and len(QUERIES) == len(plans.QUERIES) + len(catalog_queries.QUERIES)
+    assert QUERIES.keys() == ORACLES.keys() and len(QUERIES) == sum(len(p.QUERIES) for p in PARTS)
     assert all(f.__doc__ for f in QUERIES.values())
 
 

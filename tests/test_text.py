@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import rules, text
-from marlstone.operators import search
+from marlstone.operators import index, search
 
 
 def one(spark, value, f):
@@ -54,19 +54,43 @@ def test_literalize():
     assert len(text.literalize("a " * 20)) == 8 and text.literalize("") == []
 
 
-def test_bm25_equals_sqlite(spark):
-    docs = [(1, "free gpu compute", "gpu gpu notebooks"), (2, "model api", "call a model api gpu"), (3, "vector search", ""), (4, "gpu compute cloud", "the gpu compute"), (5, "", "nothing here"), (6, "a b", "c d e f g"), (7, "Café Éclair", "cafe\u0301 olé, Ñandú")]
+def test_bm25_equals_sqlite(spark, tmp_path):
+    docs = [(1, "free gpu compute", "gpu gpu notebooks"), (2, "model api", "call a model api gpu"), (3, "vector search", ""), (4, "gpu compute cloud", "the gpu compute"), (5, "", "nothing here"), (6, "a b", "c d e f g"), (7, "Café Éclair", "cafe\u0301 olé, Ñandú"), (8, "x x x y", "x x"), (9, "x", "x y")]
     con = sqlite3.connect(":memory:")
     try:
         con.execute("CREATE VIRTUAL TABLE t USING fts5(name, body, tokenize='unicode61')")
     except sqlite3.OperationalError:
         pytest.skip("SQLite without FTS5")
     con.executemany("INSERT INTO t(rowid, name, body) VALUES (?, ?, ?)", docs)
-    index = search.postings(spark.createDataFrame(docs, "id int, name string, body string"), "id", ["name", "body"])
-    for q, match in (("gpu", '"gpu"'), ("gpu-compute", '"gpu compute"'), ("model api", '"model" "api"'), ("gpu free", '"gpu" "free"'), ("café", '"cafe"'), ("ÑANDÚ olé", '"nandu" "ole"')):
+    index.build(spark.createDataFrame(docs, "id int, name string, body string"), "id", ["name", "body"], str(tmp_path / "index"))
+    found = index.open_index(spark, str(tmp_path / "index"), "id", "int")
+    for q, match in (
+        ("gpu", '"gpu"'), ("gpu-compute", '"gpu compute"'), ("model api", '"model" "api"'), ("gpu free", '"gpu" "free"'), ("café", '"cafe"'), ("ÑANDÚ olé", '"nandu" "ole"'), ("x-x", '"x x"'),
+        ("x-x-y x", '"x x y" "x"'), ("gpu-gpu-notebooks gpu", '"gpu gpu notebooks" "gpu"'), ("compute-gpu", '"compute gpu"'), ("zzz", '"zzz"'),
+    ):
         want = {r[0]: round(r[1], 9) for r in con.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH ?", (match,))}
-        assert {r["id"]: round(r["rank"], 9) for r in search.bm25(index, "id", q).collect()} == want
-    assert search.bm25(index, "id", "gpu ***").count() == 0
+        assert {r["id"]: round(r["rank"], 9) for r in found.bm25(q).collect()} == want
+        assert {r["id"] for r in found.matching(q).collect()} == want.keys()
+    assert found.bm25("gpu ***").count() == found.matching("***").count() == found.matching("").count() == 0
+
+
+def test_a_search_reads_the_buckets_of_its_terms(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"word{k} and word{k + 1}") for k in range(300)], "id int, body string")
+    index.build(docs, "id", ["body"], str(tmp_path / "index"))
+    found = index.open_index(spark, str(tmp_path / "index"), "id", "int")
+    assert len({r["bucket"] for r in found.postings.select("bucket").distinct().collect()}) > 40
+    hits = found.matching("word7-and word8")
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and [r["id"] for r in hits.collect()] == [7]
+    scan = found._of(found.postings, ["word7", "and", "word8"])
+    assert len(scan.inputFiles()) >= 1 and len({f.split("bucket=")[1].split("/")[0] for f in scan.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}) <= 3
+
+
+def test_an_index_of_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "id int, body string")
+    tables = index.index_tables(none, "id", ["body"])
+    found = index.SearchIndex(tables["search_postings"], tables["search_terms"], tables["search_totals"], "id", "int")
+    assert found.bm25("a").count() == 0 and found.matching("a b").count() == 0
 
 
 def test_containment_in_one_pass_and_by_blocks(spark):
