@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +78,28 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_position(docs: DataFrame, run: Callable[..., DataFrame], **roles: str) -> DataFrame:
+    """What ``run`` keeps of the rows, with the input's columns, whatever their names.
+
+    ``run`` gets the rows with columns c0, c1, ... and the new names of the columns in
+    ``roles``, so names like internal ones, with dots or different only by case never meet
+    its own.  It returns at least all these columns.
+    """
+    names = docs.columns
+    exact = {r: c if c in names else next(n for n in names if n.lower() == c.lower()) for r, c in roles.items()}
+    plain = [f"c{k}" for k in range(len(names))]
+    out = run(docs.toDF(*plain), **{r: plain[names.index(c)] for r, c in exact.items()})
+    return out.select(*plain).toDF(*names)
+
+
+def exactly(docs: DataFrame, *names: str) -> DataFrame:
+    """These columns alone, found by their exact names where others differ only by case."""
+    have = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(have))])
+    at = [have.index(n) if n in have else [c.lower() for c in have].index(n.lower()) for n in names]
+    return plain.select(*[F.col(f"c{k}").alias(n) for k, n in zip(at, names, strict=True)])
+
+
 def words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, row_key, small_batches
+from .common import Scratch, by_position, lean, row_key, small_batches
 
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -107,12 +107,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in [c for c in docs.columns if c in own or c == text_col]], "n_lines", "n_removed", "n_runs")
 
 
-def drop_repeats(docs: DataFrame, **how) -> DataFrame:
-    """The input with its texts deduplicated and its columns, those named like results included.
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **how) -> DataFrame:
+    """The input with its texts deduplicated and all its columns, whatever their names.
 
-    Takes what ``dedup_lines`` takes and treats nulls, empty texts, repeats and ties alike.
+    Takes what ``dedup_lines`` takes and treats nulls, empty texts, repeats and ties alike.  ``length_col``
+    gets the number of code points that are left, where there is such a column.
     """
-    clash = [c for c in docs.columns if c in ("n_lines", "n_removed", "n_runs")]
-    own = "_" * (1 + max(map(len, docs.columns))) + "own"
-    out = dedup_lines(docs.select("*", F.struct(*(F.col(f"`{c}`") for c in clash)).alias(own)) if clash else docs, **how)
-    return out.select(*[F.col(own)[c].alias(c) if c in clash else F.col(f"`{c}`") for c in docs.columns])
+    roles = {"id_col": id_col, "text_col": text_col} | ({"length_col": length_col} if length_col in docs.columns else {})
+
+    def run(x: DataFrame, id_col: str, text_col: str, length_col: str | None = None) -> DataFrame:
+        out = dedup_lines(x, id_col, text_col, **how)
+        if length_col:
+            out = out.withColumn(length_col, F.coalesce(F.length(text_col), F.lit(0)).cast(x.schema[length_col].dataType))
+        return out
+
+    return by_position(docs, run, **roles)

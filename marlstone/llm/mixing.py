@@ -21,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, words
+from .common import Scratch, by_position, words
 
 
 def _name(source: Column) -> Column:
@@ -101,13 +101,13 @@ def plan(
     return x.drop("_src", "_bucket", "_text_hash", "_start", "_place", "_rate", "_offset")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed rows with the input's columns: each document as often as it is taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mixed rows with the input's columns, whatever their names: each document as often as it is taken.
 
-    Takes what ``plan`` takes.  ``source_size``, ``target`` and ``copies`` of an
-    input that has such columns are kept as they are.
+    Takes what ``plan`` takes.
     """
-    own = [c for c in docs.columns if c in ("source_size", "target", "copies")]
-    kept = docs.select("*", F.struct(*own).alias("_own")) if own else docs
-    taken = plan(kept, **how).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[(F.col(f"_own.{c}").alias(c) if c in own else F.col(c)) for c in docs.columns])
+
+    def run(x: DataFrame, **roles: str) -> DataFrame:
+        return plan(x, **roles, **how).filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+    return by_position(docs, run, id_col=id_col, text_col=text_col, source_col=source_col)

@@ -1,13 +1,13 @@
 """Best-fit packing of token pieces into fixed-length sequences.
 
 Hierarchical residual packing.  Every partition packs its own pieces best-fit
-decreasing.  Bins that are nearly full are final; the underfull ones become
-items of the next round, where ``fan_in`` partitions' worth meet in one, until a
-single small partition is left.  A bin that is far from full is taken apart again
-first, so the next round can fit its parts one by one.  Only (bin, fill) pairs
-travel between rounds; what remains underfull is at most a few bins for each
-partition, so the last partition's input is bounded by the number of partitions, not
-of documents.
+decreasing.  Bins that are nearly full are final, and so are bins that do not fit with
+the least of the others; the rest become items of the next round, where ``fan_in``
+partitions' worth meet in one.  A bin that is far from full is taken apart again first, so the
+next round can fit its parts one by one.  Only (bin, fill) pairs travel between rounds, and
+every task of every round holds some ``items_per_partition`` of them: rounds end when
+one partition is left, or with one round more after one that saved less than
+``least_saving`` of all sequences.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, lean, small_batches
+from .common import Scratch, exactly, lean, small_batches
 
 _PIECES = "{id} {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -103,6 +103,7 @@ def pack(
     take_apart: float = 0.9,
     items_per_partition: int = 400_000,
     fan_in: int = 16,
+    least_saving: float = 0.001,
 ) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
@@ -112,7 +113,7 @@ def pack(
     Other columns are ignored.  An empty table gives an empty result.  Sequences are
     gapless from offset 0.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, exactly(docs, id_col, text_col)
     scratch = Scratch(spark, "pack")
     pieces = scratch.write(token_pieces(docs, id_col, text_col, capacity, tokenizer, end_id), "pieces")
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
@@ -129,25 +130,34 @@ def pack(
             return
         x = pd.concat(frames, ignore_index=True)
         sizes = x["length"].to_numpy()
-        bins, offsets, fill = apart(sizes, *best_fit(sizes, capacity), capacity * take_apart)
+        got = best_fit(sizes, capacity)
+        bins, offsets, fill = apart(sizes, *got, capacity * take_apart)
         base = TaskContext.get().partitionId() << 36
-        yield x.assign(bin=base + bins, at=offsets, fill=fill)
+        yield x.assign(bin=base + bins, at=offsets, fill=fill, share=len(got[2]) / len(x))
 
     kind = docs.schema[id_col].dataType.simpleString()
     # dealt by the row's own hash, so a partition holds about items_per_partition
-    packed = loose.repartition(parts, "ids_crc32", "length", "start", "_id").mapInPandas(first, _PIECES.format(id="_id", kind=kind) + ", bin long, at long, fill long")
+    packed = loose.repartition(parts, "ids_crc32", "length", "start", "_id").mapInPandas(first, _PIECES.format(id="_id", kind=kind) + ", bin long, at long, fill long, share double")
     packed = scratch.write(packed, "packed")
     least = int(capacity * nearly_full)
-    # where each underfull bin of a round goes: (bin, into, shift)
-    moves, k = [], 0
-    open_bins = packed.filter(F.col("fill") < least).groupBy("bin").agg(F.first("fill").alias("fill"))
-    open_bins = scratch.write(open_bins, "open0")
-    while open_bins.count():
+    # where each open bin of a round goes: (bin, into, shift)
+    moves, k, final = [], 0, False
+    bins = scratch.write(packed.groupBy("bin").agg(F.first("fill").alias("fill"), F.sum("share").alias("share")), "bins0")
+    closed, now = 0, bins.agg(F.coalesce(F.sum("share"), F.lit(0.0))).first()[0]
+    while True:
+        open_bins = bins.filter(F.col("fill") < least).select("bin", "fill")
+        n, low = open_bins.agg(F.count("*"), F.min("fill")).first()
+        # a bin fits with no other if it does not fit with the least
+        fits = open_bins.filter(F.col("fill") <= capacity - (low or 0))
+        m = fits.count() if n else 0
+        if m < 2:
+            break
         k += 1
+        parts = max(1, -(-parts // fan_in), -(-m // items_per_partition))
+        final = final or parts == 1
+        closed += bins.count() - m
 
-        parts = max(1, -(-parts // fan_in))
-
-        def merge(batches, k=k, below=capacity * take_apart if parts > 1 else 0):
+        def merge(batches, k=k, below=0 if final else capacity * take_apart):
             import pandas as pd
             from pyspark import TaskContext
 
@@ -156,20 +166,28 @@ def pack(
                 return
             x = pd.concat(frames, ignore_index=True).sort_values("bin", ignore_index=True)
             sizes = x["fill"].to_numpy()
-            bins, offsets, fill = apart(sizes, *best_fit(sizes, capacity), below)
+            got = best_fit(sizes, capacity)
+            into, offsets, fill = apart(sizes, *got, below)
             base = (k << 56) + (TaskContext.get().partitionId() << 36)
-            yield pd.DataFrame({"bin": x["bin"], "into": base + bins, "shift": offsets, "fill": fill})
+            yield pd.DataFrame({"bin": x["bin"], "into": base + into, "shift": offsets, "fill": fill, "share": len(got[2]) / len(x)})
 
-        dealt = open_bins.repartition(parts, "bin") if parts > 1 else open_bins.coalesce(1)
-        moves.append(scratch.write(dealt.mapInPandas(merge, "bin long, into long, shift long, fill long"), f"moves{k}"))
-        if parts == 1:
+        # dealt by another hash in each round, so bins meet others than before
+        dealt = fits.repartition(parts, F.xxhash64("bin", F.lit(k))) if parts > 1 else fits.coalesce(1)
+        moves.append(scratch.write(dealt.mapInPandas(merge, "bin long, into long, shift long, fill long, share double"), f"moves{k}"))
+        if final:
             break
-        open_bins = moves[-1].filter(F.col("fill") < least).groupBy(F.col("into").alias("bin")).agg(F.first("fill").alias("fill"))
-        open_bins = scratch.write(open_bins, f"open{k}")
+        bins = scratch.write(moves[-1].groupBy(F.col("into").alias("bin")).agg(F.first("fill").alias("fill"), F.sum("share").alias("share")), f"bins{k}")
+        # sequences if all stayed as this round packed them; when that saves nothing, one round more puts what was taken apart together
+        before, now = now, closed + bins.agg(F.sum("share")).first()[0]
+        final = now > before * (1 - least_saving)
     out = packed.select("_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
-    for m in moves:
-        step = m.select(F.col("bin").alias("sequence_id"), "into", "shift")
-        out = out.join(step, "sequence_id", "left").select(
+    if moves:
+        # the rounds' moves are joined with each other first, so the pieces are joined once
+        ways = moves[0].select("bin", "into", "shift")
+        for m in moves[1:]:
+            onward = m.select(F.col("bin").alias("into"), F.col("into").alias("_next"), F.col("shift").alias("_more"))
+            ways = ways.join(onward, "into", "left").select("bin", F.coalesce("_next", "into").alias("into"), (F.col("shift") + F.coalesce("_more", F.lit(0))).alias("shift"))
+        out = out.join(ways.withColumnRenamed("bin", "sequence_id"), "sequence_id", "left").select(
             "_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
         )
     return out.union(full).withColumnRenamed("_id", id_col)

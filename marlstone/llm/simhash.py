@@ -8,7 +8,7 @@
    the rest outside.  A fingerprint is resident in one leaf and a guest in every
    other leaf that its ball overlaps by the triangle inequality, so a pair within the
    radius meets in the leaf of one of them.  Trees grow level by level, each from a
-   bounded sample of the shards that are still too large; vantage point and boundary
+   sample of its own of a shard that is still too large; vantage point and boundary
    are those of many tried that fewest balls cross.
 3. With a similarity bound the balls are so wide that they cross every boundary.
    Classes then meet in buckets of two shared minima of their shingle sets, in so many
@@ -22,7 +22,7 @@
    their components still differ, and whole shingle sets decide.
 
 Nothing that grows with the input reaches the driver but one tree node for each
-``shard_rows`` fingerprints: it sees bounded samples and counts of shards.
+``shard_rows`` fingerprints.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, lean, row_key, small_batches
+from .common import Scratch, by_position, connected_components, lean, row_key, small_batches
 
 _PAD = np.uint32(0xFFFFFFFF)
 
@@ -206,14 +206,14 @@ def vantage_tree(sample: np.ndarray, n: int, shard_rows: int, radius: int, tries
     return nodes
 
 
-def shards_of(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shards_of(fps: np.ndarray, nodes: np.ndarray | list[tuple[int, int, int, int]], radius: int, home: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, leaf, resident): the home of every fingerprint and the leaves where it is a guest.
 
     Pairs whose ways part at a node meet on its outside, so residents send guests
     outwards only; a guest (``home`` says who comes as one) must follow both sides.
     """
     out: list[tuple[np.ndarray, int, bool]] = []
-    every, root = np.arange(len(fps)), 0 if nodes else -1
+    every, root = np.arange(len(fps)), 0 if len(nodes) else -1
     home = np.ones(len(fps), bool) if home is None else home
     stack = [(every[home], root, True), (every[~home], root, False)]
     while stack:
@@ -223,8 +223,8 @@ def shards_of(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: i
         if node < 0:
             out.append((at, -1 - node, own))
             continue
-        v, mu, inside, outside = nodes[node]
-        d = np.bitwise_count(fps[at] ^ np.uint64(v)).astype(int)
+        v, mu, inside, outside = map(int, nodes[node])
+        d = np.bitwise_count(fps[at] ^ np.uint64(v % (1 << 64))).astype(int)
         if own:
             stack += [(at[d <= mu], inside, True), (at[d > mu], outside, True), (at[(d <= mu) & (d > mu - radius)], outside, False)]
         else:
@@ -234,38 +234,47 @@ def shards_of(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], radius: i
     return np.concatenate([a for a, _, _ in out]), np.concatenate([np.full(len(a), k) for a, k, _ in out]), np.concatenate([np.full(len(a), h) for a, _, h in out])
 
 
-def _dealt(classes: DataFrame, scratch: Scratch, radius: int, shard_rows: int, sample_rows: int) -> DataFrame:
+def _dealt(classes: DataFrame, scratch: Scratch, radius: int, shard_rows: int, sample_rows: int, least_sample: int = 2048) -> DataFrame:
     """(_key, _shard, _home) of fingerprints (the key), residents and guests, by trees that are grown level by level.
 
-    Each level samples what lies in shards above ``shard_rows`` by hash (about
-    ``sample_rows`` fingerprints reach the driver), grows a tree in each of them and
-    writes its rows again under the leaves.  It ends when no shard is above or none
-    of those can be split.
+    At each level every shard above ``shard_rows`` has a sample of its own, drawn by hash: a share of
+    ``sample_rows``, ``least_sample`` at least, so it is large enough at any size of the input.  The shards'
+    trees are grown side by side, one task group for each sample, and their nodes alone reach the
+    driver, about one for each ``shard_rows`` fingerprints.  The rows are then written under the
+    leaves.  It ends when no shard is above; fingerprints of a shard all differ, so each can be split.
     """
     spark = scratch.spark
     done: list[DataFrame] = []
     now = classes.select("_key", F.lit(0).cast("long").alias("_shard"), F.lit(True).alias("_home"))
-    wide, stuck, free = {0: now.count()}, [], 1
-    wide = {s: c for s, c in wide.items() if c > shard_rows}
-    if not wide:
-        return now
+    free, limit = 1, shard_rows
     for level in range(64):
-        total = sum(wide.values())
-        part = F.lit(min(1 << 30, math.ceil((1 << 30) * sample_rows / total)))
-        drawn = now.filter(F.col("_home") & (F.pmod(F.xxhash64("_key", F.lit(level)), F.lit(1 << 30)) < part)).select("_key", "_shard").collect()  # about sample_rows
-        drawn.sort()
-        of: dict[int, list[int]] = {}
-        for r in drawn:
-            of.setdefault(r["_shard"], []).append(r["_key"])
+        counts = now.filter("_home").groupBy("_shard").agg(F.count("*").alias("_c")).filter(F.col("_c") > limit)
+        wide = scratch.write(counts, f"wide{level}")
+        n = wide.count()
+        if not n:
+            break
+        if level:
+            row = ("_key", "_shard", "_home")
+            done.append(now.join(wide.hint("merge"), "_shard", "left_anti").select(*row))
+            now = now.join(wide.hint("merge"), "_shard", "left_semi").select(*row)
+        each = max(least_sample, sample_rows // n)
+        part = F.least(F.lit(1 << 30).cast("long"), F.ceil(F.lit(float(each << 30)) / F.col("_c")))
+        drawn = now.filter("_home").join(F.broadcast(wide), "_shard") if n <= 10_000 else now.filter("_home").join(wide.hint("merge"), "_shard")
+        drawn = drawn.filter(F.pmod(F.xxhash64("_key", F.lit(level)), F.lit(1 << 30)) < part).select("_shard", "_key", "_c")
+
+        def grow(table: pa.Table) -> pa.Table:
+            keys = np.sort(table["_key"].to_numpy()).astype(np.uint64)
+            nodes = vantage_tree(keys, table["_c"][0].as_py(), shard_rows, radius)
+            packed = np.array([(np.uint64(v).astype(np.int64), mu, a, b) for v, mu, a, b in nodes], np.int64).reshape(-1, 4)
+            return pa.table({"_shard": table["_shard"].slice(0, 1), "nodes": pa.array([packed.tobytes()], pa.binary())})
+
+        grown = scratch.write(drawn.groupBy("_shard").applyInArrow(grow, "_shard long, nodes binary"), f"trees{level}")
         trees = {}
-        for s in sorted(of):
-            nodes = vantage_tree(np.array(of[s], np.int64).astype(np.uint64), wide[s], shard_rows, radius)
-            trees[s] = (nodes, free)
+        for r in sorted(grown.collect(), key=lambda r: r["_shard"]):
+            nodes = np.frombuffer(r["nodes"], np.int64).reshape(-1, 4)
+            trees[r["_shard"]] = (nodes, free)
             free += len(nodes) + 1
-            if not nodes:
-                stuck.append(trees[s][1])
-        trees |= {s: ([], s) for s in wide if s not in trees}  # not met in the sample: goes on as it is
-        shipped = spark.sparkContext.broadcast(trees)  # a node for every shard_rows of the overfull shards, a few bytes each
+        shipped = spark.sparkContext.broadcast(trees)  # a node for every shard_rows of the overfull shards, 32 bytes each
 
         def deal(batches, shipped=shipped):
             for batch in batches:
@@ -277,18 +286,7 @@ def _dealt(classes: DataFrame, scratch: Scratch, radius: int, shard_rows: int, s
                     yield pa.RecordBatch.from_arrays([pa.array(key[mine[at]]), pa.array(leaf + base, pa.int64()), pa.array(own)], names=["_key", "_shard", "_home"])
 
         now = scratch.write(now.mapInArrow(deal, "_key long, _shard long, _home boolean"), f"level{level}")
-        above = now.groupBy("_shard").agg(F.count_if("_home").alias("c")).filter((F.col("c") > shard_rows * 3 // 2) & ~F.col("_shard").isin(stuck)).collect()
-        before, wide = wide, {r["_shard"]: r["c"] for r in above}
-        if not wide or (sum(wide.values()) >= total and set(before) == set(wide)):
-            break
-        over = F.col("_shard").isin(list(wide)) if len(wide) < 1000 else None
-        if over is None:
-            marks = spark.createDataFrame([(s,) for s in wide], "_shard long")
-            done.append(now.join(marks, "_shard", "left_anti"))
-            now = now.join(marks, "_shard", "left_semi")
-        else:
-            done.append(now.filter(~over))
-            now = now.filter(over)
+        limit = shard_rows * 3 // 2
     for x in done:
         now = now.union(x)
     return now
@@ -339,8 +337,9 @@ def near_groups(
     Null texts count as empty.  Texts without a word have fingerprint zero and link
     like any other.  Repeated rows and shared ids keep a row each; equal texts are
     one class, so ties cost nothing; a very long text is held whole by one task.
-    Other columns are ignored; an empty table gives no rows.  ``sample_rows`` bounds
-    the sample that shapes a level of the tree; it does not bound what is compared.
+    Other columns are ignored; an empty table gives no rows.  ``sample_rows`` is shared by the
+    samples that shape a level of the trees (2,048 fingerprints a shard at least); it does not
+    bound what is compared.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
@@ -568,13 +567,16 @@ def _chunked(x: DataFrame, parts) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The input without near-duplicates: of each component the row of the least id stays.
+    """The input without near-duplicates, its columns kept whatever their names: of each component the row of the least id stays.
 
     Takes what ``near_groups`` takes.  Rows that repeat both id and text leave one
     row; of rows of one component that share the least id, one stays.
     """
-    groups = near_groups(docs, id_col, text_col, **how)
-    best = groups.groupBy("_root").agg(F.min(F.struct(F.isnull(id_col).alias("a"), F.col(id_col).alias("b"), F.col("_row").alias("c"))).alias("_best"))
-    chosen = best.select(F.col("_best.c").alias("_row")).distinct()
-    kept = docs.withColumn("_row", row_key(id_col, text_col)).join(chosen.hint("merge"), "_row", "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*docs.columns)
+
+    def run(x: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        groups = near_groups(x, id_col, text_col, **how)
+        best = groups.groupBy("_root").agg(F.min(F.struct(F.isnull(id_col).alias("a"), F.col(id_col).alias("b"), F.col("_row").alias("c"))).alias("_best"))
+        chosen = best.select(F.col("_best.c").alias("_row")).distinct()
+        return x.withColumn("_row", row_key(id_col, text_col)).join(chosen.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"])
+
+    return by_position(docs, run, id_col=id_col, text_col=text_col)

@@ -170,7 +170,7 @@ def near_words(vocabulary: DataFrame, scratch: Scratch, shard_words: int = 100_0
         rounds[-1].append(shard)
         filled += size
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-vocabulary.count() // 20_000))
-    dealt = scratch.write(vocabulary.repartition(parts, "word"), "words") if rounds else vocabulary
+    dealt = vocabulary.repartition(parts, "word")  # not written: files would be read by fewer tasks
     got = None
     for k, wanted in enumerate(rounds):
         rows = shards.filter(F.col("shard").between(wanted[0], wanted[-1])).select("labels", "first", "count").collect()

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, small_batches
+from .common import by_position, exactly, lean, small_batches
 
 _EDGE = "\"'()[]{}<>.,;:!?¡¿*_~`«»„“”‘’…-–—"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -286,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = [one.filter(F.col("_y") == k).orderBy("_o").limit(m) for k, m in ((1, max_docs // 4), (0, max_docs - max_docs // 4))]
     total = {r["_y"]: r["count"] for r in one.groupBy("_y").count().collect()}
     few = drawn[0].union(drawn[1]).select("_id", "_y")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").collect()  # max_docs rows at most
+    rows = exactly(docs, id_col, text_col).toDF("_id", "_text").join(F.broadcast(few), "_id").collect()  # max_docs rows at most
     rows.sort(key=lambda r: (r["_id"], r["_text"] or ""))
     texts, y = [r["_text"] for r in rows], [r["_y"] for r in rows]
     del rows
@@ -367,15 +367,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(*own, *([F.col(text_col)] if at == len(own) else [])).mapInArrow(lean(run), schema)
 
 
-def keep_clean(docs: DataFrame, model: Model, below: float = 0.7, **how) -> DataFrame:
-    """The input's rows that score less than ``below``, with its columns, those named like results included.
+def keep_clean(docs: DataFrame, model: Model, below: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The input's rows that score less than ``below``, with all its columns, whatever their names.
 
     Takes what ``score`` takes and treats nulls, empty texts, repeats and ties alike.
     """
-    clash = [c for c in docs.columns if c in ("score", "n_toxic", "spans")]
-    own = "_" * (1 + max(map(len, docs.columns))) + "own"
-    scored = score(docs.select("*", F.struct(*(F.col(f"`{c}`") for c in clash)).alias(own)) if clash else docs, model, **how)
-    return scored.filter(F.col("score") < below).select(*[F.col(own)[c].alias(c) if c in clash else F.col(f"`{c}`") for c in docs.columns])
+    return by_position(docs, lambda x, id_col, text_col: score(x, model, id_col, text_col, **how).filter(F.col("score") < below), id_col=id_col, text_col=text_col)
 
 
 def _spans(text: str, hot: np.ndarray, p: np.ndarray) -> list[dict]:

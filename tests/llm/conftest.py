@@ -33,3 +33,12 @@ def clashing(edge_df):
 
     names = ["score", "spans", "size", "shard", "slot", "target", "copies", "source_size", "n_lines", "n_removed", "kept", "probability", "fingerprint", "component_id", "piece", "start", "length", "sequence_id", "offset"]
     return edge_df.withColumns({n: F.lit("x") for n in names})
+
+
+@pytest.fixture()
+def any_names(edge_df):
+    """The same with columns named like the operators' own, with dots, and different from others only by case; each holds its place's number."""
+    names = ["_row", "_id", "_text", "_starts", "_size", "_src", "_key", "_fp", "_n", "_copy", "_bucket", "_place", "_root", "c0", "c1", "a.b", "doc_id.text", "TEXT", "Doc_Id", "score", "SPANS", "n_removed", "copies", "`q`", ""]
+    from pyspark.sql import functions as F
+
+    return edge_df.select("*", *[F.lit(k).alias(f"z{k}") for k in range(len(names))]).toDF(*edge_df.columns, *names)

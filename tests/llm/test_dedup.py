@@ -10,8 +10,10 @@ from compare import duck, rows
 from compare import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marlstone.llm import lines, registry, simhash, substrings
+from marlstone.llm.common import Scratch
 
 
 def plain_substrings(docs, length):
@@ -192,6 +194,15 @@ def test_pairs_meet_in_a_shard():
     assert all((3000 + i, lives[i]) in visits or (i, lives[3000 + i]) in visits for i in range(500))
 
 
+@pytest.mark.parametrize("times", [1, 8])
+def test_shards_keep_their_bound_as_the_input_grows(spark, times):
+    n = 4000 * times
+    classes = spark.range(n).select(F.xxhash64("id").alias("_key"))
+    got = simhash._dealt(classes, Scratch(spark, "test"), 2, 256, 1024, 512)
+    size = [r["count"] for r in got.filter("_home").groupBy("_shard").count().collect()]
+    assert sum(size) == n and max(size) <= 2 * 256
+
+
 def test_similarity_is_exact_for_small_sets():
     rng = np.random.default_rng(4)
     for _ in range(50):
@@ -260,10 +271,12 @@ def test_sketches_settle_only_what_is_far():
     assert 70 < low < 80 and 124 <= high <= 127 and simhash.limits(8, 0.8) == (-1, 9)
 
 
-def test_keep_one_of_edge_cases(edge_df, clashing):
+def test_keep_one_of_edge_cases(edge_df, clashing, any_names):
     rows_ = [(r["doc_id"], r["text"]) for r in simhash.keep_one(edge_df).collect()]
     assert len(rows_) == len(set(rows_)) and (1, edge_df.first()["text"]) in rows_ and 2 not in {i for i, _ in rows_}
     assert simhash.keep_one(clashing).columns == clashing.columns
+    odd = simhash.keep_one(any_names)
+    assert odd.columns == any_names.columns and sorted(((r[0], r[1]) for r in odd.collect()), key=str) == sorted(rows_, key=str) and all(r[5:] == any_names.first()[5:] for r in odd.collect())
 
 
 # --- lines
@@ -294,6 +307,13 @@ def test_lines_of_edge_cases(edge_df, clashing, edge):
     assert {r["n_removed"] for r in lines.dedup_lines(edge_df).filter("doc_id = 2").collect()} == {12}
 
 
+def test_repeated_lines_go_whatever_the_columns_are_called(edge_df, any_names):
+    want = sorted(((r[0], r[1]) for r in lines.drop_repeats(edge_df).collect()), key=str)
+    got = lines.drop_repeats(any_names, length_col="n_chars")
+    assert got.columns == any_names.columns and sorted(((r[0], r[1]) for r in got.collect()), key=str) == want
+    assert all(r[5:] == any_names.first()[5:] and r[4] == len(r[1] or "") for r in got.collect())
+
+
 def test_lines_equal_sql(spark):
     got = registry.op9(spark, DATA).toPandas()
     assert rows(got) == rows(duck(registry.OP9_SQL, DATA))

@@ -61,7 +61,7 @@ def test_five_word_similarity_on_documents(spark):
 
 
 @pytest.mark.parametrize("stage", range(5))
-def test_stages_take_edge_cases(spark, edge_df, clashing, edge, stage):
+def test_stages_take_edge_cases(spark, edge_df, clashing, any_names, edge, stage):
     """Nulls in every column, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
     name, f = pipe.STAGES[stage]
     texts = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
@@ -77,6 +77,8 @@ def test_stages_take_edge_cases(spark, edge_df, clashing, edge, stage):
     assert mixed.columns == clashing.columns and all(r["score"] == r["n_removed"] == r["copies"] == r["fingerprint"] == "x" for r in mixed.collect())
     assert texts(mixed) == texts(got)
     now = texts(got)
+    odd = f(spark, any_names, DATA)
+    assert odd.columns == any_names.columns and Counter((r[0], r[1]) for r in odd.collect()) == now and all(r[5:] == any_names.first()[5:] for r in odd.collect())
     if name == "toxicity":
         assert now == had  # all clean
     elif name == "line_dedup":

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from compare import DATA
+from pyspark.sql import functions as F
 
 from marlstone.llm import attribution, packing, tokens
 
@@ -150,3 +151,31 @@ def test_token_counts_of_documents_equal_plain_majority(whole, spark):
         for k, (lo, hi) in enumerate(bounds):
             assert got[i, lo, hi] == want[k], (i, k)
         assert sum(want.values()) == sum(v for (d, _, _), v in got.items() if d == i)
+
+
+def test_pieces_that_fit_with_no_other_stay_out_of_the_rounds(spark, monkeypatch):
+    """Pieces of over half a sequence: nothing merges, and no task sees more than it may."""
+    seen = []
+    write = packing.Scratch.write
+
+    def watched(self, df, name):
+        out = write(self, df, name)
+        if name.startswith(("moves", "packed")):
+            task = F.shiftright(F.col("bin" if name == "packed" else "into"), 36)
+            seen.append((name, max(r["count"] for r in out.groupBy(task.alias("task")).count().collect())))
+        return out
+
+    monkeypatch.setattr(packing.Scratch, "write", watched)
+    monkeypatch.setattr(packing, "token_pieces", lambda docs, *a: docs.select(F.col("doc_id").alias("_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("text").cast("long").alias("length"), F.xxhash64("doc_id").alias("ids_crc32")))
+    x = spark.range(8000).select(F.col("id").alias("doc_id"), (535 + F.col("id") % 174).cast("string").alias("text"))
+    got = packing.pack(x, items_per_partition=1000, fan_in=4)
+    assert got.select("sequence_id").distinct().count() == 8000 and [name for name, _ in seen] == ["packed"]
+    # some small ones among them: rounds go on in tasks of bounded size, and the small ones find places
+    seen.clear()
+    y = x.withColumn("text", F.when(F.col("doc_id") % 8 == 0, (100 + F.col("doc_id") % 300).cast("string")).otherwise(F.col("text")))
+    rows = packing.pack(y, items_per_partition=1000, fan_in=4).collect()
+    bins = Counter()
+    for r in rows:
+        bins[r["sequence_id"]] += r["length"]
+    assert len(rows) == 8000 and max(bins.values()) <= 1024 and 7000 <= len(bins) <= 7000 * 1.01
+    assert len(seen) > 2 and all(n <= 1150 for _, n in seen), seen  # dealt by hash
