@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from marlstone.sources import readers
@@ -35,3 +38,67 @@ def test_union_and_vocabulary(spark, files):
     (files / "v.json").write_text('{"version": "0.1.0", "facet_namespaces": {"capability": ["a", "b"]}, "normalized_units": ["hour"]}')
     concepts, units = readers.read_vocabulary(spark, str(files / "v.json"))
     assert sorted(map(tuple, concepts.collect())) == [("capability", "a"), ("capability", "b")] and units.first()[0] == "hour"
+
+
+def plain_markdown(text):
+    """One line after the other."""
+    out, category, parent = [], None, ""
+    item = re.compile(readers._ITEM)
+    for n, line in enumerate(x.removesuffix("\r") for x in text.split("\n")):
+        if m := re.match(r"^## (.+)$", line):
+            category, parent = m[1].strip(), ""
+        elif category is not None and (m := item.match(line)):
+            name = re.sub(r"[*_`]", "", m[2]).strip()
+            parent = name if len(m[1]) <= 2 else parent
+            out.append((n + 1, category, name, parent if len(m[1]) > 2 else ""))
+    return out
+
+
+def plain_csv(text):
+    """One character after the other."""
+    rows, row, field, quoted, i = [], [], "", False, 0
+    while i < len(text):
+        c = text[i]
+        if c == '"':
+            if quoted and text[i + 1 : i + 2] == '"':
+                field, i = field + '"', i + 1
+            else:
+                quoted = not quoted
+        elif quoted or c not in ",\n":
+            field += c
+        elif c == ",":
+            row, field = [*row, field], ""
+        else:
+            row = [*row, field.removesuffix("\r")]
+            rows += [row] if any(row) else []
+            row, field = [], ""
+        i += 1
+    if field or row:
+        rows.append([*row, field.removesuffix("\r")])
+    head, *data = rows or [[]]
+    return [(k + 2, {h: r[i] if i < len(r) else "" for i, h in enumerate(head)}) for k, r in enumerate(data)]
+
+
+@pytest.mark.parametrize("size", [31, 201, 1 << 20])
+def test_splits_of_any_size_give_the_same(spark, tmp_path, size):
+    rng = random.Random(size)
+    md = "".join(rng.choice(["## Head é %d\n", "text\n", "* [A%d](u) - x\n", "  * [B%d](u)\r\n", "    * [C%d](u) – y\n", "\n", "   * [D%d](u) no dash\n"]).replace("%d", str(k)) for k in range(120))
+    cells = ["a", "", "x é", '"q, ""r"""', '"two\nlines"', '"\n\n"', 'in"si"de', '""', "b\r"]
+    csvs = {f"f{k}.csv": "h1,h2,h1\n" + "".join(",".join(rng.choice(cells) for _ in range(rng.randrange(1, 4))) + rng.choice(["\n", "\r\n", "\n\n"]) for _ in range(60)) + end for k, end in enumerate(["", "last,", ",,", '""', '"open\nend', "x"])}
+    (tmp_path / "README.md").write_text(md, newline="")
+    (tmp_path / "csv").mkdir()
+    for name, text in csvs.items():
+        (tmp_path / "csv" / name).write_text(text, newline="")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        lines = readers.split_lines(spark, str(tmp_path / "README.md"))
+        assert (lines.select("_split").distinct().count() > 5) == (size < 1000)
+        got = readers.read_markdown(spark, str(tmp_path / "README.md")).orderBy("source_line").collect()
+        assert [(r["source_line"], r["source_category"], r["source_name"], r["parent_provider"]) for r in got] == plain_markdown(md)
+        rows = readers.read_csv_rows(spark, str(tmp_path / "csv")).collect()
+        assert sorted(((r["file"], r["row_number"], r["values"]) for r in rows), key=str) == sorted(((name, n, v) for name, text in csvs.items() for n, v in plain_csv(text)), key=str)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
