@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .shared import written
 
 
 
@@ -54,52 +52,67 @@ def facet_counts(links: DataFrame, facet: str, target: str) -> DataFrame:
     return links.groupBy(facet).agg(F.count_distinct(target).alias("n"))
 
 
-def _scan(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
-    """Texts with the quotes that they hold: one pass over each text, however many quotes there are.
-
-    The different quotes reach the driver and every task as one automaton, so the
-    caller bounds their bytes.
-    """
-    known = [r[0] for r in quotes.select(quote).filter(F.col(quote).isNotNull()).distinct().collect()]
-    shipped = texts.sparkSession.sparkContext.broadcast(known)
+#: Counters for grams, and slots of the filter that text places must pass.
+_COUNTERS, _SLOTS = 1 << 20, 1 << 22
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
 
-        find = ahocorasick.Automaton()
-        for q in shipped.value:
-            if q:
-                find.add_word(q, q)
-        find.make_automaton()
-        everywhere = [""] if "" in shipped.value else []
-        some = len(find) > 0
-        for batch in batches:
-            yield batch.map(lambda t: None if t is None else everywhere + (list({q for _, q in find.iter(t)}) if some else []))
+def _grams(value: Column, size: int, stride: int) -> Column:
+    """Grams of ``size`` at every ``stride``-th place; shorter texts have none."""
+    places = F.sequence(F.lit(0), F.greatest(F.length(value) - size, F.lit(0)), F.lit(stride))
+    return F.when(F.length(value) >= size, F.transform(places, lambda i: F.substring(value, i + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
-    hit = texts.withColumn("_held", held(F.col(text))).filter(F.size("_held") > 0)
-    return hit.withColumn(quote, F.explode("_held")).drop("_held").join(quotes, quote)
 
+def filed_quotes(texts: DataFrame, quotes: DataFrame, text: str, quote: str, size: int, stride: int) -> DataFrame:
+    """(quote, _gram): each quote under ``stride`` grams behind each other, those that are rarest in the texts.
 
-def contains_join(texts: DataFrame, quotes: DataFrame, text: str, quote: str, most_bytes: int = 2_000_000) -> DataFrame:
+    A text that is looked at at every ``stride``-th place shows one of them wherever the quote
+    stands.  Grams of texts are counted by hash with map-side combining, so what is shuffled is bounded
+    by the counters; a collision makes a gram look more frequent and changes no result.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(_COUNTERS))
+    counts = texts.select(F.explode(_grams(F.col(text), size, stride)).alias("g")).groupBy(slot("g").alias("_slot")).agg(F.count("*").alias("_n"))
+    each = quotes.select(quote, F.posexplode(_grams(F.col(quote), size, 1)).alias("_o", "_gram"))
+    each = each.withColumn("_slot", slot("_gram")).join(counts, "_slot", "left")
+    along = Window.partitionBy(quote).orderBy("_o").rowsBetween(0, stride - 1)
+    each = each.withColumns({"_sum": F.sum(F.coalesce("_n", F.lit(0))).over(along), "_full": F.count("*").over(along)})
+    best = F.min(F.when(F.col("_full") == stride, F.struct("_sum", "_o"))).over(Window.partitionBy(quote))
+    each = each.withColumn("_best", best["_o"]).filter((F.col("_o") >= F.col("_best")) & (F.col("_o") < F.col("_best") + stride))
+    return each.select(quote, "_gram").distinct()
+
+
+def _met(texts: DataFrame, quotes: DataFrame, text: str, quote: str, size: int, stride: int) -> DataFrame:
+    """(_row, quote) for every text that holds the quote, by the quotes' rarest grams."""
+    filed = written(filed_quotes(texts, quotes, text, quote, size, stride), "filed")
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(_SLOTS))
+    # one bit for each slot in pieces of 4 KB: one row of at most 512 KB
+    pieces = filed.select(slot(F.col("_gram")).alias("s")).groupBy(F.shiftright("s", 15).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("s"))).alias("b"), F.min("s").alias("low"))
+    bits = pieces.agg(F.map_from_entries(F.collect_list(F.struct("k", "b"))).alias("_bits"))
+    position = F.bitmap_bit_position
+
+    def passes(g: Column) -> Column:
+        at = position(slot(g))
+        byte = F.conv(F.hex(F.substring(F.element_at("_bits", F.shiftright(slot(g), 15)), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.coalesce(F.get(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8).cast("int")).bitwiseAND(byte) != 0, F.lit(False))
+
+    seen = texts.crossJoin(F.broadcast(bits))  # one row
+    seen = seen.withColumn("_gram", F.explode(F.array_distinct(F.filter(_grams(F.col(text), size, stride), passes)))).drop("_bits")
+    return seen.join(filed, "_gram").filter(F.contains(F.col(text), F.col(quote))).select("_row", quote).distinct()
+
+
+def contains_join(texts: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
     """JON-17, FLT-12: rows whose text holds the quote exactly; nulls match nothing, the empty quote every text.
 
-    Quotes of up to ``most_bytes`` (measured first) are looked for together in one pass,
-    which never shuffles a text.  More of them meet the texts by their first eight
-    characters, so the join is on equal blocks and the exact test follows; quotes
-    shorter than that are looked for together, part by part.
+    A quote is filed under its rarest grams, and only those are looked for in the texts: quotes of 23
+    code points and more under 16 grams of eight, for texts at every 16th place; shorter ones under one gram at every
+    place, of eight or of their own length.  The exact test follows.  Only lengths that occur are looked for.
     """
-    size = 8
-    bytes_of = lambda q: q.agg(F.sum(F.octet_length(quote) + 1)).first()[0] or 0
-    if bytes_of(quotes) <= most_bytes:
-        return _scan(texts, quotes, text, quote)
-    q = quotes.withColumn("_block", F.substring(quote, 1, size))
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    t = texts.withColumn("_block", F.explode(F.array_distinct(F.transform(places, lambda i: F.col(text).substr(i, F.lit(size))))))
-    out = t.join(q.filter(F.length(quote) >= size), "_block").filter(F.contains(F.col(text), F.col(quote))).drop("_block")
-    short = quotes.filter(F.length(quote) < size)
-    parts = -(-bytes_of(short.select(quote).distinct()) // most_bytes)
-    for k in range(parts):
-        some = short.filter(F.pmod(F.xxhash64(quote), F.lit(parts)) == k)
-        out = out.unionByName(_scan(texts, some, text, quote).select(*out.columns))
-    return out
+    known = quotes.select(quote).filter(F.col(quote).isNotNull()).distinct()
+    n = F.length(quote)
+    kinds = [r[0] for r in known.select(F.when(n >= 23, 23).otherwise(F.least(n, F.lit(8))).alias("k")).distinct().collect()]  # ten kinds at most
+    rows = texts.filter(F.col(text).isNotNull()).withColumn("_row", F.monotonically_increasing_id())
+    rows = written(rows, "texts") if kinds else rows
+    narrow, found = rows.select("_row", text), rows.select("_row", F.lit("").alias(quote)).filter(F.lit(False))
+    for k in sorted(kinds):
+        some = known.filter(n >= 23 if k == 23 else (n >= 8) & (n < 23) if k == 8 else n == k)
+        found = found.union(narrow.select("_row", F.lit("").alias(quote)) if k == 0 else _met(narrow, some, text, quote, min(k, 8), 16 if k == 23 else 1))
+    return rows.join(found, "_row").join(quotes, quote).drop("_row")

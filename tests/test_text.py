@@ -93,16 +93,25 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert found.bm25("a").count() == 0 and found.matching("a b").count() == 0
 
 
-def test_containment_in_one_pass_and_by_blocks(spark):
-    texts = [(1, "the quick brown fox"), (2, "quick"), (3, None), (4, "")]
-    quotes = [(1, "quick brown"), (2, "ick"), (3, "missing text"), (4, ""), (5, None), (6, "ick"), (7, "e quick brown fo")]
+def test_containment_by_rarest_grams(spark):
+    long = "the quick brown fox jumps over the lazy dog, twice"
+    texts = [(1, "the quick brown fox"), (2, "quick"), (3, None), (4, ""), (5, long * 2 + "é😀"), (5, long * 2 + "é😀"), (6, "x" * 60 + long + "y" * 31)]
+    quotes = [(1, "quick brown"), (2, "ick"), (3, "missing text"), (4, ""), (5, None), (6, "ick"), (7, "e quick brown fo"), (8, long), (9, long[3:27]), (10, "dog, twicethe quick brow"), (11, "twiceé😀"), (12, "x" * 23), (13, long + "!"), (14, "a")]
     want = sorted((i, q) for i, t in texts for q, s in quotes if t is not None and s is not None and s in t)
     t, q = spark.createDataFrame(texts, "id int, t string"), spark.createDataFrame(quotes, "q int, s string")
-    for most in (1000, 40, 3):
-        assert sorted(map(tuple, search.contains_join(t, q, "t", "s", most_bytes=most).select("id", "q").collect())) == want
+    assert sorted(map(tuple, search.contains_join(t, q, "t", "s").select("id", "q").collect())) == want
     assert search.contains_join(t, q.limit(0), "t", "s").count() == 0 and search.contains_join(t.limit(0), q, "t", "s").count() == 0
 
 
+def test_few_places_of_the_texts_meet_the_quotes(spark):
+    docs = spark.range(400).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(120)), lambda k: F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(":"), (k % 60).cast("string")).cast("binary"), 256), 1, 6))).alias("t"))
+    quotes = docs.select(F.substring("t", 100, 60).alias("s"))
+    filed = search.filed_quotes(docs, quotes, "t", "s", 8, 16)
+    met = docs.select("id", F.explode(F.array_distinct(search._grams(F.col("t"), 8, 16))).alias("_gram")).join(filed, "_gram").count()
+    every = docs.select("id", F.explode(F.array_distinct(search._grams(F.col("t"), 8, 1))).alias("_gram")).count()
+    assert met * 10 < every and search.contains_join(docs, quotes, "t", "s").select("id").distinct().count() == 400
+
+
 def test_score_and_annotations(spark):
     rows = [("Cloud Programs", "Fixture", "Run a GPU notebook; generate images", "cloud credits"), ("Generative AI", "Embed", "embedding and vector search", ""), ("Other", "X", "clinical sales", "")]
     df = spark.createDataFrame(rows, "source_category string, source_name string, source_description string, source_offer_detail string")
