@@ -178,6 +178,22 @@ def quote_offset(text: Column, quote: Column) -> Column:
     return F.call_function("instr", text, quote) - 1
 
 
+def json_value(document: Column, path: str, kind: str = "string") -> Column:
+    """FN-14: the value at a path as a type; null where it is absent, null or of another kind."""
+    return F.try_variant_get(F.try_parse_json(document), path, kind)
+
+
+def json_length(document: Column, path: str) -> Column:
+    """FN-14: items of the array at a path, 0 where something else stands there, null where nothing does (T4)."""
+    v = F.try_variant_get(F.try_parse_json(document), path, "variant")
+    return F.when(v.isNotNull(), F.coalesce(F.size(F.try_variant_get(v, "$", "array<variant>")), F.lit(0)))
+
+
+def json_has(document: Column, path: str) -> Column:
+    """FN-14: whether anything stands at the path, a JSON null included (T9)."""
+    return F.try_variant_get(F.try_parse_json(document), path, "variant").isNotNull()
+
+
 def html_escaped(value: Column) -> Column:
     """FN-21: text for a page; null is empty."""
     out = F.coalesce(value, F.lit(""))

@@ -30,21 +30,26 @@ def evaluate(traces: DataFrame, labels: DataFrame, sources: DataFrame) -> DataFr
     labels: source_id, name, include, capabilities, user_needs, duplicate_group;
     sources: source_id, raw_text.
     """
-    peers = labels.filter(F.col("duplicate_group").isNotNull()).groupBy("duplicate_group").agg(F.collect_set("name").alias("_group"))
-    l = labels.join(peers, "duplicate_group", "left").withColumn("_peers", F.array_except(F.coalesce("_group", F.array().cast("array<string>")), F.array("name")))
+    members = labels.filter(F.col("duplicate_group").isNotNull()).select("duplicate_group", F.col("name").alias("_peer")).distinct()
+    l = labels.join(members.groupBy("duplicate_group").agg(F.count("*").alias("_size")), "duplicate_group", "left")
     t = traces.filter(F.col("status") == "ok").select("source_id", "result")
     x = l.join(t, "source_id", "left").join(sources.select("source_id", "raw_text"), "source_id", "left")
     have, r = F.col("result").isNotNull(), F.col("result")
+    named = F.array_distinct(r["possible_duplicate_names"])
     parts = {}
-    for name, got, want in (("capability", r["capabilities"], F.col("capabilities")), ("need", r["user_needs"], F.col("user_needs")), ("duplicate", r["possible_duplicate_names"], F.col("_peers"))):
+    for name, got, want in (("capability", r["capabilities"], F.col("capabilities")), ("need", r["user_needs"], F.col("user_needs"))):
         tp, fp, fn = overlap(got, want)
         parts |= {f"{name}_tp": F.sum(F.when(have, tp)), f"{name}_fp": F.sum(F.when(have, fp)), f"{name}_fn": F.sum(F.when(have, fn))}
     grounded = F.size(F.filter(r["requirements"], lambda q: F.contains(F.col("raw_text"), q["evidence"])))
     s = x.agg(
         F.count("*").alias("labels"), F.count_if(have).alias("valid"), F.count_if(have & (r["include"] == F.col("include"))).alias("include_right"),
         F.count_if(have & (F.size(r["unsupported_or_unknown"]) > 0)).alias("unknown_kept"), F.sum(F.when(have, grounded)).alias("grounded"), F.sum(F.when(have, F.size(r["requirements"]))).alias("requirements"),
-        *[v.alias(k) for k, v in parts.items()],
+        F.coalesce(F.sum(F.when(have, F.size(named))), F.lit(0)).alias("_named"), F.coalesce(F.sum(F.when(have, F.col("_size") - 1)), F.lit(0)).alias("_peers"), *[v.alias(k) for k, v in parts.items()],
     )
+    # AGG-08: a member's peers are its group but itself, so their numbers come from the group's size and only named pairs are joined
+    pairs = x.filter(have).select("duplicate_group", "name", F.explode(named).alias("_peer")).filter("_peer <> name").join(members, ["duplicate_group", "_peer"])
+    s = s.crossJoin(pairs.agg(F.count("*").alias("duplicate_tp")))  # one row each
+    s = s.withColumns({"duplicate_fp": F.col("_named") - F.col("duplicate_tp"), "duplicate_fn": F.col("_peers") - F.col("duplicate_tp")})
     out = [ratio(F.col("valid"), F.col("labels")).alias("schema_valid_rate"), ratio(F.col("include_right"), F.col("labels")).alias("inclusion_accuracy"), ratio(F.col("unknown_kept"), F.col("valid")).alias("unknown_preservation"), ratio(F.col("grounded"), F.col("requirements")).alias("grounding_rate")]
     for n in ("capability", "need", "duplicate"):
         tp, fp, fn = (F.coalesce(F.col(f"{n}_{k}"), F.lit(0)) for k in ("tp", "fp", "fn"))

@@ -18,6 +18,14 @@ def like_all(text: Column, terms: list[str], also: dict[str, Column] | None = No
     return out
 
 
+def first_of(df: DataFrame, equal: dict[str, object], order: list[str], most: int) -> DataFrame:
+    """FLT-01, SRT-08: the first rows by the order of those with these values."""
+    hit = F.lit(True)
+    for column, value in equal.items():
+        hit = hit & (F.col(column) == F.lit(value))
+    return df.filter(hit).orderBy(*order).limit(most)
+
+
 def explorer_filter(rows: DataFrame, haystack: Column, q: str = "", needs: str = "needs", need: str = "", source: str = "", source_col: str = "source_kind") -> DataFrame:
     """FLT-18: rows with every word of the query somewhere in the haystack, the need and the source, as far as they are given."""
     hit = F.lit(True)
