@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import api, attempts, contract, evaluate, history, legacy, search, view
+from ..operators import api, attempts, contract, contract_columns, evaluate, history, legacy, search, view
 from ..operators.catalog import Catalog, ingest, observe
 from ..operators.engine import CatalogEngine, bounded_params, open_catalog
 from ..operators.shared import kept_folder, new_folder
@@ -118,7 +118,7 @@ se AS (SELECT k, 'VAL-04' AS rule_id, (k % 5 = 4)::INT AS n FROM whole UNION ALL
 def validate_candidates(spark, d):
     """VAL-01..17, FLT-13, FLT-14, FN-20, JON-14: every broken rule of every candidate, structure first."""
     x = _sources(spark, d).select("p_partkey", "source_text", _doubtful().alias("candidate"))
-    found = contract.validate_candidates(x, "p_partkey", "source_text", "candidate", CONCEPTS, UNITS)
+    found = contract_columns.validate_candidates(x, "p_partkey", "source_text", "candidate", CONCEPTS, UNITS)
     return found.groupBy("p_partkey", "rule_id").agg(F.count("*").alias("n"))
 
 

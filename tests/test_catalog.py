@@ -1,12 +1,13 @@
 import copy
 import json
 import random
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import attempts, contract, evaluate, history, keys, view
+from marlstone.operators import attempts, contract, contract_columns, evaluate, history, keys, view
 from marlstone.operators.catalog import TABLES, Catalog, ingest, observe
 from marlstone.operators.engine import CatalogEngine, bounded, bounded_params, catalog_kind, clamped
 from marlstone.operators.log import CHECKPOINT_EVERY, Conflict, Log, State
@@ -87,6 +88,70 @@ def test_broken_rules_are_named(path, value, rule):
     assert rule in rules_of(change(path, value))
 
 
+def mutated(rng):
+    """A candidate with one to three places changed at random."""
+    c = candidate()
+    c["opportunities"][0]["ambiguities"] = [{"key": "amb", "target_key": "hours", "field": "scope", "reason": "ambiguous", "note": "n", "support": support("ev_offer")}]
+    c["possible_canonical_matches"] = [{"candidate_name": "Other", "candidate_url": "https://o.test", "support": support("ev_what")}]
+    c["product"]["claimed_outcomes"] = [{"text": "Done sooner", "support": support("ev_what")}]
+    for _ in range(rng.choice([1, 1, 2, 3])):
+        places = []
+
+        def walk(v):
+            for k in v if isinstance(v, dict) else range(len(v)) if isinstance(v, list) else ():
+                places.append((v, k))
+                walk(v[k])
+
+        walk(c)
+        owner, k = rng.choice(places)
+        v = owner[k]
+        new = rng.choice([None, 3, -1, 0.5, "", "x", "product", "ev_gone", "ev_what", "free", True, [], {}, [v], [v, v], {"a": v}, "other", "audience", "unlimited", "2026-13-01T00:00:00Z", KeyError, KeyError, "twice", "more"])
+        if new is KeyError and isinstance(owner, dict):
+            del owner[k]
+        elif new == "twice" and isinstance(owner, list):
+            owner.append(copy.deepcopy(v))
+        elif new == "more" and isinstance(v, dict):
+            v["surplus"] = 1
+        elif new is not KeyError:
+            owner[k] = copy.deepcopy(new)
+    return c
+
+
+def test_columns_find_what_the_plain_checks_find(spark):
+    rng = random.Random(8)
+    docs = [mutated(rng) for _ in range(300)] + [change(path, value) for path, value, _ in test_broken_rules_are_named.pytestmark[0].args[1]]
+    x = spark.createDataFrame([(k, TEXT if k % 50 else None, json.dumps(c)) for k, c in enumerate(docs)], "k int, t string, j string")
+    found = contract_columns.validate_candidates(x, "k", "t", "j", CONCEPTS, UNITS)
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = Counter(tuple(r) for r in found.collect())
+    want = Counter((k, *p) for k, c in enumerate(docs) for p in contract.problems(TEXT if k % 50 else None, c, CONCEPTS, UNITS))
+    assert got == want, (list((got - want).items())[:5], list((want - got).items())[:5])
+    assert len({r for _, r, _, _ in want}) >= 13
+
+
+ODD = [
+    (["product", "claimed_outcomes"], [7, "x", {"text": ["free"]}]), (["product", "description", "support", "evidence_ids"], [["ev_what"], 3, None]), (["evidence_spans", 0, "quote"], None), (["evidence_spans", 0, "id"], ["a"]),
+    ([*O, "availability"], {"value": "public", "support": ["explicit"]}), (["product", "description"], {"text": "Free GPU jobs with credits", "support": "ev_what"}), ([*E, "support"], {"basis": "explicit", "evidence_ids": [["x"]]}),
+    ([*E, "cadence", "alignment"], ["calendar"]), (["evidence_spans"], 5), (["opportunities"], {"a": 1}), (["product"], None),
+]
+
+
+@pytest.mark.parametrize("path,value", ODD)
+def test_repairs_skip_what_has_another_shape(path, value):
+    fixed, log = contract.normalized(change(path, value))
+    assert isinstance(log, list) and rules_of(fixed) >= {"VAL-01"}
+
+
+def test_odd_answers_end_no_job(spark):
+    told = [json.dumps(change(p, v)) for p, v in ODD] + ["{", "[1]", "7", "null"]
+    df = spark.createDataFrame([(str(k), j) for k, j in enumerate(told)] + [("none", None)], "k string, j string")
+    got = {r["k"]: r for r in contract.normalize_candidates(df, "k", "j").collect()}
+    assert len(got) == len(told) + 1 and got["none"]["candidate"] is None and got[str(len(ODD))]["candidate"] == "{" and got[str(len(ODD))]["actions"] == []
+    asked = df.filter("j is not null").withColumnRenamed("j", "t")
+    rows = attempts.run_attempts(asked, "k", "t", lambda text, failures: text, CONCEPTS, UNITS).collect()
+    assert {r["k"] for r in rows if r["status"] == "accepted"} == set() and {r["attempt"] for r in rows} == {1, 2}
+
+
 def test_run_rules():
     assert {m[1] for m in contract.run_problems(candidate(), "srcsnap_0002", "2026-01-01T00:00:00Z", "Other")} == {"source_snapshot_id", "product.source_name"}
 
@@ -116,7 +181,7 @@ def test_normalization():
 
 def test_over_dataframes(spark):
     df = spark.createDataFrame([("a", TEXT, json.dumps(candidate())), ("b", TEXT, "no json"), ("c", TEXT, json.dumps(change([*E, "quantity"], KeyError)))], "k string, t string, j string")
-    found = contract.validate_candidates(df, "k", "t", "j", CONCEPTS, UNITS)
+    found = contract_columns.validate_candidates(df, "k", "t", "j", CONCEPTS, UNITS)
     assert {(r["k"], r["rule_id"]) for r in found.collect()} == {("b", "VAL-01"), ("c", "VAL-02")}
     with pytest.raises(ValueError, match="2 contract"):
         contract.assert_valid(found)
