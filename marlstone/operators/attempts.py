@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sha_id
 from . import contract
+from .contract_columns import validate_candidates
+from .shared import written
 
 
 def extract(text: str | None):
@@ -33,37 +35,43 @@ def run_attempts(df: DataFrame, key: str, source_text: str, complete: Callable[[
 
     ``complete`` gets the source text and the failures so far.  A call that raises
     is a provider_error and is tried again; statuses are provider_error,
-    parse_error, validation_error and accepted.
+    parse_error, validation_error and accepted.  One round for each attempt: answers are
+    written, so a provider is asked once whatever is lost later, and checked as columns;
+    records that were not accepted go into the next round with what was wrong.
     """
     kind = df.schema[key].dataType.simpleString()
 
-    def run(batches):
+    def ask(batches):
         for pdf in batches:
             rows = []
-            for k, text in zip(pdf["_k"], pdf["_s"], strict=True):
-                failures: list[str] = []
-                for n in range(1, max_attempts + 1):
-                    status, candidate, actions = "provider_error", None, []
-                    try:
-                        answer = complete(text, failures)
-                    except Exception as e:  # whatever a provider raises
-                        failures = [str(e)]
+            for r, k, text, failures in zip(pdf["_r"], pdf["_k"], pdf["_s"], pdf["_f"], strict=True):
+                status, candidate, errors, actions = "answered", None, [], []
+                try:
+                    answer = complete(text, list(failures))
+                except Exception as e:  # whatever a provider raises
+                    status, errors = "provider_error", [str(e)]
+                else:
+                    found = extract(answer)
+                    if found is None:
+                        status, errors = "parse_error", ["the answer holds no JSON object"]
                     else:
-                        found = extract(answer)
-                        if found is None:
-                            status, failures = "parse_error", ["the answer holds no JSON object"]
-                        else:
-                            fixed, actions = contract.normalized(found)
-                            broken = contract.problems(text, fixed, concepts, units)
-                            status, failures = ("validation_error", [f"{at}: {m}" for _, at, m in broken]) if broken else ("accepted", [])
-                            candidate = json.dumps(fixed, sort_keys=True, ensure_ascii=False)
-                    rows.append((k, n, status, candidate, list(failures), actions))
-                    if status == "accepted":
-                        break
-            yield pd.DataFrame(rows, columns=["_k", "attempt", "status", "candidate", "errors", "actions"])
-
-    schema = f"_k {kind}, attempt int, status string, candidate string, errors array<string>, actions array<string>"
-    return df.select(F.col(key).alias("_k"), F.col(source_text).alias("_s")).mapInPandas(run, schema).withColumnRenamed("_k", key)
+                        fixed, actions = contract.normalized(found)
+                        candidate = json.dumps(fixed, sort_keys=True, ensure_ascii=False)
+                rows.append((r, k, text, status, candidate, errors, actions))
+            yield pd.DataFrame(rows, columns=["_r", "_k", "_s", "status", "candidate", "errors", "actions"])
+
+    todo = written(df.select(F.monotonically_increasing_id().alias("_r"), F.col(key).alias("_k"), F.col(source_text).alias("_s"), F.array().cast("array<string>").alias("_f")), "records")
+    out = None
+    for n in range(1, max_attempts + 1):
+        told = written(todo.mapInPandas(ask, f"_r long, _k {kind}, _s string, status string, candidate string, errors array<string>, actions array<string>"), "answers")
+        broken = validate_candidates(told.filter("status = 'answered'"), "_r", "_s", "candidate", concepts, units)
+        broken = broken.groupBy("_r").agg(F.array_sort(F.collect_list(F.concat_ws(": ", "path", "message"))).alias("_broken"))
+        status = F.when(F.col("status") != "answered", F.col("status")).when(F.col("_broken").isNotNull(), "validation_error").otherwise("accepted")
+        done = told.join(broken, "_r", "left").withColumns({"status": status, "errors": F.coalesce("_broken", "errors"), "attempt": F.lit(n)})
+        done = written(done.select("_r", "_k", "_s", "attempt", "status", "candidate", "errors", "actions"), "attempt")
+        out = done if out is None else out.union(done)
+        todo = done.filter("status <> 'accepted'").select("_r", "_k", "_s", F.col("errors").alias("_f"))
+    return out.select(F.col("_k").alias(key), "attempt", "status", "candidate", "errors", "actions")
 
 
 def started_runs(df: DataFrame, snapshot: str, provider: str, model: str) -> DataFrame:
