@@ -7,10 +7,15 @@ squared norm of the sum, so a query's distance to it is a norm less sums looked
 up in one small table for each query.  The best by that distance are reranked by
 the exact cosine in double precision.
 
+How deep the rerank must go depends on the rows, so it is measured on them: up to 128 of the
+queries are compared with every row, and the places that their true neighbours have by the
+codes tell the depth.  Where it exceeds ``rerank``, sixteen more codebooks are fitted on what the others
+leave, three times at most and while that helps; then the rerank goes as deep as the measure says, to every row if need be.
+
 Equal vectors are one index row with its least ids, so a vector that a third of
 all rows share is encoded, scored and reranked once.  Queries and index are dealt
 in blocks; each (query block, index block) is a task of bounded memory that sees codes
-and norms, 24 bytes a row, and the queries.  Its nearest ``rerank`` keys of each query
+and norms, 24 bytes a row and 16 more for each further sixteen codebooks, and the queries.  Its nearest ``rerank`` keys of each query
 compete with those of other blocks, and the winners go back to the blocks that hold
 their vectors: a vector travels once for the rerank, a query once to each block that
 holds candidates of its.
@@ -28,6 +33,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, lean
 
 
+#: Groups of sixteen codebooks at most, and keys that one task of the rerank gets.
+MOST_GROUPS, KEYS_A_TASK = 4, 4_000_000
+
+
 @dataclass
 class Codebooks:
     words: np.ndarray  # (books, size, dimension)
@@ -71,7 +80,7 @@ def train_codebooks(x: np.ndarray, books: int = 16, size: int = 256, rounds: int
         rest = rest - c[a]
     out = Codebooks(np.stack(words))
     for _ in range(refine):
-        codes = out.encode(x, beam) + np.arange(books) * size
+        codes = np.concatenate([out.encode(x[a : a + 1024], beam) for a in range(0, len(x), 1024)]) + np.arange(books) * size
         gram, cross = np.zeros((books * size, books * size), np.float32), np.zeros((books * size, x.shape[1]), np.float32)
         for m in range(books):
             np.add.at(cross, codes[:, m], x)
@@ -84,6 +93,91 @@ def train_codebooks(x: np.ndarray, books: int = 16, size: int = 256, rounds: int
     return out
 
 
+def extended(books: Codebooks, x: np.ndarray) -> Codebooks:
+    """As many codebooks as ``train_codebooks`` gives besides, fitted on what these leave of ``x``."""
+    rest = np.concatenate([part - books.decode(books.encode(part)) for part in (x[a : a + 1024] for a in range(0, len(x), 1024))])
+    return Codebooks(np.concatenate([books.words, train_codebooks(rest).words]))
+
+
+def tables_of(books: Codebooks, q: np.ndarray) -> np.ndarray:
+    """(books, size, queries): dot products of every codeword with every query."""
+    return np.einsum("mkd,qd->mkq", books.words, q).astype(np.float32)
+
+
+def distances(table: np.ndarray, codes: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """(rows, queries) from the lookup tables, but for a constant of the query."""
+    far = np.repeat(norm.astype(np.float32)[:, None], table.shape[2], axis=1)
+    for m in range(codes.shape[1]):
+        far -= 2 * table[m][codes[:, m]]
+    return far
+
+
+def true_neighbours(index: DataFrame, probes: list, k: int) -> list[list[bytes]]:
+    """For each of a few (id, vector): keys of the rows of largest cosine that hold ``k`` other ids; every row is compared."""
+    q = np.array([v for _, v in probes], float)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    shipped = index.sparkSession.sparkContext.broadcast(q)
+
+    def compare(batches):
+        best = [[] for _ in shipped.value]
+        for batch in batches:
+            if not len(batch):
+                continue
+            v = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(batch), -1)
+            cosine = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ shipped.value.T
+            top = np.argpartition(-cosine, min(k, len(v) - 1), axis=0)[: k + 1]
+            for j, rows in enumerate(top.T):
+                best[j] = sorted(best[j] + [(-cosine[i, j], batch.column(0)[int(i)].as_py()) for i in rows])[: k + 1]
+        flat = [(j, key, -c) for j, found in enumerate(best) for c, key in found]
+        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in flat], t) for n, t in enumerate((pa.int32(), pa.binary(), pa.float64()))], names=["_j", "_key", "_s"])
+
+    found = index.select("_key", "_v").mapInArrow(lean(compare), "_j int, _key binary, _s double")
+    line = Window.partitionBy("_j").orderBy(F.col("_s").desc(), "_key")
+    found = found.withColumn("_rn", F.row_number().over(line)).filter(F.col("_rn") <= k + 1)
+    told: list[list] = [[] for _ in probes]
+    for r in sorted(found.join(index.select("_key", "_ids"), "_key").collect(), key=lambda r: r["_rn"]):  # k + 1 of each probe
+        others = [i for i in r["_ids"] if i != probes[r["_j"]][0]]
+        if others and sum(n for _, n in told[r["_j"]]) < k:
+            told[r["_j"]].append((bytes(r["_key"]), len(others)))
+    shipped.unpersist()
+    return [[key for key, _ in x] for x in told]
+
+
+def depth_needed(coded: DataFrame, books: Codebooks, probes: list, wanted: list[list[bytes]], share: float) -> int:
+    """The depth of a rerank that holds ``share`` of the wanted keys: their places by the codes among all rows."""
+    spark = coded.sparkSession
+    pairs = [(j, key) for j, keys in enumerate(wanted) for key in keys]
+    if not pairs:
+        return 0
+    q = np.array([v for _, v in probes], float)
+    table = tables_of(books, q / np.linalg.norm(q, axis=1, keepdims=True))
+    some = F.broadcast(spark.createDataFrame([(bytearray(key),) for key in sorted({key for _, key in pairs})], "_key binary"))
+    held = {bytes(r["_key"]): r for r in coded.join(some, "_key").collect()}  # k of each probe
+    codes = np.array([np.frombuffer(held[key]["_codes"], np.uint8) for _, key in pairs])
+    norm = np.array([held[key]["_norm"] for _, key in pairs], np.float32)
+    line = np.array([j for j, _ in pairs])
+    far = norm - 2 * sum(table[m][codes[:, m], line] for m in range(codes.shape[1]))
+    shipped = spark.sparkContext.broadcast((table, line, far + 1e-5))
+
+    def count(batches):
+        table, line, far = shipped.value
+        before = np.zeros(len(far), np.int64)
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                part = batch.slice(a, 4096)
+                codes = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(len(part), -1)
+                d = distances(table, codes, part.column(1).to_numpy(zero_copy_only=False))
+                for j in range(table.shape[2]):
+                    at = np.flatnonzero(line == j)
+                    if len(at):
+                        before[at] += np.searchsorted(np.sort(d[:, j]), far[at], side="right")
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(far)), pa.int32()), pa.array(before, pa.int64())], names=["_p", "_n"])
+
+    places = coded.select("_codes", "_norm").mapInArrow(lean(count), "_p int, _n long").groupBy("_p").agg(F.sum("_n").alias("n")).collect()
+    shipped.unpersist()
+    return int(np.quantile([r["n"] for r in places], share, method="higher"))
+
+
 def valid(vector: str) -> F.Column:
     """Not null, not zero and every component a finite number."""
     v = F.col(vector)
@@ -101,6 +195,8 @@ def nearest(
     rerank: int = 512,
     index_block: int = 32_768,
     query_block: int = 2048,
+    probes: int = 128,
+    share: float = 0.98,
 ) -> DataFrame:
     """query_id, rank, id, score: the ``k`` rows of largest cosine found for every query but its own id.
 
@@ -111,8 +207,9 @@ def nearest(
     candidate, and as a query the least counts.  Other columns are ignored; empty
     tables give no rows.  Codebooks are fitted on about ``sample_rows`` distinct vectors by
     hash; every row is indexed.  The ``rerank`` nearest of the whole index by the codes
-    are compared exactly; with 512 recall is 0.95 on 51,282 vectors of 64 components
-    without clusters (README), so tables of fewer vectors than that are searched exactly.
+    are compared exactly, so tables of fewer vectors than that are searched exactly.
+    For others ``probes`` queries are compared with every row, and codebooks are added or more rows
+    reranked until ``share`` of their true neighbours are among those.
     """
     if rerank <= k:
         raise ValueError("rerank must exceed k")
@@ -139,20 +236,37 @@ def nearest(
     drawn = index.filter(F.pmod(F.xxhash64("_key", F.lit(3)), F.lit(1 << 30)) < part).select("_key", "_v").collect()  # about sample_rows
     x = np.array([r["_v"] for r in sorted(drawn, key=lambda r: bytes(r["_key"]))] or [index.first()["_v"]], float)
     del drawn
-    books = train_codebooks(x / np.linalg.norm(x, axis=1, keepdims=True))
-    shipped = spark.sparkContext.broadcast(books)  # books * size * dimension numbers
-    n_index, n_query = -(-total // index_block), -(-n_asked // query_block)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = train_codebooks(x)
+    n_index = -(-total // index_block)
 
     def encode(batches):
         for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), float).reshape(-1, dim)
+            v = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
             unit = v / np.linalg.norm(v, axis=1, keepdims=True)
             codes = np.concatenate([shipped.value.encode(unit[a : a + 1024]) for a in range(0, len(unit), 1024)]) if len(unit) else np.zeros((0, 1), np.uint8)
             norm = (shipped.value.decode(codes) ** 2).sum(1) if len(unit) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm, pa.float32())], names=["_key", "_codes", "_norm"])
 
     home = F.pmod(F.xxhash64("_key"), F.lit(n_index)).cast("int").alias("_i")
-    coded = scratch.write(index.select("_key", "_v").mapInArrow(lean(encode), "_key binary, _codes binary, _norm float"), "codes")
+    tried = sorted(asked.orderBy(F.xxhash64("_id", F.lit(5)), "_id").limit(probes).collect(), key=lambda r: r["_id"]) if total > rerank else []
+    tried = [(r["_id"], r["_v"]) for r in tried]
+    near_ones = true_neighbours(index, tried, k) if tried else []
+    deep = total
+    for more in range(MOST_GROUPS):
+        if more:
+            shipped.unpersist()
+            scratch.drop("codes")
+            books = extended(books, x)
+        shipped = spark.sparkContext.broadcast(books)  # books * size * dimension numbers
+        coded = scratch.write(index.select("_key", "_v").mapInArrow(lean(encode), "_key binary, _codes binary, _norm float"), "codes")
+        before, deep = deep, depth_needed(coded, books, tried, near_ones, share) if tried else 0
+        if deep <= rerank or more and deep > 0.7 * before:
+            break
+    del x
+    depth = max(rerank, deep)
+    query_block = max(1, query_block * rerank // depth)  # what a task gives stays the same
+    n_query = -(-n_asked // query_block)
     blocks = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = coded.select("*", home).withColumn("_q", blocks(n_query))
     right = asked.withColumn("_q", F.pmod(F.xxhash64("_id"), F.lit(n_query)).cast("int")).withColumn("_i", blocks(n_index))
@@ -165,13 +279,10 @@ def nearest(
         codes = np.frombuffer(b"".join(index["_codes"].to_pylist()), np.uint8).reshape(len(index), -1)
         q = np.array(asked["_v"].combine_chunks().flatten().to_numpy(), float).reshape(-1, dim)
         q /= np.sqrt((q * q).sum(1))[:, None]
-        norm, keep = index["_norm"].to_numpy().astype(np.float32), min(rerank, len(index))
+        norm, keep = index["_norm"].to_numpy(), min(depth, len(index))
         who, which, how_far = [], [], []
         for a in range(0, len(q), 128):
-            table = np.einsum("mkd,qd->mkq", shipped.value.words, q[a : a + 128]).astype(np.float32)
-            far = np.repeat(norm[:, None], table.shape[2], axis=1)
-            for m in range(codes.shape[1]):
-                far -= 2 * table[m][codes[:, m]]
+            far = distances(tables_of(shipped.value, q[a : a + 128]), codes, norm)
             best = np.argpartition(far, keep - 1, axis=0)[:keep]
             who.append(np.tile(np.arange(a, a + far.shape[1]), keep)), which.append(best.ravel()), how_far.append(np.take_along_axis(far, best, 0).ravel())
         pick = lambda xs: pa.array(np.concatenate(xs))
@@ -179,11 +290,13 @@ def nearest(
 
     near = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(score, f"query_id {kind}, _i int, _key binary, _far float")
     line = Window.partitionBy("query_id").orderBy("_far", "_key")
-    near = near.withColumn("_rn", F.row_number().over(line)).filter(F.col("_rn") <= rerank)
-    # at most rerank keys of a query
+    near = near.withColumn("_rn", F.row_number().over(line)).filter(F.col("_rn") <= depth)
+    # at most ``depth`` keys of a query
     near = scratch.write(near.groupBy("_i", "query_id").agg(F.collect_list("_key").alias("_keys")), "near")
     wanted = near.join(asked.select(F.col("_id").alias("query_id"), "_v").hint("merge"), "query_id")
-    held = index.select("_key", "_ids", "_v", home)
+    n_deal = -(-n_asked * min(depth, total) // (n_index * KEYS_A_TASK))  # 1 but for a deep rerank
+    wanted = wanted.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_deal)).cast("int"))
+    held = index.select("_key", "_ids", "_v", home).withColumn("_q", blocks(n_deal))
 
     def compare(held: pa.Table, wanted: pa.Table) -> pa.Table:
         """Exact cosines of the wanted pairs; of each query the nearest k here, ties included."""
@@ -205,7 +318,7 @@ def nearest(
         kind_of = wanted["query_id"].type
         return pa.table({"query_id": pa.array(out_q, kind_of), "_id": pa.array(out_id, kind_of), "score": pa.array(out_s, pa.float64())})
 
-    found = held.groupBy("_i").cogroup(wanted.groupBy("_i")).applyInArrow(compare, f"query_id {kind}, _id {kind}, score double")
+    found = held.groupBy("_i", "_q").cogroup(wanted.groupBy("_i", "_q")).applyInArrow(compare, f"query_id {kind}, _id {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("_id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("_id").alias(id_col), "score")

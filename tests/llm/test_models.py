@@ -272,3 +272,21 @@ def test_codes_reconstruct():
     books = neighbours.train_codebooks(x, books=4, size=64)
     wide, narrow = (((x - books.decode(books.encode(x, beam))) ** 2).sum(1).mean() for beam in (8, 1))
     assert wide <= narrow < 0.5
+
+
+def recall_of_nearest(spark, v, asked, **how):
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours.nearest(df, df.filter(F.col("vec_id").isin(asked)), k=5, **how).collect()
+    s = (v @ v.T) / np.linalg.norm(v, axis=1)[:, None] / np.linalg.norm(v, axis=1)
+    np.fill_diagonal(s, -9)
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    return sum((q, int(i)) in found for q in asked for i in np.argsort(-s[q])[:5]) / (5 * len(asked))
+
+
+def test_recall_does_not_depend_on_the_rows(spark):
+    rng = np.random.default_rng(3)
+    asked = list(range(0, 2400, 48))
+    wide = rng.normal(size=(2400, 128))
+    assert recall_of_nearest(spark, wide, asked, sample_rows=600) >= 0.95  # codebooks of few rows say little of the others
+    spots = rng.normal(size=(5, 64))[np.arange(2400) % 5] + 1e-4 * rng.normal(size=(2400, 64))
+    assert recall_of_nearest(spark, spots, asked, sample_rows=600, rerank=256) >= 0.95  # near copies differ by less than the codes see
