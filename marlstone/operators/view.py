@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .catalog import Catalog
 from .log import Conflict
 from .publish import described
-from .shared import written
+from .shared import scratch, written
 
 BUCKETS = 32
 SOURCES = ("product_revisions", "opportunity_revisions", "review_events")
@@ -78,22 +78,23 @@ def refresh(catalog: Catalog, most_tries: int = 5) -> None:
         known = old.select("revision_id", F.when(F.col("kind").isNotNull(), F.struct("kind", "key", "observed_at", "passes")).alias("revision"), F.when(F.col("decision").isNotNull(), F.struct("decided_at", "review_event_id", "decision")).alias("decided"))
         both = known.withColumn("_new", F.lit(False)).unionByName(fresh.drop("bucket").withColumn("_new", F.lit(True)))
         merged = both.groupBy("revision_id").agg(F.max("revision").alias("r"), F.max("decided").alias("d"), F.max("_new").alias("_new"))
-        merged = written(merged.select("revision_id", "r.*", "d.*", _bucket("revision_id").alias("bucket"), "_new"), "merged")
-        add, remove = {}, {}
-        add["revision_state"], remove["revision_state"] = _rewritten(catalog, "revision_state", merged.drop("_new"), buckets)
-        touched = merged.filter("_new and key is not null").withColumn("bucket", _bucket("key"))
-        key_buckets = [r[0] for r in touched.select("bucket").distinct().collect()]
-        stands = touched.filter("decision = 'trust' and passes").select("kind", "key", "revision_id", "observed_at", "decided_at", "review_event_id", "bucket")
-        rest = _of(catalog, "key_state", key_buckets).drop("best").join(touched.select("revision_id"), "revision_id", "left_anti")
-        rows = rest.unionByName(stands)
-        first = Window.partitionBy("bucket", "kind", "key").orderBy(F.col("observed_at").desc(), F.col("revision_id").desc())
-        rows = rows.withColumn("best", F.row_number().over(first) == 1)
-        add["key_state"], remove["key_state"] = _rewritten(catalog, "key_state", rows, key_buckets)
-        try:
-            catalog._state = catalog.log.commit(catalog.state, {"add": add, "remove": remove, "meta": {"view": version}})
-            return
-        except Conflict:
-            continue
+        with scratch(catalog.spark):
+            merged = written(merged.select("revision_id", "r.*", "d.*", _bucket("revision_id").alias("bucket"), "_new"), "merged")
+            add, remove = {}, {}
+            add["revision_state"], remove["revision_state"] = _rewritten(catalog, "revision_state", merged.drop("_new"), buckets)
+            touched = merged.filter("_new and key is not null").withColumn("bucket", _bucket("key"))
+            key_buckets = [r[0] for r in touched.select("bucket").distinct().collect()]
+            stands = touched.filter("decision = 'trust' and passes").select("kind", "key", "revision_id", "observed_at", "decided_at", "review_event_id", "bucket")
+            rest = _of(catalog, "key_state", key_buckets).drop("best").join(touched.select("revision_id"), "revision_id", "left_anti")
+            rows = rest.unionByName(stands)
+            first = Window.partitionBy("bucket", "kind", "key").orderBy(F.col("observed_at").desc(), F.col("revision_id").desc())
+            rows = rows.withColumn("best", F.row_number().over(first) == 1)
+            add["key_state"], remove["key_state"] = _rewritten(catalog, "key_state", rows, key_buckets)
+            try:
+                catalog._state = catalog.log.commit(catalog.state, {"add": add, "remove": remove, "meta": {"view": version}})
+                return
+            except Conflict:
+                continue
     raise Conflict(f"other writers came first {most_tries} times")
 
 

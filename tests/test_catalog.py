@@ -3,6 +3,7 @@ import json
 import random
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from marlstone.operators import attempts, contract, contract_columns, evaluate,
 from marlstone.operators.catalog import TABLES, Catalog, index_tables, ingest, observe, plan_identity
 from marlstone.operators.engine import CatalogEngine, bounded, bounded_params, catalog_kind, clamped
 from marlstone.operators.log import CHECKPOINT_EVERY, Conflict, Log, State
-from marlstone.operators.shared import written
+from marlstone.operators.shared import kept_folder, scratch, written
 
 CONCEPTS, UNITS = {"capability": {"gpu_compute", "model_api"}}, {"hour", "request"}
 TEXT = "Acme runs GPU jobs for builders. Everyone gets 10 GPU hours per month for 3 months. Public sign-up. https://acme.test"
@@ -533,3 +534,34 @@ def test_known_keys_of_a_product_are_found_again(spark, tmp_path):
     first, second = ids.values()
     assert all(second[k][0] == first[k][0] and second[k][2] == first[k][1] for k in "ab")
     assert second["c"][2] is None and second[None][2] is None and len({v[0] for v in second.values()}) == 4
+
+
+def scratch_folders():
+    return {p.name for p in Path("/tmp/checkpoints").glob("marlstone-*")}
+
+
+def test_a_batch_and_a_refresh_leave_only_the_catalog(spark, tmp_path):
+    before, catalog = scratch_folders(), Catalog.open(spark, str(tmp_path / "c"))
+    for batch, at in (("b1", "2026-01-01T00:00:00Z"), ("b2", "2026-01-01T00:00:00Z"), ("b3", "2026-02-01T00:00:00Z")):  # the second is refused
+        put(spark, catalog, at, batch)
+    trust(spark, catalog, "r", "2026-03-01T00:00:00Z")
+    view.refresh(catalog)
+    assert scratch_folders() == before
+    assert catalog.read("product_revisions").count() == 2 and catalog.read("rejections").count() == 1
+    assert CatalogEngine(catalog).published().count() == 1
+
+
+def test_what_is_written_goes_where_a_build_fails(spark):
+    before = scratch_folders()
+
+    def build(path):
+        spark.range(3).write.parquet(path)
+        with scratch(spark):
+            written(spark.range(3), "inner")
+            raise RuntimeError("no")
+
+    with pytest.raises(RuntimeError, match="no"):
+        kept_folder(spark, "fails", "here", build)
+    assert scratch_folders() == before
+    kept = written(spark.range(3), "outside")  # outside of the block nothing goes
+    assert kept.count() == 3 and len(scratch_folders() - before) == 1
